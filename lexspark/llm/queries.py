@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, quality, sharding
+from . import decontamination, packing, quality, sharding, token_output
 from .common import read_table
 from .sql import ORACLE
 
@@ -17,8 +17,25 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_files(read_table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jump_sharding, op6_quality_cascade, op9_benchmark_containment)}
+def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_jump_sharding,
+        op6_quality_cascade,
+        op8_repair_token_files,
+        op9_benchmark_containment,
+        op10_residual_packing,
+    )
+}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality, sharding, token_output
+from . import decontamination, packing, pii, quality, sharding, token_counts, token_output
 from .common import read_table
 from .sql import ORACLE
 
@@ -13,6 +13,14 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), limit=1024)
+
+
 def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
@@ -33,6 +41,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_jump_sharding,
+        op4_personal_data,
+        op5_token_counts,
         op6_quality_cascade,
         op8_repair_token_files,
         op9_benchmark_containment,

@@ -17,6 +17,7 @@ is mapped back and added unless a plain span of its kind covers it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import unicodedata
@@ -121,15 +122,17 @@ class Mapped:
         self.runs: list[tuple[int, int, bool]] = [(0, 0, False)]
         self.length = len(text)
 
-    def source(self, start: int, end: int) -> tuple[int, int, bool]:
-        """(source start, source end, whether a rewritten run is in it)."""
-        keys = [r[0] for r in self.runs] if not hasattr(self, "_keys") else self._keys
-        self._keys = keys
-        i, j = bisect_right(keys, start) - 1, bisect_right(keys, end - 1) - 1
+    @functools.cached_property
+    def keys(self) -> list[int]:
+        return [r[0] for r in self.runs]
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The source span that a span here stands for."""
+        i, j = bisect_right(self.keys, start) - 1, bisect_right(self.keys, end - 1) - 1
         a, b = self.runs[i], self.runs[j]
         begin = a[1] if a[2] else a[1] + start - a[0]
         stop = (self.runs[j + 1][1] if j + 1 < len(self.runs) else self.length) if b[2] else b[1] + end - b[0]
-        return begin, stop, any(r[2] for r in self.runs[i : j + 1])
+        return begin, stop
 
 
 def rewrite(mapped: Mapped, edits: list[tuple[int, int, str]]) -> Mapped:
@@ -138,8 +141,7 @@ def rewrite(mapped: Mapped, edits: list[tuple[int, int, str]]) -> Mapped:
         return mapped
     out, parts, at, size = Mapped.__new__(Mapped), [], 0, 0
     runs: list[tuple[int, int, bool]] = []
-    keys = [r[0] for r in mapped.runs]
-    total = len(mapped.text)
+    keys, total = mapped.keys, len(mapped.text)
 
     def copy(a: int, b: int) -> None:
         nonlocal size
@@ -212,9 +214,9 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     taken = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in range(len(KINDS))}
     added = []
     for kind, start, end in plain_spans(mapped.text):
-        a, b, rewritten = mapped.source(start, end)
+        a, b = mapped.source(start, end)
         i = bisect_right(taken[kind], (a, 1 << 62))  # the plain span that starts last up to a, if any
-        if rewritten and not any(b <= y for _, y in taken[kind][max(0, i - 1) : i]):
+        if text[a:b] != mapped.text[start:end] and not any(b <= y for _, y in taken[kind][max(0, i - 1) : i]):
             added.append((kind, a, b))
     return base, sorted(base + added)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, pii, quality, sharding, token_counts, token_output
+from . import decontamination, packing, pii, quality, sharding, substring, token_counts, token_output
 from .common import read_table
 from .sql import ORACLE
 
@@ -13,6 +13,10 @@ def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=8)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_words(read_table(spark, sf_dir, "documents"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_jump_sharding,
+        op2_substring_dedup,
         op4_personal_data,
         op5_token_counts,
         op6_quality_cascade,

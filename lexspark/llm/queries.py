@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, pii, quality, sharding, substring, token_counts, token_output
+from . import decontamination, jaccard_join, packing, pii, quality, sharding, substring, token_counts, token_output
 from .common import read_table
 from .sql import ORACLE
 
@@ -29,6 +29,10 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op7_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(read_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op8_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_files(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
         op4_personal_data,
         op5_token_counts,
         op6_quality_cascade,
+        op7_parity_sketch_join,
         op8_repair_token_files,
         op9_benchmark_containment,
         op10_residual_packing,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -14,10 +13,12 @@ WHITE = "\t-\r \x85\xa0  -     　"
 
 #: Between a character that isn't white space and one that is, the byte-level pattern always
 #: ends a word, so such pieces of a text can be encoded on their own.
+SPACES = frozenset(chr(i) for i in range(0x3001) if re.fullmatch(f"[{WHITE}]", chr(i)))
 PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
-#: Most pieces that a worker remembers; the memory is cleared when it is full.
-MEMO_PIECES = 300_000
+#: Pieces that a worker remembers: when so many are new, those not met since the last
+#: time are forgotten.
+MEMO_PIECES = 500_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -41,21 +42,24 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        #: bytes that each id stands for; byte-level vocabularies write a letter for a byte
+        self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.widths[i] = len(token)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """One array of ids per text; a null text is empty."""
         texts = [t or "" for t in texts]
         pieces = [PIECE.findall(t) for t in texts]
         if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        missing = list(set().union(*pieces).difference(self.memo))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[piece] = array(self.code, found.ids).tobytes()
+            self.memo, self.older = {}, self.memo
+        missing = set().union(*pieces).difference(self.memo)
+        known = missing.intersection(self.older)
+        self.memo.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        self._learn(list(missing - known))
         get = self.memo.__getitem__
         out = [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in pieces]
         for i, text in enumerate(texts):
@@ -63,6 +67,19 @@ class PieceEncoder:
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         return out
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many in one text: each starts with white space and the one before doesn't end in it."""
+        whole = [p for p in pieces if p[0] in SPACES and p[-1] not in SPACES and not any(s in p for s in self.special)]
+        for at in range(0, len(whole), 1024):
+            part = whole[at : at + 1024]
+            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, self.dtype)
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
+            cuts = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.dtype.itemsize
+            data = ids.tobytes()
+            self.memo.update(zip(part, [data[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)], strict=True))
+        for piece in set(pieces).difference(whole):
+            self.memo[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
 
 _encoders: dict[str, PieceEncoder] = {}
 

@@ -42,14 +42,19 @@ SHARD_IDS = 1 << 22
 HASH_BITS = 20
 
 
-def _frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
     """(places of frequent pairs, their codes), for the ``most`` most frequent pairs at most.
 
     Pairs are counted in hashed bins first; only those in full bins are counted exactly.
     """
-    code = (left.astype(np.uint64) << np.uint64(32)) | right
-    bins = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
-    counts = np.bincount(bins[usable], minlength=1 << HASH_BITS)
+    if narrow:
+        code = (left << np.uint32(16)) | right
+        bins = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
+    else:
+        code = (left.astype(np.uint64) << np.uint64(32)) | right
+        bins = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)
+    bins = bins.astype(np.int64)
+    counts = np.bincount(bins, minlength=1 << HASH_BITS)
     if most < len(counts):
         least = max(LEAST_COUNT, int(np.partition(counts, len(counts) - most)[len(counts) - most]))
     else:
@@ -69,7 +74,8 @@ def repair(symbols: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUND
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        at, code = _frequent_pairs(symbols[:-1], symbols[1:], ~ends[:-1], RULES_PER_ROUND)
+        narrow = after <= 1 << 16
+        at, code = _frequent_pairs(symbols[:-1], symbols[1:], ~ends[:-1], RULES_PER_ROUND, narrow)
         # of places next to each other, every other one from the left of each run
         fresh = np.ones(len(at), bool)
         fresh[1:] = at[1:] != at[:-1] + 1
@@ -87,8 +93,8 @@ def repair(symbols: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUND
         left = np.ones(len(symbols), bool)
         left[at + 1] = False
         symbols, ends = symbols[left], ends[left]
-        rules = kinds[keep]
-        pairs.append(np.stack([rules >> np.uint64(32), rules & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules, half = kinds[keep].astype(np.uint64), np.uint64(16 if narrow else 32)
+        pairs.append(np.stack([rules >> half, rules & ((np.uint64(1) << half) - np.uint64(1))], 1).astype(np.uint32))
         sizes.append(len(rules))
         after += len(rules)
     return symbols, ends, np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint32), np.array(sizes, np.uint32)

@@ -9,8 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample on which costs and selectivities are estimated. They only order the rules.
-SAMPLE_ROWS = 2000
+#: Rows of the sample on which costs and selectivities are estimated; the driver holds these
+#: few texts. They only order the rules.
+SAMPLE_ROWS = 500
 
 SPACE = "[\\x20\\x09-\\x0D]"
 
@@ -127,20 +128,17 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPL
     selectivity the share of the sample that it rejects. The order never changes
     which documents are kept: a document is kept if no rule rejects it.
     """
-    sample = docs.limit(sample_rows).cache()
-    try:
-        total = sample.count()
-        if not total:
-            return list(rules)
-        rated = []
-        for place, rule in enumerate(rules):
-            began = time.perf_counter()
-            rejected = sample.agg(F.sum(F.coalesce(rule.fails, F.lit(False)).cast("int"))).first()[0] or 0
-            cost = max(time.perf_counter() - began, 1e-4)
-            rated.append((-(rejected / total) / cost, place, rule))
-        return [rule for _, _, rule in sorted(rated, key=lambda x: x[:2])]
-    finally:
-        sample.unpersist()
+    rows = docs.take(sample_rows)  # reads as few partitions as it needs
+    if not rows:
+        return list(rules)
+    sample = docs.sparkSession.createDataFrame(rows, docs.schema).coalesce(1)
+    rated = []
+    for place, rule in enumerate(rules):
+        began = time.perf_counter()
+        rejected = sample.agg(F.sum(F.coalesce(rule.fails, F.lit(False)).cast("int"))).first()[0] or 0
+        cost = max(time.perf_counter() - began, 1e-4)
+        rated.append((-(rejected / len(rows)) / cost, place, rule))
+    return [rule for _, _, rule in sorted(rated, key=lambda x: x[:2])]
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule], verdict: str = "failed_rule") -> DataFrame:
@@ -161,7 +159,7 @@ def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
     Empty and null texts have no words, so they fail. Repeated rows are judged alike.
     """
     stats = base_stats(docs.select(key, text), text)
-    rules = order_rules(base_stats(docs.select(key, text).limit(sample_rows), text), standard_rules(text), sample_rows)
+    rules = order_rules(stats, standard_rules(text), sample_rows)
     judged = cascade(stats, rules)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, packing, pii, quality, sharding, substring, token_counts, token_output
+from . import decontamination, jaccard_join, packing, pii, pitman_yor, quality, sharding, substring, token_counts, token_output
 from .common import read_table
 from .sql import ORACLE
 
@@ -17,6 +17,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_words(read_table(spark, sf_dir, "documents"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     for f in (
         op1_jump_sharding,
         op2_substring_dedup,
+        op3_pitman_yor,
         op4_personal_data,
         op5_token_counts,
         op6_quality_cascade,

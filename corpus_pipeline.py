@@ -1,24 +1,56 @@
-"""The corpus pipeline: documents through five operators, one after another."""
+"""The corpus pipeline: documents through five operators, one after another.
+
+Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexspark.llm.common import materialize
 from lexspark.llm.decontamination import drop_contaminated
+from lexspark.llm.jaccard_join import keep_one_of_each
+from lexspark.llm.packing import pack_documents
+from lexspark.llm.pii import redact
 from lexspark.llm.quality import quality_filter
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that a quality rule rejects."""
     return quality_filter(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the least id stays."""
+    return keep_one_of_each(docs, shingle=5, percent=80)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality_rules", quality_rules), ("decontaminate", decontaminate)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put a mark in the place of personal data; ``n_chars`` follows the text."""
+    out = docs.withColumn("text", redact(F.col("text")))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the texts that are left into sequences of 2048 tokens."""
+    return pack_documents(docs, capacity=2048)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("packing", packing),
+]
 
+#: Token ids and the seeds of a similarity join's components aren't expressible in SQL.
 ORACLE_SQL = None
 
 

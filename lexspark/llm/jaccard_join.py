@@ -10,11 +10,14 @@ meets in at least one (pigeonhole). B - D is above the number of a document's em
 as a rule, and then only words with content need to be joined; documents with as many empty
 words as that join on them too. Pairs that meet are verified on the exact sets.
 
-Equal sets are one class, joined through its least member. In a bucket where many sets meet
-only links that can change the result are sought: a bucket's members are compared with
-pivots, a linear number of pairs, until few pairs of members are in different components;
-those are all compared. No link between different sets that would join two components is
-lost, and a group of n near copies costs about n comparisons a round, not n squared.
+Equal sets are one class, joined through its least member. Sets that meet in a small bucket
+are compared pair by pair. In a large one, where many near copies meet, whole sketches are
+compared within the bucket, and only pairs leave it that the distance allows, that lie in
+different components, and that a spanning forest needs: fewer than the bucket has members.
+They are verified, components grow, and this is done again, at last with every pair of
+different components that the distance allows. So no link that would join two components is
+lost, and a group of n near copies sends out about n pairs a round, not n squared. Buckets of
+over BLOCK members are compared in blocks, so no task holds a whole one.
 """
 
 from __future__ import annotations
@@ -33,10 +36,13 @@ from .exchange import CHUNK_BYTES, FILTER_BITS, answer, bodies_by, bucket_edges,
 from .substring import SLICE_BYTES, among, distinct, more_than_once
 from .words import blocks, windows, word_hashes
 
-#: Buckets with more members are thinned by pivots first, so many a round, for so many rounds at most.
-SMALL_BUCKET = 8
-PIVOTS = 4
-PIVOT_ROUNDS = 5
+#: Buckets of at most so many members are compared pair by pair; larger ones by sketches,
+#: in blocks of at most so many.
+SMALL_BUCKET = 6
+BLOCK = 4096
+
+#: Rounds in which a large bucket sends a spanning forest only, before the last, which is complete.
+FOREST_ROUNDS = 2
 
 #: Stands for a missing id among longs.
 NO_ID = -(2**63)
@@ -56,29 +62,35 @@ def group_bound(group: int, percent: int, edges: tuple[int, ...]) -> int:
     return (edges[group + 1] - 1) * (100 - percent) // percent
 
 
-def sketch_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Join keys of one set of shingle hashes, for the groups of its own band and the one below."""
+def sketches(hashes: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(group, shared keys that any partner needs, join keys, sketch words) for a set's own band's group and the one below.
+
+    A partner has at least B - D equal words; those that aren't empty are at least B - D
+    less the set's own empty words.
+    """
     n = len(hashes)
     if not n:
-        return np.zeros(0, np.uint64)
+        return []
     edges = band_edges(percent, 1 << (2 * n).bit_length())
     band = int(np.searchsorted(edges, n, "right")) - 1
-    keys = []
+    out = []
     for group in (band, band - 1):
         bound = group_bound(group, percent, edges) if group >= 0 else 0
         if not bound:  # no two different sets can link
             continue
-        words = bound + 2 + bound // 6
+        spare = 2 + bound // 6
+        words = bound + spare
         bits = words * 64
         place = ((hashes >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
         parity = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
         sketch = np.packbits(parity).view(np.uint64)
         salt = mix64(np.arange(words, dtype=np.uint64) + np.uint64(group << 32))
         used = sketch != 0
-        if words - int(used.sum()) >= words - bound:
+        empty = words - int(used.sum())
+        if empty >= spare:
             used[:] = True
-        keys.append(mix64(sketch[used] ^ salt[used]))
-    return np.concatenate(keys) >> np.uint64(64 - FILTER_BITS) if keys else np.zeros(0, np.uint64)
+        out.append((group, max(1, spare - empty), mix64(sketch[used] ^ salt[used]) >> np.uint64(64 - FILTER_BITS), sketch))
+    return out
 
 
 def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
@@ -93,26 +105,31 @@ def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
     return out
 
 
-SETS = "doc_id long, n long, fingerprint binary, keys array<long>, body binary"
+GROUP = "struct<grp: int, need: int, keys: array<long>, words: binary>"
+SETS = f"doc_id long, n long, fingerprint binary, groups array<{GROUP}>, body binary"
 
 
 def sketched_sets(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str, n_chunks: int | None = None) -> DataFrame:
-    """One row per document: set size, fingerprint of the set, the keys that another document has too, and then the set itself.
+    """One row per document: set size, fingerprint of the set, and where it can have partners its keys, how many must be shared, and the set.
 
     Two steps of :mod:`.exchange`: a chunk sends its distinct keys, a bucket answers with
-    a bit for each, whether it is met by another document.
+    a bit for each, whether another document has it. A document with fewer such keys than
+    any partner would share keeps none.
     """
     n_chunks = n_chunks or chunk_count(docs, CHUNK_BYTES, text)
     chunks = chunked(docs, n_chunks, doc_id, text)
 
-    def keys_of(table: pa.Table) -> tuple[int, list, list[np.ndarray], list[np.ndarray]]:
+    def keys_of(table: pa.Table) -> tuple[int, list, list[np.ndarray], list[list[tuple]]]:
         chunk, ids, texts = read_chunk(table)
         sets = shingle_sets(texts, shingle)
-        return chunk, ids, sets, [sketch_keys(s, percent) for s in sets]
+        return chunk, ids, sets, [sketches(s, percent) for s in sets]
+
+    def all_of(found: list[list[tuple]]) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.uint64), *(keys for own in found for _, _, keys, _ in own)])
 
     def offer(table: pa.Table) -> pa.Table:
         chunk, _, _, keys = keys_of(table)
-        every = np.concatenate([*keys, np.zeros(0, np.uint64)])
+        every = all_of(keys)
         kinds = distinct(every)
         twice = among(kinds, more_than_once(every))
         edges = bucket_edges(kinds, n_chunks, FILTER_BITS).tolist()
@@ -128,67 +145,130 @@ def sketched_sets(docs: DataFrame, shingle: int, percent: int, doc_id: str, text
         rows: list[tuple] = []
         if table.num_rows:
             _, ids, sets, keys = keys_of(table)
-            kinds = distinct(np.concatenate([*keys, np.zeros(0, np.uint64)]))
+            kinds = distinct(all_of(keys))
             bits = [unpack(body)[0] for body in bodies_by(answers, "bucket").values()]
             met = kinds[np.concatenate(bits)] if bits else kinds[:0]
             for key, own, mine in zip(ids, sets, keys, strict=True):
-                shared = mine[among(mine, met)]
-                rows.append((key, len(own), hashlib.md5(own.tobytes()).digest(), shared.astype(np.int64), own.tobytes() if len(shared) else None))
+                groups = []
+                for group, need, every, sketch in mine:
+                    shared = every[among(every, met)]
+                    if len(shared) >= need:
+                        groups.append({"grp": group, "need": need, "keys": shared.astype(np.int64), "words": sketch.tobytes()})
+                rows.append((key, len(own), hashlib.md5(own.tobytes()).digest(), groups or None, pack(own) if groups else None))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds_of = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
-        names = ["doc_id", "n", "fingerprint", "keys", "body"]
+        group_type = pa.struct([("grp", pa.int32()), ("need", pa.int32()), ("keys", pa.list_(pa.int64())), ("words", pa.binary())])
+        kinds_of = [pa.int64(), pa.int64(), pa.binary(), pa.list_(group_type), pa.binary()]
+        names = ["doc_id", "n", "fingerprint", "groups", "body"]
         return pa.table({name: pa.array(c, t) for name, c, t in zip(names, columns, kinds_of, strict=True)})
 
     return resume(chunks, answer(send(chunks, offer), meet), keep, SETS)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets reach the threshold. Sizes decide first, so few sets travel in vain."""
-    sizes = sets.select("rep", "n")
-    near = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-    near = near.filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b")
-    with_a = near.join(sets.select(F.col("rep").alias("a"), F.col("body").alias("x")), "a")
-    with_both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("body").alias("y")), "b")
+def verify(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets reach the threshold, as a written table.
+
+    Sizes and the number of shared keys decide first, on ``sketches`` (rep, n, keys, need);
+    only sets of pairs that are left are taken from ``bodies`` (rep, body).
+    """
+    of = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}"), F.col("need").alias(f"x{c}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b")
+    sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
+    near = near.filter(sizes & (F.size(F.array_intersect("ka", "kb")) >= F.greatest("xa", "xb"))).select("a", "b")
+    near = materialize(near, "near-pairs")
+    ids = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    own = bodies.join(ids, "rep", "left_semi")
+    with_both = near.join(own.select(F.col("rep").alias("a"), F.col("body").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("body").alias("y")), "b")
 
     def check(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                both = np.concatenate([unpack(x)[0], unpack(y)[0]])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return materialize(with_both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
-def link_components(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, comp) over the sets that meet in buckets (key, rep); None if none do."""
-    least = members.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("size")).filter(F.col("lo") < F.col("hi"))
-    members = materialize(members.join(least.drop("hi"), "key"), "bucket-members")
-    star = members.filter(F.col("rep") != F.col("lo")).select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    labels = connected_components(materialize(verify(star, sets, percent), "links"))
+def bucket_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """(a, b) from large buckets: rows (key, block, rep, comp, n, words), pairs of different components within the distance.
 
-    def labelled() -> DataFrame:
-        named = members.join(labels, members.rep == labels.node, "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
-        split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
-        return materialize(named.join(split.select("key"), "key", "left_semi"), "open-buckets")
+    With ``forest``, the nearest pairs that join a bucket's components, one less than there
+    are at most.
+    """
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
+        words = np.stack([np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()])
+        names, comp = np.unique(comp, return_inverse=True)
+        # the largest component's members are only compared with the others
+        counts = np.bincount(comp)
+        order = np.argsort(comp == counts.argmax(), kind="stable")
+        rep, comp, n, words = rep[order], comp[order], n[order], words[order]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        step = max(1, (1 << 22) // max(1, words.size))
+        for at in range(0, len(rep) - int(counts.max()), step):
+            own = slice(at, min(at + step, len(rep) - int(counts.max())))
+            distance = np.bitwise_count(words[own, None] ^ words[None, at:]).sum(2, dtype=np.int64)
+            near = distance * (100 + percent) <= (n[own, None] + n[None, at:]) * (100 - percent)
+            near &= comp[own, None] != comp[None, at:]
+            i, j = np.nonzero(near)
+            later = i < j
+            found.append((i[later] + at, j[later] + at, distance[i[later], j[later]]))
+        i, j, distance = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+        if forest:
+            label = list(range(len(names)))
+
+            def root(x: int) -> int:
+                while label[x] != x:
+                    label[x] = x = label[label[x]]
+                return x
 
-    for round_ in range(PIVOT_ROUNDS):
-        open_ = labelled()
-        large = open_.filter(F.col("size") > SMALL_BUCKET)
-        if not large.limit(1).count():
+            keep = []
+            for k in np.argsort(distance, kind="stable").tolist():
+                x, y = root(int(comp[i[k]])), root(int(comp[j[k]]))
+                if x != y:
+                    label[x] = y
+                    keep.append(k)
+            i, j = i[keep], j[keep]
+        return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+
+    return rows.groupBy("key", "block").applyInArrow(compare, "a long, b long").distinct()
+
+
+def link_components(sets: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """(node, comp) over sets (rep, n, groups) that meet in buckets."""
+    groups = sets.select("rep", "n", F.inline("groups"))
+    keys = groups.select("rep", "grp", F.explode(F.array_distinct("keys")).alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
+    members = materialize(keys.join(sizes, "key"), "bucket-members")
+    flat = materialize(sets.select("rep", "n", F.flatten("groups.keys").alias("keys"), F.array_min("groups.need").alias("need")), "set-keys")
+    small = members.filter(F.col("size") <= SMALL_BUCKET).select("key", "rep")
+    pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").filter(F.col("a") < F.col("b"))
+    tested = materialize(pairs.select("a", "b").distinct(), "pairs")
+    labels = connected_components(verify(tested, flat, bodies, percent))
+    large = members.filter(F.col("size") > SMALL_BUCKET)
+    for round_ in range(FOREST_ROUNDS + 1):
+        named = large.join(labels, large.rep == labels.node, "left").select("key", "grp", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
+        split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
+        open_ = materialize(named.join(split.select("key"), "key", "left_semi"), "open-buckets")
+        if not open_.limit(1).count():
             break
-        # the least of a random order, several times over: one pass, one row per bucket
-        orders = [F.min(F.struct(F.xxhash64(F.col("rep"), F.lit(round_ * PIVOTS + i)), F.col("rep").alias("p"), F.col("comp").alias("c"))).alias(f"s{i}") for i in range(PIVOTS)]
-        pivots = large.groupBy("key").agg(*orders).select("key", F.explode(F.array_distinct(F.array(*[f"s{i}" for i in range(PIVOTS)]))).alias("s")).select("key", "s.p", "s.c")
-        pairs = large.join(pivots, (large.key == pivots.key) & (large.comp != pivots.c)).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct()
-        labels = connected_components(materialize(verify(pairs, sets, percent), "links"), labels)
-    open_ = labelled()
-    left, right = open_.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca")), open_.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    rest = left.join(right, (left.key == right.key) & (F.col("ca") < F.col("cb"))).select("a", "b").distinct()
-    return connected_components(materialize(verify(rest, sets, percent), "links"), labels)
+        # every two blocks of a bucket meet in one task; a bucket of one block is one task
+        blocks_ = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("rep"), blocks_).cast("int")
+        dealt = open_.withColumn("_n", blocks_).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        dealt = dealt.withColumn("block", F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other"))
+        rows = dealt.join(groups.select("rep", "grp", "n", "words"), ["rep", "grp"]).select("key", "block", "rep", "comp", "n", "words")
+        found = bucket_pairs(rows, percent, forest=round_ < FOREST_ROUNDS)
+        found = materialize(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        if not found.limit(1).count():
+            continue
+        labels = connected_components(verify(found, flat, bodies, percent), labels)
+        tested = tested.unionByName(found)
+    return labels
 
 
 def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -203,18 +283,18 @@ def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, doc_
     """
     table = materialize(sketched_sets(docs, shingle, percent, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "sketched-sets")
     classes = table.filter(F.col("n") > 0).groupBy("n", "fingerprint").agg(F.min("doc_id").alias("rep"))
-    chosen = classes.select(F.col("n").alias("cn"), F.col("fingerprint").alias("cf"), "rep")
-    own = (F.col("doc_id") == F.col("rep")) & (F.col("n") == F.col("cn")) & (F.col("fingerprint") == F.col("cf"))
-    met = table.filter(F.col("body").isNotNull())
-    sets = materialize(met.join(chosen, own, "left_semi").dropDuplicates(["doc_id", "fingerprint"]).select(F.col("doc_id").alias("id"), "n", "fingerprint", "keys", "body"), "met-sets")
-    # ids may repeat, so a set's name in the join is its rank-free pair (id, fingerprint) as one number when ids are unique
-    repeated = sets.groupBy("id").count().filter("count > 1").limit(1).count()
-    name = F.col("id") if not repeated else F.xxhash64("id", "fingerprint")
-    sets = sets.withColumn("rep", name)
-    members = sets.select(F.explode(F.array_distinct("keys")).alias("key"), "rep")
-    labels = link_components(members, sets.select("rep", "n", "body"), percent)
+    # ids may repeat; only then is a set named by a hash of its id and fingerprint
+    repeated = table.groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    name = F.col("doc_id") if not repeated else F.xxhash64("doc_id", "fingerprint")
+    met = table.filter(F.col("body").isNotNull()).withColumn("rep", name)
+    chosen = classes.select(F.col("n").alias("cn"), F.col("fingerprint").alias("cf"), F.col("rep").alias("least"))
+    own = (F.col("doc_id") == F.col("least")) & (F.col("n") == F.col("cn")) & (F.col("fingerprint") == F.col("cf"))
+    narrow = met.select("doc_id", "rep", "n", "fingerprint", "groups").join(chosen, own, "left_semi").dropDuplicates(["rep"])
+    sets = materialize(narrow, "sketches")
+    bodies = met.select("rep", "body") if not repeated else met.dropDuplicates(["rep"]).select("rep", "body")
+    labels = link_components(sets.select("rep", "n", "groups"), bodies, percent)
     # from names back to ids: a component is called by its least id
-    named = sets.join(labels, sets.rep == labels.node).select("id", "n", "fingerprint", "comp")
+    named = sets.join(labels, sets.rep == labels.node).select(F.col("doc_id").alias("id"), "n", "fingerprint", "comp")
     lowest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     linked = named.join(lowest, "comp").select(F.col("n").alias("ln"), F.col("fingerprint").alias("lf"), "component_id")
     by_class = classes.join(linked, (classes.n == linked.ln) & (classes.fingerprint == linked.lf), "left")

@@ -69,6 +69,7 @@ def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     arrays, of a size in proportion to it.
     """
     t = F.col(text)
+    docs = docs.drop("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")  # columns of these names are replaced
     step = hold(docs, _hashes=F.transform(words_of(t), lambda w: F.xxhash64(w)))
     n = F.size("_hashes")
     window = lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2))

@@ -98,6 +98,16 @@ def sample_restaurants(c: np.ndarray, group: np.ndarray, p: np.ndarray, seed: in
     return kept, t
 
 
+def distinct_places(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values, sorted; the place of each value among them), by one sort."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(values)]
+    place = np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
+
+
 class ChunkTokens:
     """Token hashes of a chunk's documents, an end after each, and which are training tokens."""
 
@@ -112,15 +122,13 @@ class ChunkTokens:
         self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
         self.doc_of = np.repeat(np.arange(len(texts)), self.lengths)
         self.train = ~np.array(held_out, bool)[self.doc_of]
-        self.kinds = distinct(self.words)
-        self.kind = np.searchsorted(self.kinds, self.words)
+        self.kinds, self.kind = distinct_places(self.words)
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(each token's pair code; distinct codes; each token's place among them; a token of each code)."""
         before = np.concatenate([[END], self.words[:-1]])  # a document's first word follows the end of the one before
         code = (mix64(before) & np.uint64(0xFFFFFFFF00000000)) | (mix64(before * WINDOW_BASE + self.words) >> np.uint64(32))
-        kinds = distinct(code)
-        place = np.searchsorted(kinds, code)
+        kinds, place = distinct_places(code)
         example = np.zeros(len(kinds), np.int64)
         example[place] = np.arange(len(code))
         return code, kinds, place, example

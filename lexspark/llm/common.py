@@ -61,9 +61,14 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def chunk_count(docs: DataFrame, chunk_bytes: int, text: str = "text") -> int:
-    """How many chunks of about ``chunk_bytes`` the table makes; at least one per shuffle partition."""
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, math.ceil(text_bytes(docs, text) / chunk_bytes))
+    """How many chunks of about ``chunk_bytes`` the table makes; at least one per shuffle partition.
+
+    The session setting ``lexspark.chunk.bytes`` replaces ``chunk_bytes``: executors with
+    more memory take larger chunks, and a chunk's messages are as many as there are chunks.
+    """
+    conf = docs.sparkSession.conf
+    size = int(conf.get("lexspark.chunk.bytes", str(chunk_bytes)))
+    return max(int(conf.get("spark.sql.shuffle.partitions", "200")), math.ceil(text_bytes(docs, text) / size))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

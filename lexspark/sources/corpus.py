@@ -44,24 +44,17 @@ def read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame]:
 
 def read_json_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The tables of a JSON index: an object of two lists, or a bare list of articles. Places in the lists become item_index."""
-    raw = spark.read.json(path, multiLine=True)
-
-    def table(rows: DataFrame, schema: str) -> DataFrame:
-        wanted = [c.split() for c in schema.split(", ")]
-        return rows.select(*[(F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in wanted])
-
-    if "articles" not in raw.columns:  # a bare list is read as its elements
-        body = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{_fields(ARTICLE)}>>").alias("a"))
-        rows = body.select(F.posexplode("a").alias("item_index", "r")).select("item_index", *[F.col(f"r.{n}") for n in _names(ARTICLE)])
-        return table(rows, ARTICLE), spark.createDataFrame([], ATTACHMENT)
-    out = []
-    for name, schema in (("articles", ARTICLE), ("attachments", ATTACHMENT)):
-        if name in raw.columns:
-            rows = raw.select(F.posexplode(name).alias("item_index", "r")).select("item_index", "r.*")
-            out.append(table(rows, schema))
-        else:
-            out.append(spark.createDataFrame([], schema))
-    return out[0], out[1]
+    text = spark.read.text(path, wholetext=True)
+    whole = F.from_json("value", f"struct<articles: array<struct<{_fields(ARTICLE)}>>, attachments: array<struct<{_fields(ATTACHMENT)}>>>")
+    bare = F.from_json("value", f"array<struct<{_fields(ARTICLE)}>>")
+    is_list = F.startswith(F.ltrim("value"), F.lit("["))
+    lists = text.select(F.when(is_list, bare).otherwise(whole["articles"]).alias("articles"), F.when(~is_list, whole["attachments"]).alias("attachments"))
+
+    def table(name: str, schema: str) -> DataFrame:
+        rows = lists.select(F.posexplode(name).alias("item_index", "r"))
+        return rows.select(F.col("item_index").cast("long").alias("item_index"), *[F.col(f"r.{n}") for n in _names(schema)])
+
+    return table("articles", ARTICLE), table("attachments", ATTACHMENT)
 
 
 def _names(schema: str) -> list[str]:

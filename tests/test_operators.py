@@ -68,7 +68,7 @@ def test_text_ahead_of_the_first_mark_is_dropped(spark):
 
 
 def test_other_lines(spark):
-    a, _ = parse(spark, "머리말\n    제9조(인용) 들여쓴 줄\n### 제1조(가) 본문\n   제2조(들여씀) 본문의 줄\n**부 칙** <2020>\n### 제1조(시행)\n날")
+    a, _ = parse(spark, "머리말\n    제9조(인용) 들여쓴 줄\n### 제1조(가) 본문\n   제2조(들여씀) 본문의 줄\n**부 칙 <2020>**\n### 제1조(시행)\n날")
     assert [(r["article"], r["is_supplementary"]) for r in a] == [("제1조", False), ("제1조", True)]
     assert a[0]["body"] == "본문 제2조(들여씀) 본문의 줄" and a[0]["source"] == "규정_x" and a[0]["revision"] == ""
     a, b = parse(spark, "")

@@ -55,4 +55,56 @@ leak AS (
 
 OP9 = f"WITH {LEAK_CTE.format(docs='documents')} SELECT doc_id, item_id, n_item, n_shared FROM leak"
 
-ORACLE = {"op6_quality_cascade": OP6, "op9_benchmark_containment": OP9}
+
+
+def jump_steps(shards: int) -> str:
+    """The published walk, one nested query a step; a walk to ``shards`` has that many at most."""
+    q = "SELECT *, CASE WHEN doc_id < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE CAST(doc_id AS HUGEINT) END AS s, CAST(0 AS BIGINT) AS b, TRUE AS live FROM sized"
+    for _ in range(shards):
+        q = f"""SELECT * EXCLUDE (s, b, live, j), s, CASE WHEN live AND j < {shards} THEN j ELSE b END AS b, live AND j < {shards} AS live FROM (
+          SELECT *, CAST(floor((b + 1) * (CAST(2147483648 AS DOUBLE) / CAST(s // 8589934592 + 1 AS DOUBLE))) AS BIGINT) AS j FROM (
+            SELECT * EXCLUDE (s), (s * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM ({q})))"""
+    return q
+
+
+#: The checksum goes byte by byte through a table made from its polynomial.
+OP1 = f"""WITH tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) r(i)
+  )
+),
+bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (
+  SELECT doc_id, CAST(length(h) // 2 + 1 AS BIGINT) AS size, CAST(xor(list_reduce(
+      list_concat([4294967295], list_transform(range(0, length(h), 2), lambda i: CAST(('0x' || h[i + 1 : i + 2]) AS BIGINT))),
+      lambda c, x: xor(t[CAST(xor(c, x) % 256 AS BIGINT) + 1], c // 256)), 4294967295) AS BIGINT) AS text_crc32
+  FROM bytes, tab
+),
+a AS ({jump_steps(8)}), b AS ({jump_steps(9)})
+SELECT a.doc_id, a.size, a.text_crc32, 'key' AS law, CAST(a.b AS INT) AS shard,
+  row_number() OVER (PARTITION BY a.b ORDER BY a.doc_id, a.text_crc32, a.size) - 1 AS slot, CAST(b.b AS INT) AS grown_shard
+FROM a JOIN b USING (doc_id)"""
+
+OP2 = rf"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+OP7 = rf"""WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, least(3, len(w)) AS k, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN size a ON a.doc_id = x JOIN size b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+edge AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT y, r FROM reach JOIN edge ON x = doc_id)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN size USING (doc_id) GROUP BY doc_id"""
+
+ORACLE = {"op1_jump_sharding": OP1, "op2_substring_dedup": OP2, "op7_parity_sketch_join": OP7, "op6_quality_cascade": OP6, "op9_benchmark_containment": OP9}

@@ -18,7 +18,7 @@ PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 #: Pieces that a worker remembers: when so many are new, those not met since the last
 #: time are forgotten.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 800_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

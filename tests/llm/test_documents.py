@@ -139,7 +139,7 @@ def test_disguises(text, found):
 
 def test_long_runs_take_linear_time():
     t = "a" * 200_000 + " @ " + "1" * 200_000 + " " + "1." * 50_000 + "+1" * 50_000 + "one " * 50_000 + "[ " * 50_000
-    assert pii.all_spans(t)[0] == plain(t[:1000])
+    assert sum(k == 1 for k, _, _ in pii.all_spans(t)[0]) == 12_500
 
 
 def test_personal_data(odd, odd_texts, nothing):

@@ -8,8 +8,8 @@ number of tables that serve each word; a table is a customer of the parent.
 Gibbs sampling goes word by word within a restaurant: given the tables of the restaurant's
 other words, the number of tables t for c customers of a word has probability in proportion
 to S(c, t) prod_k (theta + d (T + k)) P(w), with generalised Stirling numbers S and the
-parent's probability P. For the first EXACT customers of a word t is drawn from this; those
-beyond are seated in order of arrival, each opening a table with its own probability. After
+parent's probability P. t is drawn from this for any c: up to FULL customers S comes from its
+recursion, beyond from an integral (contour_ratio) between whose nodes is interpolated. After
 BURN sweeps, SAMPLES more are averaged. While the contexts are sampled, the parent's
 probabilities are the training frequencies; the parent is sampled on the tables of the
 contexts' last sweep. A word's probability after context u is
@@ -30,6 +30,8 @@ restaurant by chance), words by 64. All counts are over all training documents:
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,7 +47,10 @@ DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 10.0
 
 BURN, SAMPLES = 2, 3
+#: Up to EXACT customers all numbers of tables are weighed at once.
 EXACT = 24
+#: Most customers in the table of Stirling numbers; nodes of a size above; words drawn at once.
+FULL, NODES, DRAWN = 512, 401, 1 << 13
 
 #: Stands for the end of a document, and for the context of its first word.
 END = np.uint64(0x5EED0FD0C5E27D00)
@@ -64,22 +69,143 @@ def log_stirling(discount: float, most: int) -> np.ndarray:
     return out
 
 
+def contour_ratio(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
+    """log S(c, t + 1) - log S(c, t) for c of hundreds and more and t + 1 <= c - 12, without a recursion.
+
+    S(c, t) is c! / (t! d^t) times the coefficient of z^c in f(z)^t, f = 1 - (1 - z)^d. With
+    z = exp(-x) that is an integral of exp(t log f + c x) over a curve around the cut x <= 0,
+    here a hyperbola through the saddle, or through 1 / c if the saddle is nearer to 0.
+    """
+    c, t = c.astype(float)[:, None], t.astype(float)[:, None]
+    log_y = lambda x: np.where(x.real > 0.7, np.log1p(-np.exp(-np.maximum(x.real, 0.7) - 1j * x.imag)), np.log(-np.expm1(-x)))  # noqa: E731  y = 1 - z
+    log_f = lambda x: np.log(-np.expm1(discount * log_y(x)))
+    slope = lambda x: discount * np.exp((discount - 1) * log_y(x).real - x - log_f(x).real)  # noqa: E731  of -log f
+    low, high = np.full(c.shape, -90.0), np.full(c.shape, 4.0)  # log of the saddle
+    for _ in range(60):
+        middle = (low + high) / 2
+        left = t * slope(np.exp(middle)) > c
+        low, high = np.where(left, middle, low), np.where(left, high, middle)
+    saddle = np.exp(low)
+    start = np.maximum(saddle, 1 / c)
+    bend = t * np.abs(slope(start * 1.001) - slope(start)) / (start * 0.001)
+    scale = np.where(saddle < 4 / c, start, 1 / np.sqrt(np.maximum(bend, 1e-300)))
+    tilt = np.where(start < 0.05, 0.4, 0.0)
+    v = np.arange(0.02, 9, 0.04)
+    x = start + scale * (1j * np.sinh(v) - tilt * (np.cosh(v) - 1))
+    inside = (x.imag < np.pi) & (c * (start - x.real) < 700)
+    step = scale * (1j * np.cosh(v) - tilt * np.sinh(v)) * inside
+    x = np.where(inside, x, start)
+    peak = t * log_f(start).real
+    with np.errstate(over="ignore", under="ignore"):
+        logs, grown = log_f(x), c * (x - start)
+        # the integral of exp(c x) alone is nothing: for few tables it is left out, against cancellation
+        few, level = t < c**discount, np.where(t < c**discount, 0, peak)
+        part = lambda k: ((np.exp(grown + k * logs - level) - np.where(few, np.exp(grown), 0)) * step).imag.sum(1)
+        return np.log(np.abs(part(t + 1) / part(t))) - np.log((t + 1) * discount)[:, 0]
+
+
+class TableRatio:
+    """log S(c, t + 1) - log S(c, t) for arrays of 1 <= t < c <= FULL * 2 ** doublings.
+
+    Up to FULL customers from the recursion; above, linear between nodes of contour_ratio, four to
+    a doubling of c and NODES over log(t / (c - t)). Against the recursion at up to 2,000 customers
+    that errs by less than 0.001, but where all tables but 20 have one customer (up to 0.06).
+    """
+
+    def __init__(self, discount: float, doublings: int):
+        logs = log_stirling(discount, FULL)
+        with np.errstate(invalid="ignore"):
+            self.small = np.nan_to_num(np.diff(logs, axis=1, append=-np.inf), nan=-np.inf, posinf=-np.inf)
+        sizes = (FULL * 2.0 ** (np.arange(4 * doublings + 2) / 4)).astype(np.int64)
+        self.large = np.zeros((len(sizes), NODES))
+        for row, c in zip(self.large, sizes.tolist(), strict=True):
+            place = np.linspace(-1, 1, NODES) * np.log(c - 1)
+            t = np.unique(np.clip(np.round(c / (1 + np.exp(-place))), 1, c - 1).astype(np.int64))
+            left = c - t
+            ratio = np.log(left) - np.log(c * (c - 1.0) * (1 - discount) / 2)  # nearly all alone
+            at = left > max(13, c**0.5 / 4)
+            ratio[at] = contour_ratio(np.full(int(at.sum()), c), t[at], discount)
+            row[:] = np.interp(place, np.log(t / left), ratio)
+
+    def __call__(self, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+        c, t = np.broadcast_arrays(c, t)
+        out = self.small[np.minimum(c, FULL), np.minimum(t, FULL)]
+        at = c > FULL
+        if at.any():
+            c, t = c[at].astype(float), t[at]
+            i, x = np.divmod(4 * np.log2(c / FULL), 1)
+            y = (np.log(t / (c - t)) / np.log(c - 1) + 1) / 2 * (NODES - 1)
+            j = np.clip(y.astype(np.int64), 0, NODES - 2)
+            y -= j
+            first = i.astype(np.int64) * NODES + j
+            flat = self.large.ravel()
+            out[at] = (1 - x) * ((1 - y) * flat[first] + y * flat[first + 1]) + x * ((1 - y) * flat[first + NODES] + y * flat[first + NODES + 1])
+        return out
+
+
+#: Kept for the worker's next groups.
+table_ratio = functools.lru_cache(8)(TableRatio)
+
+
+def draw_tables(c: np.ndarray, rest: np.ndarray, p: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of words of more than EXACT customers, from the conditional.
+
+    The weights rise to one top, found by halving, and are summed around it: all numbers over 6
+    standard deviations to each side at least, or of a wide one 65 evenly spaced ones a quarter of a
+    deviation apart, with an even place between (which adds a 192nd to the variance).
+    """
+    out = np.zeros(len(c), np.int64)
+    ratio_of = table_ratio(discount, -(-(int(c.max()) // FULL).bit_length() // 4) * 4)
+
+    def weighed(size, others, base, start, stride, n):
+        t = start + stride * np.arange(n)
+        at = np.clip(t, 1, size - 1)
+        r = ratio_of(size, at) + np.log(strength + discount * (others + at)) + base
+        weight = np.zeros(t.shape)
+        np.cumsum(stride * (r[:, :-1] + r[:, 1:]) / 2 - (r[:, 1:] - r[:, :-1]) / 2, axis=1, out=weight[:, 1:])
+        weight[(t < 1) | (t > size)] = -np.inf
+        weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+        k = (weight < rng.random((len(t), 1)) * weight[:, -1:]).sum(1)
+        between = np.floor((rng.random(len(t)) - 0.5) * stride[:, 0] + 0.5).astype(np.int64)
+        return np.clip(t[np.arange(len(t)), k] + between, 1, size[:, 0])
+
+    for lo, hi in ((i, min(i + DRAWN, len(c))) for i in range(0, len(c), DRAWN)):
+        size, others, base = c[lo:hi, None], rest[lo:hi, None], np.log(p[lo:hi, None])
+
+        def rise(t, size=size, others=others, base=base):
+            """log weight of t + 1 less that of t."""
+            return ratio_of(size, t) + np.log(strength + discount * (others + t)) + base
+
+        low, high = np.ones_like(size), size.copy()
+        while (low < high).any():
+            middle = np.minimum((low + high) // 2, size - 1)
+            up = (rise(middle) > 0) & (low < high)
+            low, high = np.where(up, middle + 1, low), np.where(up, high, np.minimum(high, middle))
+        near = np.maximum(low // 8, 1)
+        a, b = np.clip(low - near, 1, size - 1), np.clip(low + near, 1, size - 1)
+        fall = (rise(a) - rise(b)) / np.maximum(b - a, 1)
+        spread = 1 / np.sqrt(np.maximum(fall, 1e-18))
+        stride = np.clip(np.ceil(spread / 4), 1, np.maximum(size // 32, 1)).astype(np.int64)
+        narrow = spread[:, 0] < 2
+        for at, reach, n in ((narrow, 12, 25), (~narrow, 32, 65)):
+            start = np.where(stride == 1, np.maximum(low - reach, 1), low - reach * stride)
+            out[lo:hi][at] = weighed(size[at], others[at], base[at], start[at], stride[at], n)
+    return out
+
+
 def sample_tables(c: np.ndarray, group: np.ndarray, total: np.ndarray, own: np.ndarray, p: np.ndarray, discount: float, strength: float, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """One sweep: new tables for words of c customers, given ``total`` tables per group and the words' ``own``."""
     t = np.minimum(c, 1)
     rest = np.maximum(total[group] - own, 0)
-    for n in np.unique(np.minimum(c[c > 1], EXACT)).tolist():
-        at = np.flatnonzero(np.minimum(c, EXACT) == n)
+    for n in np.unique(c[(c > 1) & (c <= EXACT)]).tolist():
+        at = np.flatnonzero(c == n)
         k = np.arange(n)
         weight = np.cumsum(np.log((strength + discount * (rest[at, None] + k)) * p[at, None]), 1) + stirling[n, 1 : n + 1]
         weight += rng.gumbel(size=weight.shape)
         t[at] = weight.argmax(1) + 1
     more = np.flatnonzero(c > EXACT)
     if len(more):
-        # arrivals from EXACT to c open tables at rate a / (a + customers - d t)
-        a = (strength + discount * (rest[more] + t[more])) * p[more]
-        seated = EXACT - discount * t[more] + a
-        t[more] += np.minimum(rng.poisson(a * np.log((c[more] - EXACT) / seated + 1)), c[more] - EXACT)
+        t[more] = draw_tables(c[more], rest[more], p[more], discount, strength, rng)
     return t
 
 

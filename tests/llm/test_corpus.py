@@ -235,3 +235,24 @@ def test_pipeline(spark, corpus, odd, nothing, tmp_path):
             assert after.columns == df.columns
             docs = after
         assert set(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+@pytest.mark.parametrize("c", [100, 1000, 10_000])
+def test_tables_of_many_customers_follow_the_conditional(c):
+    """Beyond EXACT customers too; the conditional is from the recursion, cut where nothing is left."""
+    d, s, most = 0.75, 2.0, 400
+    logs = np.full(most + 1, -np.inf)
+    logs[1] = 0
+    t = np.arange(most + 1)
+    for n in range(1, c):
+        with np.errstate(divide="ignore"):
+            logs = np.logaddexp(np.append(-np.inf, logs[:-1]), np.log(np.maximum(n - t * d, 0)) + logs)
+    for others, p in ((50, 0.05), (0, 0.5), (500, 0.05)):
+        weight = logs[1:] + np.cumsum(np.log((s + d * (others + np.arange(most))) * p))
+        weight = np.exp(weight - weight.max())
+        mean = (t[1:] * weight).sum() / weight.sum()
+        var = ((t[1:] - mean) ** 2 * weight).sum() / weight.sum()
+        n = 20_000
+        got = pitman_yor.sample_tables(np.full(n, c), np.arange(n), np.full(n, others), np.zeros(n), np.full(n, p), d, s, pitman_yor.log_stirling(d, pitman_yor.EXACT), np.random.default_rng(c))
+        assert abs(got.mean() - mean) < 5 * (var / n) ** 0.5 + 0.002 * mean
+        assert abs(got.var() / var - 1) < 0.06

@@ -115,7 +115,7 @@ def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tokenize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.posexplode(T.token_array(F.split("text", "\n")[0])).alias("place", "token")).select("doc_id", F.col("place").cast("long").alias("place"), "token")
+    return d.select("doc_id", F.posexplode(T.token_array(F.col("text"))).alias("place", "token")).select("doc_id", F.col("place").cast("long").alias("place"), "token")
 
 
 @query

@@ -162,8 +162,7 @@ def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def script_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    odd = F.when(F.col("doc_id") % 4 == 0, "승진 a").when(F.col("doc_id") % 4 == 1, "  ").when(F.col("doc_id") % 4 == 2, "12 !!").otherwise(F.col("text"))
-    return d.select("doc_id", T.script_label(odd).alias("label"))
+    return d.select("doc_id", T.script_label(F.col("text")).alias("label"))
 
 
 @query

@@ -305,7 +305,20 @@ def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, doc_
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id is their component's, columns unchanged: one of each group stays."""
-    found = similar_documents(docs, shingle, percent, doc_id, text)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """One document of each group, columns unchanged: the row of the least id.
+
+    A null id stands before all others. Where ids repeat, each row counts as a document of its
+    own, and of a group's rows of the least id one stays.
+    """
+    number = F.col(doc_id).cast("long")
+    if not docs.groupBy(number).count().filter("count > 1").limit(1).count():
+        found = similar_documents(docs, shingle, percent, doc_id, text)
+        gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, number.eqNullSafe(F.col("_gone")), "left_anti")
+    # written, so that a row has one number throughout
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    found = similar_documents(rows.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), shingle, percent)
+    order = F.struct(F.coalesce(number, F.lit(NO_ID)).alias("id"), F.sha2(F.col(text), 256).alias("text"), "_row")
+    placed = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", order.alias("place")), "_row")
+    kept = placed.groupBy("component_id").agg(F.min("place").alias("least")).select("least._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

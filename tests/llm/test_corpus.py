@@ -256,3 +256,12 @@ def test_tables_of_many_customers_follow_the_conditional(c):
         got = pitman_yor.sample_tables(np.full(n, c), np.arange(n), np.full(n, others), np.zeros(n), np.full(n, p), d, s, pitman_yor.log_stirling(d, pitman_yor.EXACT), np.random.default_rng(c))
         assert abs(got.mean() - mean) < 5 * (var / n) ** 0.5 + 0.002 * mean
         assert abs(got.var() / var - 1) < 0.06
+
+
+def test_one_row_of_each_group_stays_where_ids_repeat(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a, 0), (None, a, 0), (None, b, 1), (3, c, 2), (3, c, 2), (4, c + " tail", 3), (4, d, 4), (5, d + " tail", 5), (5, "", 6), (5, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int").repartition(3)
+    left = jaccard_join.keep_one_of_each(df)
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(None, a, 0), (None, b, 1), (3, c, 2), (4, d, 4), (5, "", 6), (5, None, 7)], key=repr)

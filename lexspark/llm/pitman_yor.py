@@ -5,7 +5,8 @@ words, whose base is uniform over the V training words and one class of unknown
 Customers are the training tokens. The seating of a restaurant matters only through the
 number of tables that serve each word; a table is a customer of the parent.
 
-Gibbs sampling goes word by word within a restaurant: given the tables of the restaurant's
+Gibbs sampling goes through a restaurant in TURNS turns, word by word where it has no more
+words of several customers, else by blocks of them: given the tables of the restaurant's
 other words, the number of tables t for c customers of a word has probability in proportion
 to S(c, t) prod_k (theta + d (T + k)) P(w), with generalised Stirling numbers S and the
 parent's probability P. t is drawn from this for any c: up to FULL customers S comes from its
@@ -47,6 +48,8 @@ DISCOUNT, STRENGTH = 0.75, 2.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 10.0
 
 BURN, SAMPLES = 2, 3
+#: Turns of a sweep, between which the restaurants' totals are brought up to date.
+TURNS = 8
 #: Up to EXACT customers all numbers of tables are weighed at once.
 EXACT = 24
 #: Most customers in the table of Stirling numbers; nodes of a size above; words drawn at once.
@@ -210,15 +213,27 @@ def sample_tables(c: np.ndarray, group: np.ndarray, total: np.ndarray, own: np.n
 
 
 def sample_restaurants(c: np.ndarray, group: np.ndarray, p: np.ndarray, seed: int, discount: float = DISCOUNT, strength: float = STRENGTH, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(tables summed over SAMPLES sweeps, tables of the last sweep) per word; ``group`` numbers the restaurants.
+    """(tables summed over SAMPLES sweeps, tables of the last sweep) per word; ``group`` numbers the restaurants, in order.
 
+    The words of a restaurant take TURNS turns in a sweep and see the tables of the turns before, so
+    one of up to TURNS words is sampled word by word; in a larger one words of one turn don't see each other.
     ``scale`` is how many times the whole restaurant is larger than the part given here.
     """
     rng, stirling = np.random.default_rng(seed), log_stirling(discount, EXACT)
     t, kept = np.minimum(c, 1), np.zeros(len(c), np.int64)
+    groups = int(group.max()) + 1 if len(group) else 0
+    total = np.bincount(group, t, minlength=groups) * scale
+    open_ = np.flatnonzero(c > 1)  # the others have no choice
+    mine = group[open_]
+    first = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])[: len(mine)])
+    turn = (np.arange(len(mine)) - np.repeat(first, np.diff(np.append(first, len(mine))))) % TURNS
+    turns = [open_[turn == k] for k in range(TURNS)]
     for sweep in range(BURN + SAMPLES):
-        total = np.bincount(group, t, minlength=int(group.max()) + 1 if len(group) else 0) * scale
-        t = sample_tables(c, group, total, t, p, discount, strength, stirling, rng)
+        for at in turns:
+            if len(at):
+                new = sample_tables(c[at], group[at], total, t[at], p[at], discount, strength, stirling, rng)
+                total += np.bincount(group[at], new - t[at], minlength=groups) * scale
+                t[at] = new
         if sweep >= BURN:
             kept += t
     return kept, t

@@ -265,3 +265,23 @@ def test_one_row_of_each_group_stays_where_ids_repeat(spark):
     left = jaccard_join.keep_one_of_each(df)
     assert left.columns == df.columns
     assert sorted(map(tuple, left.collect()), key=repr) == sorted([(None, a, 0), (None, b, 1), (3, c, 2), (4, d, 4), (5, "", 6), (5, None, 7)], key=repr)
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_words_of_a_restaurant_see_each_others_tables(n):
+    """All tables of small restaurants have the mean and variance of their joint distribution."""
+    d, s, c = 0.75, 2.0, 20
+    one = np.exp(pitman_yor.log_stirling(d, c)[c] - np.arange(c + 1) * np.log(n))
+    weight = np.ones(1)
+    for _ in range(n):
+        weight = np.convolve(weight, one / one.max())
+    weight *= np.exp(np.append(0, np.cumsum(np.log(s + d * np.arange(n * c)))) - 100)
+    total = np.arange(n * c + 1)
+    mean = (total * weight).sum() / weight.sum()
+    var = ((total - mean) ** 2 * weight).sum() / weight.sum()
+    many = 20_000
+    group = np.repeat(np.arange(many), n)
+    _, last = pitman_yor.sample_restaurants(np.full(n * many, c), group, np.full(n * many, 1 / n), seed=1)
+    got = np.bincount(group, last)
+    assert abs(got.mean() - mean) < 0.25
+    assert abs(got.var() / var - 1) < 0.06

@@ -31,8 +31,7 @@ from .tokens import encoder, slices, tokenizer_path
 MAGIC = b"LXRP"
 HEADER = struct.Struct("<4sHHIIIII")
 
-#: Rounds of replacement, most rules of a round, and least number of times a pair occurs to get a rule.
-ROUNDS = 5
+#: Most rules of a round, about, and least number of times a pair occurs to get a rule.
 RULES_PER_ROUND = 3000
 LEAST_COUNT = 16
 
@@ -63,28 +62,53 @@ def _frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, mos
     return at, code[at]
 
 
-def repair(symbols: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _most_frequent_places(at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those places whose pair is often enough and no rarer than the pairs that overlap it; ties go by code."""
+    # a run of one pair overlaps itself: only every other of its places counts
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] != at[:-1] + 1) | (code[1:] != code[:-1])
+    run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+    apart = (np.arange(len(at)) - run) % 2 == 0
+    kinds, which = np.unique(code, return_inverse=True)
+    counts = np.bincount(which, apart, len(kinds)).astype(np.int64)
+    rank = np.empty(len(kinds), np.int64)
+    rank[np.lexsort((kinds, counts))] = np.arange(len(kinds))
+    often = counts[which] >= LEAST_COUNT
+    at, code, own = at[often], code[often], rank[which[often]]
+    top = np.ones(len(at), bool)
+    near = at[1:] == at[:-1] + 1
+    top[1:] &= ~near | (own[1:] >= own[:-1])
+    top[:-1] &= ~near | (own[:-1] >= own[1:])
+    return at[top], code[top]
+
+
+def repair(symbols: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Grammar-compress ids: (symbols, ends, pairs[rules, 2], rules of each round).
 
     ``ends`` marks the last id of each document. In each round frequent pairs get a
-    nonterminal and are replaced from the left, overlaps excluded.
+    nonterminal and are replaced from the left, overlaps excluded. Where that leaves none
+    often enough, overlaps go to the more frequent pair, so it ends only when no pair occurs
+    LEAST_COUNT times apart from overlaps with itself.
     """
     symbols, ends = symbols.astype(np.uint32), ends.copy()
     pairs, sizes, after = [], [], base
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         narrow = after <= 1 << 16
-        at, code = _frequent_pairs(symbols[:-1], symbols[1:], ~ends[:-1], RULES_PER_ROUND, narrow)
-        # of places next to each other, every other one from the left of each run
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = at[1:] != at[:-1] + 1
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        chosen = (np.arange(len(at)) - run) % 2 == 0
-        at, code = at[chosen], code[chosen]
-        kinds, which, counts = np.unique(code, return_inverse=True, return_counts=True)
-        keep = counts >= LEAST_COUNT
-        if not keep.any():
+        for most in (RULES_PER_ROUND, 1 << HASH_BITS):
+            at, code = _frequent_pairs(symbols[:-1], symbols[1:], ~ends[:-1], most, narrow)
+            if most > RULES_PER_ROUND:
+                at, code = _most_frequent_places(at, code)
+            # of places next to each other, every other one from the left of each run
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = at[1:] != at[:-1] + 1
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            chosen = (np.arange(len(at)) - run) % 2 == 0
+            at, code = at[chosen], code[chosen]
+            kinds, which, counts = np.unique(code, return_inverse=True, return_counts=True)
+            keep = counts >= LEAST_COUNT
+            if keep.any():
+                break
+        else:
             break
         number = np.cumsum(keep) - 1
         at, which = at[keep[which]], which[keep[which]]

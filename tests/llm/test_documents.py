@@ -1,5 +1,6 @@
 """Operators that look at one document at a time: sharding, quality, personal data, token counts, token files, packing."""
 
+import collections
 import random
 import re
 import zlib
@@ -254,3 +255,23 @@ def test_packing(odd, odd_texts, corpus, corpus_texts, tokenizer, nothing, capac
             assert own.length.sum() <= capacity
         assert rows.sequence_id.nunique() <= 1.02 * -(-rows.length.sum() // capacity) + 1
     assert packing.pack_documents(nothing).count() == 0
+
+
+def test_pairs_are_replaced_until_none_is_frequent():
+    """Long passages become single symbols, and no pair is left that occurs often enough."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 50_000, 500)
+    arrays = [np.concatenate([rng.integers(0, 50_000, 20), passage, rng.integers(0, 50_000, 20)]).astype(np.uint32) for _ in range(60)]
+    arrays += [rng.integers(0, 4, 3000).astype(np.uint32), np.zeros(1000, np.uint32)]
+    shard = token_output.Payload(token_output.write_payload(list(range(len(arrays))), arrays, 50_257))
+    assert all(shard.document(k).tolist() == a.tolist() for k, a in enumerate(arrays))
+    assert shard.symbol_counts[:60].max() <= 44 and shard.spans.max() >= 500
+    left = collections.Counter()
+    for k in range(len(arrays)):
+        own = shard.symbols[shard.starts[k] : shard.starts[k + 1]].tolist()
+        last = {}
+        for i, pair in enumerate(zip(own, own[1:], strict=False)):
+            if last.get(pair) != i - 1:
+                left[pair] += 1
+                last[pair] = i
+    assert max(left.values()) < token_output.LEAST_COUNT

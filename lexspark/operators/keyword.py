@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_of, find
@@ -28,36 +28,49 @@ def idf_table(articles: DataFrame, tokens: list[str]) -> DataFrame:
     return one.select("n", F.inline(rows)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def _fold(body: Column, tokens: list[str], weights: dict[str, float], fields: list[tuple[Column, float]], fuzzy: bool) -> tuple[Column, Column]:
-    score, first = F.lit(0.0), F.lit(-1)
-    for token in tokens:
-        w = F.lit(float(weights.get(token, 1.0)))
+def _scored(rows: DataFrame, tokens: list[str], weights: dict[str, float], fields: list[tuple[str, float]], fuzzy: bool) -> DataFrame:
+    """(item_index, score, position): the weighted hits of every row, and where the first one is.
+
+    Places come first, as columns of their own that later ones refer to, so a token is looked for
+    once in a body and counted only where it is, and the plan grows in proportion to the tokens.
+    The position folds the tokens in their order: an exact hit moves it forward in the text, a
+    near one counts only if nothing was found before. That is the least of the first token's
+    place that has any and of all exact places. A null body is empty.
+    """
+    body = F.coalesce(F.col("body"), F.lit(""))
+    near = {i: [t[k : k + 2] for k in range(len(t) - 1)] for i, t in enumerate(tokens) if fuzzy and len(t) >= FUZZY_LENGTH}
+    places = {f"_at{i}": find(body, t) for i, t in enumerate(tokens)}
+    places |= {f"_at{i}_{k}": F.when(F.contains(body, F.lit(tokens[i])), -1).otherwise(find(body, p)) for i, pairs in near.items() for k, p in enumerate(pairs)}
+    found = rows.select("item_index", body.alias("_body"), *[f for f, _ in fields], *[c.alias(n) for n, c in places.items()])
+    hits, first, exact = {}, [], []
+    for i, token in enumerate(tokens):
+        at, w = F.col(f"_at{i}"), F.lit(float(weights.get(token, 1.0)))
+        exact.append(F.when(at >= 0, at))
+        first.append(exact[-1])
+        hits[f"_hit{i}"] = F.when(at >= 0, count_of(F.col("_body"), token) * w).otherwise(0.0)
+        if i in near:
+            pairs = near[i]
+            seen = [F.col(f"_at{i}_{k}") >= 0 for k in range(len(pairs))]
+            enough = sum((x.cast("int") for x in seen), F.lit(0)) >= FUZZY_SHARE * len(pairs)
+            counts = sum((F.when(x, count_of(F.col("_body"), p)).otherwise(0) for x, p in zip(seen, pairs, strict=True)), F.lit(0))
+            hits[f"_hit{i}"] = F.when(enough, counts / F.lit(len(pairs)) * FUZZY_WEIGHT * w).otherwise(hits[f"_hit{i}"])
+            first += [F.when(enough & x, F.col(f"_at{i}_{k}")) for k, x in enumerate(seen)]
+    score = F.lit(0.0)
+    for i, token in enumerate(tokens):
         for field, weight in fields:
-            score = score + F.when(F.contains(field, F.lit(token)), weight * w).otherwise(0.0)
-        n, at = count_of(body, token), find(body, token)
-        hit = n.cast("double") * w
-        moved = F.when((n > 0) & ((first < 0) | (at < first)), at)
-        if fuzzy and len(token) >= FUZZY_LENGTH:
-            pairs = [token[i : i + 2] for i in range(len(token) - 1)]
-            present = sum((F.contains(body, F.lit(p)).cast("int") for p in pairs), F.lit(0))
-            near = (n == 0) & (present >= FUZZY_SHARE * len(pairs))
-            hits = sum((count_of(body, p) for p in pairs), F.lit(0))
-            hit = F.when(near, hits / F.lit(len(pairs)) * FUZZY_WEIGHT * w).otherwise(hit)
-            place = F.coalesce(*[F.when(F.contains(body, F.lit(p)), find(body, p)) for p in pairs])
-            moved = F.coalesce(moved, F.when(near & (first < 0), place))
-        score, first = score + hit, F.coalesce(moved, first)
-    return score, first
+            score = score + F.when(F.contains(field, F.lit(token)), weight * float(weights.get(token, 1.0))).otherwise(0.0)
+        score = score + hits[f"_hit{i}"]
+    position = F.coalesce(F.least(F.coalesce(*first), *exact), F.lit(-1)) if tokens else F.lit(-1)
+    return found.select("item_index", score.alias("score"), position.alias("position"))
 
 
 def score_articles(articles: DataFrame, tokens: list[str], weights: dict[str, float], fuzzy: bool = False) -> DataFrame:
     """(item_index, score, position) of every article; tokens count in their order."""
-    score, first = _fold(F.col("body"), tokens, weights, [(F.col("article_title"), TITLE_WEIGHT), (F.col("chapter"), CHAPTER_WEIGHT)], fuzzy)
-    return articles.select("item_index", score.alias("score"), first.alias("position"))
+    return _scored(articles, tokens, weights, [("article_title", TITLE_WEIGHT), ("chapter", CHAPTER_WEIGHT)], fuzzy)
 
 
 def score_attachments(attachments: DataFrame, tokens: list[str], weights: dict[str, float]) -> DataFrame:
-    score, first = _fold(F.col("body"), tokens, weights, [(F.col("title"), TITLE_WEIGHT)], False)
-    return attachments.select("item_index", score.alias("score"), first.alias("position"))
+    return _scored(attachments, tokens, weights, [("title", TITLE_WEIGHT)], False)
 
 
 def weights_of(articles: DataFrame, tokens: list[str]) -> dict[str, float]:
@@ -77,4 +90,5 @@ def keyword_ranking(articles: DataFrame, attachments: DataFrame | None, tokens:
     found = score_articles(articles, tokens, weights, fuzzy).select(F.lit("article").alias("kind"), "*")
     if attachments is not None:
         found = found.unionByName(score_attachments(attachments, tokens, weights).select(F.lit("attachment").alias("kind"), "*"))
-    return found.filter(F.col("score") > 0).orderBy(F.desc("score"), "kind", "item_index").limit(limit)
+    # the filter stays above the limit: below it, it would compute every score again
+    return found.orderBy(F.desc("score"), "kind", "item_index").limit(limit).filter(F.col("score") > 0)

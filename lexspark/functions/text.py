@@ -61,10 +61,9 @@ def token_array(text: Column) -> Column:
     """:func:`tokenize` for a column of queries."""
     edge = re.escape(TOKEN_EDGE)
     parts = F.transform(F.split(text, f"(?U){TOKEN_BREAK}"), lambda t: F.regexp_replace(t, f"^[{edge}]+|[{edge}]+$", ""))
-    stems = F.transform(
-        parts,
-        lambda t: F.when(F.length(F.regexp_replace(t, f"(?:{'|'.join(PARTICLES)})$", "")) >= 2, F.regexp_replace(t, f"(?:{'|'.join(PARTICLES)})$", "")).otherwise(t),
-    )
+    # the leftmost particle goes, and only if two letters stay before it: one pass over a part
+    ending = f"(?:{'|'.join(PARTICLES)})$"
+    stems = F.transform(parts, lambda t: F.regexp_replace(t, f"(?s)^(?!.?{ending})(.{{2,}}?){ending}", "$1"))
     return F.array_distinct(F.filter(stems, lambda t: (F.length(t) >= 2) & ~t.isin(*sorted(STOP_WORDS))))
 
 
@@ -155,23 +154,28 @@ def source_match(query: str | None, name: Column) -> Column:
     return out | F.contains(name_key(name), F.lit(key)) if key else out
 
 
+# Signs that titles are compared without, the least share of common letter pairs, the form of a date.
+TITLE_SIGNS = r"""(?U)[\s·․.,'"()\[\]「」]"""
+LIKE_ENOUGH = 0.4
+DATE = r"(?U)(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})"
+
+
 def title_key(title: Column) -> Column:
-    return F.regexp_replace(title, r"""(?U)[\s·․.,'"()\[\]「」]""", "")
+    return F.regexp_replace(title, TITLE_SIGNS, "")
 
 
 def title_matches(cited: Column, actual: Column) -> Column:
     """Whether a cited title is the actual one: equal or part of it, or similar enough in letter pairs."""
     c, a = title_key(cited), title_key(actual)
-    similar = jaccard(F.array_distinct(bigrams(c)), F.array_distinct(bigrams(a))) >= 0.4
+    similar = jaccard(F.array_distinct(bigrams(c)), F.array_distinct(bigrams(a))) >= LIKE_ENOUGH
     short = (F.length(c) < 2) | (F.length(a) < 2)
     return (F.length(c) == 0) | (F.length(a) == 0) | F.contains(a, c) | short | F.coalesce(similar, F.lit(True))
 
 
 def revision_date(revision: Column) -> Column:
     """(y, m, d) of the first date, not checked against a calendar; null if there is none."""
-    pattern = r"(?U)(\d{4})\.\s*(\d{1,2})\.\s*(\d{1,2})"
-    part = lambda i: F.regexp_extract(revision, pattern, i).try_cast("int")
-    return F.when(F.regexp_like(revision, F.lit(pattern)), F.struct(part(1).alias("y"), part(2).alias("m"), part(3).alias("d")))
+    part = lambda i: F.regexp_extract(revision, DATE, i).try_cast("int")
+    return F.when(F.regexp_like(revision, F.lit(DATE)), F.struct(part(1).alias("y"), part(2).alias("m"), part(3).alias("d")))
 
 
 def script_label(text: Column) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import article_name, excerpt, rfind, title_matches
+from ..functions.text import article_name, excerpt, title_matches
 from .lookup import article_ranges, range_text
+from .names import contained
 
 # The form of a citation, brackets that define rather than name, and the limits of a request.
 CITATION = r"(?U)제(\d+)조(?:의(\d+))?(?:\s*제\d+항)?(?:\s*제\d+호)?(?:\s*\(([^)]{2,40})\))?"
@@ -36,14 +37,10 @@ def extract_citations(texts: DataFrame, key: str = "text_id", text: str = "text"
 
 
 def nearest_source(citations: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``source``: of the known names in the prefix the one that starts last, the longer on a tie; null if there is none.
-
-    ``sources`` has one short row per document, so it is broadcast as long as Spark's own
-    size limit allows; a name is compared with an 80-character prefix only.
-    """
-    pairs = citations.join(sources, F.contains("prefix", "source"))
-    best = pairs.groupBy(*keys).agg(F.max_by("source", F.struct(rfind(F.col("prefix"), F.col("source")), F.length("source"), "source")).alias("source"))
-    return citations.join(best, keys, "left")
+    """Adds ``source``: of the known names in the prefix the one that starts last, the longer on a tie; null if there is none."""
+    found = contained(citations, "prefix", sources, "source")
+    best = found.groupBy("prefix").agg(F.max_by("source", F.struct("at", F.length("source"), "source")).alias("source"))
+    return citations.join(best, "prefix", "left").select(*citations.columns, "source")
 
 
 def verify_citations(texts: DataFrame, articles: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
@@ -65,7 +62,7 @@ def verify_citations(texts: DataFrame, articles: DataFrame, key: str = "text_id"
         F.min_by(F.struct("article_title", "_body"), F.struct("is_supplementary", "item_index")).alias("_main"),
         F.min_by(F.struct("article_title", "_body"), F.struct(~F.col("is_supplementary"), "item_index")).alias("_suppl"),
     )
-    joined = named.join(firsts, ["source", "article_no", "article_sub"], "left").join(article_ranges(articles), "source", "left")
+    joined = named.join(firsts, ["source", "article_no", "article_sub"], "left")
     hit = F.when(F.col("_supplement"), F.col("_suppl")).otherwise(F.col("_main"))
     checks = (F.col("cited_title") != "") & ~F.regexp_like("cited_title", F.lit(DEFINITION))
     name = article_name(F.col("article_no"), F.col("article_sub"))
@@ -75,6 +72,9 @@ def verify_citations(texts: DataFrame, articles: DataFrame, key: str = "text_id"
         F.when(F.col("source").isNull(), "unknown_source").when(F.col("_hit").isNull(), "not_found").when(F.col("_checks") & ~F.col("_same"), "content_mismatch").otherwise("ok")
     )
     joined = joined.withColumn("status", status)
+    # only a source whose article is missing has its range told
+    missing = joined.filter(F.col("status") == "not_found").select("source").distinct()
+    joined = joined.join(article_ranges(articles, missing), "source", "left")
     when = lambda s, c: F.when(F.col("status") == s, c)
     rows = joined.select(
         key, "cite_no", F.when(F.col("source").isNull(), F.col("raw")).otherwise(citation).alias("citation"), "status",
@@ -91,8 +91,6 @@ def verify_citations(texts: DataFrame, articles: DataFrame, key: str = "text_id"
     return rows.unionByName(notes, allowMissingColumns=True)
 
 
-
-
 def lookup_by_key(citations: DataFrame, articles: DataFrame) -> DataFrame:
     """(source, article_no, article_sub) requests with their first article, or nulls: a left equi join."""
     order = Window.partitionBy("source", "article_no", "article_sub").orderBy("is_supplementary", "item_index")

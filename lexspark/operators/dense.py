@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import errno
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -10,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Layout of the stored vectors, and what the encoder without a model is called.
+VERSION, HASHED = 1, "hashed-trigrams-64"
+
+
 class SemanticUnavailable(RuntimeError):
     """Dense search can't be used safely."""
 
@@ -74,29 +81,49 @@ def embed_chunks(chunks: DataFrame, encode: Callable[[list[str]], np.ndarray], p
     return chunks.mapInPandas(run, f"{fields}, embedding array<float>")
 
 
-def check_index(chunks: DataFrame, vectors: DataFrame, meta: dict, fingerprint: str, dimension: int, version: int = 1) -> None:
-    """Raise SemanticUnavailable unless the vectors are those of this keyword index."""
+def fingerprint(*tables: DataFrame) -> str:
+    """A name for the contents of tables, whatever the order of their rows: one aggregate each, one row to the driver."""
+    parts = []
+    for t in tables:
+        h = F.xxhash64(*sorted(t.columns))
+        parts.append(tuple(t.agg(F.count("*"), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first()))
+    return hashlib.sha256(repr(parts).encode()).hexdigest()
+
+
+def index_meta(vectors: DataFrame, fingerprint: str, encoder: str, version: int = VERSION) -> dict:
+    """What :func:`check_index` wants to know of stored vectors: one aggregate."""
+    count, dimension = vectors.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    return {"schema_version": version, "index_sha256": fingerprint, "encoder": encoder, "vector_count": count, "dimension": dimension or 0}
+
+
+def check_index(chunks: DataFrame, vectors: DataFrame, meta: dict, fingerprint: str, dimension: int, version: int = VERSION, encoder: str | None = None) -> None:
+    """Raise SemanticUnavailable unless the vectors are those of this keyword index, by this encoder if one is named."""
     if meta.get("schema_version") != version or meta.get("index_sha256") != fingerprint:
         raise SemanticUnavailable("the vectors were built for another index")
+    if encoder is not None and meta.get("encoder") != encoder:
+        raise SemanticUnavailable("the vectors were made by another encoder")
     kinds = ~F.col("kind").isin("article", "attachment") | (F.col("item_index") < 0)
     row = vectors.agg(F.count("*"), F.sum(kinds.cast("int")), F.sum((F.size("embedding") != dimension).cast("int"))).first()
     if row[0] != meta.get("vector_count") or row[0] != chunks.count() or row[1] or row[2]:
         raise SemanticUnavailable("vectors and chunks don't agree")
 
 
-def runtime_paused(marker: str | None, now: float, max_age: float = 7200.0) -> bool:
-    """Whether a marker file pauses dense search: for ``max_age`` seconds, one at least; an unreadable marker pauses."""
-    import os
+#: How long a marker pauses dense search, in seconds, and how long at least.
+PAUSE_SECONDS, LEAST_PAUSE = 7200.0, 1.0
+
 
-    if not marker:
-        return False
+def marker_age(marker: str, now: float) -> float | None:
+    """Seconds since a marker file was set; None without one, 0 if it can't be examined."""
     try:
-        modified = os.stat(marker).st_mtime
-    except FileNotFoundError:
-        return False
-    except OSError:
-        return True
-    return now - modified <= max(1.0, max_age)
+        return now - Path(marker).stat().st_mtime
+    except OSError as e:
+        return None if e.errno == errno.ENOENT else 0.0
+
+
+def runtime_paused(marker: str | None, now: float, max_age: float = PAUSE_SECONDS) -> bool:
+    """Whether a marker no older than ``max_age`` pauses dense search."""
+    age = marker_age(marker, now) if marker else None
+    return age is not None and age <= max(LEAST_PAUSE, max_age)
 
 
 def row_numbers(df: DataFrame, *order: Column) -> DataFrame:

@@ -13,9 +13,10 @@ def rrf_fusion(keyword: DataFrame, semantic: DataFrame, k: int = RRF_K, weight:
     """(kind, item_index, keyword_rank, semantic_rank, fused, place) of two tables (kind, item_index, rank).
 
     Ties go to the keyword channel, then the better rank, then the key. ``place`` counts from 1.
+    Other columns of the tables are carried along, so no ranking has to be computed again for them.
     """
-    a = keyword.select("kind", "item_index", F.col("rank").alias("keyword_rank"))
-    b = semantic.select("kind", "item_index", F.col("rank").alias("semantic_rank"))
+    a = keyword.withColumnRenamed("rank", "keyword_rank")
+    b = semantic.withColumnRenamed("rank", "semantic_rank")
     both = a.join(b, ["kind", "item_index"], "full")
     part = lambda rank, w: F.coalesce(F.lit(w) / (F.col(rank) + k), F.lit(0.0))
     both = both.withColumn("fused", part("keyword_rank", 1.0) + part("semantic_rank", weight))

@@ -1,27 +1,51 @@
 """The citation graph: what an article's text cites, and who cites it.
 
-All edges are derived in one pass over the bodies, so a single article's references are
-two filters on an edge table.
+All edges are derived in one pass over the bodies; one article's references read its body only.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import article_name, context, excerpt
 from .lookup import select_source
+from .names import contained
 
-# A plain article mention, a quoted name, the endings of unquoted names.
+# A plain article mention, a quoted name, the endings of unquoted names and how many words they have.
 MENTION = r"제(\d+)조(?:의(\d+))?"
-QUOTED_NAME = re.compile(r"「([^」\n]{2,40}?)」\s*$")
+QUOTED_NAME = re.compile(r"「([^」\n]{2,40}?)」$")
 ENDINGS = "규정|법률|법|지침|세칙|정관|매뉴얼"
+NAME_WORDS = 7
 
+#: Letters of the longest quoted name with its brackets.
+QUOTED_LENGTH = 42
 
-def mentions(body: str) -> list[tuple[int, int, int, int, str | None]]:
-    """(start, end, number, branch, cited name or None) of every article mention, in order.
+
+def last_words(text: str, most: int) -> list[str]:
+    """Up to ``most`` Hangul words at a text's end, one blank between two, the last one last; each with the blank after it."""
+    out: list[str] = []
+    end = len(text)
+    while end and len(out) < most:
+        start = end - bool(out)  # the blank before the word found last
+        if out and not text[start].isspace():
+            break
+        first = start
+        while first and "가" <= text[first - 1] <= "힣":
+            first -= 1
+        if first == start:
+            break
+        out.append(text[first:end])
+        end = first
+    return out[::-1]
+
+
+def mentions(body: str) -> list[tuple[int, int, int, int, int, str | None]]:
+    """(start, end, place of the article, number, branch, cited name or None) of every article mention, in order.
 
     The name is read backwards from each mention, from no further than the one before: a
     quoted name, or up to seven Hangul words the last of which has a known ending, as many as
@@ -29,44 +53,48 @@ def mentions(body: str) -> list[tuple[int, int, int, int, str | None]]:
     """
     out, done = [], 0
     for m in re.finditer(MENTION, body):
-        ahead = body[done : m.start()]
-        quoted, name, start = QUOTED_NAME.search(ahead[-48:]), None, m.start()
+        ahead = body[done : m.start()].rstrip()
+        name, start = None, m.start()
+        quoted = QUOTED_NAME.search(ahead[-QUOTED_LENGTH:]) if ahead.endswith("」") else None
         if quoted:
-            name, start = quoted[1], m.start() - (len(ahead[-48:]) - quoted.start())
-        else:
-            tail = ahead.rstrip()
-            ending = re.search(rf"(?:{ENDINGS})$", tail)
-            run = re.search(r"(?:[가-힣]+\s)*[가-힣]+$", tail[-400:]) if ending else None
-            if run and not re.fullmatch(ENDINGS, run[0]):  # a name is more than its ending
-                words = re.split(r"(?<=\s)", run[0])
-                keep = words[-(7 if re.fullmatch(ENDINGS, words[-1]) else 6) :]
-                name = "".join(keep)
-                start = done + len(tail) - len(name)
-        if name is not None:
-            name = re.sub(r"\s+", "", name)
-        out.append((start, m.end(), int(m[1]), int(m[2] or 0), name))
+            name, start = quoted[1], done + len(ahead) - len(quoted[0])
+        elif re.search(rf"(?:{ENDINGS})$", ahead):
+            words = last_words(ahead, NAME_WORDS)
+            if words and not re.fullmatch(ENDINGS, words[-1]):  # an ending of its own is a word more
+                words = words[-(NAME_WORDS - 1) :]
+            found = "".join(words)
+            if words and not re.fullmatch(ENDINGS, found):  # a name is more than its ending
+                name, start = found, done + len(ahead) - len(found)
+        out.append((start, m.end(), m.start(), int(m[1]), int(m[2] or 0), name and re.sub(r"\s+", "", name)))
         done = m.end()
     return out
 
 
-@F.udtf(returnType="place int, start int, end int, mention int, no int, sub int, name string")
-class Mentions:
-    """Table function over one body; rows in order."""
-
-    def eval(self, body: str):
-        for place, (start, end, no, sub, name) in enumerate(mentions(body or "")):
-            text = re.search(MENTION, (body or "")[start:end])
-            yield place, start, end, start + (text.start() if text else 0), no, sub, name
+FOUND = "item_index long, source string, place int, start int, end int, mention int, no int, sub int, name string, before string"
 
 
 def mention_table(articles: DataFrame) -> DataFrame:
-    """(item_index, source, place, start, end, mention, no, sub, name, before) of every mention in every body."""
-    spark = articles.sparkSession
-    spark.udtf.register("article_mentions", Mentions)
-    articles.select("item_index", "source", "body").createOrReplaceTempView("_mention_input")
-    found = spark.sql("SELECT a.item_index, a.source, a.body, m.* FROM _mention_input a, LATERAL article_mentions(a.body) m")
-    before = F.when(F.col("mention") > 0, F.substring("body", F.col("mention"), F.lit(1))).otherwise("")
-    return found.withColumn("before", before).drop("body")
+    """(item_index, source, place, start, end, mention, no, sub, name, before) of every mention in every body.
+
+    ``before`` is the character ahead of the mention, empty at the start.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (index, source, place, *found[:5], found[5], body[found[2] - 1 : found[2]])
+                for index, source, body in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for place, found in enumerate(mentions(body or ""))
+            ]
+            columns = list(zip(*rows, strict=True)) or [()] * len(TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES, strict=True)], NAMES)
+
+    return articles.select(F.col("item_index").cast("long"), "source", "body").mapInArrow(find, FOUND)
+
+
+KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+NAMES = [c.split()[0] for c in FOUND.split(", ")]
+TYPES = [KINDS[c.split()[1]] for c in FOUND.split(", ")]
 
 
 def first_articles(articles: DataFrame) -> DataFrame:
@@ -75,19 +103,23 @@ def first_articles(articles: DataFrame) -> DataFrame:
     return articles.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
-def outgoing_references(articles: DataFrame, strict: bool = False) -> DataFrame:
+def outgoing_references(articles: DataFrame, strict: bool = False, citing: DataFrame | None = None) -> DataFrame:
     """(item_index, place, scope, citation, article_title, snippet): what every article's body cites, each target once.
 
+    With ``citing``, some rows of the table, only their bodies are read for mentions.
+
     scope is cross_regulation (a name that matches a known source, which it holds or is held
     by, the longest first), external, or same_regulation (a bare mention). A name cited again
     is dropped, and its bare mention then counts as one of the own document, as has been the
     rule; ``strict`` leaves it out.
     """
-    found = mention_table(articles)
+    citing = articles if citing is None else citing
+    found = mention_table(citing)
     once = Window.partitionBy("item_index", "name", "no", "sub").orderBy("place")
     named = found.filter(F.col("name").isNotNull()).withColumn("_nth", F.row_number().over(once))
     sources = articles.select(F.col("source").alias("known")).distinct()
-    match = named.filter("_nth = 1").join(sources, F.contains("known", "name") | F.contains("name", "known"), "left")
+    holds = contained(sources, "known", named, "name").unionByName(contained(named, "name", sources, "known")).select("known", "name").distinct()
+    match = named.filter("_nth = 1").join(holds, "name", "left")
     longest = F.max_by("known", F.struct(F.length("known"), "known"))
     match = match.groupBy("item_index", "place", "name", "no", "sub").agg(longest.alias("known"))
     targets = first_articles(articles).select(
@@ -107,7 +139,7 @@ def outgoing_references(articles: DataFrame, strict: bool = False) -> DataFrame:
     if not strict:
         bare = bare.unionByName(named.filter("_nth > 1").drop("_nth"))
     bare = bare.filter(~F.regexp_like("before", F.lit(r"(?U)[가-힣A-Za-z\w]")))
-    own = articles.select("item_index", F.col("article_no").alias("o_no"), F.col("article_sub").alias("o_sub"))
+    own = citing.select("item_index", F.col("article_no").alias("o_no"), F.col("article_sub").alias("o_sub"))
     bare = bare.join(own, "item_index").filter((F.col("no") != F.col("o_no")) | (F.col("sub") != F.col("o_sub")))
     bare = bare.groupBy("item_index", "source", "no", "sub").agg(F.min("place").alias("place"))
     same = bare.join(targets, (F.col("source") == F.col("t_source")) & (F.col("no") == F.col("t_no")) & (F.col("sub") == F.col("t_sub"))).select(
@@ -145,22 +177,15 @@ def reference_target(articles: DataFrame, source: str, no: int, sub: int) -> Dat
     return found.orderBy("is_supplementary", "item_index").limit(1)
 
 
+# How a flowchart is written.
+CHART, NODE, EDGE = "flowchart LR", '  {}["{}"]', "  {} --> {}"
+TARGET_STYLE = "  style {} fill:#dbeafe,stroke:#2563eb"
+LABEL_SIGNS = str.maketrans({'"': "'", "[": "(", "]": ")"})
+
+
 def mermaid(target: str, incoming: list[str], outgoing: list[str]) -> str:
-    """A flowchart of at most a page of references; nodes are numbered in order of first use."""
-    numbers: dict[str, str] = {}
-    lines = ["flowchart LR"]
-
-    def node(label: str) -> str:
-        if label not in numbers:
-            numbers[label] = f"n{len(numbers)}"
-            text = label.replace('"', "'").replace("[", "(").replace("]", ")")
-            lines.append(f'  {numbers[label]}["{text}"]')
-        return numbers[label]
-
-    centre = node(target)
-    lines.append(f"  style {centre} fill:#dbeafe,stroke:#2563eb")
-    for label in incoming:
-        lines.append(f"  {node(label)} --> {centre}")
-    for label in outgoing:
-        lines.append(f"  {centre} --> {node(label)}")
-    return "\n".join(lines)
+    """A flowchart of at most a page of references: the nodes, named by first use, then the edges."""
+    edges = [(label, target) for label in incoming] + [(target, label) for label in outgoing]
+    names = {label: f"n{i}" for i, label in enumerate(dict.fromkeys([target, *incoming, *outgoing]))}
+    nodes = [NODE.format(name, label.translate(LABEL_SIGNS)) for label, name in names.items()]
+    return "\n".join([CHART, *nodes, TARGET_STYLE.format(names[target]), *(EDGE.format(names[a], names[b]) for a, b in edges)])

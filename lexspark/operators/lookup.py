@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import article_name, excerpt, nfc, number_key, parse_article_token, source_match
+from .names import contained
 
 
 def select_source(rows: DataFrame, query: str | None) -> DataFrame:
@@ -74,15 +75,16 @@ def get_attachment(attachments: DataFrame, source: str, label: str) -> DataFrame
     return with_citation(rows.filter(number_key(F.col("number")) == number), "label")
 
 
-def article_ranges(articles: DataFrame) -> DataFrame:
-    """(source, first, last, n) of each source over the rows of every source whose name holds it.
+def article_ranges(articles: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """(source, first, last, n) of each source, or of the sources in ``names``, over the rows of every source whose name holds it.
 
     That a parent's range takes in its children's articles is how ranges have been
-    reported; ``articles`` is reduced to distinct numbers before names are compared.
+    reported; names are compared with names, and meet the distinct numbers by equality.
     """
     numbers = articles.select("source", F.struct("article_no", "article_sub").alias("x")).distinct()
-    names = articles.select(F.col("source").alias("name")).distinct()
-    held = numbers.join(names, F.contains("source", "name")).select("name", "x").distinct()
+    asked = (articles if names is None else names).select(F.col("source").alias("name")).distinct()
+    holders = contained(articles.select("source").distinct(), "source", asked, "name")
+    held = numbers.join(holders, "source").select("name", "x").distinct()
     out = held.groupBy("name").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
     label = lambda c: article_name(F.col(f"{c}.article_no"), F.col(f"{c}.article_sub"))
     return out.select(F.col("name").alias("source"), label("lo").alias("first"), label("hi").alias("last"), "n")

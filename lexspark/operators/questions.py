@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import count_of, excerpt, strip, tokenize
+from ..functions.text import count_of, excerpt, name_key, strip, tokenize
 
 # Fixed value: how an explanation names its ground.
 GROUND = r"(?U)근거:\s*([^제\n]+?)\s*(제\d+조(?:의\d+)?)"
+ARTICLE_NUMBER = r"제(\d+)조(?:의(\d+))?"
 
 
 def score_questions(questions: DataFrame, tokens: list[str]) -> DataFrame:
@@ -18,7 +19,10 @@ def score_questions(questions: DataFrame, tokens: list[str]) -> DataFrame:
 
 
 def find_questions(questions: DataFrame, articles: DataFrame, query: str | None = None, question_id: str | None = None, limit: int = 5) -> DataFrame:
-    """The best ``limit`` questions (an id wins over a query), each with its ground's citation, title and excerpt."""
+    """The best ``limit`` questions (an id wins over a query), each with its ground's citation, title and excerpt.
+
+    Ties keep the bank's order: by ``place`` where the table has it, else by id.
+    """
     if limit < 0:
         raise ValueError("limit must not be negative")
     if question_id:
@@ -28,22 +32,35 @@ def find_questions(questions: DataFrame, articles: DataFrame, query: str | None
         if not tokens:
             return ground(questions.limit(0).withColumn("score", F.lit(0).cast("long")), articles)
         found = score_questions(questions, tokens).filter(F.col("score") > 0)
-    return ground(found.orderBy(F.desc("score"), "id").limit(limit), articles)
+    return ground(found.orderBy(F.desc("score"), "place" if "place" in questions.columns else "id").limit(limit), articles)
+
+
+def means(query: Column, name: Column) -> Column:
+    """:func:`source_match` for a column of queries."""
+    words = F.filter(F.split(query, r"(?U)\s+"), lambda w: F.length(w) >= 2)
+    every = (F.size(words) > 0) & F.forall(words, lambda w: F.contains(name, w))
+    key = name_key(query)
+    return F.contains(name, query) | every | ((key != "") & F.contains(name_key(name), key))
 
 
 def ground(questions: DataFrame, articles: DataFrame) -> DataFrame:
-    """Adds (citation, article_title, body_excerpt) of the article that an explanation names; exact source first."""
+    """Adds (citation, article_title, body_excerpt) of the article that an explanation names.
+
+    A source of exactly that name is the only one looked in, if there is one; else those that
+    it means. Articles are met by their number, main text before supplementary.
+    """
     has = F.regexp_like("explanation", F.lit(GROUND))
     name = F.when(has, strip(F.regexp_extract("explanation", GROUND, 1)))
     label = F.when(has, F.regexp_extract("explanation", GROUND, 2))
-    asked = questions.withColumns({"_name": name, "_label": label})
-    rows = articles.select("source", "article", F.col("article_title"), F.col("body").alias("_body"), "item_index", "is_supplementary")
-    holds = (F.col("_label") == F.col("article")) & F.contains("source", "_name")
-    order = Window.partitionBy("id").orderBy(F.desc((F.col("source") == F.col("_name")).cast("int")), "is_supplementary", "item_index")
-    near = asked.select("id", "_name", "_label").join(rows, holds).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+    number = lambda i: F.coalesce(F.regexp_extract("_label", ARTICLE_NUMBER, i).try_cast("int"), F.lit(0))
+    asked = questions.withColumns({"_name": name, "_label": label}).withColumns({"article_no": number(1), "article_sub": number(2)})
+    exact = articles.select(F.col("source").alias("_name"), F.lit(True).alias("_exact")).distinct()
+    wanted = asked.filter("_label IS NOT NULL").select("id", "_name", "_label", "article_no", "article_sub").join(exact, "_name", "left")
+    rows = articles.select("source", "article_no", "article_sub", "article_title", F.col("body").alias("_body"), "item_index", "is_supplementary")
+    meant = F.when(F.col("_exact"), F.col("source") == F.col("_name")).otherwise(means(F.col("_name"), F.col("source")))
+    order = Window.partitionBy("id").orderBy("is_supplementary", "item_index")
+    near = wanted.join(rows, ["article_no", "article_sub"]).filter(meant).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
     near = near.select("id", F.concat_ws(" ", "source", "_label").alias("_cite"), "article_title", excerpt(F.col("_body"), 350, 200).alias("body_excerpt"))
-    out = asked.join(near, "id", "left")
+    out = asked.drop("article_no", "article_sub").join(near, "id", "left")
     citation = F.coalesce("_cite", F.when(F.col("_label").isNotNull(), F.concat_ws(" ", "_name", "_label")))
     return out.withColumn("citation", citation).drop("_name", "_label", "_cite")
-
-

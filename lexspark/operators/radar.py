@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, revision_date, source_match
+from .names import contained
 
 # Types of children and parents, endings of a child's name, how names are quoted.
 CHILD_TYPES, PARENT_TYPES = ("시행세칙", "세칙", "지침"), ("규정", "정관")
@@ -39,7 +40,8 @@ def guess_parents(docs: DataFrame) -> DataFrame:
     by_name = child.select("source", stem.alias("key")).join(parents, "key").select("source", F.col("parent").alias("by_name"))
     quoted = child.select("source", F.posexplode(F.regexp_extract_all("first_body", F.lit(QUOTED), F.lit(1))).alias("place", "name"))
     quoted = quoted.select("source", "place", name_key(F.col("name")).alias("q")).filter(F.col("q") != "")
-    partial = quoted.join(parents, F.contains("key", "q") | F.contains("q", "key")).filter(F.col("parent") != F.col("source"))
+    holds = contained(parents, "key", quoted, "q").unionByName(contained(quoted, "q", parents, "key")).select("key", "q").distinct()
+    partial = quoted.join(holds, "q").join(parents, "key").filter(F.col("parent") != F.col("source"))
     best = Window.partitionBy("source").orderBy("place", F.desc((F.col("key") == F.col("q")).cast("int")), F.desc(F.length("parent")), "parent")
     by_quote = partial.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("source", F.col("parent").alias("by_quote"))
     return child.select("source").join(by_name, "source", "left").join(by_quote, "source", "left").select("source", F.coalesce("by_name", "by_quote").alias("parent"))

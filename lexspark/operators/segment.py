@@ -116,11 +116,12 @@ def parse_regulations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         }
     )
     # the state just before the next line that closes, or at the file's end
-    to_end = in_order.rowsBetween(1, Window.unboundedFollowing)
+    # the nearest later line is the last one of those before in reverse order: a running frame
+    back = Window.partitionBy("file").orderBy(F.desc("line_no"), F.desc("mark_no")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file").orderBy("line_no", "mark_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     now = F.struct("chapter_now", "source_now", "revision_now")
     state = state.withColumn("_before", F.lag(now).over(in_order)).withColumn("_last", F.last(now).over(whole))
-    closing = lambda flag: F.coalesce(F.first(F.when(F.col(flag), F.col("_before")), ignorenulls=True).over(to_end), F.col("_last"))
+    closing = lambda flag: F.coalesce(F.last(F.when(F.col(flag), F.col("_before")), ignorenulls=True).over(back), F.col("_last"))
     state = state.withColumn("at_close", F.when(article, closing("ends_article")).otherwise(closing("opens")))
     rest = strip(F.when(heading, _part(ARTICLE_HEADING, 5)).when(plain, _part(ARTICLE_LINE, 4)))
     text_line = F.when(F.col("what") == "body", strip(F.col("line"))).when(F.col("what") == "ahead", F.col("line")).when(article & (rest != ""), rest)
@@ -155,9 +156,24 @@ def parse_regulations(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return articles, attached.withColumn("deleted", deleted)
 
 
+#: Ranges of file names that are numbered side by side.
+RANGES = 256
+
+
 def numbered(rows: DataFrame, key: str = "file") -> DataFrame:
-    """Adds item_index, the place by (file, order): counts per file first, so only one row per file meets in one task."""
-    before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(key).count().select(key, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(key).orderBy("order")) - 1
-    return rows.withColumn("_rank", within).join(counts, key).withColumn("item_index", (F.col("_before") + F.col("_rank")).cast("long")).drop("_before", "_rank", "order")
+    """Adds item_index, the place by (file, order).
+
+    Counts per file come first. Files are then counted up within ranges of names, whose bounds are
+    at most RANGES - 1 names taken by hash, and the ranges among themselves, so no task holds all files.
+    """
+    counts = rows.groupBy(key).count()
+    bounds = sorted(r[0] for r in counts.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key)).limit(RANGES - 1).select(key).collect())
+    own = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<string>"), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    up_to = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranged = counts.withColumn("_range", F.coalesce(own, F.lit(0)))
+    sums = ranged.groupBy("_range").agg(F.sum("count").alias("count")).select("_range", up_to(Window.orderBy("_range")).alias("_first"))
+    starts = ranged.withColumn("_within", up_to(Window.partitionBy("_range").orderBy(key))).join(F.broadcast(sums), "_range")
+    starts = starts.select(F.col(key).alias("_key"), (F.col("_first") + F.col("_within")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("order")) - 1
+    placed = rows.withColumn("_rank", rank).join(starts, F.col(key).eqNullSafe(F.col("_key")))
+    return placed.withColumn("item_index", (F.col("_before") + F.col("_rank")).cast("long")).drop("_before", "_rank", "_key", "order")

@@ -1,15 +1,16 @@
-"""Command line: build, search, get, verify, attachments, attachment, refs, radar, question, sources, stats."""
+"""Command line: build, search, get, verify, attachments, attachment, refs, radar, question, sources, stats, update."""
 
 from __future__ import annotations
 
 import argparse
 import json
 
-from .operators import usage
 from .operators.dense import hashed_encoder
 from .plans.api import Corpus, build_vectors
+from .schemas import MANIFEST
 from .session import local_session
-from .sources import corpus
+from .sources import corpus, listing, sync
+from .streaming import usage_log
 
 
 def parser() -> argparse.ArgumentParser:
@@ -46,10 +47,48 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("query", nargs="?")
     p.add_argument("--id")
     p.add_argument("--limit", type=int, default=3)
-    sub.add_parser("stats").add_argument("log", help="folder of usage events")
+    p = sub.add_parser("stats", help="counts of a log of usage events")
+    p.add_argument("log", help="folder of usage events")
+    p.add_argument("view", nargs="?", choices=("all", "week", "backfill"), default="all")
+    p.add_argument("--daily", help="backfill: folder of the daily counts (day, tool, count)")
+    p.add_argument("--totals", help="backfill: folder of the older totals (tool, count, first_seen, last_seen)")
+    p = sub.add_parser("update", help="replace the stored documents from a listing, pages and converted texts, and build the index")
+    p.add_argument("listing", help="folder of the listing's pages as JSON")
+    p.add_argument("pages", help="Parquet table (idx, html)")
+    p.add_argument("converted", help="Parquet table (file_no, markdown)")
+    p.add_argument("documents", help="table of the documents that is replaced")
+    p.add_argument("--limit", type=int, default=0, help="show the first documents only and change nothing")
+    p.add_argument("--no-build", action="store_true", help="leave the index as it is")
     return top
 
 
+def stats(spark, a: argparse.Namespace) -> dict:
+    if a.view == "week":
+        return usage_log.week(spark, a.log)
+    if a.view == "backfill":
+        daily = spark.read.parquet(a.daily)
+        new, added = usage_log.backfill(spark, spark.read.parquet(a.totals), daily)
+        corpus.swap_in(new, a.daily, lambda _: None)
+        return {"ok": True, "inserted": added, "week": usage_log.week(spark, a.log)}
+    return usage_log.snapshot(spark, a.log)
+
+
+def update(spark, a: argparse.Namespace) -> dict:
+    listed = listing.read_pages(spark, a.listing)
+    resolved = listing.resolved_files(listed, spark.read.parquet(a.pages))
+    converted = spark.read.parquet(a.converted)
+    if a.limit:
+        some = sync.staged_documents(resolved.orderBy("idx").limit(a.limit), converted)
+        return {"documents": [r.asDict() for r in some.select("name", "type", "file", "revision").collect()]}
+    had = corpus.exists(spark, a.documents)
+    previous = spark.read.parquet(a.documents) if had else spark.createDataFrame([], MANIFEST)
+    sync.sync(spark, listed, resolved, converted, previous, a.documents)
+    stored = spark.read.parquet(a.documents)
+    if not a.no_build:
+        corpus.build_from(spark, sync.as_files(stored), a.index)
+    return {"documents": stored.count(), "built": not a.no_build}
+
+
 def main(argv: list[str] | None = None) -> object:
     a = parser().parse_args(argv)
     spark = local_session()
@@ -60,8 +99,9 @@ def main(argv: list[str] | None = None) -> object:
         articles, attachments = corpus.read_index(spark, a.index)
         out: object = {"articles": articles.count(), "attachments": attachments.count()}
     elif a.command == "stats":
-        events = spark.read.parquet(a.log)
-        out = {"tools": usage.usage_totals(events).collect(), "daily": usage.daily_breakdown(events).collect()}
+        out = stats(spark, a)
+    elif a.command == "update":
+        out = update(spark, a)
     else:
         encode = hashed_encoder()
         c = Corpus.open(spark, a.index, lambda q: encode([f"query: {q}"])[0].tolist())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +11,31 @@ from ..functions.unicode import nfc
 from ..operators.segment import numbered, parse_regulations
 from ..schemas import ARTICLE, ATTACHMENT, MANIFEST, QUESTION
 
+# Files that put the others of a category together.
+AGGREGATES = ("law.md", "hr.md", "project.md", "volunteer.md", "partnership.md", "finance.md", "management.md")
+
+
+def read_markdown(spark: SparkSession, folder: str, skip: tuple[str, ...] = AGGREGATES) -> DataFrame:
+    """(category, file, stem, text) of the ``*.md`` files but those named in ``skip``; category is the name up to the first "_".
 
-def read_markdown(spark: SparkSession, folder: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(category, file, stem, text) of the ``*.md`` files but those named in ``skip``; category is the name up to the first "_"."""
+    Files that put others together are skipped by default: their articles would be found twice.
+    """
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(nfc(F.col("value")).alias("text"), nfc(F.col("_metadata.file_name")).alias("file"))
     raw = raw.withColumn("file", F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))))
     stem = F.regexp_replace("file", r"\.md$", "")
     return raw.filter(~F.col("file").isin(*skip)).select(F.substring_index(stem, "_", 1).alias("category"), "file", stem.alias("stem"), "text")
 
 
-def build_index(spark: SparkSession, folder: str, index: str, skip: tuple[str, ...] = ()) -> None:
-    """Parse all files and replace the two tables under ``index``."""
-    articles, attachments = parse_regulations(read_markdown(spark, folder, skip))
+def build_index(spark: SparkSession, folder: str, index: str, skip: tuple[str, ...] = AGGREGATES) -> None:
+    """Parse all files and replace the two tables under ``index``; vectors of the tables that were there go."""
+    build_from(spark, read_markdown(spark, folder, skip), index)
+
+
+def build_from(spark: SparkSession, files: DataFrame, index: str) -> None:
+    """:func:`build_index` of a table (category, file, stem, text)."""
+    articles, attachments = parse_regulations(files)
+    remove(spark, f"{index}/vectors")
+    remove(spark, f"{index}/vectors.json")
     write_index(numbered(articles), numbered(attachments), index)
 
 
@@ -35,6 +50,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def write_meta(spark: SparkSession, meta: dict, path: str) -> None:
+    """A small dictionary as a JSON table of one line."""
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """What :func:`write_meta` wrote; empty if it is missing or broken."""
+    try:
+        return json.loads(spark.read.text(path).first()["value"]) if exists(spark, path) else {}
+    except (ValueError, TypeError):
+        return {}
+
+
 def read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame]:
     """(articles, attachments); FileNotFoundError before the index is built."""
     if not exists(spark, f"{index}/articles"):
@@ -44,7 +77,11 @@ def read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame]:
 
 def read_json_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The tables of a JSON index: an object of two lists, or a bare list of articles. Places in the lists become item_index."""
-    text = spark.read.text(path, wholetext=True)
+    return json_tables(spark.read.text(path, wholetext=True))
+
+
+def json_tables(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """:func:`read_json_index` of a table of one row, ``value``."""
     whole = F.from_json("value", f"struct<articles: array<struct<{_fields(ARTICLE)}>>, attachments: array<struct<{_fields(ATTACHMENT)}>>>")
     bare = F.from_json("value", f"array<struct<{_fields(ARTICLE)}>>")
     is_list = F.startswith(F.ltrim("value"), F.lit("["))
@@ -66,7 +103,10 @@ def _fields(schema: str) -> str:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUESTION).json(path, multiLine=True)
+    """The questions of a JSON list in NFC, with ``place``, their place in it."""
+    fields = ", ".join(f"{c.split()[0]}: {c.split()[1]}" for c in QUESTION.split(", "))
+    text = spark.read.text(path, wholetext=True).select(nfc(F.col("value")).alias("value"))
+    return text.select(F.posexplode(F.from_json("value", f"array<struct<{fields}>>")).alias("place", "r")).select("r.*", F.col("place").cast("long").alias("place"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -80,15 +120,29 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def swap_in(rows: DataFrame, path: str, check) -> None:
-    """Write a table beside ``path``, run ``check(staged)``, and only then put it in the old one's place."""
+    """Write a table beside ``path``, run ``check(staged)``, and only then put it in the old one's place.
+
+    The old table goes only once the new one is in place; if a step fails, the old one is put back.
+    """
     spark = rows.sparkSession
-    staged = f"{path}.staged"
-    rows.write.mode("overwrite").parquet(staged)
-    check(spark.read.parquet(staged))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    old = hadoop(f"{path}.old")
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), old)
-    fs.rename(hadoop(staged), hadoop(path))
+    live, staged, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.staged", f"{path}.old"))
+    fs = live.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(live):  # an earlier swap was cut off
+        _rename(fs, old, live)
+    rows.write.mode("overwrite").parquet(f"{path}.staged")
+    check(spark.read.parquet(f"{path}.staged"))
+    if fs.exists(live):
+        fs.delete(old, True)
+        _rename(fs, live, old)
+    try:
+        _rename(fs, staged, live)
+    except OSError:
+        if fs.exists(old):
+            _rename(fs, old, live)
+        raise
     fs.delete(old, True)
+
+
+def _rename(fs, source, target) -> None:
+    if fs.exists(target) or not fs.rename(source, target):
+        raise OSError(f"can't move {source} to {target}")

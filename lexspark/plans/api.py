@@ -6,6 +6,7 @@ DataFrame forms are in :mod:`lexspark.operators` and :mod:`lexspark.plans.search
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import nfc, parse_article_token
 from ..operators import citations, graph, lookup, questions, radar
 from ..operators.chunking import item_chunks
-from ..operators.dense import embed_chunks
+from ..operators.dense import HASHED, PAUSE_SECONDS, SemanticUnavailable, check_index, embed_chunks, fingerprint, index_meta, runtime_paused
 from ..sources import corpus
 from .search import search
 
@@ -22,23 +23,39 @@ from .search import search
 class Corpus:
     """Articles and attachments of one index; vectors and questions where there are any."""
 
-    def __init__(self, articles: DataFrame, attachments: DataFrame, chunks: DataFrame | None = None, encode: Callable[[str], Sequence[float]] | None = None, question_bank: DataFrame | None = None):
+    def __init__(
+        self, articles: DataFrame, attachments: DataFrame, chunks: DataFrame | None = None, encode: Callable[[str], Sequence[float]] | None = None,
+        question_bank: DataFrame | None = None, pause_marker: str | None = None, pause_seconds: float = PAUSE_SECONDS,
+    ):
         self.articles, self.attachments, self.chunks, self.encode, self.question_bank = articles, attachments, chunks, encode, question_bank
+        self.pause_marker, self.pause_seconds = pause_marker, pause_seconds
+        self.semantic_error: str | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, index: str, encode: Callable[[str], Sequence[float]] | None = None) -> Corpus:
-        """The stored tables, kept in memory; FileNotFoundError before they are built."""
+    def open(cls, spark: SparkSession, index: str, encode: Callable[[str], Sequence[float]] | None = None, encoder: str = HASHED, pause_marker: str | None = None) -> Corpus:
+        """The stored tables, kept in memory; FileNotFoundError before they are built.
+
+        Vectors that aren't of these tables and this encoder are left out, ``semantic_error`` says why,
+        and searches fall back to keywords.
+        """
         articles, attachments = corpus.read_index(spark, index)
-        chunks = spark.read.parquet(f"{index}/vectors") if corpus.exists(spark, f"{index}/vectors") else None
         bank = corpus.read_questions(spark, f"{index}/questions.json") if corpus.exists(spark, f"{index}/questions.json") else None
-        return cls(articles.cache(), attachments.cache(), chunks, encode, bank)
+        out = cls(articles.cache(), attachments.cache(), None, encode, bank, pause_marker)
+        try:
+            out.chunks = checked_vectors(spark, index, out.articles, out.attachments, encoder)
+        except SemanticUnavailable as e:
+            out.semantic_error = str(e)
+        return out
+
+    def paused(self) -> bool:
+        return runtime_paused(self.pause_marker, time.time(), self.pause_seconds)
 
     def close(self) -> None:
         self.articles.unpersist()
         self.attachments.unpersist()
 
     def search_regulation(self, query: str, category: str | None = None, source: str | None = None, limit: int = 10, fuzzy: bool = False, include_attachments: bool = False, mode: str = "hybrid") -> list[dict]:
-        found = search(self.articles, self.attachments, query, category, source, limit, fuzzy, include_attachments, mode, self.chunks, self.encode)
+        found = search(self.articles, self.attachments, query, category, source, limit, fuzzy, include_attachments, mode, self.chunks, self.encode, self.paused)
         keep = {"article": ("kind", "label", "title"), "attachment": ("chapter", "article", "article_title")}
         return [{k: v for k, v in r.asDict().items() if k not in (*keep[r["type"]], "place", "item_index")} for r in found.collect()]
 
@@ -72,7 +89,7 @@ class Corpus:
         if target:
             row = target[0]
             one = self.articles.filter(F.col("item_index") == row["item_index"])
-            edges = graph.outgoing_references(self.articles, strict).filter(F.col("item_index") == row["item_index"])
+            edges = graph.outgoing_references(self.articles, strict, citing=one)
             out = [r.asDict() for r in edges.orderBy("pass", "place").drop("item_index", "place", "pass").collect()]
             into = [r.asDict() for r in graph.incoming_references(self.articles, one).orderBy("item_index").drop("item_index").collect()]
             name = f"{row['source']} {row['article']}"
@@ -98,12 +115,22 @@ class Corpus:
         if self.question_bank is None:
             raise FileNotFoundError("this index has no questions")
         rows = questions.find_questions(self.question_bank, self.articles, query, question_id, limit)
-        return [r.asDict() for r in rows.orderBy(F.desc("score"), "id").collect()]
+        return [r.asDict() for r in rows.orderBy(F.desc("score"), "place" if "place" in rows.columns else "id").drop("place").collect()]
 
 
-def build_vectors(spark: SparkSession, index: str, encode: Callable[[list[str]], object]) -> None:
-    """Chunk both tables and store the chunks with their vectors."""
+def build_vectors(spark: SparkSession, index: str, encode: Callable[[list[str]], object], encoder: str = HASHED) -> None:
+    """Chunk both tables and store the chunks with their vectors, then what :func:`checked_vectors` needs to know of them."""
     articles, attachments = corpus.read_index(spark, index)
+    corpus.remove(spark, f"{index}/vectors.json")
     embed_chunks(item_chunks(articles, attachments), encode).write.mode("overwrite").parquet(f"{index}/vectors")
+    corpus.write_meta(spark, index_meta(spark.read.parquet(f"{index}/vectors"), fingerprint(articles, attachments), encoder), f"{index}/vectors.json")
 
 
+def checked_vectors(spark: SparkSession, index: str, articles: DataFrame, attachments: DataFrame, encoder: str = HASHED) -> DataFrame:
+    """The stored chunks with their vectors; SemanticUnavailable unless they are of these tables and this encoder."""
+    meta = corpus.read_meta(spark, f"{index}/vectors.json")
+    if not meta or not corpus.exists(spark, f"{index}/vectors"):
+        raise SemanticUnavailable("no vectors are stored")
+    vectors = spark.read.parquet(f"{index}/vectors")
+    check_index(item_chunks(articles, attachments), vectors, meta, fingerprint(articles, attachments), meta.get("dimension"), encoder=encoder)
+    return vectors

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.text import STOP_WORDS
+from ..functions.text import PARTICLES, STOP_WORDS
 from . import fixture
 from .expansion import ALIAS_RULES, LEAD
-from .queries import FUZZY_TOKENS, TOKENS
+from .queries import FUZZY_TOKENS, MANY_TOKENS, TOKENS
 
 ARTICLES = """a AS (
   SELECT doc_id AS item_index, lang AS category, source, '' AS revision, '' AS chapter, split_part(text, chr(10), 1) AS article_title, text AS body FROM documents
@@ -78,6 +78,8 @@ fused AS (
 ),
 placed AS (SELECT *, CAST(row_number() OVER (ORDER BY f DESC, CASE WHEN kr IS NULL THEN 1 ELSE 0 END, coalesce(kr, sr), kind, item_index) AS INT) AS place FROM fused)"""
 
+#: Unicode's white space, with the separators that Python strips.
+WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 BLANK = r"[ \t\x0b\x0c\r]"
 
 
@@ -138,11 +140,10 @@ ORACLE: dict[str, str] = {
     ) SELECT kind, item_index, round(s, 6) AS score, CAST(p AS INT) AS position FROM u WHERE s > 0 ORDER BY s DESC, kind, item_index LIMIT 50""",
     "corpus_union": """SELECT 'article' AS kind, doc_id AS item_index, source, CAST(length(text) AS BIGINT) AS n_chars FROM documents
       UNION ALL SELECT 'attachment', item_id, 'benchmark', CAST(length(text) AS BIGINT) FROM benchmark""",
-    "tokenize_text": r"""WITH t AS (
-      SELECT doc_id, regexp_split_to_array(split_part(text, chr(10), 1), '[\s,·、]+') AS parts FROM documents
-    ), u AS (SELECT doc_id, list_transform(parts, lambda x: trim(x, '().,!?"''·')) AS parts FROM t),
-    """
-    + f"""k AS (SELECT doc_id, list_filter(parts, lambda x: length(x) >= 2 AND NOT list_contains([{", ".join(map(quoted, sorted(STOP_WORDS)))}], x)) AS parts FROM u),
+    "tokenize_text": rf"""WITH t AS (SELECT doc_id, regexp_split_to_array(text, '(?:[,·、]|{WHITE})+') AS parts FROM documents),
+    u AS (SELECT doc_id, list_transform(parts, lambda x: trim(x, '().,!?"''·')) AS parts FROM t),
+    c AS (SELECT doc_id, list_transform(parts, lambda x: CASE WHEN length(regexp_replace(x, '(?:{"|".join(PARTICLES)})$', '')) >= 2 THEN regexp_replace(x, '(?:{"|".join(PARTICLES)})$', '') ELSE x END) AS parts FROM u),
+    k AS (SELECT doc_id, list_filter(parts, lambda x: length(x) >= 2 AND NOT list_contains([{", ".join(map(quoted, sorted(STOP_WORDS)))}], x)) AS parts FROM c),
     n AS (SELECT doc_id, unnest(parts) AS token, generate_subscripts(parts, 1) AS i FROM k),
     f AS (SELECT doc_id, token, min(i) AS i FROM n GROUP BY doc_id, token)
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, token FROM f""",
@@ -163,11 +164,16 @@ ORACLE: dict[str, str] = {
       j AS (SELECT doc_id, p, bool_or(blank) AS blank, regexp_replace(string_agg(s, ' ' ORDER BY i), '[ \t]+', ' ', 'g') AS s FROM g GROUP BY doc_id, p),
       k AS (SELECT *, lag(blank, 1, TRUE) OVER (PARTITION BY doc_id ORDER BY p) AS after_blank, max(CASE WHEN NOT blank THEN p END) OVER (PARTITION BY doc_id) AS last FROM j)
       SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY p) FILTER (WHERE NOT (blank AND after_blank) AND p <= last), '') AS text FROM k GROUP BY doc_id""",
-    "segment_documents": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+    "segment_documents": rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
       s AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS segment FROM l)
-      SELECT doc_id, CAST(segment AS BIGINT) AS segment, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars, arg_min(line, i) AS first_line FROM s GROUP BY doc_id, segment""",
-    "script_label": """WITH s AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '승진 a' WHEN 1 THEN '  ' WHEN 2 THEN '12 !!' ELSE text END AS t FROM documents)
-      SELECT doc_id, CASE WHEN trim(t) = '' THEN NULL WHEN regexp_matches(t, '[가-힣ᄀ-ᇿ㄰-㆏]') THEN 'ko' WHEN regexp_matches(t, '[A-Za-z]') THEN 'en' ELSE 'other' END AS label FROM s""",
+      SELECT CAST(doc_id AS VARCHAR) AS file, min(i) - 1 AS line_no, '제1조' AS article, CAST(sum(length(regexp_replace(line, '{WHITE}+', '', 'g'))) AS BIGINT) AS n_chars
+      FROM s WHERE segment > 0 GROUP BY doc_id, segment""",
+    "item_chunks": f"""WITH {ARTICLES}, {ATTACHMENTS}, h AS (
+        SELECT 'article' AS kind, item_index, concat_ws(' · ', source, nullif(article_title, '')) AS header, body FROM a
+        UNION ALL SELECT 'attachment', item_index, concat_ws(' · ', 'benchmark', '별표', '[별표 ' || item_index || ']', nullif(title, '')), body FROM b
+      ), n AS (SELECT *, unnest(range(0, greatest(1, CAST(ceil((length(body) - 80) / 320.0) AS BIGINT)))) AS k FROM h)
+      SELECT kind, item_index, CAST(k AS INT) AS chunk_no, CAST(k * 320 AS INT) AS start, CAST(least(k * 320 + 400, length(body)) AS INT) AS "end", header || chr(10) || substr(body, k * 320 + 1, 400) AS text FROM n""",
+    "script_label": rf"""SELECT doc_id, CASE WHEN regexp_matches(text, '^{WHITE}*$') THEN NULL WHEN regexp_matches(text, '[가-힣ᄀ-ᇿ㄰-㆏]') THEN 'ko' WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'other' END AS label FROM documents""",
     "classify_suffix": """SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN '시행세칙' WHEN 1 THEN '지침' ELSE '기타' END AS kind FROM part""",
     "safe_names": r"SELECT page_id, trim(regexp_replace(translate(url, '/\:', '---'), '\s+', ' ', 'g')) AS name FROM pages",
     "source_match_filter": "SELECT doc_id, source FROM documents WHERE contains(source, 'src1')",
@@ -175,7 +181,7 @@ ORACLE: dict[str, str] = {
     "list_sources": f"WITH {ARTICLES} SELECT arg_min(category, item_index) AS category, source, arg_min(revision, item_index) AS revision, count(*) AS articles FROM a GROUP BY source",
     "get_item": f"""WITH {FA}, m AS (SELECT * FROM fa WHERE source = '시험규정' AND article_no = 1 AND article_sub = 0)
       SELECT CAST(item_index AS BIGINT) AS item_index, source, article, source || ' ' || article AS citation, body, is_supplementary FROM m WHERE is_supplementary = (SELECT min(is_supplementary) FROM m)""",
-    "prefer_main": """WITH m AS (SELECT doc_id, source, doc_id % 3 = 0 AS is_supplementary FROM documents WHERE source = 'src2')
+    "prefer_main": """WITH m AS (SELECT doc_id, source, doc_id % 3 = 0 AS is_supplementary FROM documents)
       SELECT * FROM m WHERE is_supplementary = (SELECT min(is_supplementary) FROM m)""",
     "article_range": f"WITH {FA}, {RANGES} SELECT source, first, last, n FROM rt",
     "attachment_list": f"""WITH {FB} SELECT category, source, kind, label, title, deleted, source || ' ' || label AS citation, substr({flat("substr(body, 1, 200)")}, 1, 150) AS body_excerpt
@@ -237,8 +243,11 @@ ORACLE: dict[str, str] = {
       SELECT mode, CAST(max(CASE WHEN rank <= 50 AND item_index IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(1 AS BIGINT) AS queries FROM m GROUP BY mode""",
     "parent_radar": """SELECT source, parent, status, CAST(months AS BIGINT) AS months FROM (VALUES ('시험규정 시행세칙', '시험규정', 'review_needed', 14), ('계약지침', '시험규정', 'ok', 0),
       ('외딴지침', NULL, 'no_parent', 0)) v(source, parent, status, months)""",
-    "late_parents": """WITH x AS (SELECT l_orderkey, l_linenumber, CAST(o_orderdate AS DATE) AS p, CAST(l_shipdate AS DATE) AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-      SELECT l_orderkey, l_linenumber, CAST(greatest((year(p) - year(c)) * 12 + month(p) - month(c), 1) AS BIGINT) AS months FROM x WHERE p > c""",
+    "late_parents": """WITH x AS (SELECT l_orderkey AS k, CAST(o_orderdate AS DATE) AS p, CAST(min(l_shipdate) AS DATE) AS c FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+      SELECT k || ' 시행세칙' AS source, CASE WHEN p IS NOT NULL THEN CAST(k AS VARCHAR) END AS parent, CASE WHEN p IS NULL THEN 'no_parent' WHEN p > c THEN 'review_needed' ELSE 'ok' END AS status,
+        CAST(CASE WHEN p > c THEN greatest((year(p) - year(c)) * 12 + month(p) - month(c), 1) ELSE 0 END AS BIGINT) AS months FROM x""",
+    "contained_names": """WITH n AS (SELECT DISTINCT substr(p_type, 1, 6) AS name FROM part), t AS (SELECT DISTINCT p_name FROM part)
+      SELECT p_name, name, CAST(length(p_name) - strpos(reverse(p_name), reverse(name)) - length(name) + 1 AS BIGINT) AS at FROM t JOIN n ON contains(p_name, name)""",
     "manifest_removed": f"WITH {MANIFESTS} SELECT name FROM old EXCEPT SELECT name FROM new",
     "manifest_common": f"WITH {MANIFESTS} SELECT name FROM old INTERSECT SELECT name FROM new",
     "manifest_regressed": f"WITH {MANIFESTS} SELECT name, old.revision AS old_revision, new.revision AS new_revision FROM old JOIN new USING (name) WHERE new.revision < old.revision",
@@ -258,5 +267,26 @@ ORACLE: dict[str, str] = {
       UNION ALL SELECT 1, 'lexspark_tool_calls_total{{tool="' || tool || '"}} ' || count(*) FROM e GROUP BY tool
       UNION ALL SELECT 2, 'lexspark_weekly_calls{{week_start="' || week || '"}} ' || CAST(sum(count) AS BIGINT) FROM w GROUP BY week
       UNION ALL SELECT 3, 'lexspark_weekly_tool_calls{{week_start="' || week || '",tool="' || tool || '"}} ' || count FROM w""",
-    "current_file_per_page": """WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS links FROM pages) SELECT page_id, links[len(links)] AS link FROM l WHERE len(links) > 0""",
+    "current_file_per_page": r"""WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="/([^"]+)"[^>]*>([^<]+)', 1) AS links, regexp_extract_all(html, 'href="/([^"]+)"[^>]*>([^<]+)', 2) AS names FROM pages)
+      SELECT page_id, links[len(links)] AS link, trim(names[len(names)]) AS file_name, lower(regexp_extract(trim(names[len(names)]), '\.([^.]+)$', 1)) AS ext FROM l WHERE len(links) > 0""",
+    "daily_breakdown": f"""WITH {EVENTS}, t AS (SELECT day, count(*) AS total FROM e GROUP BY day)
+      SELECT CAST(day AS VARCHAR) AS day, total, 'tool' AS kind, tool AS key, count(*) AS count FROM e JOIN t USING (day) GROUP BY ALL
+      UNION ALL SELECT CAST(day AS VARCHAR) AS day, total, 'lang' AS kind, lang AS key, count(*) AS count FROM e JOIN t USING (day) WHERE lang IS NOT NULL GROUP BY ALL""",
+    "usage_stream_daily": f"WITH {DAILY} SELECT CAST(day AS VARCHAR) AS day, tool, count FROM daily",
+    "json_index": f"""WITH {FA} SELECT version, CAST(item_index AS BIGINT) AS item_index, source, article, article_no, article_sub, article_title, body, is_supplementary FROM fa, (SELECT unnest([1, 2]) AS version)""",
+    "staged_documents": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS n FROM customer WHERE c_custkey % 3 <> 0)
+      SELECT c_mktsegment AS name, '규정' AS type, '규정_' || c_mktsegment || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.md' AS file, '2026.01.01' AS revision, CAST(c_custkey AS VARCHAR) AS file_no, 'alio' AS origin,
+        '# ' || c_mktsegment || ' (2026.01.01 개정)' || chr(10) || '### 제1조(가) ' || c_name AS text FROM r""",
+    "keyword_many_tokens": f"""WITH {ARTICLES}, {ATTACHMENTS}, {weight(MANY_TOKENS)}, u AS (
+      SELECT 'article' AS kind, item_index, {score("article_title", MANY_TOKENS)[0]} AS s, {score("article_title", MANY_TOKENS)[1]} AS p FROM a, idf
+      UNION ALL SELECT 'attachment', item_index, {score("title", MANY_TOKENS)[0]}, {score("title", MANY_TOKENS)[1]} FROM b, idf
+    ) SELECT kind, item_index, round(s, 6) AS score, CAST(p AS INT) AS position FROM u WHERE s > 0 ORDER BY s DESC, kind, item_index LIMIT 50""",
+    "search_filtered": f"""WITH {ARTICLES}, {weight(TOKENS)}, k AS (SELECT item_index, source, {S} AS score FROM a, idf WHERE category = 'en' AND contains(source, 'src1'))
+      SELECT CAST(row_number() OVER (ORDER BY score DESC, item_index) AS INT) AS place, 'article' AS type, item_index, source, round(score, 2) AS score, 'keyword' AS search_mode, 'keyword' AS matched_by
+      FROM k WHERE score > 0 QUALIFY place <= 20""",
+    "search_fallback": f"""WITH {ARTICLES}, {weight(TOKENS)}, k AS (SELECT item_index, source, {S} AS score FROM a, idf)
+      SELECT CAST(row_number() OVER (ORDER BY score DESC, item_index) AS INT) AS place, 'article' AS type, item_index, source, round(score, 2) AS score, 'keyword_fallback' AS search_mode, 'keyword' AS matched_by
+      FROM k WHERE score > 0 QUALIFY place <= 10""",
+    "search_semantic": f"""WITH {SCORED} SELECT CAST(rank AS INT) AS place, 'article' AS type, near.item_index, source, round(near.score, 4) AS score, 'semantic' AS search_mode, 'semantic' AS matched_by
+      FROM near JOIN a ON near.item_index = a.item_index WHERE rank <= 10""",
 }

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, citations, dense, fusion, graph, keyword, lookup, manifest, questions, radar, segment, usage
 from ..operators.headings import normalize_headings
+from ..operators.names import contained
+from ..sources import corpus, listing, sync
+from ..streaming import usage_stream
 from . import fixture
 from .expansion import expand_queries
-from .search import recall_at_k, search
+from .search import all_rows, recall_at_k, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+MANY_TOKENS = ["the", "tionble", "der", "que", "and", "ion", "eux", "ado", "sch", "thing", "mente", "est", "iert", "or", "zzz"]
 TOKENS = ["the", "tionble", "der", "que"]
 FUZZY_TOKENS = ["thonblezz", "quement"]
 
@@ -102,11 +108,17 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("kind", "item_index", r6("score"), "position")
 
 
+@query
+def keyword_many_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = articles_of(spark, sf_dir)
+    top = keyword.keyword_ranking(a, attachments_of(spark, sf_dir), MANY_TOKENS, keyword.weights_of(a, MANY_TOKENS))
+    return top.select("kind", "item_index", r6("score"), "position")
+
+
 @query
 def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = articles_of(spark, sf_dir), attachments_of(spark, sf_dir)
-    both = a.select(F.lit("article").alias("kind"), "item_index", "source", "body").unionByName(b.select(F.lit("attachment").alias("kind"), "item_index", "source", "body"))
-    return both.select("kind", "item_index", "source", F.length("body").cast("long").alias("n_chars"))
+    rows = all_rows(articles_of(spark, sf_dir), attachments_of(spark, sf_dir))
+    return rows.select(F.col("type").alias("kind"), "item_index", "source", F.length("body").cast("long").alias("n_chars"))
 
 
 # texts
@@ -151,12 +163,18 @@ def reflow_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def segment_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments that lines starting with a capital open, by the same windows as the parser's."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    opens = F.regexp_like("line", F.lit("^[A-Z]")).cast("int")
-    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("segment", F.sum(opens).over(order))
-    return rows.groupBy("doc_id", "segment").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.min_by("line", "line_no").alias("first_line"))
+    """The parser on all documents, with an article's heading before each line that starts with a capital."""
+    plain = F.translate("text", "#[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "xx         ")
+    headed = F.transform(F.split(plain, "\n"), lambda x: F.when(F.regexp_like(x, F.lit("^[A-Z]")), F.concat(F.lit("### 제1조(가) "), x)).otherwise(x))
+    name = F.col("doc_id").cast("string")
+    files = table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), name.alias("file"), name.alias("stem"), F.array_join(headed, "\n").alias("text"))
+    found, _ = segment.parse_regulations(files)
+    return found.select("file", F.col("order.line_no").cast("long").alias("line_no"), "article", F.length(F.regexp_replace("body", r"(?U)\s+", "")).cast("long").alias("n_chars"))
+
+
+@query
+def item_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.item_chunks(articles_of(spark, sf_dir), attachments_of(spark, sf_dir))
 
 
 @query
@@ -205,7 +223,7 @@ def get_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prefer_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") % 3 == 0).alias("is_supplementary"))
-    return lookup.prefer_main(d.filter(F.col("source") == "src2"))
+    return lookup.prefer_main(d)
 
 
 @query
@@ -353,11 +371,19 @@ def parent_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def late_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines shipped before their order's date, with the months between."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("parent"))
-    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("child"))
-    months = (F.year("parent") - F.year("child")) * 12 + F.month("parent") - F.month("child")
-    return i.join(o, i.l_orderkey == o.o_orderkey).filter("parent > child").select("l_orderkey", "l_linenumber", F.greatest(months, F.lit(1)).cast("long").alias("months"))
+    """The radar on orders as rules and their first shipping as a detailed rule below each."""
+    day = lambda c: F.date_format(F.to_date(c), "yyyy.MM.dd")
+    parent = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_index"), F.lit("규정").alias("category"), F.col("o_orderkey").cast("string").alias("source"), day("o_orderdate").alias("revision"))
+    child = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first"))
+    child = child.select(F.col("l_orderkey").alias("item_index"), F.lit("시행세칙").alias("category"), F.concat(F.col("l_orderkey").cast("string"), F.lit(" 시행세칙")).alias("source"), day("first").alias("revision"))
+    rows = parent.unionByName(child).select("*", F.lit(1).alias("article_no"), F.lit(0).alias("article_sub"), F.lit(False).alias("is_supplementary"), F.lit("목적").alias("body"))
+    return radar.compliance_radar(rows).select("source", "parent", "status", F.coalesce("months", F.lit(0)).cast("long").alias("months"))
+
+
+@query
+def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return contained(p, "p_name", p.select(F.substring("p_type", 1, 6).alias("name")), "name").select("p_name", "name", F.col("at").cast("long").alias("at"))
 
 
 def two_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -441,5 +467,72 @@ def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def current_file_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.try_element_at(links, F.lit(-1)).alias("link")).filter("link IS NOT NULL")
+    """The last link of each page, by the reader of detail pages with a wider pattern."""
+    found = listing.file_links(table(spark, sf_dir, "pages"), "html", 'href="/([^"]+)"[^>]*>([^<]+)')
+    return found.select("page_id", F.col("file_no").alias("link"), "file_name", "ext")
+
+
+@query
+def daily_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = usage.daily_breakdown(events_of(spark, sf_dir))
+    entries = lambda kind, c: days.select(F.col("day").cast("string").alias("day"), "total", F.lit(kind).alias("kind"), F.explode(c).alias("key", "count"))
+    return entries("tool", "tools").unionByName(entries("lang", "by_language"))
+
+
+@query
+def usage_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streamed daily counts over the whole table, read as a stream until its end."""
+    raw = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parque[t]")
+    counts = usage_stream.daily_counts(raw.select("ts", F.col("event_type").alias("tool")))
+    name = f"usage_{uuid.uuid4().hex}"
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.col("day").cast("string").alias("day"), "tool", "count")
+
+
+# sources
+
+
+@query
+def json_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's articles as JSON of either form, read back."""
+    rows = [dict(zip([c.split()[0] for c in fixture.ARTICLE_FIELDS.split(", ")], r, strict=True)) for r in fixture.ARTICLES]
+    both = [(json.dumps(rows, ensure_ascii=False),), (json.dumps({"version": 2, "articles": rows, "attachments": []}, ensure_ascii=False),)]
+    a, b = (corpus.json_tables(spark.createDataFrame([x], "value string"))[0] for x in both)
+    fields = ["item_index", "source", "article", "article_no", "article_sub", "article_title", "body", "is_supplementary"]
+    return a.select(F.lit(1).alias("version"), *fields).unionByName(b.select(F.lit(2).alias("version"), *fields))
+
+
+@query
+def staged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as listed documents, two thirds of which have a converted text."""
+    c = table(spark, sf_dir, "customer")
+    number = F.col("c_custkey").cast("string")
+    resolved = c.select(F.col("c_mktsegment").alias("title"), F.lit("규정").alias("type"), number.alias("file_no"), F.lit("2026.01.01").alias("revision"), F.col("c_custkey").alias("idx"))
+    text = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("# 제1조(가) "), "c_name"))
+    return sync.staged_documents(resolved, c.select(number.alias("file_no"), text.alias("markdown")))
+
+
+# search with filters and fallbacks
+
+
+def found_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("place", "type", "item_index", "source", "score", "search_mode", "matched_by")
+
+
+@query
+def search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_rows(search(articles_of(spark, sf_dir), attachments_of(spark, sf_dir), " ".join(TOKENS), category="en", source="src1", limit=20, mode="keyword"))
+
+
+@query
+def search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense search is paused, so keywords answer."""
+    vector = query_vector(spark, sf_dir)
+    found = search(articles_of(spark, sf_dir), attachments_of(spark, sf_dir), " ".join(TOKENS), chunks=chunks_of(spark, sf_dir), encode=lambda _: vector, paused=lambda: True)
+    return found_rows(found)
+
+
+@query
+def search_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vector = query_vector(spark, sf_dir)
+    return found_rows(search(articles_of(spark, sf_dir), attachments_of(spark, sf_dir), " ".join(TOKENS), mode="semantic", chunks=chunks_of(spark, sf_dir), encode=lambda _: vector))

@@ -29,12 +29,13 @@ def allowed_rows(rows: DataFrame, category: str | None, source: str | None) -> D
 def search(
     articles: DataFrame, attachments: DataFrame, query: str, category: str | None = None, source: str | None = None, limit: int = 10,
     fuzzy: bool = False, include_attachments: bool = False, mode: str = "hybrid", chunks: DataFrame | None = None,
-    encode: Callable[[str], Sequence[float]] | None = None,
+    encode: Callable[[str], Sequence[float]] | None = None, paused: Callable[[], bool] = lambda: False,
 ) -> DataFrame:
     """The best ``limit`` rows for a query, as HITS; a bad mode is a ValueError before anything is read.
 
     ``hybrid`` fuses the two rankings; where ``chunks`` (with vectors) or ``encode`` is missing or
-    refuses, it falls back to keywords and says so. ``semantic`` reads no text unless it has to fall back.
+    refuses, or dense search is ``paused``, it falls back to keywords and says so. ``semantic``
+    reads no text unless it has to fall back.
     """
     mode = mode.lower().strip()
     if mode not in MODES:
@@ -56,8 +57,8 @@ def search(
     semantic = None
     if mode != "keyword":
         try:
-            if chunks is None or encode is None:
-                raise SemanticUnavailable("no vectors")
+            if chunks is None or encode is None or paused():
+                raise SemanticUnavailable("no vectors, or paused")
             keys = some.select(F.lit("article").alias("kind"), "item_index")
             if attached is not None:
                 keys = keys.unionByName(attached.select(F.lit("attachment").alias("kind"), "item_index"))
@@ -65,31 +66,44 @@ def search(
             semantic = row_numbers(ranked, F.desc("score"), "kind", "item_index")
         except SemanticUnavailable:
             semantic = None
+    middle = ((F.col("start") + F.col("end")) / 2).cast("int")
     if mode == "semantic" and semantic is not None:
-        chosen = semantic.filter(F.col("rank") <= limit).select("kind", "item_index", F.col("rank").alias("place"), "score", F.lit(None).cast("double").alias("ks"), F.col("score").alias("ss"), ((F.col("start") + F.col("end")) / 2).cast("int").alias("position"))
+        chosen = semantic.filter(F.col("rank") <= limit).select("kind", "item_index", F.col("rank").alias("place"), "score", F.lit(None).cast("double").alias("ks"), F.col("score").alias("ss"), middle.alias("position"))
         label = "semantic"
     elif semantic is None:
         words = by_keyword().filter(F.col("rank") <= limit)
         chosen = words.select("kind", "item_index", F.col("rank").alias("place"), "score", F.col("score").alias("ks"), F.lit(None).cast("double").alias("ss"), "position")
         label = "keyword" if mode == "keyword" else "keyword_fallback"
     else:
-        words = by_keyword()
-        fused = keep_channel_heads(rrf_fusion(words, semantic), limit)
-        a = words.select("kind", "item_index", F.col("score").alias("ks"), "position")
-        b = semantic.select("kind", "item_index", F.col("score").alias("ss"), ((F.col("start") + F.col("end")) / 2).cast("int").alias("middle"))
-        joined = fused.join(a, ["kind", "item_index"], "left").join(b, ["kind", "item_index"], "left")
-        chosen = joined.select("kind", "item_index", "place", F.col("fused").alias("score"), "ks", "ss", F.coalesce("position", "middle").alias("position"))
+        words = by_keyword().select("kind", "item_index", "rank", F.col("score").alias("ks"), "position")
+        near = semantic.select("kind", "item_index", "rank", F.col("score").alias("ss"), middle.alias("middle"))
+        fused = keep_channel_heads(rrf_fusion(words, near), limit)
+        chosen = fused.select("kind", "item_index", "place", F.col("fused").alias("score"), "ks", "ss", F.coalesce("position", "middle").alias("position"))
         label = "hybrid"
-    return show(chosen, articles, attachments, label)
+    return show(chosen, articles, attachments, label, limit)
 
 
-def show(chosen: DataFrame, articles: DataFrame, attachments: DataFrame, mode: str) -> DataFrame:
-    """The chosen keys, at most a page of them, with what is shown of their rows."""
-    digits = 2 if mode.startswith("keyword") else 4 if mode == "semantic" else 6
+#: Most chosen keys that are broadcast against the tables (about 100 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 10_000
+
+
+def all_rows(articles: DataFrame, attachments: DataFrame) -> DataFrame:
+    """(type, item_index, category, source, revision, body, chapter, article, article_title, kind, label, title) of both tables."""
     none = F.lit(None).cast("string")
-    a = articles.select(F.lit("article").alias("type"), "item_index", "category", "source", "revision", "body", "chapter", "article", "article_title", none.alias("kind"), none.alias("label"), none.alias("title"))
-    b = attachments.select(F.lit("attachment").alias("type"), "item_index", "category", "source", "revision", "body", none.alias("chapter"), none.alias("article"), none.alias("article_title"), "kind", "label", "title")
-    rows = chosen.withColumnRenamed("kind", "type").join(a.unionByName(b), ["type", "item_index"])
+    common = ["item_index", "category", "source", "revision", "body"]
+    a = articles.select(F.lit("article").alias("type"), *common, "chapter", "article", "article_title", none.alias("kind"), none.alias("label"), none.alias("title"))
+    b = attachments.select(F.lit("attachment").alias("type"), *common, none.alias("chapter"), none.alias("article"), none.alias("article_title"), "kind", "label", "title")
+    return a.unionByName(b)
+
+
+def show(chosen: DataFrame, articles: DataFrame, attachments: DataFrame, mode: str, limit: int) -> DataFrame:
+    """The chosen keys, ``limit`` at most, with what is shown of their rows.
+
+    The few keys go to the tables, not the tables' bodies to the keys.
+    """
+    digits = 2 if mode.startswith("keyword") else 4 if mode == "semantic" else 6
+    keys = chosen.withColumnRenamed("kind", "type")
+    rows = all_rows(articles, attachments).join(F.broadcast(keys) if limit <= BROADCAST_KEYS else keys, ["type", "item_index"])
     by = F.when(F.col("ks").isNotNull() & F.col("ss").isNotNull(), "hybrid").when(F.col("ks").isNotNull(), "keyword").otherwise("semantic")
     return rows.select(
         F.col("place").cast("int").alias("place"), "type", "item_index", "category", "source", "revision", F.concat_ws(" ", "source", F.coalesce("article", "label")).alias("citation"),
@@ -101,7 +115,9 @@ def show(chosen: DataFrame, articles: DataFrame, attachments: DataFrame, mode: s
 def recall_at_k(ranked: DataFrame, expected: DataFrame, k: int = 10) -> DataFrame:
     """(mode, hits, queries, recall): of (query, expected item) rows, how many are in the first ``k`` of (mode, query, item_index, rank)."""
     top = ranked.filter(F.col("rank") <= k).select("mode", "query", "item_index").distinct()
-    asked = ranked.select("mode").distinct().join(expected)
+    # a ranking has one of few modes, so each expected row is repeated that often and nothing is crossed
+    modes = F.broadcast(ranked.agg(F.array_sort(F.collect_set("mode")).alias("_modes")))
+    asked = expected.join(modes).select("*", F.explode("_modes").alias("mode")).drop("_modes")
     hit = asked.join(top.withColumn("hit", F.lit(1)), ["mode", "query", "item_index"], "left")
     per_query = hit.groupBy("mode", "query").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return per_query.groupBy("mode").agg(F.sum("hit").alias("hits"), F.count("*").alias("queries"), F.avg("hit").alias("recall"))

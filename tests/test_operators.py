@@ -94,6 +94,59 @@ def test_fuzzy_position_is_folded_in_order(spark):
     assert keyword.score_articles(df, ["사례비"], ones, True).first().score == pytest.approx(0.5 * 0.3)
 
 
+def folded(body, tokens, fuzzy):
+    """The rule, token by token: (score with unit weights, position)."""
+    score, first = 0.0, -1
+    for t in tokens:
+        n, at = body.count(t), body.find(t)
+        if n:
+            score += n
+            first = at if first < 0 or at < first else first
+        elif fuzzy and len(t) >= 3:
+            pairs = [t[i : i + 2] for i in range(len(t) - 1)]
+            seen = [p for p in pairs if p in body]
+            if len(seen) >= 0.5 * len(pairs):
+                score += sum(body.count(p) for p in pairs) / len(pairs) * 0.3
+                first = body.find(seen[0]) if first < 0 else first
+    return score, first
+
+
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_keyword_scores_of_many_tokens(spark, fuzzy):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    tokens = list(dict.fromkeys(word(rng.randint(2, 6)) for _ in range(40)))[:30]
+    bodies = [" ".join(word(rng.randint(1, 7)) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    df = spark.createDataFrame([(i, "", "", b) for i, b in enumerate(bodies)] + [(99, "", "", None)], "item_index long, article_title string, chapter string, body string")
+    got = {r.item_index: (round(r.score, 9), r.position) for r in keyword.score_articles(df, tokens, {}, fuzzy).collect()}
+    want = {i: folded(b, tokens, fuzzy) for i, b in enumerate(bodies)} | {99: (0.0, -1)}
+    assert got == {i: (round(s, 9), p) for i, (s, p) in want.items()}
+
+
+def test_keyword_plan_grows_in_proportion(spark, articles):
+    size = lambda n: len(keyword.score_articles(articles, [f"낱말{i}" for i in range(n)], {}, True)._jdf.queryExecution().optimizedPlan().toString())
+    size(1)
+    assert size(20) < 3 * size(10)
+
+
+def test_names_in_texts(spark):
+    from lexspark.operators.names import contained
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("가나") for _ in range(n))
+    texts, names = [word(rng.randint(0, 14)) for _ in range(60)] + [None], [word(rng.randint(0, 7)) for _ in range(40)] + [None]
+    found = contained(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame([(n,) for n in names], "n string"), "n")
+    want = {(t, n, t.rfind(n)) for t in texts if t for n in names if n and n in t}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_numbers_across_ranges(spark):
+    rows = [(f"파일{i:03d}", place, place) for i in range(300) for place in range(i % 3)]
+    got = segment.numbered(spark.createDataFrame(rows, "file string, order int, place int").repartition(7)).orderBy("item_index").collect()
+    assert [(r.file, r.place) for r in got] == [r[:2] for r in rows] and [r.item_index for r in got] == list(range(len(rows)))
+    assert segment.numbered(spark.createDataFrame([], "file string, order int")).count() == 0
+
+
 def ranking(spark, keys):
     return spark.createDataFrame([(k, i, r + 1) for r, (k, i) in enumerate(keys)], "kind string, item_index long, rank int")
 
@@ -218,11 +271,13 @@ def test_limits_of_a_request(spark, articles):
 
 
 def test_mentions():
-    names = lambda t: [(no, sub, name) for _, _, no, sub, name in graph.mentions(t)]
+    names = lambda t: [(no, sub, name) for *_, no, sub, name in graph.mentions(t)]
     assert names("「다른규정」 제3조와 제4조의2, 인사 관리 규정 제5조") == [(3, 0, "다른규정"), (4, 2, None), (5, 0, "인사관리규정")]
     assert names("하나 둘 셋 넷 다섯 여섯 일곱 여덟 규정 제1조")[0][2] == "셋넷다섯여섯일곱여덟규정"
     assert names("하나 둘 셋 넷 다섯 여섯 일곱 여덟규정 제1조")[0][2] == "셋넷다섯여섯일곱여덟규정"
     assert names("규정 제1조") == [(1, 0, None)] and names("가" * 3000 + " 제1조") == [(1, 0, None)]
+    assert names(f"「{'가' * 40}」{' ' * 60}제1조") == [(1, 0, "가" * 40)] and names(f"「{'가' * 41}」 제1조") == [(1, 0, None)]
+    assert names("긴" * 900 + "규정 제2조") == [(2, 0, "긴" * 900 + "규정")]
     assert names("") == []
 
 
@@ -265,6 +320,16 @@ def test_api(spark, articles, attachments):
     assert c.find_questions(question_id="q3")[0]["article_title"] is None and c.find_questions("다음 중") == []
 
 
+def test_grounds_of_questions(spark, articles):
+    from lexspark.operators import questions
+
+    rows = [(k, "", "", "q", ["o"], "1", f"근거: {name} {label}", place) for place, (k, name, label) in enumerate((("b", "시험 규정", "제1조"), ("a", "시행세칙 시험규정", "제1조"), ("c", "시험규정", "제99조"), ("d", "계약", "제1조")))]
+    bank = spark.createDataFrame(rows, "id string, category string, source string, question string, options array<string>, answer string, explanation string, place long")
+    found = {r.id: r.citation for r in questions.find_questions(bank, articles, "근거 업무", limit=9).collect()}
+    assert found == {"b": "시험규정 제1조", "a": "시험규정 시행세칙 제1조", "c": "시험규정 제99조", "d": "계약지침 제1조"}
+    assert [r.id for r in questions.find_questions(bank, articles, "근거", limit=2).orderBy("place").collect()] == ["b", "a"]
+
+
 # manifest and usage
 
 
@@ -324,5 +389,18 @@ def test_stream(spark, tmp_path):
     usage_stream.run_daily_counts(usage_stream.read_events(spark, log), str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination()
     done = {(str(r.day), r.tool) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert ("2026-08-03", "search") in done and ("2026-08-09", "search") not in done
+    from lexspark.streaming import usage_log
+
+    assert not usage_log.record(spark, None, "t") and not usage_log.snapshot(spark, None)["enabled"] and usage_log.week(spark, None)["total"] == 0
+    assert usage_log.snapshot(spark, str(tmp_path / "none"))["error"]
+    mine = str(tmp_path / "mine")
+    at = datetime.datetime(2026, 8, 2, 15, 30)
+    assert usage_log.record(spark, mine, "search", "승진", at) and usage_log.record(spark, mine, "search", "leave", at) and usage_log.record(spark, mine, "get", None, at)
+    snap = usage_log.snapshot(spark, mine)
+    assert (snap["total"], [t["tool"] for t in snap["tools"]], {r["lang"] for r in snap["by_language"]}) == (3, ["search", "get"], {"ko", "en"})
+    assert [(d["day"], d["total"]) for d in snap["daily"]] == [("2026-08-03", 3)]
+    assert usage_log.week(spark, mine, datetime.date(2026, 8, 9))["tools"] == {"search": 2, "get": 1} and usage_log.week(spark, mine, datetime.date(2026, 8, 10))["total"] == 0
+    daily, added = usage_log.backfill(spark, usage.usage_totals(events), usage.usage_daily(events).filter("day < DATE '2026-08-03'"))
+    assert added == 2 and usage_log.backfill(spark, usage.usage_totals(events), daily)[1] == 0
     calls = spark.createDataFrame([(datetime.datetime(2026, 1, 1), "t", "승진")], "ts timestamp, tool string, text string")
     assert usage_stream.label_events(calls).columns == ["ts", "tool", "lang"]

@@ -76,8 +76,7 @@ def test_retries():
 def test_listing_and_links(spark, tmp_path):
     for page in (1, 2):
         (tmp_path / f"page{page}.json").write_text(json.dumps({"data": {"result": [{"title": f"시험규정 {page}", "idx": page, "stDate": "2026.01.01"}]}}, ensure_ascii=False), encoding="utf-8")
-    spark.dataSource.register(listing.ListingSource)
-    items = spark.read.format("listing").load(str(tmp_path))
+    items = listing.read_pages(spark, str(tmp_path))
     assert sorted(r.title for r in items.collect()) == ["시험규정 1", "시험규정 2"]
     link = '<a href="/download/rulefiledown.json?fileNo={}" x>{}</a>'
     html = link.format(1, "old.hwp") + link.format(2, " A &amp; B.HWPX")
@@ -86,6 +85,89 @@ def test_listing_and_links(spark, tmp_path):
     assert [(r.title, r.type, r.file_no, r.file_name, r.ext) for r in rows] == [("시험규정 1", "기타", "2", "A & B.HWP", "hwp")]  # the first ending that fits
 
 
+def test_vectors_of_another_index(spark, folder, tmp_path):
+    from lexspark.operators.dense import hashed_encoder
+    from lexspark.plans.api import Corpus, build_vectors
+
+    encode = hashed_encoder()
+    one = lambda q: encode([q])[0].tolist()
+    index = str(tmp_path / "index")
+    corpus.build_index(spark, folder, index)
+    mode = lambda c: c.search_regulation("위원회")[0]["search_mode"]
+    assert mode(Corpus.open(spark, index, one)) == "keyword_fallback"
+    build_vectors(spark, index, encode)
+    marker = tmp_path / "pause"
+    c = Corpus.open(spark, index, one, pause_marker=str(marker))
+    assert c.semantic_error is None and mode(c) == "hybrid"
+    marker.write_text("")
+    assert mode(c) == "keyword_fallback"
+    c.close()
+    assert Corpus.open(spark, index, one, encoder="other").semantic_error == "the vectors were made by another encoder"
+    # the tables change below the vectors
+    articles, attachments = corpus.read_index(spark, index)
+    other = spark.createDataFrame(articles.collect(), articles.schema).withColumn("body", F.lit("새 본문 위원회"))
+    corpus.write_index(other, spark.createDataFrame(attachments.collect(), attachments.schema), index)
+    stale = Corpus.open(spark, index, one)
+    assert stale.semantic_error == "the vectors were built for another index" and mode(stale) == "keyword_fallback"
+    stale.close()
+    corpus.build_index(spark, folder, index)
+    assert not corpus.exists(spark, f"{index}/vectors")
+
+
+def test_swap_puts_the_old_table_back(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    corpus.swap_in(spark.range(3), path, lambda _: None)
+    real = corpus._rename
+
+    def fails(fs, source, target):
+        if str(source.toString()).endswith(".staged"):
+            raise OSError("no")
+        real(fs, source, target)
+
+    monkeypatch.setattr(corpus, "_rename", fails)
+    with pytest.raises(OSError):
+        corpus.swap_in(spark.range(5), path, lambda _: None)
+    assert spark.read.parquet(path).count() == 3
+    monkeypatch.undo()
+    corpus.swap_in(spark.range(5), path, lambda _: None)
+    assert spark.read.parquet(path).count() == 5 and not corpus.exists(spark, f"{path}.old")
+
+
+def test_listing_over_http(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, body, code=200):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def do_POST(self):  # noqa: N802
+            page = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["pageNo"]
+            self.answer(json.dumps({"data": {"result": [{"title": f"규정{page}", "idx": page}], "page": {"totalPage": 3}}}).encode())
+
+        def do_GET(self):  # noqa: N802
+            self.answer(b"content of " + self.path.split("=")[1].encode(), 404 if self.path.endswith("=9") else 200)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    site = f"http://127.0.0.1:{server.server_address[1]}"
+    spark.dataSource.register(listing.ListingSource)
+    rows = spark.read.format("listing").option("payload", '{"apbaId": "x"}').option("retries", "1").load(f"{site}/list.json")
+    assert sorted((r.title, r.idx) for r in rows.collect()) == [("규정1", "1"), ("규정2", "2"), ("규정3", "3")]
+    wanted = spark.createDataFrame([("7", "hwp"), ("9", None)], "file_no string, ext string")
+    got = {r.file_no: r for r in listing.download_files(wanted, site, retries=1).collect()}
+    server.shutdown()
+    assert bytes(got["7"].content) == b"content of 7" and got["9"].content is None and got["9"].error and got["9"].ext == "hwp"
+    (tmp_path / "7.HWP").write_bytes(b"x")
+    have = listing.read_landed(spark, str(tmp_path))
+    assert [(r.file_no, r.ext) for r in have.collect()] == [("7", "hwp")] and [r.file_no for r in listing.landed(wanted, have).collect()] == ["9"]
+
+
 def test_sync(spark, tmp_path):
     n = 120
     resolved = spark.range(n).select(F.concat(F.lit("규정"), "id").alias("title"), F.lit("규정").alias("type"), F.col("id").cast("string").alias("file_no"), F.lit("2026.01.01").alias("revision"), F.col("id").alias("idx"))
@@ -103,6 +185,23 @@ def test_sync(spark, tmp_path):
     assert spark.read.parquet(path).count() == n
 
 
+def test_update_command(spark, tmp_path):
+    pages, n = tmp_path / "pages", 120
+    pages.mkdir()
+    (pages / "1.json").write_text(json.dumps({"data": {"result": [{"title": f"규정{i}", "idx": str(i), "stDate": "2026.01.01"} for i in range(n)]}}, ensure_ascii=False), encoding="utf-8")
+    link = F.concat(F.lit('<a href="/download/rulefiledown.json?fileNo='), "id", F.lit('">'), "id", F.lit(".hwp</a>"))
+    spark.range(n).select(F.col("id").cast("string").alias("idx"), link.alias("html")).write.parquet(f"{tmp_path}/html")
+    spark.range(n).select(F.col("id").cast("string").alias("file_no"), F.lit("# 제1조(가) 나").alias("markdown")).write.parquet(f"{tmp_path}/md")
+    call = ["--index", f"{tmp_path}/index", "update", str(pages), f"{tmp_path}/html", f"{tmp_path}/md", f"{tmp_path}/docs"]
+    assert len(cli.main([*call, "--limit", "3"])["documents"]) == 3 and not (tmp_path / "docs").exists()
+    assert cli.main(call) == {"documents": n, "built": True}
+    assert corpus.read_index(spark, f"{tmp_path}/index")[0].count() == n
+    # documents of another origin stay through an update
+    own = spark.createDataFrame([("내것", "규정", "규정_내것.md", "", "", "local", "# 내것")], "name string, type string, file string, revision string, file_no string, origin string, text string")
+    own.write.mode("append").parquet(f"{tmp_path}/docs")
+    assert cli.main([*call, "--no-build"])["documents"] == n + 1
+
+
 def test_metrics_server():
     server = metrics_server.start_metrics_server(lambda: "x 1\n# EOF\n", 0)
     at = f"http://127.0.0.1:{server.server_address[1]}"

@@ -20,10 +20,14 @@ CAPACITY = 2048
 SLACK = 8
 
 #: Groups that meet at each level of the tree, and underfull sequences that a group hands up.
-#: Best fit leaves at most one sequence of a group half full or less, so few of the others
-#: can still find a partner; the emptiest are handed up, the rest are finished as they are.
+#: Two sequences more than half full never fit together, and best fit leaves a group with at
+#: most one that isn't. So every join at a level takes one of at most FAN_IN such sequences, and at
+#: most FAN_IN of a group's others find a partner there. What fits into any of them fits into the
+#: emptiest, so the emptiest FAN_IN for each of LEVELS levels are all that can ever be joined; more
+#: than FAN_IN ** LEVELS partitions there are not.
 FAN_IN = 8
-HANDED_UP = 512
+LEVELS = 64
+HANDED_UP = FAN_IN * LEVELS
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,16 +102,16 @@ def pack_partitions(docs: DataFrame, path: str | None = None, capacity: int = CA
                 }
             ), len(fill)
 
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                for key, ids in zip(keys[lo:hi], tool.encode(texts[lo:hi]), strict=True):
-                    ids = np.concatenate([ids.astype("<u4"), end])
-                    rows += [(key, k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(pieces_of(len(ids), capacity))]
-                if len(rows) >= LOT:
-                    out, bins = flush()
-                    yield out
-                    rows, first = [], first + bins
+        for batch in slices(batches):
+            found, stops = tool.encode_column(batch.column(1))
+            starts = np.concatenate([[0], stops[:-1]]).tolist()
+            for key, lo, hi in zip(batch.column(0).to_pylist(), starts, stops.tolist(), strict=True):
+                ids = np.concatenate([found[lo:hi].astype("<u4"), end])
+                rows += [(key, k, at, n, zlib.crc32(ids[at : at + n].tobytes())) for k, (at, n) in enumerate(pieces_of(len(ids), capacity))]
+            if len(rows) >= LOT:
+                out, bins = flush()
+                yield out
+                rows, first = [], first + bins
         if rows:
             yield flush()[0]
 
@@ -141,8 +145,9 @@ def merge_level(bins: DataFrame, level: int, capacity: int = CAPACITY) -> DataFr
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
-    Only documents of over ``capacity`` ids are cut. A null or empty text is its end id
-    alone; rows that repeat a document are packed each. Levels of the tree go on until
+    Only documents of over ``capacity`` ids are cut, a very long text into many pieces. A null or
+    empty text is its end id alone; a null id stays null; rows that repeat a document are packed
+    each; pieces of one length are packed in the order they are read. Levels of the tree go on until
     all partitions have met; each handles at most FAN_IN x HANDED_UP bins in a task.
     """
     local = materialize(pack_partitions(docs, path, capacity, doc_id, text), "packed")

@@ -1,24 +1,35 @@
-"""Encoding whole texts with a public tokenizer, quickly: equal pieces are encoded once per worker."""
+"""Token ids of whole texts, exactly as the tokenizers library gives them, with little work for each word.
+
+A text is cut before its single spaces, the words of a slice are told apart in Arrow, and each
+distinct word is encoded once. Ids of words in plain Latin letters are proposed by the tiktoken library,
+whose merging goes by ranks of results and not of pairs, and stand only where the merge rules prove
+them: a sequence of ids is the library's if each neighbouring pair is, and a pair is
+if, with the merges of both undone from the last, no rule joins the two sides earlier. All
+other words, and texts with other white space than single blanks and line ends or with a
+special token's string, are given to the tokenizers library as they are.
+"""
 
 from __future__ import annotations
 
+import functools
+import json
 import os
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Characters that the byte-level pattern treats as white space (fixed values).
-WHITE = "\t-\r \x85\xa0  -     　"
+# What the byte-level pattern treats as white space, and its words.
+WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Between a character that isn't white space and one that is, the byte-level pattern always
-#: ends a word, so such pieces of a text can be encoded on their own.
-SPACES = frozenset(chr(i) for i in range(0x3001) if re.fullmatch(f"[{WHITE}]", chr(i)))
-PIECE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Characters that all libraries class alike; a word of them neither starts nor ends in white space.
+LATIN = "!-~À-ÖØ-öø-ſ"
+PLAIN_WORD = f"^[{LATIN}](?:[\\n {LATIN}]*[{LATIN}])?$"
 
-#: Pieces that a worker remembers: when so many are new, those not met since the last
-#: time are forgotten.
-MEMO_PIECES = 800_000
+#: UTF-8 bytes of the texts that are encoded together, which bounds a worker's memory.
+SLICE_BYTES = 24 << 20
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -27,12 +38,51 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder:
-    """Token ids of whole texts, exactly as ``Tokenizer.encode`` gives them.
+def byte_letters() -> dict[str, int]:
+    """The letter that a byte-level vocabulary writes for each byte: printable bytes stand for themselves, the others follow from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class Merges:
+    """The merge rules of a byte-level vocabulary whose ids follow its rules, and the proof that a pair of ids is its own encoding."""
+
+    def __init__(self, vocabulary: dict[str, int], rules: list[tuple[str, str]], alphabet: int):
+        n = alphabet + len(rules)
+        self.left, self.right = np.arange(n), np.arange(n)
+        for i, (a, b) in enumerate(rules):
+            self.left[alphabet + i], self.right[alphabet + i] = vocabulary[a], vocabulary[b]
+        code = (self.left[alphabet:] << 32) | self.right[alphabet:]
+        order = np.argsort(code)
+        self.codes, self.made = code[order], alphabet + order
+
+    def stands(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the ids a, b side by side are the encoding of their text, if each alone is.
+
+        Merges of both sides are undone from the last. Between two of them the same two
+        ids meet at the border; a rule for these that comes before the next merge would have
+        been used. Of equal rules the one further left goes first.
+        """
+        ok = np.ones(len(a), bool)
+        live, a, b = np.arange(len(a)), a.astype(np.int64), b.astype(np.int64)
+        until = np.full(len(a), 1 << 40)
+        while len(live):
+            code = (a << 32) | b
+            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            joined = (self.codes[at] == code) & (self.made[at] < until)
+            ok[live[joined]] = False
+            first, second = self.left[a] != a, self.left[b] != b  # what can be undone
+            on = ~joined & (first | second)
+            live, a, b, first, second = live[on], a[on], b[on], first[on], second[on]
+            undo = first & (~second | (a > b))
+            until = np.where(undo, a, b + 1)
+            a, b = np.where(undo, self.right[a], a), np.where(undo, b, self.left[b])
+        return ok
+
 
-    For byte-level tokenizers. A text that holds a special token's string is given
-    to the library whole, so that its default handling applies.
-    """
+class PieceEncoder:
+    """Token ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -43,62 +93,151 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        #: bytes that each id stands for; byte-level vocabularies write a letter for a byte
-        self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
+        self.fast = self._proposer(path)
+
+    def _proposer(self, path: str):
+        """The proposing library, set up with the same vocabulary; None for a file whose rules the proof doesn't cover."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        model, first = parts["model"], parts["pre_tokenizer"] or {}
+        plain = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not parts["normalizer"]
+        odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+        if model.get("type", "BPE") != "BPE" or not plain or any(model.get(k) for k in odd):
+            return None
+        vocabulary, alphabet = model["vocab"], byte_letters()
+        rules = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        if len(vocabulary) != 256 + len(rules) or any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(rules)) or any(vocabulary.get(c, 256) > 255 for c in alphabet):
+            return None
+        self.merges = Merges(vocabulary, rules, 256)
+        self.widths = np.zeros(len(vocabulary), np.int64)
+        for token, i in vocabulary.items():
             self.widths[i] = len(token)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # ids that are the encoding of their own text; the others never prove a word
+        self.own = np.array([[t.id for t in self.tokenizer.model.tokenize(token)] == [i] for token, i in sorted(vocabulary.items(), key=lambda x: x[1])])
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in vocabulary.items()}
+        return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """One array of ids per text; a null text is empty."""
-        texts = [t or "" for t in texts]
-        pieces = [PIECE.findall(t) for t in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo, self.older = {}, self.memo
-        missing = set().union(*pieces).difference(self.memo)
-        known = missing.intersection(self.older)
-        self.memo.update(zip(known, map(self.older.__getitem__, known), strict=True))
-        self._learn(list(missing - known))
-        get = self.memo.__getitem__
-        out = [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in pieces]
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one text: each starts with white space and the one before doesn't end in it."""
-        whole = [p for p in pieces if p[0] in SPACES and p[-1] not in SPACES and not any(s in p for s in self.special)]
-        for at in range(0, len(whole), 1024):
-            part = whole[at : at + 1024]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, self.dtype)
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in part])
-            cuts = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1) * self.dtype.itemsize
-            data = ids.tobytes()
-            self.memo.update(zip(part, [data[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)], strict=True))
-        for piece in set(pieces).difference(whole):
-            self.memo[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-
-
-_encoders: dict[str, PieceEncoder] = {}
-
-
+        ids, ends = self.encode_column(pa.array([t or "" for t in texts], pa.string()))
+        return np.split(ids, ends[:-1]) if len(ends) else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end); a null text is empty."""
+        texts = pc.fill_null(texts, "")
+        if self.fast is None or not len(texts):
+            return self._joined([np.array(x, self.dtype) for x in self._library(texts.to_pylist())])
+        cut = pc.split_pattern(texts, " ")
+        starts = cut.offsets.to_numpy().astype(np.int64)
+        told = cut.flatten().dictionary_encode()
+        words, place = told.dictionary, told.indices.to_numpy().astype(np.int64)
+        heads = starts[:-1]
+        # a blank before white space, or before nothing, doesn't start a word: such texts go to the library whole
+        odd = pc.or_(pc.equal(words, ""), pc.match_substring_regex(words, f"^[{WHITE}]")).to_numpy(zero_copy_only=False)
+        later = odd[place]
+        later[heads] = False
+        whole = np.add.reduceat(later, heads) > 0
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        # units: each word with the blank before it, then each text's first word or the whole text
+        ids, lengths = self._words(words.filter(pa.array(~odd)), " ")
+        unit_lengths = np.zeros(len(words) + len(texts) + 1, np.int64)
+        unit_lengths[:-1][: len(words)][~odd] = lengths
+        firsts = words.take(pa.array(place[heads]))
+        own, own_lengths = self._words(firsts.filter(pa.array(~whole)), "")
+        unit_lengths[len(words) : -1][~whole] = own_lengths
+        units = np.where(np.repeat(whole, np.diff(starts)), len(words) + len(texts), place)
+        units[heads] = len(words) + np.arange(len(texts))
+        if whole.any():
+            given = [np.array(x, self.dtype) for x in self._library(texts.filter(pa.array(whole)).to_pylist())]
+            unit_lengths[len(words) : -1][whole] = [len(x) for x in given]
+            parts = iter(np.split(own, np.cumsum(own_lengths)[:-1]) if len(own_lengths) else [])
+            texts_left = iter(given)
+            own = np.concatenate([next(texts_left) if w else next(parts) for w in whole.tolist()])
+        pool = np.concatenate([ids, own])
+        unit_starts = np.concatenate([[0], np.cumsum(unit_lengths)[:-1]])
+        sizes = unit_lengths[units]
+        ends = np.cumsum(sizes)
+        shift = (unit_starts[units] - (ends - sizes)).astype(np.int32 if len(pool) + int(ends[-1]) < 1 << 31 else np.int64)
+        gather = np.repeat(shift, sizes)
+        gather += np.arange(len(gather), dtype=gather.dtype)
+        return pool[gather], ends[starts[1:] - 1]
+
+    def _words(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, with ``before`` ahead of each; how many each has)."""
+        n = len(words)
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        plain = pc.match_substring_regex(words, PLAIN_WORD).to_numpy(zero_copy_only=False)
+        lengths = np.zeros(n, np.int64)
+        proposed = np.zeros(0, self.dtype)
+        if plain.any():
+            some = words.filter(pa.array(plain))
+            # a word starts with its blank; first words are kept apart by line ends, which are ids of their own
+            mark = before or "\n"
+            joined = mark + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), mark)[0].as_py()
+            found = self.fast.encode_to_numpy(joined).astype(np.int64)
+            stops = np.cumsum(self.widths[found])
+            ends = np.cumsum(pc.binary_length(some).to_numpy().astype(np.int64) + 1)
+            last = np.searchsorted(stops, ends)
+            proven = stops[np.minimum(last, len(stops) - 1)] == ends
+            counts = np.diff(last + 1, prepend=0)
+            word_of = np.repeat(np.arange(len(some)), counts)
+            pairs = (found[:-1] << 32) | found[1:]
+            kinds = np.unique(pairs)
+            bad = kinds[~self.merges.stands(kinds >> 32, kinds & 0xFFFFFFFF)]
+            for at in (np.flatnonzero(np.isin(pairs, bad)) if len(bad) else []), np.flatnonzero(~self.own[found]):
+                proven[word_of[at]] = False
+            if not before:
+                firsts = last - counts + 1
+                proven &= self.widths[found[firsts]] == 1
+                keep = np.ones(len(found), bool)
+                keep[firsts] = False
+                found, word_of, counts = found[keep], word_of[keep], counts - 1
+            proposed = found[proven[word_of]].astype(self.dtype)
+            plain[np.flatnonzero(plain)[~proven]] = False
+            lengths[plain] = counts[proven]
+        if plain.all():
+            return proposed, lengths
+        others = self._library([before + w for w in words.filter(pa.array(~plain)).to_pylist()])
+        lengths[~plain] = [len(x) for x in others]
+        ids = np.zeros(int(lengths.sum()), self.dtype)
+        from_library = np.repeat(~plain, lengths)
+        ids[~from_library] = proposed
+        ids[from_library] = np.concatenate([np.array(x, self.dtype) for x in others])
+        return ids, lengths
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.concatenate(arrays) if arrays else np.zeros(0, self.dtype)
+        return ids, np.cumsum([len(a) for a in arrays], dtype=np.int64)
+
+
+@functools.cache
 def encoder(path: str) -> PieceEncoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
-
-
-def slices(texts: list, most: int = 1 << 21):
-    """(from, to) of consecutive texts of at most about ``most`` characters together, one text at least."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
-        if i > start and size + n > most:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+    return PieceEncoder(path)
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about ``most`` bytes of the text column, one row at least; small batches become one."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start, done = 0, 0
+        while start < batch.num_rows:
+            stop = max(start + (not held), int(np.searchsorted(ends, done + most - size, "right")))
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1]) - done
+            if stop < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            start, done = stop, int(ends[stop - 1]) if stop else 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]

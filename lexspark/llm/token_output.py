@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,97 +32,119 @@ from .tokens import encoder, slices, tokenizer_path
 MAGIC = b"LXRP"
 HEADER = struct.Struct("<4sHHIIIII")
 
-#: Most rules of a round, about, and least number of times a pair occurs to get a rule.
-RULES_PER_ROUND = 3000
+#: Least number of times a pair occurs in a shard to get a rule. A rule takes 12 bytes and saves
+#: at least two for each of its places.
 LEAST_COUNT = 16
 
 #: Ids of a shard; a partition is cut into shards of about so many, which bounds memory.
-SHARD_IDS = 1 << 22
-
-HASH_BITS = 20
-
-
-def _frequent_pairs(left: np.ndarray, right: np.ndarray, usable: np.ndarray, most: int, narrow: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(places of frequent pairs, their codes), for the ``most`` most frequent pairs at most.
-
-    Pairs are counted in hashed bins first; only those in full bins are counted exactly.
-    """
-    if narrow:
-        code = (left << np.uint32(16)) | right
-        bins = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
-    else:
-        code = (left.astype(np.uint64) << np.uint64(32)) | right
-        bins = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)
-    bins = bins.astype(np.int64)
-    counts = np.bincount(bins, minlength=1 << HASH_BITS)
-    if most < len(counts):
-        least = max(LEAST_COUNT, int(np.partition(counts, len(counts) - most)[len(counts) - most]))
-    else:
-        least = LEAST_COUNT
-    at = np.flatnonzero(usable & (counts[bins] >= least))
-    return at, code[at]
-
-
-def _most_frequent_places(at: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those places whose pair is often enough and no rarer than the pairs that overlap it; ties go by code."""
-    # a run of one pair overlaps itself: only every other of its places counts
-    fresh = np.ones(len(at), bool)
-    fresh[1:] = (at[1:] != at[:-1] + 1) | (code[1:] != code[:-1])
-    run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-    apart = (np.arange(len(at)) - run) % 2 == 0
-    kinds, which = np.unique(code, return_inverse=True)
-    counts = np.bincount(which, apart, len(kinds)).astype(np.int64)
-    rank = np.empty(len(kinds), np.int64)
-    rank[np.lexsort((kinds, counts))] = np.arange(len(kinds))
-    often = counts[which] >= LEAST_COUNT
-    at, code, own = at[often], code[often], rank[which[often]]
-    top = np.ones(len(at), bool)
-    near = at[1:] == at[:-1] + 1
-    top[1:] &= ~near | (own[1:] >= own[:-1])
-    top[:-1] &= ~near | (own[:-1] >= own[1:])
-    return at[top], code[top]
+SHARD_IDS = 1 << 20
+
+#: Pairs are counted in 2 ** HASH_BITS bins first, and only those in full bins exactly.
+HASH_BITS = 18
+
+
+def _bins(code: np.ndarray) -> np.ndarray:
+    """A bin for each pair code of 32 or 64 bits."""
+    if code.dtype == np.uint32:
+        return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)).astype(np.int64)
+    return ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
+def _every_other(joined: np.ndarray) -> np.ndarray:
+    """Places to keep where ``joined`` marks those that overlap the place before: every other of a run, the first included."""
+    place = np.arange(len(joined))
+    return np.flatnonzero((place - np.maximum.accumulate(np.where(joined, 0, place))) % 2 == 0)
+
+
+class Symbols:
+    """A shard's symbols as a linked list, in which pairs are replaced in place."""
+
+    def __init__(self, symbols: np.ndarray, ends: np.ndarray):
+        n = len(symbols)
+        self.symbol, self.ends, self.dead = symbols.astype(np.uint32), ends.copy(), np.zeros(n, bool)
+        self.next, self.last = np.arange(1, n + 1), np.arange(-1, n - 1)
+        #: where a pair may begin that a rule could still take
+        self.at = np.flatnonzero(~self.ends)
+
+    def frequent(self, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, pair codes) of pairs in full bins, overlaps with themselves left out, and the bins. Only pairs
+        next to a replaced one, and those that were frequent before, can be frequent, so only ``at`` is looked at."""
+        code = self.symbol[self.at]
+        if half == 32:
+            code = code.astype(np.uint64)
+        code = (code << code.dtype.type(half)) | self.symbol[self.next[self.at]]
+        bins = _bins(code)
+        hot = np.flatnonzero((np.bincount(bins, minlength=1 << HASH_BITS) >= LEAST_COUNT)[bins])
+        at, code, bins = self.at[hot], code[hot], bins[hot]
+        again = (self.next[at[:-1]] == at[1:]) & (code[1:] == code[:-1])
+        if again.any():
+            apart = _every_other(np.append(False, again))
+            at, code, bins = at[apart], code[apart], bins[apart]
+        return at, code, bins
+
+    def replace(self, chosen: np.ndarray, by: np.ndarray, waiting: list[np.ndarray]) -> None:
+        """Put ``by`` in the place of the pairs at ``chosen``; look next at these, at what is ahead of them, and at those that wait."""
+        gone = self.next[chosen]
+        follow = self.next[gone]
+        self.symbol[chosen], self.ends[chosen], self.next[chosen] = by, self.ends[gone], follow
+        self.dead[gone] = True
+        inside = follow < len(self.symbol)
+        self.last[follow[inside]] = chosen[inside]
+        ahead = self.last[chosen]
+        look = np.zeros(len(self.symbol), bool)
+        for at in (chosen, ahead[ahead >= 0], *waiting):
+            look[at] = True
+        at = np.flatnonzero(look)
+        self.at = at[~(self.dead[at] | self.ends[at])]
 
 
 def repair(symbols: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Grammar-compress ids: (symbols, ends, pairs[rules, 2], rules of each round).
 
-    ``ends`` marks the last id of each document. In each round frequent pairs get a
-    nonterminal and are replaced from the left, overlaps excluded. Where that leaves none
-    often enough, overlaps go to the more frequent pair, so it ends only when no pair occurs
-    LEAST_COUNT times apart from overlaps with itself.
+    ``ends`` marks the last id of each document; no pair goes across. A round gives every frequent
+    pair a nonterminal and replaces it wherever no more frequent pair overlaps it (ties go by
+    code). It ends only when no pair occurs LEAST_COUNT times apart from overlaps with itself.
     """
-    symbols, ends = symbols.astype(np.uint32), ends.copy()
-    pairs, sizes, after = [], [], base
-    while len(symbols) > 1:
-        narrow = after <= 1 << 16
-        for most in (RULES_PER_ROUND, 1 << HASH_BITS):
-            at, code = _frequent_pairs(symbols[:-1], symbols[1:], ~ends[:-1], most, narrow)
-            if most > RULES_PER_ROUND:
-                at, code = _most_frequent_places(at, code)
-            # of places next to each other, every other one from the left of each run
-            fresh = np.ones(len(at), bool)
-            fresh[1:] = at[1:] != at[:-1] + 1
-            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-            chosen = (np.arange(len(at)) - run) % 2 == 0
-            at, code = at[chosen], code[chosen]
-            kinds, which, counts = np.unique(code, return_inverse=True, return_counts=True)
-            keep = counts >= LEAST_COUNT
-            if keep.any():
-                break
-        else:
+    own = Symbols(symbols, ends)
+    pairs, sizes, made = [], [], base
+    while len(own.at):
+        half = 16 if made <= 1 << 16 else 32
+        at, code, bins = own.frequent(half)
+        ordered = np.sort(code)
+        heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+        counts = np.diff(np.append(heads, len(ordered)))
+        often = counts >= LEAST_COUNT
+        if not often.any():
             break
-        number = np.cumsum(keep) - 1
-        at, which = at[keep[which]], which[keep[which]]
-        symbols[at] = after + number[which]
-        ends[at] = ends[at + 1]
-        left = np.ones(len(symbols), bool)
-        left[at + 1] = False
-        symbols, ends = symbols[left], ends[left]
-        rules, half = kinds[keep].astype(np.uint64), np.uint64(16 if narrow else 32)
-        pairs.append(np.stack([rules >> half, rules & ((np.uint64(1) << half) - np.uint64(1))], 1).astype(np.uint32))
+        kinds = ordered[heads[often]]
+        by_count = np.argsort(counts[often], kind="stable")
+        rank = np.empty(len(kinds), np.int64)
+        rank[by_count] = np.arange(len(kinds))
+        # of the frequent pairs in one bin the most frequent is found there; the others wait for a later round
+        table = np.full(1 << HASH_BITS, -1, np.int64)
+        table[_bins(kinds[by_count])] = by_count
+        kind = table[bins]
+        found = (kind >= 0) & (kinds[kind] == code)
+        other = np.flatnonzero(~found)
+        waiting = at[other[kinds[np.minimum(np.searchsorted(kinds, code[other]), len(kinds) - 1)] == code[other]]]
+        found = np.flatnonzero(found)
+        at, kind = at[found], kind[found]
+        place = rank[kind]
+        near = own.next[at[:-1]] == at[1:]
+        top = np.ones(len(at), bool)
+        top[1:] &= ~near | (place[1:] >= place[:-1])
+        top[:-1] &= ~near | (place[:-1] >= place[1:])
+        good = np.bincount(kind[top], minlength=len(kinds)) >= LEAST_COUNT
+        top &= good[kind]
+        chosen = np.flatnonzero(top)
+        number = (np.cumsum(good) - 1 + made).astype(np.uint32)
+        own.replace(at[chosen], number[kind[chosen]], [at[~top], waiting])
+        rules = kinds[good].astype(np.uint64)
+        pairs.append(np.stack([rules >> np.uint64(half), rules & np.uint64((1 << half) - 1)], 1).astype(np.uint32))
         sizes.append(len(rules))
-        after += len(rules)
-    return symbols, ends, np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint32), np.array(sizes, np.uint32)
+        made += len(rules)
+    left = ~own.dead
+    return own.symbol[left], own.ends[left], np.concatenate(pairs) if pairs else np.zeros((0, 2), np.uint32), np.array(sizes, np.uint32)
 
 
 def expand(symbols: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
@@ -196,20 +219,61 @@ class Payload:
         return expand(self.symbols.astype(np.uint32), self.pairs, self.sizes, self.base)
 
 
+ENCODED = "part int, doc_id long, ids binary"
 SHARDS = "partition int, shard int, n_ids long, payload binary"
 
+#: Stands for a missing id, before all others.
+NO_ID = -(2**63)
+
+
+def id_bounds(docs: DataFrame, partitions: int, doc_id: str = "doc_id") -> list[int]:
+    """At most ``partitions`` - 1 ids that cut the table into parts of about one size; an id that fills parts of its own comes more than once."""
+    if partitions < 2:
+        return []
+    ids = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).cast("double").alias("id"))
+    return [int(min(x, 2.0**63 - 1024)) for x in ids.approxQuantile("id", [i / partitions for i in range(1, partitions)], 1 / (8 * partitions))]
+
+
+def encode_documents(docs: DataFrame, bounds: list[int], path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+    """(part, doc_id, ids): each document's ids with ``end_id`` after them, and the part of the id order it belongs to.
+
+    Equal ids that fill several parts are dealt to them by a checksum of their ids.
+    """
+    path = path or tokenizer_path()
+    cuts = np.array(bounds, np.int64)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = encoder(path)
+        for batch in slices(batches):
+            found, ends = tool.encode_column(batch.column(1))
+            keys = pc.fill_null(batch.column(0), NO_ID).to_numpy(zero_copy_only=False)
+            width = tool.dtype.itemsize
+            closed = np.insert(found, ends, np.array(end_id, tool.dtype)) if len(ends) else found
+            stops = (ends + np.arange(1, len(ends) + 1)) * width
+            data = closed.tobytes()
+            starts = np.concatenate([[0], stops[:-1]])
+            first, last = np.searchsorted(cuts, keys, "left"), np.searchsorted(cuts, keys, "right")
+            part = first.copy()
+            for i in np.flatnonzero(last > first).tolist():
+                part[i] += zlib.crc32(data[starts[i] : stops[i]]) % (last[i] - first[i] + 1)
+            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(np.append(0, stops).astype(np.int64)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(keys), binary.cast(pa.binary())], ["part", "doc_id", "ids"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, ENCODED)
+
 
 def encode_shards(docs: DataFrame, partitions: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """Rows (partition, shard, n_ids, payload): the documents in ascending id order, ``end_id`` after each.
 
-    A range partitioning puts documents in order across partitions; a partition is cut
-    into shards of about SHARD_IDS ids, the last document of each whole. A null text is
-    empty, a null id sorts first and is stored as the least long; rows that repeat an
-    id stay, in any order among themselves.
+    Texts are encoded where they are read, and ids go to the part of the id order that they belong
+    to; a part is cut into shards of about SHARD_IDS ids, the last document of each whole. A null
+    text is empty, a null id sorts first and is stored as the least long; rows that repeat an
+    id stay, in the order of their ids as bytes within a part. A very long text is one
+    document of one shard.
     """
     path = path or tokenizer_path()
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, partition, shard = encoder(path), TaskContext.get().partitionId(), 0
         base = tool.tokenizer.get_vocab_size()
         names: list[int] = []
@@ -222,23 +286,19 @@ def encode_shards(docs: DataFrame, partitions: int, path: str | None = None, doc
                 {"partition": pa.array([partition], pa.int32()), "shard": pa.array([shard], pa.int32()), "n_ids": pa.array([held], pa.int64()), "payload": pa.array([payload], pa.binary())}
             )
 
-        end = np.array([end_id], tool.dtype)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
-                for key, ids in zip(keys[lo:hi], tool.encode(texts[lo:hi]), strict=True):
-                    names.append(-(2**63) if key is None else key)
-                    arrays.append(np.concatenate([ids, end]))
-                    held += len(ids) + 1
-                    if held >= SHARD_IDS:
-                        yield flush()
-                        names, arrays, held, shard = [], [], 0, shard + 1
+            for key, data in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                names.append(key)
+                arrays.append(np.frombuffer(data, tool.dtype))
+                held += len(arrays[-1])
+                if held >= SHARD_IDS:
+                    yield flush()
+                    names, arrays, held, shard = [], [], 0, shard + 1
         if names:
             yield flush()
 
-    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = ordered.repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(encode, SHARDS)
+    encoded = encode_documents(docs, id_bounds(docs, partitions, doc_id), path, doc_id, text, end_id)
+    return encoded.repartitionById(partitions, "part").sortWithinPartitions("doc_id", "ids").mapInArrow(write, SHARDS)
 
 
 DOCUMENTS = "partition int, shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"

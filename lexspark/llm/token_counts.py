@@ -39,6 +39,8 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AT_SPACE, AT_BLANK, AT_QUOTE, QR, QV,
 #: What a transition marks as the start of a word: this character, the one before, both or none.
 NONE, HERE, BEFORE, BOTH = range(4)
 
+#: UTF-8 bytes of the texts that are split together.
+SLICE_BYTES = 1 << 19
 CHUNK = 256
 MEMO_WORDS = 300_000
 MOST_STATES = 250_000
@@ -318,15 +320,17 @@ COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of every row; a null text is empty. No shuffle."""
+    """(doc_id, n_bytes, n_tokens, over_limit) of every row. No shuffle.
+
+    A null text is empty, with no token; a null id stays null; rows that repeat are counted
+    each. A very long text is one slice of its own.
+    """
     path = path or tokenizer_path()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [n for lo, hi in slices(texts, 1 << 19) for n in tool.counts(texts[lo:hi])]
-            n = np.array(found, np.int64)
+        for batch in slices(batches, most=SLICE_BYTES):
+            n = np.array(tool.counts(batch.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     plain = docs.select(

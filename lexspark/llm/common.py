@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
+import re
 import uuid
 
 import numpy as np
@@ -23,13 +25,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: what ``spark.checkpoint.dir`` names.
 
-    It is what ``spark.checkpoint.dir`` names; only where that is unset (a
-    single-machine test) is a folder under /tmp chosen and set.
+    Only where that is unset in a session of one machine (a test) is a folder under /tmp chosen and
+    set; on a cluster each executor would write to a disk of its own, so that is a RuntimeError.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file:///tmp/lexspark-{uuid.uuid4().hex[:12]}"
         spark.conf.set("spark.checkpoint.dir", folder)
         delete_on_exit(spark, folder)
@@ -42,19 +47,50 @@ def delete_on_exit(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+#: Paths written inside each open :func:`scratch`, the innermost last.
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that :func:`materialize` writes inside are deleted at the end, but for those it is told to keep.
+
+    What leaves the block must be kept, or depend on kept tables only.
+    """
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage in a way that survives lost executors: later stages read
-    complete files, never one executor's blocks.
+    complete files, never one executor's blocks. Inside a :func:`scratch` the table
+    goes with it; with ``keep``, with the scratch around that one, if any, or with the session.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     delete_on_exit(spark, path)
+    owners = _scratch[:-1] if keep else _scratch
+    if owners:
+        owners[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the table doesn't have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts; one cheap aggregate over one column."""
     return int(docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0)

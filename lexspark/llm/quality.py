@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -9,11 +11,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of the sample on which costs and selectivities are estimated; the driver holds these
-#: few texts. They only order the rules.
-SAMPLE_ROWS = 500
+from .common import materialize, scratch
 
-SPACE = "[\\x20\\x09-\\x0D]"
+#: The sample on which costs and selectivities are estimated: so many rows of so many of the input's
+#: files, texts of up to so many bytes. It only orders the rules, and never reaches the driver.
+SAMPLE_ROWS, SAMPLE_FILES, SAMPLE_TEXT_BYTES = 2000, 8, 1 << 16
+
+#: Times that a rule's cost is measured; the least counts.
+MEASURED = 3
 
 
 @dataclass(frozen=True)
@@ -26,11 +31,20 @@ class Rule:
 
 def words_of(text: Column) -> Column:
     """Runs of characters other than ASCII white space; null or blank text: no words."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(without(text, WHITE[1:], " "), " "), "")
 
 
 WHITE = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def without(text: Column, letters: str, by: str = "") -> Column:
+    """The text, empty if null, with each of some ASCII characters replaced: a byte search each, faster than a pattern."""
+    out = F.coalesce(text, F.lit(""))
+    for c in letters:
+        out = F.replace(out, F.lit(c), F.lit(by))
+    return out
 
 
 def hold(df: DataFrame, **columns: Column) -> DataFrame:
@@ -44,17 +58,16 @@ def hold(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(F.coalesce(text, F.lit("")), WHITE, "")).cast("long")
+    return F.length(without(text, WHITE)).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long")
+    return (F.length(F.coalesce(text, F.lit(""))) - F.length(without(text, SYMBOLS))).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(WHITE)) != "")
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
@@ -76,7 +89,7 @@ def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     windows = F.transform(F.slice("_hashes", 1, F.greatest(n - 2, F.lit(0))), window)
     step = hold(step, _windows=F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")))
     # Sorted (hash, place) pairs only where some window is repeated at all.
-    pairs = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    pairs = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     step = hold(step, _pairs=F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), pairs))
     same = lambda p, i: (F.get("_pairs", i - 1)["h"] == p["h"]) | (F.get("_pairs", i + 1)["h"] == p["h"])
     places = F.transform(F.filter("_pairs", lambda p, i: F.coalesce(same(p, i), F.lit(False))), lambda p: p["i"])
@@ -92,77 +105,115 @@ def base_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return step.drop("_hashes", "_windows", "_pairs")
 
 
+def n_upper(text: Column) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{CAPITALS}]+", ""))
+
+
+def n_lines(text: Column) -> Column:
+    return F.size(F.split(F.coalesce(text, F.lit("")), "\n"))
+
+
 def standard_rules(text: str = "text") -> list[Rule]:
-    """Rules on the columns of :func:`base_stats`; all in whole numbers, so SQL agrees exactly.
+    """Rules beside the base ones, on the columns of :func:`base_stats` and, where those don't do, on the text.
 
-    Each has a wide margin: running prose passes all of them.
+    All in whole numbers, so SQL agrees exactly. Each has a wide margin: running prose passes all of them.
     """
     c = F.col
     return [
-        Rule("few_words", c("n_words") < 50),
-        Rule("repetition", 100 * c("n_repeat_words") > 50 * c("n_words")),
         Rule("word_length", (c("word_chars") > 12 * c("n_words")) | (c("word_chars") < 2 * c("n_words"))),
         Rule("symbols", 100 * c("n_symbols") > 25 * c("n_words")),
-        Rule("dup_lines", 100 * c("n_dup_lines") > 30 * F.size(F.split(F.coalesce(c(text), F.lit("")), "\n"))),
-        Rule("shouting", 100 * F.length(F.regexp_replace(F.coalesce(c(text), F.lit("")), "[^A-Z]+", "")) > 40 * c("word_chars")),
+        Rule("dup_lines", 100 * c("n_dup_lines") > 30 * n_lines(c(text))),
+        Rule("shouting", 100 * n_upper(c(text)) > 40 * c("word_chars")),
     ]
 
 
-def text_rules(text: str = "text") -> list[Rule]:
-    """The same rules written on the text itself, so that a rule not reached is not computed."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    words = F.size(words_of(t))
-    upper = F.length(F.regexp_replace(t, "[^A-Z]+", ""))
+def text_rules(text: str = "text", words: str = "words") -> list[Rule]:
+    """The same rules and the base's least number of words, on the text itself and its number of words, so that a rule not reached is not computed."""
+    t, n = F.col(text), F.col(words)
     return [
-        Rule("few_words", words < 50),
-        Rule("word_length", (word_chars(t) > 12 * words) | (word_chars(t) < 2 * words)),
-        Rule("symbols", 100 * n_symbols(t) > 25 * words),
-        Rule("dup_lines", 100 * n_dup_lines(t) > 30 * F.size(F.split(t, "\n"))),
-        Rule("shouting", 100 * upper > 40 * word_chars(t)),
+        Rule("few_words", n < 50),
+        Rule("word_length", (word_chars(t) > 12 * n) | (word_chars(t) < 2 * n)),
+        Rule("symbols", 100 * n_symbols(t) > 25 * n),
+        Rule("dup_lines", 100 * n_dup_lines(t) > 30 * n_lines(t)),
+        Rule("shouting", 100 * n_upper(t) > 40 * word_chars(t)),
     ]
 
 
-def order_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejected share per cost, best first, as measured on a bounded sample.
+def sample_of(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text) of some rows, written: those of the least hashes in files that are chosen by a hash of their names.
 
-    The cost of a rule is the time an aggregate over it takes on the sample; its
-    selectivity the share of the sample that it rejects. The order never changes
-    which documents are kept: a document is kept if no rule rejects it.
+    Only the chosen files are read. A table that isn't read from files is sampled as a whole.
+    Texts are taken whole, those of over SAMPLE_TEXT_BYTES left out.
+    """
+    files = docs.inputFiles()
+    some = docs
+    if len(files) > SAMPLE_FILES:
+        names = {f.rpartition("/")[2] for f in files}
+        chosen = sorted(names, key=lambda f: hashlib.md5(f.encode()).digest())[:SAMPLE_FILES]
+        some = docs.filter(F.col("_metadata.file_name").isin(chosen))
+    some = some.select(F.col(text).alias(text)).filter(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_TEXT_BYTES)
+    return materialize(some.orderBy(F.xxhash64(text)).limit(rows), "rule-sample")
+
+
+def order_rules(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
+    """Rules by rejected share per cost, best first, as measured on a bounded, written sample.
+
+    The cost of a rule is what an aggregate over it takes beyond one that only reads the sample, the
+    least of some runs, to the next power of two, so that chance seldom decides; ties keep
+    the given order. Selectivity is the share of the sample that it rejects. The order
+    never changes which documents are kept: a document is kept if no rule rejects it. An empty
+    sample keeps the given order.
     """
-    rows = docs.take(sample_rows)  # reads as few partitions as it needs
+    columns = [F.bit_xor(F.xxhash64(c)) for c in sample.columns]
+
+    def seconds(*aggregates: Column) -> tuple[float, int, int]:
+        best, row = float("inf"), None
+        for _ in range(MEASURED):
+            began = time.perf_counter()
+            row = sample.agg(F.count("*"), *columns, *aggregates).first()
+            best = min(best, time.perf_counter() - began)
+        return best, row[0], row[-1] or 0
+
+    read, rows, _ = seconds()
     if not rows:
         return list(rules)
-    sample = docs.sparkSession.createDataFrame(rows, docs.schema).coalesce(1)
     rated = []
     for place, rule in enumerate(rules):
-        began = time.perf_counter()
-        rejected = sample.agg(F.sum(F.coalesce(rule.fails, F.lit(False)).cast("int"))).first()[0] or 0
-        cost = max(time.perf_counter() - began, 1e-4)
-        rated.append((-(rejected / len(rows)) / cost, place, rule))
+        taken, _, rejected = seconds(F.sum(F.coalesce(rule.fails, F.lit(False)).cast("long")))
+        cost = math.ceil(math.log2(max(taken - read, LEAST_COST) / LEAST_COST))
+        rated.append((-rejected / 2**cost, place, rule))
     return [rule for _, _, rule in sorted(rated, key=lambda x: x[:2])]
 
 
-def cascade(docs: DataFrame, rules: Sequence[Rule], verdict: str = "failed_rule") -> DataFrame:
+#: Differences in seconds below this are not told apart.
+LEAST_COST = 0.02
+
+
+def cascade(docs: DataFrame, rules: Sequence[Rule], verdict: str = "failed_rule", when: Column | None = None) -> DataFrame:
     """Adds the name of the first rule, in the given order, that rejects a row; null: none does.
 
-    One CASE expression: a branch is evaluated only if those before it were false.
-    A rule that is null for a row (a null column) doesn't reject it.
+    One CASE expression: a branch is evaluated only if those before it were false, and none where
+    ``when`` isn't true. A rule that is null for a row (a null column) doesn't reject it.
     """
     out = F.lit(None).cast("string")
     for rule in reversed(list(rules)):
         out = F.when(F.coalesce(rule.fails, F.lit(False)), F.lit(rule.name)).otherwise(out)
-    return docs.withColumn(verdict, out)
+    return docs.withColumn(verdict, out if when is None else F.when(when, out))
 
 
 def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """All counts of every document, the base verdict and the cascade's.
 
-    Empty and null texts have no words, so they fail. Repeated rows are judged alike.
+    The counts are wanted of every document; the rules beside them are reached only by documents that
+    the base passes, in the order measured on a sample that has the counts too.
+    Empty and null texts have no words, so they fail. Repeated rows are judged alike, a null key
+    stays null, and a very long text is one row.
     """
-    stats = base_stats(docs.select(key, text), text)
-    rules = order_rules(stats, standard_rules(text), sample_rows)
-    judged = cascade(stats, rules)
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    with scratch(docs.sparkSession):
+        sample = materialize(base_stats(sample_of(docs, text, sample_rows), text).filter(~base_failed), "rule-sample-counts")
+        rules = order_rules(sample, standard_rules(text))
+    judged = cascade(base_stats(docs.select(key, text), text), rules, when=~base_failed)
     return judged.select(
         key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), (~base_failed & F.col("failed_rule").isNull()).alias("kept"),
@@ -172,11 +223,16 @@ def quality_report(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
 def quality_filter(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that no rule rejects, columns unchanged, whatever their names.
 
-    The cheap rules run on the text itself in the measured order; the counts that
-    need every word's windows are computed only for the rows those leave.
+    The rules run on the text itself in the measured order, so a rule after the first that rejects is not
+    computed; what needs every word's windows comes last, for the rows those leave. A null or
+    blank text has too few words and goes; of rows that repeat all go or stay; a
+    very long text is one row.
     """
-    held = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    cheap = order_rules(held.select("_text"), text_rules("_text"), sample_rows)
-    left = cascade(held, cheap, "_failed").filter(F.col("_failed").isNull())
-    counted = base_stats(left.select("_row", "_text"), "_text")
-    return counted.filter(100 * F.col("n_repeat_words") <= 50 * F.col("n_words")).select("_row.*")
+    counted = lambda df: hold(df, _words=F.size(words_of(F.col("_text"))))
+    with scratch(docs.sparkSession):
+        sample = sample_of(docs.select(F.col(text).alias("_text")), "_text", sample_rows)
+        order = order_rules(materialize(counted(sample), "rule-sample-counts"), text_rules("_text", "_words"))
+    held = counted(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")))
+    left = cascade(held, order, "_failed").filter(F.col("_failed").isNull())
+    repeated = base_stats(left.select("_row", "_text"), "_text")
+    return repeated.filter(100 * F.col("n_repeat_words") <= 50 * F.col("n_words")).select("_row.*")

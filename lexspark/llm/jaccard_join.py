@@ -5,19 +5,23 @@ bit. The Hamming distance of two sketches is at most the size of the symmetric d
 of the sets. Sets whose similarity reaches t and whose sizes are a <= b have b <= a / t and
 differ in at most a (1 - t) / t shingles; with sizes in bands whose edges grow by 1 / t, a
 band and the next are joined as one group under one bound D. A group's sketches are cut
-into B > D words of 64 bits: a pair within the bound has at least B - D equal words, so it
-meets in at least one (pigeonhole). B - D is above the number of a document's empty words
-as a rule, and then only words with content need to be joined; documents with as many empty
-words as that join on them too. Pairs that meet are verified on the exact sets.
-
-Equal sets are one class, joined through its least member. Sets that meet in a small bucket
-are compared pair by pair. In a large one, where many near copies meet, whole sketches are
-compared within the bucket, and only pairs leave it that the distance allows, that lie in
-different components, and that a spanning forest needs: fewer than the bucket has members.
-They are verified, components grow, and this is done again, at last with every pair of
+into B > D words of WIDE bits: a pair within the bound has at least B - D equal words
+(pigeonhole), a word being joined on as a hash of the places of its bits. B - D is above the number of a
+document's empty words as a rule, and then only words with content need to be joined;
+documents with as many empty words as that join on them too.
+
+Equal sets are one class, joined through its least member. Pairs that meet in small buckets
+are counted, and only those that meet as often as a link needs are verified on the exact sets. A
+pair that also shares a large bucket needs no such count: in a large bucket, where many near copies
+meet, sketches folded to few bits (parities too, so their distance bounds the difference as well) are compared, and only pairs leave it that the distance
+allows, that lie in different components, and that a spanning forest needs: fewer than the bucket
+has members. They are verified, components grow, and this is done again, at last with every pair of
 different components that the distance allows. So no link that would join two components is
 lost, and a group of n near copies sends out about n pairs a round, not n squared. Buckets of
-over BLOCK members are compared in blocks, so no task holds a whole one.
+over BLOCK members are compared in blocks: first each block by itself, and of a document's buckets only the
+largest, then with the bucket's first block, at last all blocks of the buckets that still hold
+several components. So no task holds a whole bucket, and a group that is one component after the first
+rounds is never compared block by block.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_count, materialize, mix64
+from .common import chunk_count, free_name, materialize, mix64, scratch
 from .components import connected_components
 from .exchange import CHUNK_BYTES, FILTER_BITS, answer, bodies_by, bucket_edges, chunked, messages, pack, read_chunk, replies, resume, send, unpack
 from .substring import SLICE_BYTES, among, distinct, more_than_once
@@ -39,10 +43,21 @@ from .words import blocks, windows, word_hashes
 #: Buckets of at most so many members are compared pair by pair; larger ones by sketches,
 #: in blocks of at most so many.
 SMALL_BUCKET = 6
-BLOCK = 4096
+BLOCK = 1024
 
-#: Rounds in which a large bucket sends a spanning forest only, before the last, which is complete.
-FOREST_ROUNDS = 2
+#: Bits of a sketch word, for sketches of fewer than 2 ** 32 bits in all, and of a larger one's.
+WIDE, NARROW = 1024, 64
+
+#: Bits of the folded sketch for each shingle of the bound: enough that sets whose similarity is 0.015 below
+#: the least are told apart by their distance there.
+FOLDED = 16
+
+#: Classes, and buckets, with more than this share of all rows: 1 / HOT_SHARE of them at most, which are
+#: broadcast, so their rows stay where they are.
+HOT_SHARE = 1 / 1000
+
+#: Most keys of buckets that are broadcast (8 bytes each).
+BROADCAST_KEYS = 100_000
 
 #: Stands for a missing id among longs.
 NO_ID = -(2**63)
@@ -80,16 +95,25 @@ def sketches(hashes: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarra
             continue
         spare = 2 + bound // 6
         words = bound + spare
-        bits = words * 64
-        place = ((hashes >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)
-        parity = (np.bincount(place, minlength=bits) & 1).astype(np.uint8)
-        sketch = np.packbits(parity).view(np.uint64)
+        wide = WIDE if words * WIDE < 1 << 32 else NARROW
+        place = (hashes >> np.uint64(32)) * np.uint64(words * wide) >> np.uint64(32)  # sorted as the hashes are
+        heads = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        if len(heads) < n:
+            place = place[heads[np.diff(np.append(heads, n)) % 2 == 1]]
+        word = place // np.uint64(wide)
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1])[: len(word)])
+        sums = np.add.reduceat(mix64(place + np.uint64(1)), first) if len(first) else place
         salt = mix64(np.arange(words, dtype=np.uint64) + np.uint64(group << 32))
-        used = sketch != 0
-        empty = words - int(used.sum())
-        if empty >= spare:
-            used[:] = True
-        out.append((group, max(1, spare - empty), mix64(sketch[used] ^ salt[used]) >> np.uint64(64 - FILTER_BITS), sketch))
+        filled = word[first].astype(np.int64)
+        empty = words - len(filled)
+        if empty < spare:
+            keys = mix64(sums ^ salt[filled])
+        else:
+            keys = mix64(salt)
+            keys[filled] = mix64(sums ^ salt[filled])
+        bits = -(-FOLDED * bound // 64) * 64
+        folded = np.bincount(((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64), minlength=bits) & 1
+        out.append((group, max(1, spare - empty), keys >> np.uint64(64 - FILTER_BITS), np.packbits(folded.astype(np.uint8)).view(np.uint64)))
     return out
 
 
@@ -164,20 +188,11 @@ def sketched_sets(docs: DataFrame, shingle: int, percent: int, doc_id: str, text
     return resume(chunks, answer(send(chunks, offer), meet), keep, SETS)
 
 
-def verify(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets reach the threshold, as a written table.
-
-    Sizes and the number of shared keys decide first, on ``sketches`` (rep, n, keys, need);
-    only sets of pairs that are left are taken from ``bodies`` (rep, body).
-    """
-    of = lambda c: sketches.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"k{c}"), F.col("need").alias(f"x{c}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b")
-    sizes = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    near = near.filter(sizes & (F.size(F.array_intersect("ka", "kb")) >= F.greatest("xa", "xb"))).select("a", "b")
-    near = materialize(near, "near-pairs")
-    ids = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+def verify(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs``, a written table, whose sets (rep, body) reach the threshold, as a written table."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     own = bodies.join(ids, "rep", "left_semi")
-    with_both = near.join(own.select(F.col("rep").alias("a"), F.col("body").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("body").alias("y")), "b")
+    with_both = pairs.join(own.select(F.col("rep").alias("a"), F.col("body").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("body").alias("y")), "b")
 
     def check(batches):
         for batch in batches:
@@ -192,6 +207,27 @@ def verify(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame, percent: in
     return materialize(with_both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "links")
 
 
+def counted_pairs(small: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that meet in small buckets (key, grp, rep) as often as a link of theirs needs, and whose sizes allow one.
+
+    What is shuffled is a count for each pair, not their keys.
+    """
+    met = small.select("key", "grp", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").filter(F.col("a") < F.col("b"))
+    shared = met.groupBy("grp", "a", "b").agg(F.count("*").alias("shared"))
+    # only what the other side can't change: a pair that meets less often than either needs goes early
+    of = lambda c: groups.select("grp", F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("need").alias(f"x{c}"))
+    with_a = shared.join(of("a"), ["grp", "a"]).filter(F.col("shared") >= F.col("xa")).select("grp", "a", "b", "shared", "na")
+    both = with_a.join(of("b"), ["grp", "b"]).filter(F.col("shared") >= F.col("xb"))
+    return both.filter((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))).select("a", "b").distinct()
+
+
+def spread_join(rows: DataFrame, sizes: DataFrame, total: int, on: list[str], size: str = "size") -> DataFrame:
+    """``rows`` joined with the ``sizes`` of their keys; keys of over HOT_SHARE of the ``total`` rows, a bounded few, by broadcast."""
+    hot = sizes.filter(F.col(size) > total * HOT_SHARE)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(sizes.filter(F.col(size) <= total * HOT_SHARE), on)
+    return rows.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def bucket_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
     """(a, b) from large buckets: rows (key, block, rep, comp, n, words), pairs of different components within the distance.
 
@@ -239,50 +275,67 @@ def bucket_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
 
 
 def link_components(sets: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """(node, comp) over sets (rep, n, groups) that meet in buckets."""
+    """(node, comp) over sets (rep, n, groups), a written table, that meet in buckets."""
     groups = sets.select("rep", "n", F.inline("groups"))
     keys = groups.select("rep", "grp", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    members = materialize(keys.join(sizes, "key"), "bucket-members")
-    flat = materialize(sets.select("rep", "n", F.flatten("groups.keys").alias("keys"), F.array_min("groups.need").alias("need")), "set-keys")
-    small = members.filter(F.col("size") <= SMALL_BUCKET).select("key", "rep")
-    pairs = small.select("key", F.col("rep").alias("a")).join(small.select("key", F.col("rep").alias("b")), "key").filter(F.col("a") < F.col("b"))
-    tested = materialize(pairs.select("a", "b").distinct(), "pairs")
-    labels = connected_components(verify(tested, flat, bodies, percent))
+    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1), "bucket-sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    members = materialize(spread_join(keys, sizes, total, ["key"]), "bucket-members")
+    small = members.filter(F.col("size") <= SMALL_BUCKET).select("key", "grp", "rep")
+    tested = materialize(counted_pairs(small, groups.select("rep", "grp", "n", "need"), percent), "pairs")
+    labels = connected_components(verify(tested, bodies, percent))
     large = members.filter(F.col("size") > SMALL_BUCKET)
-    for round_ in range(FOREST_ROUNDS + 1):
-        named = large.join(labels, large.rep == labels.node, "left").select("key", "grp", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
+    if not large.limit(1).count():
+        return labels
+    best = large.groupBy("rep").agg(F.max_by("key", F.struct("size", "key")).alias("key"))
+    for step in ("own block", "first block", "all blocks"):
+        some = large.join(best, ["rep", "key"], "left_semi") if step == "own block" else large
+        named = some.join(labels, some.rep == labels.node, "left").select("key", "grp", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
         split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
-        open_ = materialize(named.join(split.select("key"), "key", "left_semi"), "open-buckets")
-        if not open_.limit(1).count():
+        split = materialize(split.select("key"), "split-buckets")
+        n_split = split.count()
+        if not n_split:
+            if step == "own block":
+                continue
             break
-        # every two blocks of a bucket meet in one task; a bucket of one block is one task
-        blocks_ = F.ceil(F.col("size") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("rep"), blocks_).cast("int")
-        dealt = open_.withColumn("_n", blocks_).withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-        dealt = dealt.withColumn("block", F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other"))
+        open_ = named.join(F.broadcast(split) if n_split <= BROADCAST_KEYS else split, "key", "left_semi")
+        n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = open_.withColumn("_n", n_blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+        if step == "own block":
+            others = F.array("_own")
+        elif step == "first block":
+            others = F.when(F.col("_own") == 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array(F.lit(0)))
+        else:
+            others = F.sequence(F.lit(0), F.col("_n") - 1)
+        dealt = dealt.withColumn("_other", F.explode(others)).withColumn("block", F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other"))
         rows = dealt.join(groups.select("rep", "grp", "n", "words"), ["rep", "grp"]).select("key", "block", "rep", "comp", "n", "words")
-        found = bucket_pairs(rows, percent, forest=round_ < FOREST_ROUNDS)
+        found = bucket_pairs(rows, percent, forest=step != "all blocks")
         found = materialize(found.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not found.limit(1).count():
             continue
-        labels = connected_components(verify(found, flat, bodies, percent), labels)
+        labels = connected_components(verify(found, bodies, percent), labels)
         tested = tested.unionByName(found)
     return labels
 
 
 def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+    """(doc_id, n_shingles, component_id) of every document, as a written table.
 
     Documents link when 100 x intersection >= ``percent`` x union of their sets of
     distinct ``shingle``-word windows of lower-cased (A-Z) words; a shorter document is one
     shingle, its whole sequence. ``component_id`` is the least id that links lead to, the
     own one included. Null and blank texts have no shingles and link with nothing. Rows
     that repeat an id count as documents of one name; a null id stays null and stands
-    before all others, so whatever links with it has the component null.
+    before all others, so whatever links with it has the component null. A very long text is one set.
     """
+    with scratch(docs.sparkSession):
+        return materialize(_similar(docs, shingle, percent, doc_id, text), "components", keep=True)
+
+
+def _similar(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
     table = materialize(sketched_sets(docs, shingle, percent, doc_id, text).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "sketched-sets")
-    classes = table.filter(F.col("n") > 0).groupBy("n", "fingerprint").agg(F.min("doc_id").alias("rep"))
+    filled = table.filter(F.col("n") > 0)
+    classes = materialize(filled.groupBy("n", "fingerprint").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), "classes")
     # ids may repeat; only then is a set named by a hash of its id and fingerprint
     repeated = table.groupBy("doc_id").count().filter("count > 1").limit(1).count()
     name = F.col("doc_id") if not repeated else F.xxhash64("doc_id", "fingerprint")
@@ -298,27 +351,38 @@ def similar_documents(docs: DataFrame, shingle: int = 3, percent: int = 90, doc_
     lowest = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     linked = named.join(lowest, "comp").select(F.col("n").alias("ln"), F.col("fingerprint").alias("lf"), "component_id")
     by_class = classes.join(linked, (classes.n == linked.ln) & (classes.fingerprint == linked.lf), "left")
-    by_class = by_class.select("n", "fingerprint", F.coalesce("component_id", "rep").alias("component_id"))
-    out = table.select("doc_id", "n", "fingerprint").join(by_class, ["n", "fingerprint"], "left")
+    by_class = materialize(by_class.select("n", "fingerprint", "size", F.coalesce("component_id", "rep").alias("component_id")), "class-components")
+    total = by_class.agg(F.sum("size")).first()[0] or 0
+    rows = spread_join(filled.select("doc_id", "n", "fingerprint"), by_class, total, ["n", "fingerprint"])
+    blank = table.filter(F.col("n") == 0).select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = rows.select("doc_id", "n", "component_id").unionByName(blank)
     back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, back("component_id")).otherwise(back("doc_id")).alias("component_id"))
+    return out.select(back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, columns unchanged: the row of the least id.
+    """One document of each group, columns unchanged, whatever their names: the row of the least id.
 
     A null id stands before all others. Where ids repeat, each row counts as a document of its
-    own, and of a group's rows of the least id one stays.
+    own, and of a group's rows of the least id one stays, the first by a digest of its text.
+    Null and blank texts are linked with nothing and stay; a very long text is one set.
     """
+    with scratch(docs.sparkSession):
+        return _first_of_each(docs, shingle, percent, doc_id, text)
+
+
+def _first_of_each(docs: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
     number = F.col(doc_id).cast("long")
-    if not docs.groupBy(number).count().filter("count > 1").limit(1).count():
+    if not docs.groupBy(number).count().filter(F.col("count") > 1).limit(1).count():
         found = similar_documents(docs, shingle, percent, doc_id, text)
-        gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-        return docs.join(gone, number.eqNullSafe(F.col("_gone")), "left_anti")
-    # written, so that a row has one number throughout
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
-    found = similar_documents(rows.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), shingle, percent)
-    order = F.struct(F.coalesce(number, F.lit(NO_ID)).alias("id"), F.sha2(F.col(text), 256).alias("text"), "_row")
-    placed = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", order.alias("place")), "_row")
-    kept = placed.groupBy("component_id").agg(F.min("place").alias("least")).select("least._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+        name = free_name(docs, "_gone")
+        gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+        return docs.join(materialize(gone, "duplicates", keep=True), number.eqNullSafe(F.col(name)), "left_anti")
+    # written, so that a row has one number throughout; the row itself is one column, clear of any name
+    order = F.struct(F.coalesce(number, F.lit(NO_ID)).alias("id"), F.sha2(F.col(text), 256).alias("text"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"), order.alias("_place"), F.monotonically_increasing_id().alias("_number"))
+    rows = materialize(rows, "numbered-rows", keep=True)
+    found = similar_documents(rows, shingle, percent, "_number", "_text")
+    placed = found.select(F.col("doc_id").alias("_number"), "component_id").join(rows.select("_number", "_place"), "_number")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("_place", "_number")).alias("least")).select("least._number")
+    return rows.join(materialize(kept, "kept-rows", keep=True), "_number", "left_semi").select("_row.*")

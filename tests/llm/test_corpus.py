@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions
 
 from lexspark.llm import components, decontamination, exchange, jaccard_join, pitman_yor, substring, words
 
@@ -216,13 +217,42 @@ def test_benchmark_search(spark, odd, odd_texts, corpus, corpus_texts, nothing,
         assert {(str(r.doc_id), r.item_id) for r in rows} == leaks(texts, items)
         left = decontamination.drop_contaminated(df, table)
         assert left.columns == df.columns
-        gone = {k for k, _ in leaks(texts, items)}
-        assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(k) for k, _ in texts if str(k) not in gone)
+        # each row by its own text, where the search takes the rows of one id together
+        gone = {int(k) for k, _ in leaks(list(enumerate(t for _, t in texts)), items)}
+        assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted((str(k), t or "") for i, (k, t) in enumerate(texts) if i not in gone)
     assert decontamination.contained_items(nothing, table).count() == 0
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contained_items(odd, empty).count() == 0
 
 
+def test_leaks_come_through_the_sketch(spark, corpus, corpus_texts, monkeypatch):
+    """Sketches are small, find every leak, and nothing is found without them."""
+    some = corpus_texts[3][1].split()
+    table = spark.createDataFrame([(0, " ".join(some[:30])), (1, " ".join(some[5:9]))], "item_id long, text string")
+    index = decontamination.item_shingles(table)
+    sizes = {r.item_id: (r.n, r.sketch) for r in index.groupBy("item_id", "n").agg({"h": "count"}).join(index.filter("in_sketch").groupBy("item_id").count().withColumnRenamed("count", "sketch"), "item_id").collect()}
+    assert sizes == {0: (26, 6), 1: (1, 1)}
+    found = {(r.doc_id, r.item_id) for r in decontamination.contained_items(corpus, table).collect()}
+    assert (3, 0) in found or any(i == 0 for _, i in found)
+    met = {(r.doc_id, r.item_id) for r in decontamination.candidates(corpus.select("doc_id", "text"), index, [4, 5]).collect()}
+    assert found <= met
+    real = decontamination.item_shingles
+    monkeypatch.setattr(decontamination, "item_shingles", lambda *a: real(*a).withColumn("in_sketch", functions.lit(False)))
+    assert decontamination.contained_items(corpus, table).count() == 0
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    words = item.split()
+    rows = [(1, " ".join(words[:11]), 0), (1, " ".join(words[9:]), 0), (1, item, 0), (None, item, 0), (None, "other words", 0), (None, None, 0), (2, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _leak int")
+    left = decontamination.drop_contaminated(df, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert left.columns == df.columns
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([r for r in rows if r[1] != item], key=repr)
+    once = decontamination.drop_contaminated(df.filter("doc_id = 2 OR text LIKE '%other%'"), spark.createDataFrame([(0, "other words")], "item_id long, text string"))
+    assert [tuple(r) for r in once.collect()] == [(2, "", 0)]
+
+
 def test_pipeline(spark, corpus, odd, nothing, tmp_path):
     import corpus_pipeline
 
@@ -265,6 +295,12 @@ def test_one_row_of_each_group_stays_where_ids_repeat(spark):
     left = jaccard_join.keep_one_of_each(df)
     assert left.columns == df.columns
     assert sorted(map(tuple, left.collect()), key=repr) == sorted([(None, a, 0), (None, b, 1), (3, c, 2), (4, d, 4), (5, "", 6), (5, None, 7)], key=repr)
+    # ids that are in several groups: one row of each group stays, and columns may be called anything
+    rows = [(5, a, 0), (10, a, 1), (10, b, 2), (11, b + " tail", 3), (12, a + " tail", 4)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, _gone int").withColumns({"_row": functions.col("_gone") + 10, "_number": functions.lit("n")})
+    left = jaccard_join.keep_one_of_each(odd)
+    assert left.columns == odd.columns and sorted(map(tuple, left.collect())) == [(5, a, 0, 10, "n"), (10, b, 2, 12, "n")]
+    assert [r._gone for r in jaccard_join.keep_one_of_each(odd.filter("_gone IN (0, 3)")).orderBy("_gone").collect()] == [0, 3]
 
 
 @pytest.mark.parametrize("n", [2, 3])

@@ -90,12 +90,42 @@ def test_filter_keeps_what_the_report_keeps(odd, corpus, nothing):
 def test_order_of_rules_changes_no_verdict(corpus):
     stats = quality.base_stats(corpus)
     rules = quality.standard_rules()
-    ordered = quality.order_rules(stats, rules)
+    ordered = quality.order_rules(quality.base_stats(quality.sample_of(corpus)), rules)
     assert {r.name for r in ordered} == {r.name for r in rules}
     verdicts = [sorted(r.doc_id for r in quality.cascade(stats, x).filter("failed_rule IS NULL").collect()) for x in (rules, ordered, rules[::-1])]
     assert verdicts[0] == verdicts[1] == verdicts[2]
 
 
+def test_rules_are_ordered_by_what_they_reject_and_cost(spark, nothing):
+    """Rejection counts, then cost; what comes after the first rule that rejects is never computed."""
+    from pyspark.sql import functions as F
+
+    sample = spark.range(2000).selectExpr("id", "repeat(cast(id as string), 200) AS text").cache()
+    dear = F.col("text")
+    for _ in range(12):
+        dear = F.regexp_replace(F.concat(dear, F.lit("x")), "([0-9])x?", "$1y")
+    rules = [
+        quality.Rule("dear", F.length(dear) > 0), quality.Rule("never", F.col("id") < 0), quality.Rule("half", F.col("id") % 2 == 0), quality.Rule("all", F.col("id") >= 0), quality.Rule("null", F.lit(None).cast("boolean")),
+    ]
+    for given in (rules, rules[::-1]):
+        names = [r.name for r in quality.order_rules(sample, given)]
+        assert names[0] == "all" and names[1:3] == ["half", "dear"] and set(names[3:]) == {"never", "null"}
+    assert quality.order_rules(nothing, rules) == rules
+    wrong = quality.Rule("wrong", F.raise_error(F.lit("computed")).cast("boolean"))
+    assert {r.failed_rule for r in quality.cascade(sample, [rules[3], wrong]).collect()} == {"all"}
+    assert {r.failed_rule for r in quality.cascade(sample, [wrong], when=F.col("id") < 0).collect()} == {None}
+    with pytest.raises(Exception, match="computed"):
+        quality.cascade(sample, [rules[2], wrong]).collect()
+
+
+def test_sample_reads_a_few_files(spark, tmp_path):
+    spark.range(400).selectExpr("id AS doc_id", "concat('text ', id) AS text").repartition(20).write.parquet(str(tmp_path / "t"))
+    sample = quality.sample_of(spark.read.parquet(str(tmp_path / "t")), rows=50)
+    assert sample.count() == 50 and sample.distinct().count() == 50
+    whole = quality.sample_of(spark.read.parquet(str(tmp_path / "t")))
+    assert 100 < whole.count() < 300  # 8 of 20 files
+
+
 # personal data
 
 

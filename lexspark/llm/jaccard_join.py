@@ -229,9 +229,9 @@ def spread_join(rows: DataFrame, sizes: DataFrame, total: int, on: list[str], si
 
 
 def bucket_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(a, b) from large buckets: rows (key, block, rep, comp, n, words), pairs of different components within the distance.
+    """(grp, key, a, b) from gatherings: rows (grp, key, block, rep, comp, n, words), pairs of different components within the distance.
 
-    With ``forest``, the nearest pairs that join a bucket's components, one less than there
+    With ``forest``, the nearest pairs that join a block's components, one less than there
     are at most.
     """
 
@@ -269,16 +269,30 @@ def bucket_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
                     label[x] = y
                     keep.append(k)
             i, j = i[keep], j[keep]
-        return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+        of = lambda c: pa.array(np.full(len(i), table.column(c)[0].as_py(), np.int64))
+        return pa.table({"grp": of("grp").cast(pa.int32()), "key": of("key"), "a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
 
-    return rows.groupBy("key", "block").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("grp", "key", "block").applyInArrow(compare, "grp int, key long, a long, b long")
+
+
+def gatherings(large: DataFrame) -> DataFrame:
+    """(grp, key, rep, size) from members (grp, rep, lead) of large buckets: the buckets of one lead as one gathering named by it, each member once.
+
+    Near copies share most of their buckets, and those have one lead, the member of least hash, or
+    a few. So a document is in a few gatherings, not in one for each key, and two that share a bucket meet.
+    """
+    gathered = materialize(large.select("grp", F.col("lead").alias("key"), "rep").distinct(), "gatherings")
+    sizes = materialize(gathered.groupBy("grp", "key").agg(F.count("*").alias("size")), "gathering-sizes")
+    return spread_join(gathered, sizes, sizes.agg(F.sum("size")).first()[0] or 0, ["grp", "key"])
 
 
 def link_components(sets: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """(node, comp) over sets (rep, n, groups), a written table, that meet in buckets."""
     groups = sets.select("rep", "n", F.inline("groups"))
     keys = groups.select("rep", "grp", F.explode(F.array_distinct("keys")).alias("key"))
-    sizes = materialize(keys.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1), "bucket-sizes")
+    lead = F.min(F.struct(F.xxhash64("rep").alias("hash"), "rep"))["rep"]
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size"), lead.alias("lead"))
+    sizes = materialize(sizes.filter(F.col("size") > 1), "bucket-sizes")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     members = materialize(spread_join(keys, sizes, total, ["key"]), "bucket-members")
     small = members.filter(F.col("size") <= SMALL_BUCKET).select("key", "grp", "rep")
@@ -287,18 +301,23 @@ def link_components(sets: DataFrame, bodies: DataFrame, percent: int) -> DataFra
     large = members.filter(F.col("size") > SMALL_BUCKET)
     if not large.limit(1).count():
         return labels
-    best = large.groupBy("rep").agg(F.max_by("key", F.struct("size", "key")).alias("key"))
+    large = materialize(gatherings(large), "gathered-members")
+    place = ["grp", "key"]
+    best = large.groupBy("rep").agg(F.max(F.struct("size", *place)).alias("best")).select("rep", "best.grp", "best.key")
+    fruitful = None
     for step in ("own block", "first block", "all blocks"):
-        some = large.join(best, ["rep", "key"], "left_semi") if step == "own block" else large
-        named = some.join(labels, some.rep == labels.node, "left").select("key", "grp", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
-        split = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
-        split = materialize(split.select("key"), "split-buckets")
+        some = large.join(best, ["rep", *place], "left_semi") if step == "own block" else large
+        if fruitful is not None:  # a gathering of one block that had no pair is done: components only grow
+            some = some.filter(F.col("size") > BLOCK).unionByName(some.filter(F.col("size") <= BLOCK).join(fruitful, place, "left_semi"))
+        named = some.join(labels, some.rep == labels.node, "left").select(*place, "rep", "size", F.coalesce("comp", "rep").alias("comp"))
+        split = named.groupBy(*place).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
+        split = materialize(split.select(*place), "split-gatherings")
         n_split = split.count()
         if not n_split:
             if step == "own block":
                 continue
             break
-        open_ = named.join(F.broadcast(split) if n_split <= BROADCAST_KEYS else split, "key", "left_semi")
+        open_ = named.join(F.broadcast(split) if n_split <= BROADCAST_KEYS else split, place, "left_semi")
         n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         dealt = open_.withColumn("_n", n_blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
         if step == "own block":
@@ -308,9 +327,11 @@ def link_components(sets: DataFrame, bodies: DataFrame, percent: int) -> DataFra
         else:
             others = F.sequence(F.lit(0), F.col("_n") - 1)
         dealt = dealt.withColumn("_other", F.explode(others)).withColumn("block", F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other"))
-        rows = dealt.join(groups.select("rep", "grp", "n", "words"), ["rep", "grp"]).select("key", "block", "rep", "comp", "n", "words")
-        found = bucket_pairs(rows, percent, forest=step != "all blocks")
-        found = materialize(found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        rows = dealt.join(groups.select("rep", "grp", "n", "words"), ["rep", "grp"]).select(*place, "block", "rep", "comp", "n", "words")
+        near = materialize(bucket_pairs(rows, percent, forest=step != "all blocks"), "near-pairs")
+        if step == "first block":
+            fruitful = near.select(*place).distinct()
+        found = materialize(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not found.limit(1).count():
             continue
         labels = connected_components(verify(found, bodies, percent), labels)

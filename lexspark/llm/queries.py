@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, packing, pii, pitman_yor, quality, sharding, substring, token_counts, token_output
+from . import bpe, clustering, decontamination, jaccard_join, packing, pii, pitman_yor, quality, sharding, substring, token_counts, token_output, variants
 from .common import read_table
 from .sql import ORACLE
 
@@ -49,6 +49,18 @@ def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_pair_occurrence_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(read_table(spark, sf_dir, "embeddings"), k=8, rounds=10, salt="3:")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.document_variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -62,5 +74,8 @@ QUERIES = {
         op8_repair_token_files,
         op9_benchmark_containment,
         op10_residual_packing,
+        op11_pair_occurrence_bpe,
+        op12_annulus_clusters,
+        op13_spelling_variants,
     )
 }

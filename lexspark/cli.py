@@ -6,7 +6,7 @@ import argparse
 import json
 
 from .operators.dense import hashed_encoder
-from .plans.api import Corpus, build_vectors
+from .plans.api import Corpus, build_lookups, build_vectors
 from .schemas import MANIFEST
 from .session import local_session
 from .sources import corpus, listing, sync
@@ -20,6 +20,7 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("build", help="parse a folder of Markdown")
     p.add_argument("folder")
     p.add_argument("--vectors", action="store_true", help="also store chunk vectors")
+    p.add_argument("--lookups", action="store_true", help="also store the index of n-grams and the references")
     p = sub.add_parser("search")
     p.add_argument("query")
     p.add_argument("--category")
@@ -96,6 +97,8 @@ def main(argv: list[str] | None = None) -> object:
         corpus.build_index(spark, a.folder, a.index)
         if a.vectors:
             build_vectors(spark, a.index, hashed_encoder())
+        if a.lookups:
+            build_lookups(spark, a.index)
         articles, attachments = corpus.read_index(spark, a.index)
         out: object = {"articles": articles.count(), "attachments": attachments.count()}
     elif a.command == "stats":

@@ -188,6 +188,13 @@ def script_label(text: Column) -> Column:
     )
 
 
+def python_script_label(text: str | None) -> str | None:
+    """:func:`script_label` of one text."""
+    if not (text or "").strip():
+        return None
+    return "ko" if re.search("[가-힣ᄀ-ᇿ㄰-㆏]", text) else "en" if re.search("[A-Za-z]", text) else "other"
+
+
 # Endings that name a document's type, tried in this order.
 TYPE_ENDINGS = ("시행세칙", "세칙", "규정", "지침", "기준", "정관", "규칙", "매뉴얼")
 

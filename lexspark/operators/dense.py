@@ -9,6 +9,8 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,20 +24,101 @@ class SemanticUnavailable(RuntimeError):
 
 
 def dot(vector: Column, query: Sequence[float]) -> Column:
-    """Dot product with a query vector, in double precision, left to right."""
+    """Dot product with a query vector, in double precision, left to right; for vectors that stay columns."""
     literal = F.array(*[F.lit(float(x)) for x in query])
     return F.aggregate(F.zip_with(vector, literal, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, b: a + b)
 
 
-def dot_blas(query: Sequence[float]) -> Callable[[Column], Column]:
-    """The same by matrix product in single precision, for long vectors and many rows."""
-    q = np.asarray(query, np.float32)
+#: Vectors of a block that is multiplied with the queries at once; blocks times queries are the numbers held.
+BLOCK_CELLS = 1 << 22
 
-    @F.pandas_udf("double")
-    def run(vectors: pd.Series) -> pd.Series:
-        return pd.Series((np.stack(vectors.to_numpy()).astype(np.float32) @ q).astype(np.float64)) if len(vectors) else pd.Series([], dtype="float64")
 
-    return run
+def vector_matrix(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that hold ``dimension`` finite numbers, those as doubles)."""
+    sizes = np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False), nan=-1)
+    rows = np.flatnonzero(sizes == dimension)
+    values = pc.cast(column.take(pa.array(rows)).flatten(), pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dimension)
+    finite = np.isfinite(values).all(axis=1)  # a null has become NaN
+    return rows[finite], values[finite]
+
+
+SCORED = "query int, kind string, item_index long, chunk_no int, start int, end int, score double"
+SCORED_ARROW = pa.schema([("query", pa.int32()), ("kind", pa.string()), ("item_index", pa.int64()), ("chunk_no", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+
+
+def block_scores(chunks: DataFrame, queries: Sequence[Sequence[float]], limit: int | None, vector: str = "embedding") -> DataFrame:
+    """SCORED: dot products of blocks of vectors with all queries, as matrix products in double precision.
+
+    With a ``limit`` a task gives out, for each query, its best ``limit`` items by their best chunk (ties
+    by kind, item and chunk); without, every chunk. Vectors never leave their task. Rows whose vector is
+    null, has a component that is null or not finite, or another size than the queries are left out.
+    """
+    asked = np.array([list(q) for q in queries], np.float64).reshape(len(queries), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BLOCK_CELLS // max(1, len(asked)))
+        held: list[pd.DataFrame] = []
+
+        def best(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = pd.concat(parts).sort_values(["query", "score", "kind", "item_index", "chunk_no"], ascending=[True, False, True, True, True], kind="stable")
+            return rows.drop_duplicates(["query", "kind", "item_index"]).groupby("query", sort=False).head(limit)
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                rows, vectors = vector_matrix(part.column(5), asked.shape[1])
+                if not len(rows):
+                    continue
+                scores = vectors @ asked.T
+                if limit is None:
+                    some = np.tile(np.arange(len(rows)), len(asked))
+                    query = np.repeat(np.arange(len(asked)), len(rows))
+                elif limit <= 0:
+                    continue
+                else:
+                    # an item has few chunks in a block: those that can be among the best items are above its limit-th best item
+                    item = pd.factorize(pd.MultiIndex.from_arrays([np.asarray(part.column(0).take(pa.array(rows)).to_pylist(), object), part.column(1).take(pa.array(rows)).to_numpy()]))[0]
+                    some, query = [], []
+                    for q in range(len(asked)):
+                        top = np.full(item.max() + 1, -np.inf)
+                        np.maximum.at(top, item, scores[:, q])
+                        least = np.partition(top, -limit)[-limit] if len(top) > limit else -np.inf
+                        found = np.flatnonzero((scores[:, q] >= least) & (scores[:, q] == top[item]))
+                        some.append(found)
+                        query.append(np.full(len(found), q))
+                    some, query = np.concatenate(some), np.concatenate(query)
+                at = rows[some]
+                columns = [part.column(i).take(pa.array(at)) for i in range(5)]
+                out = pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), *columns, pa.array(scores[some, query])], schema=SCORED_ARROW)
+                if limit is None:
+                    yield out
+                else:
+                    held = [best([*held, out.to_pandas()])]
+        for rows in held:
+            yield pa.RecordBatch.from_pandas(rows, schema=SCORED_ARROW, preserve_index=False)
+
+    few = chunks.select("kind", F.col("item_index").cast("long"), F.col("chunk_no").cast("int"), F.col("start").cast("int"), F.col("end").cast("int"), vector)
+    return few.mapInArrow(run, SCORED)
+
+
+def dense_rankings(chunks: DataFrame, queries: Sequence[Sequence[float]], limit: int = 50, vector: str = "embedding", allowed: DataFrame | None = None) -> DataFrame:
+    """(query, kind, item_index, score, chunk_no, start, end, rank): for each query, numbered from 0, its best ``limit`` items.
+
+    One pass over the vectors for all queries. Each task hands up ``limit`` rows a query; with
+    ``allowed`` (kind, item_index) it hands up keys and scores of all chunks, and only those are joined.
+    """
+    scored = block_scores(chunks, queries, limit if allowed is None else None, vector)
+    if allowed is not None:
+        scored = allowed_chunks(scored, allowed)
+    best = F.max(F.struct("score", (-F.col("chunk_no")).alias("r"), "start", "end")).alias("b")
+    items = scored.groupBy("query", "kind", "item_index").agg(best).select("query", "kind", "item_index", "b.score", (-F.col("b.r")).alias("chunk_no"), "b.start", "b.end")
+    return best_of_each(items, limit)
+
+
+def best_of_each(scored: DataFrame, limit: int) -> DataFrame:
+    """Adds ``rank`` by (score, kind, item_index) to the best ``limit`` rows of each ``query``; Spark cuts the ranks off before the exchange too."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "kind", "item_index")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max(limit, 0))
 
 
 def allowed_chunks(chunks: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -49,9 +132,11 @@ def best_chunks(scored: DataFrame) -> DataFrame:
     return scored.groupBy("kind", "item_index").agg(best).select("kind", "item_index", "b.score", (-F.col("b.r")).alias("chunk_no"), "b.start", "b.end")
 
 
-def dense_ranking(chunks: DataFrame, query: Sequence[float], limit: int = 50, vector: str = "embedding") -> DataFrame:
-    """(kind, item_index, score, chunk_no, start, end) of the best ``limit`` items; ``limit`` <= 0 gives none."""
-    scored = chunks.select("kind", "item_index", "chunk_no", "start", "end", dot(F.col(vector), query).alias("score"))
+def dense_ranking(chunks: DataFrame, query: Sequence[float], limit: int = 50, vector: str = "embedding", allowed: DataFrame | None = None) -> DataFrame:
+    """(kind, item_index, score, chunk_no, start, end) of the best ``limit`` items, of those ``allowed``; ``limit`` <= 0 gives none."""
+    scored = block_scores(chunks, [query], limit if allowed is None else None, vector)
+    if allowed is not None:
+        scored = allowed_chunks(scored, allowed)
     return best_chunks(scored).orderBy(F.desc("score"), "kind", "item_index").limit(max(limit, 0))
 
 

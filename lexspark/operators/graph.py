@@ -9,12 +9,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import article_name, context, excerpt
+from ..functions.text import article_name, context, cut, excerpt, flat
+from ..sources.tables import written
 from .lookup import select_source
-from .names import contained
+from .names import contained, name_ends
 
 # A plain article mention, a quoted name, the endings of unquoted names and how many words they have.
 MENTION = r"제(\d+)조(?:의(\d+))?"
@@ -72,6 +73,9 @@ def mentions(body: str) -> list[tuple[int, int, int, int, int, str | None]]:
 
 FOUND = "item_index long, source string, place int, start int, end int, mention int, no int, sub int, name string, before string"
 
+#: What a pattern with Unicode classes takes for white space.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def mention_table(articles: DataFrame) -> DataFrame:
     """(item_index, source, place, start, end, mention, no, sub, name, before) of every mention in every body.
@@ -163,14 +167,107 @@ def incoming_references(articles: DataFrame, target: DataFrame) -> DataFrame:
     own = F.col("source") == F.col("t_source")
     pattern = F.when(own, bare).otherwise(quoted)
     # the cheap test first: WHEN keeps the order
-    cites = F.when(own | F.contains("body", "t_source"), F.regexp_instr("body", pattern)).otherwise(0)
-    found = rows.withColumn("_at", cites).filter(F.col("_at") > 0)
+    cites = F.when(own | F.contains("body", "t_source"), F.regexp_like("body", pattern)).otherwise(False)
+    # places are counted in characters, as lengths are; those of patterns would count some twice
+    found = rows.filter(cites).withColumn("_at", F.length(F.split("body", pattern, 2)[0]) + 1)
     return found.select(
         "item_index", F.when(own, "same_regulation").otherwise("cross_regulation").alias("scope"), F.concat_ws(" ", "source", "article").alias("citation"), "article_title",
         context(F.col("body"), F.col("_at") - 1).alias("snippet"),
     )
 
 
+#: Buckets of a stored edge table; one target's edges are in one of them.
+EDGE_BUCKETS = 64
+EDGES = "t_source string, t_no int, t_sub int, item_index long, scope string, citation string, article_title string, at int, snippet string"
+
+
+#: Characters on either side of a place that a snippet shows.
+CONTEXT = 60
+
+MENTIONED = "item_index long, source string, no int, sub int, at int, before string, ahead string, end int, shift int, around string, length int"
+
+
+def known_mentions(articles: DataFrame, longest: int) -> DataFrame:
+    """MENTIONED of every mention in every body, in one pass.
+
+    ``ahead`` is the text before a mention up to ``end``, where the white space before the mention starts,
+    ``longest`` characters of it. ``around`` is all that a snippet of the mention, or of a name ahead of
+    it, can show, and starts at ``shift``, so bodies go no further than this.
+    """
+    names, kinds = zip(*(c.split() for c in MENTIONED.split(", ")), strict=True)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for index, source, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for m in re.finditer(MENTION, body or "", re.ASCII):
+                    no, sub, start = int(m[1]), int(m[2] or 0), m.start()
+                    end = start
+                    while end and body[end - 1] in WHITE:
+                        end -= 1
+                    shift = max(0, end - longest - CONTEXT)
+                    if max(no, sub) < 1 << 31:  # no article has a larger number
+                        rows.append((index, source, no, sub, start, body[start - 1 : start], body[max(0, end - longest) : end], end, shift, body[shift : start + CONTEXT], len(body)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, t in zip(columns, kinds, strict=True)], list(names))
+
+    return articles.select(F.col("item_index").cast("long"), "source", "body").mapInArrow(find, MENTIONED)
+
+
+def edge_table(articles: DataFrame) -> DataFrame:
+    """EDGES: who cites whom, both directions of all references, from one pass over the bodies.
+
+    A row says that the article ``item_index`` (shown as ``citation``) cites the article ``t_no``, ``t_sub`` of the source
+    ``t_source``, first at ``at``: a bare mention in the own source, elsewhere the source's name directly before
+    the mention, as :func:`incoming_references` has it for one target. Only existing targets count. An
+    article that cites its own number is there only if another row has that number too. Names are found by their automaton at the end of the text ahead of a
+    mention, so the table's cost grows with the mentions, whatever the number of sources.
+    """
+    sources = articles.select(F.col("source").alias("t_source")).filter(F.col("t_source") != "").distinct()
+    longest = articles.agg(F.max(F.length("source"))).first()[0] or 0
+    found = written(known_mentions(articles, longest), "mentions")
+    targets = articles.select(F.col("source").alias("t_source"), F.col("article_no").alias("t_no"), F.col("article_sub").alias("t_sub")).filter(F.col("t_source") != "")
+    # an article that cites its own numbers cites another row only if there is one
+    targets = targets.groupBy("t_source", "t_no", "t_sub").agg(F.count("*").alias("_rows"))
+    keys = ["item_index", "source", F.col("no").alias("t_no"), F.col("sub").alias("t_sub")]
+    same = found.filter(~F.regexp_like("before", F.lit(r"(?U)[가-힣A-Za-z\w]")))
+    same = same.select(*keys, F.col("source").alias("t_source"), F.col("at").alias("place"), "shift", "around", "length")
+    ahead = found.filter(F.col("ahead") != "").select("ahead").distinct()
+    cross = found.join(name_ends(ahead, "ahead", sources, "t_source"), "ahead").filter(F.col("t_source") != F.col("source"))
+    cross = cross.select(*keys, "t_source", (F.col("end") - F.length("t_source")).alias("place"), "shift", "around", "length")
+    both = same.select(*same.columns, F.lit("same_regulation").alias("scope")).unionByName(cross.select(*cross.columns, F.lit("cross_regulation").alias("scope")))
+    first = both.groupBy("t_source", "t_no", "t_sub", "item_index", "scope").agg(F.min(F.struct("place", "shift", "around", "length")).alias("f"))
+    joined = first.join(targets, ["t_source", "t_no", "t_sub"])
+    citing = articles.select("item_index", F.col("source").alias("_own"), F.col("article_no").alias("_no"), F.col("article_sub").alias("_sub"), F.concat_ws(" ", "source", "article").alias("citation"), "article_title")
+    joined = joined.join(citing, "item_index")
+    itself = (F.col("_own") == F.col("t_source")) & (F.col("_no") == F.col("t_no")) & (F.col("_sub") == F.col("t_sub"))
+    return joined.filter(~(itself & (F.col("_rows") == 1))).select(
+        "t_source", "t_no", "t_sub", "item_index", "scope", "citation", "article_title", F.col("f.place").alias("at"), _cut_snippet().alias("snippet")
+    )
+
+
+def _cut_snippet() -> Column:
+    """:func:`..functions.text.context` of the whole body, from the part that was kept."""
+    place, length = F.col("f.place"), F.col("f.length")
+    start, end = F.greatest(place - CONTEXT, F.lit(0)), F.least(length, place + CONTEXT)
+    part = flat(cut(F.col("f.around"), start - F.col("f.shift"), end - F.col("f.shift")))
+    return F.concat(F.when(start > 0, "…").otherwise(""), part, F.when(end < length, "…").otherwise(""))
+
+
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Store an edge table in a folder a bucket of targets, each sorted by target."""
+    bucket = F.pmod(F.xxhash64("t_source", "t_no", "t_sub"), F.lit(EDGE_BUCKETS)).cast("int")
+    stored = edges.withColumn("bucket", bucket).repartition("bucket", "t_source", "t_no", "t_sub").sortWithinPartitions("bucket", "t_source", "t_no", "t_sub")
+    stored.write.partitionBy("bucket").parquet(path)
+
+
+def edges_of(spark: SparkSession, path: str, source: str, no: int, sub: int) -> DataFrame:
+    """The stored edges to one target: a read of its bucket, and of the row groups that may have it."""
+    asked = spark.range(1).select(F.pmod(F.xxhash64(F.lit(source), F.lit(no), F.lit(sub)), F.lit(EDGE_BUCKETS)).cast("int")).first()[0]
+    stored = spark.read.schema(f"{EDGES}, bucket int").parquet(path)
+    return stored.filter((F.col("bucket") == asked) & (F.col("t_source") == source) & (F.col("t_no") == no) & (F.col("t_sub") == sub)).drop("bucket")
+
+
 def reference_target(articles: DataFrame, source: str, no: int, sub: int) -> DataFrame:
     """The one row that a reference query is about, main text before supplementary."""
     found = select_source(articles, source).filter((F.col("article_no") == no) & (F.col("article_sub") == sub))

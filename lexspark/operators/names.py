@@ -1,26 +1,112 @@
-"""Which of many names stand in which of many texts, by equality joins."""
+"""Which of many names stand in which of many texts: automata over parts of the names.
+
+A part of the names becomes a trie with failure links, which finds all of them, however they overlap, in
+one run over a text, whatever beginnings they share. Names of up to PART_CHARACTERS are one
+part, which goes to every task; texts are not shuffled then. More names are dealt into parts by their
+rarest piece of PIECE letters (the one that fewest names have), a text goes to the parts some piece of
+which it has, and texts and names of a part meet in slices, so no task holds more than one part and one slice.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Letters at a name's start that it is looked up by; a shorter name by all of it.
-KEY = 4
+#: Characters of the names of one part, and of the texts that meet a part in one task.
+PART_CHARACTERS, SLICE_CHARACTERS = 1 << 20, 32 << 20
 
+#: Letters of the pieces that names are dealt by; a shorter name is dealt by all of it.
+PIECE = 4
+
+
+def automaton(names: list[str]):
+    """The trie with failure links of distinct names."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for name in names:
+        out.add_word(name, name)
+    if names:
+        out.make_automaton()
+    return out
 
-def contained(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
-    """(text, name, at): each distinct name in each distinct text, and where it starts for the last time, from 0.
 
-    Every place of a text offers its next 1 to KEY letters as keys, every name one key, so
-    the two meet in an equality join and only those that do are compared. Empty and null
-    names stand in nothing.
+def last_places(machine, text: str) -> dict[str, int]:
+    """Each name in the text, and where it starts for the last time."""
+    return {name: end - len(name) + 1 for end, name in machine.iter(text)} if len(machine) else {}
+
+
+def _scan(machine, keys: list, texts: list[str | None], schema: pa.Schema) -> pa.RecordBatch:
+    rows = [(key, name, at) for key, text in zip(keys, texts, strict=True) if text for name, at in last_places(machine, text).items()]
+    columns = list(zip(*rows, strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def name_places(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, at: str = "at") -> DataFrame:
+    """(key, name, at): each distinct name in the text of each row, and where it starts for the last time, from 0.
+
+    ``key`` tells the rows apart. Empty and null names stand in nothing, and nothing in empty and null texts.
     """
-    t = texts.select(F.col(text).alias("_text")).filter(F.col("_text") != "").distinct()
-    places = F.sequence(F.lit(1), F.length("_text"))
-    keys = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(KEY), F.length("_text") - i + 1)), lambda k: F.struct(i.alias("at"), F.substring("_text", i, k).alias("key")))
-    # of a key that comes again only the name decides, so all its places are tried
-    offered = t.select("_text", F.inline(F.flatten(F.transform(places, keys))))
-    n = names.select(F.col(name).alias("_name")).filter(F.col("_name") != "").distinct().withColumn("key", F.substring("_name", 1, KEY))
-    met = offered.join(n, "key").filter(F.substring("_text", F.col("at"), F.length("_name")) == F.col("_name"))
-    return met.groupBy("_text", "_name").agg((F.max("at") - 1).alias("at")).select(F.col("_text").alias(text), F.col("_name").alias(name), "at")
+    known = names.select(F.col(name).alias(name)).filter(F.col(name) != "").distinct()
+    some = texts.select(F.col(key), F.col(text).alias("_text")).filter(F.col("_text") != "")
+    kind = some.schema[key].dataType
+    schema = f"`{key}` {kind.simpleString()}, `{name}` string, `{at}` int"
+    size = known.agg(F.coalesce(F.sum(F.length(name)), F.lit(0))).first()[0]
+    if size <= PART_CHARACTERS:
+        every = [r[0] for r in known.collect()]  # at most PART_CHARACTERS, just counted
+        handed = texts.sparkSession.sparkContext.broadcast(every)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            machine = automaton(handed.value)
+            for batch in batches:
+                yield _scan(machine, batch.column(0).to_pylist(), batch.column(1).to_pylist(), pa.schema([batch.schema.field(0).with_name(key), (name, pa.string()), (at, pa.int32())]))
+
+        return some.mapInArrow(run, schema)
+    return _in_parts(some, key, known, name, math.ceil(size / PART_CHARACTERS), at, schema)
+
+
+def _in_parts(some: DataFrame, key: str, known: DataFrame, name: str, parts: int, at: str, schema: str) -> DataFrame:
+    own = F.when(F.length(name) < PIECE, F.array(name)).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - PIECE + 1), lambda i: F.substring(name, i, PIECE)))
+    )
+    pieces = known.select(name, F.explode(own).alias("_piece"))
+    shared = pieces.groupBy("_piece").agg(F.count("*").alias("_n"))
+    rarest = pieces.join(shared, "_piece").groupBy(name).agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
+    # by the name, not the piece: a piece may be all that very many names have
+    dealt = rarest.select(name, "_piece", F.pmod(F.xxhash64(name), F.lit(parts)).cast("int").alias("_part"))
+    total = some.agg(F.coalesce(F.sum(F.length("_text").cast("long")), F.lit(0))).first()[0]
+    slices = max(1, math.ceil(total / SLICE_CHARACTERS))
+    numbered = some.withColumns({"_slice": F.pmod(F.xxhash64(key, "_text"), F.lit(slices)).cast("int"), "_row": F.md5(F.col("_text").cast("binary"))})
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = list({body[i : i + n] for n in range(1, PIECE + 1) for i in range(len(body) - n + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.string()), pa.array(found, pa.string())], ["_row", "_piece"])
+
+    # only digests of texts meet pieces; a text itself is sent once to each part that it may have names of
+    offered = numbered.select("_row", "_text").mapInArrow(offer, "_row string, _piece string")
+    routes = offered.join(dealt.select("_piece", "_part").distinct(), "_piece").select("_row", "_part").distinct()
+    sent = numbered.join(routes, "_row").select(key, "_text", "_slice", "_part")
+    held = dealt.select(name, F.col("_part").alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = pa.schema([a.schema.field(key), (name, pa.string()), (at, pa.int32())])
+        return pa.Table.from_batches([_scan(automaton(b.column(name).to_pylist()), a.column(key).to_pylist(), a.column("_text").to_pylist(), out)])
+
+    return sent.groupBy("_part", "_slice").cogroup(held.groupBy("_p", "_s")).applyInArrow(meet, schema)
+
+
+def contained(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """(text, name, at): each distinct name in each distinct text, and where it starts for the last time, from 0."""
+    t = texts.select(F.col(text).alias(text)).distinct()
+    return name_places(t, text, text, names, name).select(text, name, "at")
+
+
+def name_ends(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
+    """(text, name): the distinct names that each distinct text ends with."""
+    return contained(texts, text, names, name).filter(F.col("at") + F.length(name) == F.length(text)).select(text, name)

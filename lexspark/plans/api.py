@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import nfc, parse_article_token
-from ..operators import citations, graph, lookup, questions, radar
+from ..operators import citations, graph, lookup, postings, questions, radar
 from ..operators.chunking import item_chunks
 from ..operators.dense import HASHED, PAUSE_SECONDS, SemanticUnavailable, check_index, embed_chunks, fingerprint, index_meta, runtime_paused
 from ..sources import corpus
@@ -30,6 +30,8 @@ class Corpus:
         self.articles, self.attachments, self.chunks, self.encode, self.question_bank = articles, attachments, chunks, encode, question_bank
         self.pause_marker, self.pause_seconds = pause_marker, pause_seconds
         self.semantic_error: str | None = None
+        #: Folder of the index of n-grams and the edges, if they are stored and of these tables.
+        self.lookups: str | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, index: str, encode: Callable[[str], Sequence[float]] | None = None, encoder: str = HASHED, pause_marker: str | None = None) -> Corpus:
@@ -45,6 +47,10 @@ class Corpus:
             out.chunks = checked_vectors(spark, index, out.articles, out.attachments, encoder)
         except SemanticUnavailable as e:
             out.semantic_error = str(e)
+        folder = corpus.index_folder(spark, index)
+        said = corpus.read_meta(spark, f"{folder}/lookups.json")
+        if said and said.get("index_sha256") == fingerprint(out.articles, out.attachments):
+            out.lookups = folder
         return out
 
     def paused(self) -> bool:
@@ -55,7 +61,7 @@ class Corpus:
         self.attachments.unpersist()
 
     def search_regulation(self, query: str, category: str | None = None, source: str | None = None, limit: int = 10, fuzzy: bool = False, include_attachments: bool = False, mode: str = "hybrid") -> list[dict]:
-        found = search(self.articles, self.attachments, query, category, source, limit, fuzzy, include_attachments, mode, self.chunks, self.encode, self.paused)
+        found = search(self.articles, self.attachments, query, category, source, limit, fuzzy, include_attachments, mode, self.chunks, self.encode, self.paused, self.lookups and f"{self.lookups}/postings")
         keep = {"article": ("kind", "label", "title"), "attachment": ("chapter", "article", "article_title")}
         return [{k: v for k, v in r.asDict().items() if k not in (*keep[r["type"]], "place", "item_index")} for r in found.collect()]
 
@@ -91,7 +97,12 @@ class Corpus:
             one = self.articles.filter(F.col("item_index") == row["item_index"])
             edges = graph.outgoing_references(self.articles, strict, citing=one)
             out = [r.asDict() for r in edges.orderBy("pass", "place").drop("item_index", "place", "pass").collect()]
-            into = [r.asDict() for r in graph.incoming_references(self.articles, one).orderBy("item_index").drop("item_index").collect()]
+            if self.lookups:
+                stored = graph.edges_of(self.articles.sparkSession, f"{self.lookups}/edges", row["source"], row["article_no"], row["article_sub"])
+                citing = stored.filter(F.col("item_index") != row["item_index"]).select("item_index", "scope", "citation", "article_title", "snippet")
+            else:
+                citing = graph.incoming_references(self.articles, one)
+            into = [r.asDict() for r in citing.orderBy("item_index").drop("item_index").collect()]
             name = f"{row['source']} {row['article']}"
             result = {
                 "target": {"source": row["source"], "article": row["article"], "article_title": row["article_title"], "citation": name},
@@ -119,18 +130,34 @@ class Corpus:
 
 
 def build_vectors(spark: SparkSession, index: str, encode: Callable[[list[str]], object], encoder: str = HASHED) -> None:
-    """Chunk both tables and store the chunks with their vectors, then what :func:`checked_vectors` needs to know of them."""
+    """Chunk both tables and store the chunks with their vectors, then what :func:`checked_vectors` needs to know of them.
+
+    They belong to the index's current version and end with it.
+    """
+    articles, attachments = corpus.read_index(spark, index)
+    folder = corpus.index_folder(spark, index)
+    corpus.remove(spark, f"{folder}/vectors.json")
+    embed_chunks(item_chunks(articles, attachments), encode).write.mode("overwrite").parquet(f"{folder}/vectors")
+    corpus.write_meta(spark, index_meta(spark.read.parquet(f"{folder}/vectors"), fingerprint(articles, attachments), encoder), f"{folder}/vectors.json")
+
+
+def build_lookups(spark: SparkSession, index: str) -> None:
+    """Store the index of n-grams and the edges of the current version, which searches and references then read in place of the bodies."""
     articles, attachments = corpus.read_index(spark, index)
-    corpus.remove(spark, f"{index}/vectors.json")
-    embed_chunks(item_chunks(articles, attachments), encode).write.mode("overwrite").parquet(f"{index}/vectors")
-    corpus.write_meta(spark, index_meta(spark.read.parquet(f"{index}/vectors"), fingerprint(articles, attachments), encoder), f"{index}/vectors.json")
+    folder = corpus.index_folder(spark, index)
+    for name in ("postings", "edges", "lookups.json"):
+        corpus.remove(spark, f"{folder}/{name}")
+    postings.build_postings(articles, attachments.filter(~F.col("deleted")), f"{folder}/postings")
+    graph.write_edges(graph.edge_table(articles), f"{folder}/edges")
+    corpus.write_meta(spark, {"index_sha256": fingerprint(articles, attachments)}, f"{folder}/lookups.json")
 
 
 def checked_vectors(spark: SparkSession, index: str, articles: DataFrame, attachments: DataFrame, encoder: str = HASHED) -> DataFrame:
     """The stored chunks with their vectors; SemanticUnavailable unless they are of these tables and this encoder."""
-    meta = corpus.read_meta(spark, f"{index}/vectors.json")
-    if not meta or not corpus.exists(spark, f"{index}/vectors"):
+    folder = corpus.index_folder(spark, index)
+    meta = corpus.read_meta(spark, f"{folder}/vectors.json")
+    if not meta or not corpus.exists(spark, f"{folder}/vectors"):
         raise SemanticUnavailable("no vectors are stored")
-    vectors = spark.read.parquet(f"{index}/vectors")
+    vectors = spark.read.parquet(f"{folder}/vectors")
     check_index(item_chunks(articles, attachments), vectors, meta, fingerprint(articles, attachments), meta.get("dimension"), encoder=encoder)
     return vectors

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from ..functions.text import PARTICLES, STOP_WORDS
+from ..functions.text import PARTICLES, STOP_WORDS, tokenize
 from . import fixture
 from .expansion import ALIAS_RULES, LEAD
-from .queries import FUZZY_TOKENS, MANY_TOKENS, TOKENS
+from .queries import FUZZY_TOKENS, MANY_QUERIES, MANY_TOKENS, RARE_TOKENS, TOKENS
 
 ARTICLES = """a AS (
   SELECT doc_id AS item_index, lang AS category, source, '' AS revision, '' AS chapter, split_part(text, chr(10), 1) AS article_title, text AS body FROM documents
@@ -124,7 +124,23 @@ RANGES = f"""rg AS (
 ),
 rt AS (SELECT source, {NAME.format(no="lo[1]", sub="lo[2]")} AS first, {NAME.format(no="hi[1]", sub="hi[2]")} AS last, n FROM rg)"""
 
+def grams(token: str) -> list[str]:
+    n = min(3, len(token))
+    return [token[i : i + n] for i in range(len(token) - n + 1)]
+
+
+def may_hold(fields: list[str], tokens: list[str], parts) -> str:
+    """Whether a row has all ``parts(token)`` of some token, each in any field."""
+    return " OR ".join("(" + " AND ".join("(" + " OR ".join(f"contains({f}, {quoted(g)})" for f in fields) + ")" for g in parts(t)) + ")" for t in tokens)
+
+
+def found(kind: str, table: str, fields: list[str], tokens: list[str]) -> str:
+    return f"""SELECT '{kind}' AS kind, count(*) AS rows, count(*) FILTER (WHERE {may_hold(fields, tokens, grams)}) AS candidates,
+      count(*) FILTER (WHERE {may_hold(fields, tokens, lambda t: [t])}) AS true_candidates FROM {table}"""
+
+
 ORACLE: dict[str, str] = {
+    "postings_report": f"WITH {ARTICLES}, {ATTACHMENTS} {found('article', 'a', ['body', 'article_title'], RARE_TOKENS)} UNION ALL {found('attachment', 'b', ['body', 'title'], RARE_TOKENS)}",
     "keyword_scores": f"WITH {ARTICLES}, {weight(TOKENS)} SELECT item_index, round({S}, 6) AS score, CAST({P} AS INT) AS position FROM a, idf",
     "fuzzy_bigram_score": f"WITH {ARTICLES}, {weight(FUZZY_TOKENS)} SELECT item_index, round({FS}, 6) AS score, CAST({FP} AS INT) AS position FROM a, idf",
     "attachment_scores": f"WITH {ARTICLES}, {ATTACHMENTS}, {weight(TOKENS)} SELECT item_index, round({BS}, 6) AS score, CAST({BP} AS INT) AS position FROM b, idf",
@@ -246,8 +262,10 @@ ORACLE: dict[str, str] = {
     "late_parents": """WITH x AS (SELECT l_orderkey AS k, CAST(o_orderdate AS DATE) AS p, CAST(min(l_shipdate) AS DATE) AS c FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
       SELECT k || ' 시행세칙' AS source, CASE WHEN p IS NOT NULL THEN CAST(k AS VARCHAR) END AS parent, CASE WHEN p IS NULL THEN 'no_parent' WHEN p > c THEN 'review_needed' ELSE 'ok' END AS status,
         CAST(CASE WHEN p > c THEN greatest((year(p) - year(c)) * 12 + month(p) - month(c), 1) ELSE 0 END AS BIGINT) AS months FROM x""",
-    "contained_names": """WITH n AS (SELECT DISTINCT substr(p_type, 1, 6) AS name FROM part), t AS (SELECT DISTINCT p_name FROM part)
+    "contained_names": """WITH n AS (SELECT DISTINCT regexp_extract(p_name, '^[^ ]+') AS name FROM part), t AS (SELECT DISTINCT p_name FROM part)
       SELECT p_name, name, CAST(length(p_name) - strpos(reverse(p_name), reverse(name)) - length(name) + 1 AS BIGINT) AS at FROM t JOIN n ON contains(p_name, name)""",
+    "names_in_documents": """WITH n AS (SELECT DISTINCT regexp_extract(text, '^[^ ]+ [^ ]+ [^ ]+') AS name FROM benchmark)
+      SELECT doc_id, name, CAST(length(text) - strpos(reverse(text), reverse(name)) - length(name) + 1 AS BIGINT) AS at FROM documents JOIN n ON contains(text, name) WHERE name <> ''""",
     "manifest_removed": f"WITH {MANIFESTS} SELECT name FROM old EXCEPT SELECT name FROM new",
     "manifest_common": f"WITH {MANIFESTS} SELECT name FROM old INTERSECT SELECT name FROM new",
     "manifest_regressed": f"WITH {MANIFESTS} SELECT name, old.revision AS old_revision, new.revision AS new_revision FROM old JOIN new USING (name) WHERE new.revision < old.revision",
@@ -290,3 +308,35 @@ ORACLE: dict[str, str] = {
     "search_semantic": f"""WITH {SCORED} SELECT CAST(rank AS INT) AS place, 'article' AS type, near.item_index, source, round(near.score, 4) AS score, 'semantic' AS search_mode, 'semantic' AS matched_by
       FROM near JOIN a ON near.item_index = a.item_index WHERE rank <= 10""",
 }
+ORACLE["keyword_postings"] = ORACLE["keyword_many_tokens"]
+
+
+def one_ranking(number: int, tokens: list[str]) -> str:
+    s, p = score("article_title", tokens)
+    return f"""SELECT {number} AS query, item_index, round(s, 6) AS score, CAST(p AS INT) AS position, CAST(row_number() OVER (ORDER BY s DESC, item_index) AS INT) AS rank
+      FROM (WITH {weight(tokens)} SELECT item_index, {s} AS s, {p} AS p FROM a, idf) WHERE s > 0 QUALIFY rank <= 10"""
+
+
+ORACLE["many_keyword_queries"] = f"WITH {ARTICLES} " + " UNION ALL ".join(one_ranking(i, tokenize(q)) for i, q in enumerate(MANY_QUERIES))
+ORACLE["many_dense_queries"] = f"""WITH q AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS query, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < {len(MANY_QUERIES)}),
+  s AS (SELECT query, vec_id // 4 AS item_index, CAST(vec_id % 4 AS INT) AS chunk_no, list_dot_product(CAST(embedding AS DOUBLE[]), v) AS score FROM embeddings, q),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query, item_index ORDER BY score DESC, chunk_no) = 1)
+  SELECT CAST(query AS INT) AS query, 'article' AS kind, item_index, round(score, 6) AS score, chunk_no, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, item_index) AS INT) AS rank
+  FROM b QUALIFY rank <= 10"""
+
+NUMBER = "'제' || ((doc_id + {shift}) % 9 + 1) || CASE WHEN doc_id % 2 = 0 THEN '조의2 ' ELSE '조 ' END"
+EDGES = f"""c AS (
+  SELECT doc_id AS item_index, source, CAST(doc_id % 9 + 1 AS INT) AS no, CAST(doc_id % 3 AS INT) AS sub,
+    replace(replace(text, ' the ', ' src' || (doc_id % 4) || ' ' || {NUMBER.format(shift=3)}), ' que ', ' ' || {NUMBER.format(shift=5)}) AS body FROM documents
+),
+target AS (SELECT source AS t_source, no AS t_no, sub AS t_sub, count(*) AS n, ' 제' || no || '조' || CASE WHEN sub > 0 THEN '의' || sub ELSE '' END || ' ' AS name FROM c GROUP BY ALL),
+edge AS (
+  SELECT t_source, t_no, t_sub, item_index, 'same_regulation' AS scope, strpos(body, name) AS place, body
+  FROM c JOIN target ON source = t_source WHERE contains(body, name) AND (no <> t_no OR sub <> t_sub OR n > 1)
+  UNION ALL SELECT t_source, t_no, t_sub, item_index, 'cross_regulation', strpos(body, t_source || name) - 1, body
+  FROM c JOIN target ON source <> t_source WHERE contains(body, t_source || name)
+)"""
+ORACLE["reference_edges"] = f'WITH {EDGES} SELECT t_source, t_no, t_sub, item_index, scope, place AS "at" FROM edge'
+ORACLE["reference_edges_of_one"] = f"""WITH {EDGES}
+  SELECT item_index, scope, source || ' 제' || no || '조' AS citation, {around('edge.body', 'place', 60)} AS snippet FROM edge JOIN c USING (item_index) WHERE t_source = 'src1' AND t_no = 7 AND t_sub = 0"""
+ORACLE["usage_stream_totals"] = ORACLE["usage_totals"]

@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, citations, dense, fusion, graph, keyword, lookup, manifest, questions, radar, segment, usage
+from ..operators import chunking, citations, dense, fusion, graph, keyword, lookup, manifest, postings, questions, radar, segment, usage
 from ..operators.headings import normalize_headings
-from ..operators.names import contained
-from ..sources import corpus, listing, sync
+from ..operators.names import contained, name_places
+from ..schemas import USAGE_EVENT
+from ..sources import corpus, listing, sync, tables
 from ..streaming import usage_stream
+from ..streaming import usage_totals as stored_totals
 from . import fixture
 from .expansion import expand_queries
 from .search import all_rows, recall_at_k, search
@@ -115,6 +116,29 @@ def keyword_many_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("kind", "item_index", r6("score"), "position")
 
 
+RARE_TOKENS = ["tionble", "quement", "zzz", "ó", "thing-", "mente mente"]
+
+
+def postings_of(spark: SparkSession, sf_dir: str) -> str:
+    """An index of the documents and the benchmark's items in a folder of its own."""
+    path = tables.new_folder(spark, "postings")
+    postings.build_postings(articles_of(spark, sf_dir), attachments_of(spark, sf_dir), path)
+    return path
+
+
+@query
+def keyword_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keyword_many_tokens from the index of n-grams."""
+    top = postings.ranking_by_postings(spark, postings_of(spark, sf_dir), MANY_TOKENS)
+    return top.select("kind", "item_index", r6("score"), "position")
+
+
+@query
+def postings_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and candidates of a search for rare tokens, and which of them hold one."""
+    return postings.postings_report(spark, postings_of(spark, sf_dir), RARE_TOKENS).select("kind", "rows", "candidates", "true_candidates")
+
+
 @query
 def corpus_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = all_rows(articles_of(spark, sf_dir), attachments_of(spark, sf_dir))
@@ -271,6 +295,33 @@ def incoming_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.incoming_references(a, graph.reference_target(a, "시험규정", 2, 2)).select("item_index", "scope", "citation")
 
 
+def citing_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as articles with citations written in: by name for each "the", bare for each "que"."""
+    number = lambda shift: F.concat(F.lit("제"), ((F.col("item_index") + shift) % 9 + 1).cast("string"), F.when(F.col("item_index") % 2 == 0, "조의2 ").otherwise("조 "))
+    named = F.concat(F.lit(" src"), (F.col("item_index") % 4).cast("string"), F.lit(" "), number(3))
+    body = F.replace(F.replace("body", F.lit(" the "), named), F.lit(" que "), F.concat(F.lit(" "), number(5)))
+    no, sub = (F.col("item_index") % 9 + 1).cast("int"), (F.col("item_index") % 3).cast("int")
+    return articles_of(spark, sf_dir).select(
+        "item_index", "category", "source", "revision", "chapter", F.concat(F.lit("제"), no.cast("string"), F.lit("조")).alias("article"), "article_title", body.alias("body"),
+        no.alias("article_no"), sub.alias("article_sub"), F.lit(False).alias("is_supplementary"),
+    )
+
+
+@query
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All references of the documents with citations, both ways, from one pass."""
+    edges = graph.edge_table(citing_articles(spark, sf_dir))
+    return edges.select("t_source", "t_no", "t_sub", "item_index", "scope", F.col("at").cast("long").alias("at"))
+
+
+@query
+def reference_edges_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who cites one article, read from the stored edges: a bucket, not the texts."""
+    path = tables.new_folder(spark, "edges")
+    graph.write_edges(graph.edge_table(citing_articles(spark, sf_dir)), path)
+    return graph.edges_of(spark, path, "src1", 7, 0).select("item_index", "scope", "citation", "snippet")
+
+
 @query
 def attachment_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.createDataFrame([(0, "앞말 [별표 1] 처분 기준 [별지 제2호 서식] 신청서"), (1, "[ 별표  1-1 ] 표"), (2, "없음")], "line_id long, line string")
@@ -325,6 +376,32 @@ def allowed_chunks_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.allowed_chunks(c, allowed).select("kind", "item_index", "chunk_no", F.col("label").cast("long").alias("label"))
 
 
+#: Fifteen queries of the words that the documents' languages have, and the vectors that stand for them.
+MANY_QUERIES = [
+    "the tionble", "que mente", "der sch", "ado ción", "eux ment", "and thing", "ion ation", "est iert", "or ing", "zzz",
+    "hand shand", "nder ander", "elle aux", "ouest", "tion tionble eux",
+]
+
+
+@query
+def many_keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten documents of each of fifteen queries, with one scan of the texts."""
+    found = keyword.keyword_rankings(articles_of(spark, sf_dir), [T.tokenize(q) for q in MANY_QUERIES], 10)
+    return found.select("query", "item_index", r6("score"), "position", "rank")
+
+
+def query_vectors(spark: SparkSession, sf_dir: str) -> list[list[float]]:
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < len(MANY_QUERIES)).orderBy("vec_id").collect()
+    return [r["embedding"] for r in rows]
+
+
+@query
+def many_dense_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten items of each of fifteen vectors, with one pass over the vectors."""
+    found = dense.dense_rankings(chunks_of(spark, sf_dir), query_vectors(spark, sf_dir), 10)
+    return found.select("query", "kind", "item_index", r6("score"), "chunk_no", "rank")
+
+
 def two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     a = articles_of(spark, sf_dir)
     words = keyword.keyword_ranking(a, None, TOKENS, keyword.weights_of(a, TOKENS))
@@ -382,8 +459,18 @@ def late_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose name has the first word of a part's name."""
     p = table(spark, sf_dir, "part")
-    return contained(p, "p_name", p.select(F.substring("p_type", 1, 6).alias("name")), "name").select("p_name", "name", F.col("at").cast("long").alias("at"))
+    first = p.select(F.regexp_extract("p_name", "^[^ ]+", 0).alias("name"))
+    return contained(p, "p_name", first, "name").select("p_name", "name", F.col("at").cast("long").alias("at"))
+
+
+@query
+def names_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that have the first three words of a benchmark item."""
+    names = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", "^[^ ]+ [^ ]+ [^ ]+", 0).alias("name"))
+    found = name_places(table(spark, sf_dir, "documents"), "doc_id", "text", names, "name")
+    return found.select("doc_id", "name", F.col("at").cast("long").alias("at"))
 
 
 def two_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -482,11 +569,27 @@ def daily_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def usage_stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streamed daily counts over the whole table, read as a stream until its end."""
-    raw = spark.readStream.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parque[t]")
+    table_schema = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    raw = tables.stream_table(spark, f"{sf_dir}/events.parquet", table_schema)
     counts = usage_stream.daily_counts(raw.select("ts", F.col("event_type").alias("tool")))
-    name = f"usage_{uuid.uuid4().hex}"
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("day").cast("string").alias("day"), "tool", "count")
+    folder = tables.new_folder(spark, "daily")
+    # every batch has all counts so far: the last one's stand
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/counts")
+    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").select(F.col("day").cast("string").alias("day"), "tool", "count")
+
+
+@query
+def usage_stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of the whole table, written as a log of eight files, streamed in batches of two and merged batch by batch, one of them twice."""
+    folder = tables.new_folder(spark, "usage")
+    events_of(spark, sf_dir).repartition(8).write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema(USAGE_EVENT).option("maxFilesPerTrigger", 2).parquet(f"{folder}/events")
+    stored_totals.run_totals(stream, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    said = tables.read_pointer(spark, f"{folder}/counts")["batches"]
+    for name, number in said.items():
+        stored_totals.merge_batch(events_of(spark, sf_dir), f"{folder}/counts", name, number)  # comes again, and is passed over
+    return stored_totals.totals(spark, f"{folder}/counts")
 
 
 # sources

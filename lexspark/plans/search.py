@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, source_match, tokenize
-from ..operators.dense import SemanticUnavailable, allowed_chunks, dense_ranking, row_numbers
+from ..operators.dense import SemanticUnavailable, dense_ranking, row_numbers
 from ..operators.fusion import keep_channel_heads, rrf_fusion
 from ..operators.keyword import CANDIDATES, keyword_ranking, weights_of
+from ..operators.postings import ranking_by_postings
 from .expansion import expand_query
 
 MODES = ("hybrid", "keyword", "semantic")
@@ -29,13 +30,14 @@ def allowed_rows(rows: DataFrame, category: str | None, source: str | None) -> D
 def search(
     articles: DataFrame, attachments: DataFrame, query: str, category: str | None = None, source: str | None = None, limit: int = 10,
     fuzzy: bool = False, include_attachments: bool = False, mode: str = "hybrid", chunks: DataFrame | None = None,
-    encode: Callable[[str], Sequence[float]] | None = None, paused: Callable[[], bool] = lambda: False,
+    encode: Callable[[str], Sequence[float]] | None = None, paused: Callable[[], bool] = lambda: False, postings: str | None = None,
 ) -> DataFrame:
     """The best ``limit`` rows for a query, as HITS; a bad mode is a ValueError before anything is read.
 
     ``hybrid`` fuses the two rankings; where ``chunks`` (with vectors) or ``encode`` is missing or
     refuses, or dense search is ``paused``, it falls back to keywords and says so. ``semantic``
-    reads no text unless it has to fall back.
+    reads no text unless it has to fall back. With ``postings``, the folder of an index of these tables
+    (:mod:`lexspark.operators.postings`), keywords are looked up there and no body is scanned.
     """
     mode = mode.lower().strip()
     if mode not in MODES:
@@ -51,18 +53,25 @@ def search(
         tokens = tokenize(query)
         if not tokens:
             return spark.createDataFrame([], "kind string, item_index long, score double, position int, rank int")
-        top = keyword_ranking(some, attached, tokens, weights_of(articles, tokens), k, fuzzy)
+        if postings is None:
+            top = keyword_ranking(some, attached, tokens, weights_of(articles, tokens), k, fuzzy)
+        else:
+            top = ranking_by_postings(spark, postings, tokens, k, fuzzy, include_attachments, category, source_match(source, F.col("source")) if source else None)
         return row_numbers(top, F.desc("score"), "kind", "item_index")
 
+    def allowed_keys() -> DataFrame:
+        keys = some.select(F.lit("article").alias("kind"), "item_index")
+        return keys if attached is None else keys.unionByName(attached.select(F.lit("attachment").alias("kind"), "item_index"))
+
     semantic = None
     if mode != "keyword":
         try:
             if chunks is None or encode is None or paused():
                 raise SemanticUnavailable("no vectors, or paused")
-            keys = some.select(F.lit("article").alias("kind"), "item_index")
-            if attached is not None:
-                keys = keys.unionByName(attached.select(F.lit("attachment").alias("kind"), "item_index"))
-            ranked = dense_ranking(allowed_chunks(chunks, keys), encode(expand_query(query)), k)
+            # without a filter all chunks of articles are allowed, and nothing has to be joined
+            free = not category and not source and attached is None
+            some_chunks = chunks.filter(F.col("kind") == "article") if free else chunks
+            ranked = dense_ranking(some_chunks, encode(expand_query(query)), k, allowed=None if free else allowed_keys())
             semantic = row_numbers(ranked, F.desc("score"), "kind", "item_index")
         except SemanticUnavailable:
             semantic = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.unicode import nfc
 from ..operators.segment import numbered, parse_regulations
 from ..schemas import ARTICLE, ATTACHMENT, MANIFEST, QUESTION
+from .tables import current, publish, read_pointer, written
 
 # Files that put the others of a category together.
 AGGREGATES = ("law.md", "hr.md", "project.md", "volunteer.md", "partnership.md", "finance.md", "management.md")
@@ -27,22 +28,30 @@ def read_markdown(spark: SparkSession, folder: str, skip: tuple[str, ...] = AGGR
 
 
 def build_index(spark: SparkSession, folder: str, index: str, skip: tuple[str, ...] = AGGREGATES) -> None:
-    """Parse all files and replace the two tables under ``index``; vectors of the tables that were there go."""
+    """Parse all files and make both tables the index's next version, without vectors."""
     build_from(spark, read_markdown(spark, folder, skip), index)
 
 
 def build_from(spark: SparkSession, files: DataFrame, index: str) -> None:
-    """:func:`build_index` of a table (category, file, stem, text)."""
-    articles, attachments = parse_regulations(files)
-    remove(spark, f"{index}/vectors")
-    remove(spark, f"{index}/vectors.json")
-    write_index(numbered(articles), numbered(attachments), index)
+    """:func:`build_index` of a table (category, file, stem, text).
+
+    A version is a folder of its own that is never changed, and the pointer moves to it only
+    once both tables stand there: if a step fails, readers go on with the version before, vectors
+    included. The parsed rows are written once, since numbering them reads them several times.
+    """
+    articles, attachments = (written(t, "parsed") for t in parse_regulations(files))
+    publish(spark, index, lambda folder: write_index(numbered(articles), numbered(attachments), folder))
+
+
+def index_folder(spark: SparkSession, index: str) -> str:
+    """Where the index's tables are: the current version, or ``index`` itself if it has none."""
+    return current(spark, index) if read_pointer(spark, index) else index
 
 
-def write_index(articles: DataFrame, attachments: DataFrame, index: str) -> None:
+def write_index(articles: DataFrame, attachments: DataFrame, folder: str) -> None:
     names = lambda schema: [c.split()[0] for c in schema.split(", ")]
-    articles.select(*names(ARTICLE)).write.mode("overwrite").parquet(f"{index}/articles")
-    attachments.select(*names(ATTACHMENT)).write.mode("overwrite").parquet(f"{index}/attachments")
+    articles.select(*names(ARTICLE)).write.mode("overwrite").parquet(f"{folder}/articles")
+    attachments.select(*names(ATTACHMENT)).write.mode("overwrite").parquet(f"{folder}/attachments")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -70,9 +79,10 @@ def read_meta(spark: SparkSession, path: str) -> dict:
 
 def read_index(spark: SparkSession, index: str) -> tuple[DataFrame, DataFrame]:
     """(articles, attachments); FileNotFoundError before the index is built."""
-    if not exists(spark, f"{index}/articles"):
+    folder = index_folder(spark, index)
+    if not exists(spark, f"{folder}/articles"):
         raise FileNotFoundError(f"no index under {index}; build it first")
-    return spark.read.schema(ARTICLE).parquet(f"{index}/articles"), spark.read.schema(ATTACHMENT).parquet(f"{index}/attachments")
+    return spark.read.schema(ARTICLE).parquet(f"{folder}/articles"), spark.read.schema(ATTACHMENT).parquet(f"{folder}/attachments")
 
 
 def read_json_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

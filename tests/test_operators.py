@@ -202,7 +202,9 @@ def test_dense(spark):
     assert dense.dense_ranking(chunks, rows[0][5], 0).count() == 0
     allowed = spark.createDataFrame([("article", 1)], "kind string, item_index long")
     assert {r.item_index for r in dense.allowed_chunks(chunks, allowed).collect()} == {1}
-    blas = chunks.select(dense.dot_blas(rows[0][5])(F.col("embedding")).alias("s"), dense.dot(F.col("embedding"), rows[0][5]).alias("t")).collect()
+    key = ["kind", "item_index", "chunk_no"]
+    blas = dense.block_scores(chunks, [rows[0][5]], None).withColumnRenamed("score", "s").join(chunks.select(*key, dense.dot(F.col("embedding"), rows[0][5]).alias("t")), key).collect()
+    assert len(blas) == len(rows)
     assert all(abs(r.s - r.t) < 1e-4 for r in blas)
     with pytest.raises(dense.SemanticUnavailable):
         dense.check_index(chunks, chunks, {"schema_version": 1, "index_sha256": "old"}, "new", 8)
@@ -404,3 +406,56 @@ def test_stream(spark, tmp_path):
     assert added == 2 and usage_log.backfill(spark, usage.usage_totals(events), daily)[1] == 0
     calls = spark.createDataFrame([(datetime.datetime(2026, 1, 1), "t", "승진")], "ts timestamp, tool string, text string")
     assert usage_stream.label_events(calls).columns == ["ts", "tool", "lang"]
+
+
+def test_calls_are_held_and_compacted(spark, tmp_path):
+    """No file for each call; a compaction that is cut off counts nothing twice."""
+    from lexspark.streaming import usage_log
+
+    log = str(tmp_path / "log")
+    at = datetime.datetime(2026, 8, 2, 15, 30)
+    with pytest.raises(FileNotFoundError):
+        usage_log.read_log(spark, log)
+    writer = usage_log.UsageWriter(spark, log, most=10, seconds=1e9)
+    for i in range(25):
+        writer.add(f"t{i % 3}", ["승진", "leave", None, " ", "12"][i % 5], at + datetime.timedelta(seconds=i))
+    files = lambda: sorted(p.name for p in (tmp_path / "log" / "pending").iterdir() if p.suffix == ".parquet")
+    assert len(files()) == 2 and usage_log.read_log(spark, log).count() == 20
+    writer.flush()
+    counts = lambda: sorted(((r.tool, r.lang, r["count"]) for r in usage_log.read_log(spark, log).groupBy("tool", "lang").count().collect()), key=str)
+    want = counts()
+    assert sum(c for *_, c in want) == 25 and {lang for _, lang, _ in want} == {"ko", "en", "other", None}
+    kept = {name: (tmp_path / "log" / "pending" / name).read_bytes() for name in files()}
+    assert usage_log.compact(spark, log) == 3 and files() == [] and counts() == want
+    for name, body in kept.items():  # as if the files had not been deleted
+        (tmp_path / "log" / "pending" / name).write_bytes(body)
+    assert counts() == want
+    writer.add("t0", "late", at)
+    writer.flush()
+    assert usage_log.compact(spark, log) == 1 and sum(c for *_, c in counts()) == 26 and files() == []
+    assert usage_log.snapshot(spark, log)["total"] == 26
+
+
+def test_streamed_totals_count_each_event_once(spark, tmp_path, monkeypatch):
+    from lexspark.sources import tables
+    from lexspark.streaming import usage_totals
+
+    rows = [(datetime.datetime(2026, 8, 1 + i % 5, 14, 59 if i % 2 else 30) + datetime.timedelta(minutes=i), f"t{i % 4}" if i % 9 else None, ["ko", None][i % 2]) for i in range(200)]
+    events = spark.createDataFrame(rows, "ts timestamp, tool string, lang string")
+    path, check = str(tmp_path / "counts"), str(tmp_path / "check")
+    stream = lambda: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    events.filter("day(ts) < 4").repartition(3).write.parquet(str(tmp_path / "events"))
+    usage_totals.run_totals(stream(), path, check).awaitTermination()
+    # a merge that dies before the pointer moves, and the same batch again
+    events.filter("day(ts) >= 4").repartition(2).write.mode("append").parquet(str(tmp_path / "events"))
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_point", lambda *a: (_ for _ in ()).throw(OSError("cut off")))
+        with pytest.raises(Exception, match="cut off"):
+            usage_totals.run_totals(stream(), path, check).awaitTermination()
+    usage_totals.run_totals(stream(), path, check).awaitTermination()
+    (name, number), = tables.read_pointer(spark, path)["batches"].items()
+    assert not usage_totals.merge_batch(events, path, name, number)
+    for kind in ("tool", "lang"):
+        assert usage_totals.totals(spark, path, kind).collect() == usage.usage_totals(events, kind).collect()
+        assert sorted(usage_totals.daily(spark, path, kind).collect()) == sorted(usage.usage_daily(events, kind).collect())
+    assert usage_totals.totals(spark, str(tmp_path / "none")).collect() == []

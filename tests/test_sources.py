@@ -106,12 +106,69 @@ def test_vectors_of_another_index(spark, folder, tmp_path):
     # the tables change below the vectors
     articles, attachments = corpus.read_index(spark, index)
     other = spark.createDataFrame(articles.collect(), articles.schema).withColumn("body", F.lit("새 본문 위원회"))
-    corpus.write_index(other, spark.createDataFrame(attachments.collect(), attachments.schema), index)
+    corpus.write_index(other, spark.createDataFrame(attachments.collect(), attachments.schema), corpus.index_folder(spark, index))
     stale = Corpus.open(spark, index, one)
     assert stale.semantic_error == "the vectors were built for another index" and mode(stale) == "keyword_fallback"
     stale.close()
     corpus.build_index(spark, folder, index)
-    assert not corpus.exists(spark, f"{index}/vectors")
+    assert not corpus.exists(spark, f"{corpus.index_folder(spark, index)}/vectors")
+
+
+def test_a_build_that_fails_leaves_the_old_version(spark, folder, tmp_path, monkeypatch):
+    """Readers see the two tables and the vectors of one version, whatever step of the next fails."""
+    from lexspark.operators.dense import hashed_encoder
+    from lexspark.plans.api import Corpus, build_vectors
+
+    encode = hashed_encoder()
+    index = str(tmp_path / "index")
+    corpus.build_index(spark, folder, index)
+    build_vectors(spark, index, encode)
+    version = corpus.index_folder(spark, index)
+    want = [t.count() for t in corpus.read_index(spark, index)]
+    fewer = corpus.read_markdown(spark, folder).limit(1)
+
+    def half(articles, attachments, where):
+        articles.write.parquet(f"{where}/articles")
+        raise OSError("the second table fails")
+
+    with monkeypatch.context() as m:
+        m.setattr(corpus, "write_index", half)
+        with pytest.raises(OSError, match="second"):
+            corpus.build_from(spark, fewer, index)
+    assert corpus.index_folder(spark, index) == version and [t.count() for t in corpus.read_index(spark, index)] == want
+    assert sorted(p.name for p in (tmp_path / "index").iterdir() if p.is_dir()) == [version.rpartition("/")[2]]
+    c = Corpus.open(spark, index, lambda q: encode([q])[0].tolist())
+    assert c.semantic_error is None and len(c.search_regulation("위원회")) > 0
+    with monkeypatch.context() as m:
+        m.setattr("lexspark.sources.tables._point", lambda *a: (_ for _ in ()).throw(OSError("the pointer fails")))
+        with pytest.raises(OSError, match="pointer"):
+            corpus.build_from(spark, fewer, index)
+    assert corpus.index_folder(spark, index) == version
+    corpus.build_from(spark, fewer, index)
+    assert corpus.index_folder(spark, index) != version and corpus.read_index(spark, index)[0].count() < want[0]
+    assert len(c.search_regulation("위원회")) > 0  # the version before stays for those that opened it
+    c.close()
+    for _ in range(2):
+        corpus.build_index(spark, folder, index)
+    assert len([p for p in (tmp_path / "index").iterdir() if p.is_dir()]) == 2
+
+
+def test_stored_lookups_answer_as_the_bodies_do(spark, folder, tmp_path):
+    from lexspark.plans.api import Corpus, build_lookups
+
+    index = str(tmp_path / "index")
+    corpus.build_index(spark, folder, index)
+    plain = Corpus.open(spark, index)
+    build_lookups(spark, index)
+    stored = Corpus.open(spark, index)
+    assert plain.lookups is None and stored.lookups
+    for query in ("위원회", "업무 시행일", "신청서"):
+        for more in ({}, {"include_attachments": True}, {"source": "시행세칙"}, {"category": "규정", "fuzzy": True}):
+            assert stored.search_regulation(query, **more) == plain.search_regulation(query, **more)
+    for article in ("1", "2", "2의2", "9"):
+        assert stored.find_references("시험규정", article) == plain.find_references("시험규정", article)
+    plain.close()
+    stored.close()
 
 
 def test_swap_puts_the_old_table_back(spark, tmp_path, monkeypatch):

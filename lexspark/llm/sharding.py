@@ -72,16 +72,18 @@ def shard_documents(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
         jump_shard(F.col(key), shards + 1).alias("grown_shard"),
     )
     quantiles = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
-    bounds = sorted({int(x) for x in docs.select(F.col(key).cast("double")).approxQuantile(key, quantiles, 0.0005) if x == x})
+    found = docs.select(F.col(key).cast("long").cast("double").alias("key")).approxQuantile("key", quantiles, 0.0005)
+    bounds = sorted({int(min(x, 2.0**63 - 1024)) for x in found if x == x})  # the largest long is no double
 
     @F.pandas_udf("int")
     def bucket_of(keys: pd.Series) -> pd.Series:
-        # a null key sorts before every bound
-        found = np.searchsorted(np.array(bounds, np.int64), keys.fillna(-(2**63)).to_numpy(np.int64), side="right")
+        found = np.searchsorted(np.array(bounds, np.int64), keys.to_numpy(np.int64), side="right")
         return pd.Series(found.astype(np.int32))
 
-    placed = plain.withColumn("bucket", bucket_of(F.col(key)))
-    counts = docs.select(jump_shard(F.col(key), shards).alias("shard"), bucket_of(F.col(key).cast("long")).alias("bucket"))
+    # a null key counts as the least long; a batch with nulls would reach pandas as doubles
+    bucket = bucket_of(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")))
+    placed = plain.withColumn("bucket", bucket)
+    counts = docs.select(jump_shard(F.col(key), shards).alias("shard"), bucket.alias("bucket"))
     counts = counts.groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))

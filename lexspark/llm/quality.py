@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,7 +144,8 @@ def text_rules(text: str = "text", words: str = "words") -> list[Rule]:
 def sample_of(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text) of some rows, written: those of the least hashes in files that are chosen by a hash of their names.
 
-    Only the chosen files are read. A table that isn't read from files is sampled as a whole.
+    Only the chosen files are read, where the table is one read of files. Any other table (a union, a
+    join, rows that were made) has no one file name a row, and is sampled as a whole.
     Texts are taken whole, those of over SAMPLE_TEXT_BYTES left out.
     """
     files = docs.inputFiles()
@@ -150,7 +153,8 @@ def sample_of(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> D
     if len(files) > SAMPLE_FILES:
         names = {f.rpartition("/")[2] for f in files}
         chosen = sorted(names, key=lambda f: hashlib.md5(f.encode()).digest())[:SAMPLE_FILES]
-        some = docs.filter(F.col("_metadata.file_name").isin(chosen))
+        with contextlib.suppress(AnalysisException):  # no file name, or several
+            some = docs.filter(F.col("_metadata.file_name").isin(chosen))
     some = some.select(F.col(text).alias(text)).filter(F.coalesce(F.octet_length(text), F.lit(0)) <= SAMPLE_TEXT_BYTES)
     return materialize(some.orderBy(F.xxhash64(text)).limit(rows), "rule-sample")
 

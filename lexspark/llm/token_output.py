@@ -162,7 +162,7 @@ def expand(symbols: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, base: int)
     return symbols
 
 
-def write_payload(doc_ids: list[int], arrays: list[np.ndarray], base: int) -> bytes:
+def write_payload(doc_ids: list[int | None], arrays: list[np.ndarray], base: int) -> bytes:
     lengths = np.array([len(a) for a in arrays], np.uint32)
     ids = np.concatenate(arrays) if arrays else np.zeros(0, np.uint32)
     ends = np.zeros(len(ids), bool)
@@ -175,9 +175,11 @@ def write_payload(doc_ids: list[int], arrays: list[np.ndarray], base: int) -> by
     for n in sizes:
         spans[base + done : base + done + n] = spans[pairs[done : done + n]].sum(1)
         done += int(n)
-    head = HEADER.pack(MAGIC, 1, width, len(doc_ids), len(symbols), len(pairs), len(sizes), base)
+    missing = np.array([i is None for i in doc_ids], bool)
+    numbers = np.array([i or 0 for i in doc_ids], "<i8")
+    head = HEADER.pack(MAGIC, 2, width, len(doc_ids), len(symbols), len(pairs), len(sizes), base)
     return b"".join(
-        [head, np.array(doc_ids, "<i8").tobytes(), lengths.tobytes(), symbol_counts.tobytes(), sizes.tobytes(), pairs.tobytes(), spans[base:].tobytes(), symbols.astype(f"<u{width}").tobytes()]
+        [head, numbers.tobytes(), np.packbits(missing).tobytes(), lengths.tobytes(), symbol_counts.tobytes(), sizes.tobytes(), pairs.tobytes(), spans[base:].tobytes(), symbols.astype(f"<u{width}").tobytes()]
     )
 
 
@@ -186,7 +188,7 @@ class Payload:
 
     def __init__(self, data: bytes):
         magic, version, width, docs, symbols, rules, rounds, self.base = HEADER.unpack_from(data)
-        if magic != MAGIC or version != 1:
+        if magic != MAGIC or version != 2:
             raise ValueError("not a token shard")
         at = HEADER.size
 
@@ -196,7 +198,9 @@ class Payload:
             at += found.nbytes
             return found
 
-        self.doc_ids, self.lengths, self.symbol_counts = take("<i8", docs), take("<u4", docs), take("<u4", docs)
+        self.doc_ids = take("<i8", docs)
+        self.missing = np.unpackbits(take("u1", -(-docs // 8)), count=docs).astype(bool)  # rows without an id
+        self.lengths, self.symbol_counts = take("<u4", docs), take("<u4", docs)
         self.sizes, self.pairs, self.spans = take("<u4", rounds), take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
         self.symbols = take(f"<u{width}", symbols)
         self.starts = np.concatenate([[0], np.cumsum(self.symbol_counts, dtype=np.int64)])
@@ -222,7 +226,7 @@ class Payload:
 ENCODED = "part int, doc_id long, ids binary"
 SHARDS = "partition int, shard int, n_ids long, payload binary"
 
-#: Stands for a missing id, before all others.
+#: Stands for a missing id where parts are cut, with the least id.
 NO_ID = -(2**63)
 
 
@@ -257,7 +261,7 @@ def encode_documents(docs: DataFrame, bounds: list[int], path: str | None = None
             for i in np.flatnonzero(last > first).tolist():
                 part[i] += zlib.crc32(data[starts[i] : stops[i]]) % (last[i] - first[i] + 1)
             binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(np.append(0, stops).astype(np.int64)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(keys), binary.cast(pa.binary())], ["part", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), batch.column(0), binary.cast(pa.binary())], ["part", "doc_id", "ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, ENCODED)
 
@@ -267,7 +271,7 @@ def encode_shards(docs: DataFrame, partitions: int, path: str | None = None, doc
 
     Texts are encoded where they are read, and ids go to the part of the id order that they belong
     to; a part is cut into shards of about SHARD_IDS ids, the last document of each whole. A null
-    text is empty, a null id sorts first and is stored as the least long; rows that repeat an
+    text is empty, a null id sorts first and stays null; rows that repeat an
     id stay, in the order of their ids as bytes within a part. A very long text is one
     document of one shard.
     """
@@ -298,7 +302,7 @@ def encode_shards(docs: DataFrame, partitions: int, path: str | None = None, doc
             yield flush()
 
     encoded = encode_documents(docs, id_bounds(docs, partitions, doc_id), path, doc_id, text, end_id)
-    return encoded.repartitionById(partitions, "part").sortWithinPartitions("doc_id", "ids").mapInArrow(write, SHARDS)
+    return encoded.repartitionById(partitions, "part").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(write, SHARDS)
 
 
 DOCUMENTS = "partition int, shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
@@ -321,7 +325,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     {
                         "partition": pa.array(np.full(n, batch.column("partition")[row].as_py()), pa.int32()),
                         "shard": pa.array(np.full(n, batch.column("shard")[row].as_py()), pa.int32()),
-                        "doc_id": pa.array(shard.doc_ids), "local_start": pa.array(starts), "n_tokens": pa.array(shard.lengths.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64()),
+                        "doc_id": pa.array(shard.doc_ids, mask=shard.missing), "local_start": pa.array(starts), "n_tokens": pa.array(shard.lengths.astype(np.int64)), "ids_crc32": pa.array(crc, pa.int64()),
                     }
                 )
 

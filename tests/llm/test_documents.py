@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexspark.llm import packing, pii, quality, sharding, token_counts, token_output, tokens
 
@@ -251,7 +252,8 @@ def test_token_files(odd, odd_texts, tokenizer, nothing):
     assert got == want
     rows.sort(key=lambda r: r.start)
     assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
-    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    key = [(r.doc_id is not None, r.doc_id or 0) for r in rows]
+    assert key == sorted(key) and sum(r.doc_id is None for r in rows) == sum(i is None for i, _ in odd_texts)
     assert token_output.token_files(nothing).count() == 0
 
 
@@ -305,3 +307,32 @@ def test_pairs_are_replaced_until_none_is_frequent():
                 left[pair] += 1
                 last[pair] = i
     assert max(left.values()) < token_output.LEAST_COUNT
+
+
+def test_ids_at_both_ends(spark, tokenizer):
+    """The largest, the least and a missing id are three ids."""
+    ids = [2**63 - 1, 2**63 - 2, -(2**63), -(2**63) + 1, 0, None, None]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    rows = sharding.shard_documents(df, 8).collect()
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0)
+    assert sorted(map(key, rows)) == sorted((i is not None, i or 0) for i in ids)
+    for shard in {r.shard for r in rows}:
+        own = sorted((r for r in rows if r.shard == shard), key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(len(own))) and [key(r) for r in own] == sorted(key(r) for r in own)
+    for partitions in (1, 3):
+        rows = sorted(token_output.token_files(df, partitions=partitions).collect(), key=lambda r: r.start)
+        assert [r.doc_id for r in rows] == [None, None, *sorted(i for i in ids if i is not None)]
+        for r in rows:
+            assert r.ids_crc32 == zlib.crc32(np.array([*tokenizer.encode(f"text {r.doc_id}", add_special_tokens=False).ids, 0], "<u4").tobytes())
+
+
+def test_quality_of_unions_and_joins(spark, corpus, corpus_texts, tmp_path):
+    """Tables of many files that aren't one read of files."""
+    corpus.repartition(12).write.parquet(f"{tmp_path}/a")
+    a = spark.read.parquet(f"{tmp_path}/a")
+    want = sorted((r.doc_id, r.kept) for r in quality.quality_report(corpus).collect())
+    both = a.unionByName(spark.read.parquet(f"{tmp_path}/a"))
+    joined = a.join(spark.read.parquet(f"{tmp_path}/a").select("doc_id", F.lit(1).alias("one")), "doc_id")
+    for df, times in ((a, 1), (both, 2), (joined, 1)):
+        assert sorted((r.doc_id, r.kept) for r in quality.quality_report(df).collect()) == sorted(want * times)
+        assert sorted(r.doc_id for r in quality.quality_filter(df).collect()) == sorted([i for i, kept in want if kept] * times)

@@ -25,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .token_counts import Splitter
-from .tokens import SLICE_BYTES, PieceEncoder, byte_letters, slices, tokenizer_path
+from .tokens import PieceEncoder, byte_letters, slices, tokenizer_path
 
 #: A symbol that a merge has used up, and the place beside a word's last or first symbol.
 GONE, NOWHERE = -1, -1
 
+#: UTF-8 bytes of texts, and bytes of ids, that a worker holds at a time; the arrays of a slice are some twenty times these.
+ENCODE_BYTES, DECODE_BYTES = 12 << 20, 4 << 20
+
 #: Rules are applied to all their places at once while these are about LONG on average over the last PATIENCE rules.
 LONG, PATIENCE = 24, 200
 
@@ -261,7 +264,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, doc_id: str = "do
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = occurrence_encoder(path)
-        for batch in slices(batches, most=SLICE_BYTES):
+        for batch in slices(batches, most=ENCODE_BYTES):
             ids, ends = tool.encode_column(batch.column(1).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends, prepend=0)), binary_slices(ids, ends)], ["doc_id", "n_tokens", "ids"])
 
@@ -278,7 +281,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, doc_id: str =
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = occurrence_encoder(path)
-        for batch in slices(batches, most=SLICE_BYTES):
+        for batch in slices(batches, most=DECODE_BYTES):
             column = batch.column(1).fill_null(b"").cast(pa.large_binary())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             if (offsets % 4).any():

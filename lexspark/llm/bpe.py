@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .token_counts import Splitter
 from .tokens import PieceEncoder, byte_letters, slices, tokenizer_path
+from .words import blocks
 
 #: A symbol that a merge has used up, and the place beside a word's last or first symbol.
 GONE, NOWHERE = -1, -1
@@ -294,7 +295,28 @@ def decode_documents(encoded: DataFrame, path: str | None = None, doc_id: str =
     return encoded.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(decode, "doc_id long, n_tokens long, ids binary, text string")
 
 
+def round_trip_documents(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, text): :func:`encode_documents`, and the text that the ids decode to, in one worker.
+
+    A task holds one vocabulary and one slice. Odd rows are as there; no shuffle.
+    """
+    path = path or tokenizer_path()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = occurrence_encoder(path)
+        for batch in slices(batches, most=ENCODE_BYTES):
+            ids, ends = tool.encode_column(batch.column(1).cast(pa.string()))
+            sizes = np.diff(ends, prepend=0)
+            for a, b in blocks((4 * sizes).tolist(), DECODE_BYTES):
+                start = int(ends[a] - sizes[a])
+                own, stops = ids[start : int(ends[b - 1])], ends[a:b] - start
+                texts = pa.array(tool.decode(own.astype(np.int64), stops), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes[a:b]), binary_slices(own, stops), texts], ["doc_id", "n_tokens", "ids", "text"])
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+
+
 def round_trip_digests(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: encoded, then decoded again."""
-    both = decode_documents(encode_documents(docs, path, doc_id, text), path)
+    both = round_trip_documents(docs, path, doc_id, text)
     return both.select("doc_id", "n_tokens", F.sha2(F.coalesce("ids", F.lit(b"")), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -109,16 +109,15 @@ def partial_postings(rows: DataFrame) -> DataFrame:
 def build_postings(articles: DataFrame, attachments: DataFrame | None, path: str) -> None:
     """Write the index under ``path``: ``rows`` in a folder a kind and block, ``postings`` sorted by gram.
 
-    One exchange deals the rows to blocks and one the lists to ranges of grams; a list never has more
-    than BLOCK rows, so a gram that every row has is many lists and no hot key.
+    One exchange deals the rows to blocks and one the lists; a list never has more than BLOCK rows, so a
+    gram that every row has is many lists and no hot key. Each file is sorted, so of each only the
+    row groups of the asked grams are read.
     """
     rows = index_rows(articles, attachments).repartition("kind", "block")
     rows.write.partitionBy("kind", "block").parquet(f"{path}/rows")
     spark = articles.sparkSession
     stored = read_rows(spark, path)
-    # written, since dealing by ranges reads its input twice
-    lists = written(partial_postings(stored), "lists").repartitionByRange("kind", "gram", "block")
-    whole = lists.groupBy("kind", "gram", "block").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+    whole = partial_postings(stored).groupBy("kind", "gram", "block").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
     whole.sortWithinPartitions("kind", "gram", "block").write.parquet(f"{path}/postings")
 
 

@@ -156,32 +156,41 @@ def candidates(spark: SparkSession, path: str, tokens: list[str], fuzzy: bool =
 BROADCAST_BLOCKS = 1_000_000
 
 
-def candidate_rows(spark: SparkSession, path: str, tokens: list[str], fuzzy: bool = False) -> DataFrame:
-    """The stored rows of the candidates. Folders of blocks without one are not read."""
-    found = written(candidates(spark, path, tokens, fuzzy), "candidates")
+def block_rows(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
+    """The stored rows of the blocks that have candidates; folders of other blocks are not read."""
     blocks = found.select("kind", "block").distinct()
     rows = read_rows(spark, path)
-    if blocks.count() <= BROADCAST_BLOCKS:
-        # the condition holds for all blocks; with one, Spark takes the join for a selective one and prunes folders
-        rows = rows.join(F.broadcast(blocks.filter("block > -9223372036854775808")), ["kind", "block"], "left_semi")
-    return rows.join(found.select("kind", "item_index"), ["kind", "item_index"], "left_semi")
+    if blocks.count() > BROADCAST_BLOCKS:
+        return rows
+    # the condition holds for all blocks; with one, Spark takes the join for a selective one and prunes folders
+    return rows.join(F.broadcast(blocks.filter("block > -9223372036854775808")), ["kind", "block"], "left_semi")
+
+
+def candidate_rows(spark: SparkSession, path: str, tokens: list[str], fuzzy: bool = False) -> DataFrame:
+    """The stored rows of the candidates alone."""
+    found = written(candidates(spark, path, tokens, fuzzy), "candidates")
+    return block_rows(spark, path, found).join(found.select("kind", "item_index"), ["kind", "item_index"], "left_semi")
 
 
 FIELDS = [*ARTICLE_FIELDS, *ATTACHMENT_FIELDS]
 
 
 def candidate_hits(spark: SparkSession, path: str, tokens: list[str], fuzzy: bool = False) -> DataFrame:
-    """The hits of all candidates, written: their bodies are read once, for weights and scores.
+    """The hits of all rows that have any, written: bodies are read once, for weights and scores, and in no exchange.
 
-    Only articles have near hits, as in a scan.
+    The blocks of candidates are looked through as they are read. A row in them that is no candidate
+    has no hit, so it needs no join to leave it out. Only articles have near hits, as in a scan.
     """
     keep = ("kind", "item_index", "category", "source")
     fields = [f for f, _ in FIELDS]
-    rows = candidate_rows(spark, path, tokens, fuzzy)
+    rows = block_rows(spark, path, written(candidates(spark, path, tokens, fuzzy), "candidates"))
     if not fuzzy:
-        return written(hit_table(rows, tokens, fields, False, keep), "hits")
-    parts = [hit_table(rows.filter(F.col("kind") == kind), tokens, fields, kind == "article", keep) for kind in KINDS]
-    return written(parts[0].unionByName(parts[1]), "hits")
+        hits = hit_table(rows, tokens, fields, False, keep)
+    else:
+        parts = [hit_table(rows.filter(F.col("kind") == kind), tokens, fields, kind == "article", keep) for kind in KINDS]
+        hits = parts[0].unionByName(parts[1])
+    some = reduce(lambda a, b: a | b, ((F.col(f"_n{i}") > 0) | _held(i) for i in range(len(tokens))), F.lit(False))
+    return written(hits.filter(some), "hits")
 
 
 def _held(i: int) -> Column:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import itertools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import article_name, excerpt, title_matches
@@ -15,25 +20,37 @@ DEFINITION = r"(?U)이하|약칭|['\"‘’“”]|(?:이)?라\s*(?:한다|칭
 MOST_CHARACTERS, MOST_CITATIONS = 20_000, 200
 SOURCE_WINDOW, SUPPLEMENT_WINDOW = 80, 15
 
+#: Citations handed over at a time, however many a text has.
+CITATIONS_A_BATCH = 1 << 15
+
 
 def extract_citations(texts: DataFrame, key: str = "text_id", text: str = "text") -> DataFrame:
     """(key, cite_no, raw, article_no, article_sub, cited_title, prefix) of every citation in order, with the text ahead of it.
 
-    The pieces between matches give the places, so a text is scanned twice and no row leaves it.
+    Each text is read once from its start to its end, and no row carries more of it than SOURCE_WINDOW
+    characters. Null and empty texts cite nothing; a number beyond an int is null, which is no article's.
     """
-    t = F.col(text)
-    found = texts.select(key, t.alias("_t"), F.posexplode(F.regexp_extract_all(t, F.lit(CITATION), F.lit(0))).alias("cite_no", "raw"))
-    gaps = F.split("_t", CITATION)
-    before = lambda n: F.aggregate(F.slice(gaps, F.lit(1), n + 1), F.lit(0), lambda a, x: a + F.length(x))
-    matches = F.regexp_extract_all("_t", F.lit(CITATION), F.lit(0))
-    matched = lambda n: F.aggregate(F.slice(matches, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
-    found = found.withColumn("start", before(F.col("cite_no")) + matched(F.col("cite_no")))
-    start = F.greatest(F.col("start") - SOURCE_WINDOW, F.lit(0))
-    part = lambda i: F.regexp_extract("raw", CITATION, i)
-    return found.select(
-        key, "cite_no", "raw", part(1).cast("int").alias("article_no"), F.coalesce(part(2).try_cast("int"), F.lit(0)).alias("article_sub"),
-        F.trim(part(3)).alias("cited_title"), F.substring("_t", start + 1, F.col("start") - start).alias("prefix"),
-    )
+    kind = texts.schema[key].dataType.simpleString()
+    schema = f"`{key}` {kind}, cite_no int, raw string, article_no int, article_sub int, cited_title string, prefix string"
+    pattern, window, most = CITATION.removeprefix("(?U)"), SOURCE_WINDOW, CITATIONS_A_BATCH
+
+    def number(digits: str) -> int | None:
+        return int(digits) if len(digits) < 19 and int(digits) < 1 << 31 else None
+
+    def rows(key, body: str) -> Iterator[tuple]:
+        for i, m in enumerate(re.finditer(pattern, body)):
+            yield key, i, m[0], number(m[1]), number(m[2] or "0"), (m[3] or "").strip(), body[max(m.start() - window, 0) : m.start()]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+            names = [batch.schema.names[0], "cite_no", "raw", "article_no", "article_sub", "cited_title", "prefix"]
+            keys, bodies = (c.to_pylist() for c in batch.columns)
+            every = (row for k, body in zip(keys, bodies, strict=True) for row in rows(k, body))
+            while some := list(itertools.islice(every, most)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+
+    return texts.select(key, F.col(text).alias("_t")).filter("_t <> ''").mapInArrow(find, schema)
 
 
 def nearest_source(citations: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,17 +73,17 @@ def verify_citations(texts: DataFrame, articles: DataFrame, key: str = "text_id"
     named = nearest_source(cites, articles.select("source").distinct(), [key, "cite_no"])
     prefers = F.contains(F.substring("prefix", -SUPPLEMENT_WINDOW, SUPPLEMENT_WINDOW), F.lit("부칙"))
     named = named.withColumn("_supplement", F.when(F.length("prefix") >= 2, prefers).otherwise(False))
-    kept = articles.select("source", "article_no", "article_sub", "is_supplementary", "item_index", "article_title", F.col("body").alias("_body"))
+    kept = articles.select("source", "article_no", "article_sub", "is_supplementary", "item_index", "article_title", excerpt(F.col("body"), 250, 150).alias("_excerpt"))
     # per key the first main and the first supplementary row, so a citation meets one row
     firsts = kept.groupBy("source", "article_no", "article_sub").agg(
-        F.min_by(F.struct("article_title", "_body"), F.struct("is_supplementary", "item_index")).alias("_main"),
-        F.min_by(F.struct("article_title", "_body"), F.struct(~F.col("is_supplementary"), "item_index")).alias("_suppl"),
+        F.min_by(F.struct("article_title", "_excerpt"), F.struct("is_supplementary", "item_index")).alias("_main"),
+        F.min_by(F.struct("article_title", "_excerpt"), F.struct(~F.col("is_supplementary"), "item_index")).alias("_suppl"),
     )
     joined = named.join(firsts, ["source", "article_no", "article_sub"], "left")
     hit = F.when(F.col("_supplement"), F.col("_suppl")).otherwise(F.col("_main"))
     checks = (F.col("cited_title") != "") & ~F.regexp_like("cited_title", F.lit(DEFINITION))
     name = article_name(F.col("article_no"), F.col("article_sub"))
-    citation = F.concat_ws(" ", "source", name)
+    citation = F.concat_ws(" ", "source", F.coalesce(name, F.col("raw")))
     joined = joined.withColumns({"_hit": hit, "_checks": checks}).withColumn("_same", title_matches(F.col("cited_title"), F.col("_hit.article_title")))
     status = (
         F.when(F.col("source").isNull(), "unknown_source").when(F.col("_hit").isNull(), "not_found").when(F.col("_checks") & ~F.col("_same"), "content_mismatch").otherwise("ok")
@@ -79,7 +96,7 @@ def verify_citations(texts: DataFrame, articles: DataFrame, key: str = "text_id"
     rows = joined.select(
         key, "cite_no", F.when(F.col("source").isNull(), F.col("raw")).otherwise(citation).alias("citation"), "status",
         when("content_mismatch", F.col("cited_title")).alias("cited_title"), F.col("_hit.article_title").alias("article_title"),
-        when("ok", F.col("_checks")).alias("title_verified"), when("ok", excerpt(F.col("_hit._body"), 250, 150)).alias("body_excerpt"),
+        when("ok", F.col("_checks")).alias("title_verified"), when("ok", F.col("_hit._excerpt")).alias("body_excerpt"),
         when("not_found", F.concat(citation, F.lit(" 없음 (실재: "), range_text(F.col("first"), F.col("last"), F.col("n")), F.lit(")"))).alias("message"),
     )
     counts = every.groupBy(key).agg(F.count("*").alias("_n"))
@@ -92,7 +109,11 @@ def verify_citations(texts: DataFrame, articles: DataFrame, key: str = "text_id"
 
 
 def lookup_by_key(citations: DataFrame, articles: DataFrame) -> DataFrame:
-    """(source, article_no, article_sub) requests with their first article, or nulls: a left equi join."""
-    order = Window.partitionBy("source", "article_no", "article_sub").orderBy("is_supplementary", "item_index")
-    first = articles.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("source", "article_no", "article_sub", "item_index", "article_title")
-    return citations.join(first, ["source", "article_no", "article_sub"], "left")
+    """(source, article_no, article_sub) requests with their first article, or nulls: a left equi join.
+
+    A key's first article is an aggregate, so a key that very many articles have is brought down before the exchange.
+    """
+    first = articles.groupBy("source", "article_no", "article_sub").agg(
+        F.min_by(F.struct("item_index", "article_title"), F.struct("is_supplementary", "item_index")).alias("_first")
+    )
+    return citations.join(first, ["source", "article_no", "article_sub"], "left").select(*citations.columns, "_first.item_index", "_first.article_title")

@@ -102,9 +102,10 @@ TYPES = [KINDS[c.split()[1]] for c in FOUND.split(", ")]
 
 
 def first_articles(articles: DataFrame) -> DataFrame:
-    """Each (source, number, branch)'s first row in index order, supplementary or not."""
-    order = Window.partitionBy("source", "article_no", "article_sub").orderBy("item_index")
-    return articles.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """Each (source, number, branch)'s first row in index order, supplementary or not, as an aggregate."""
+    keys = ["source", "article_no", "article_sub"]
+    rest = [c for c in articles.columns if c not in keys]
+    return articles.groupBy(*keys).agg(F.min_by(F.struct(*rest), "item_index").alias("_first")).select(*keys, "_first.*")
 
 
 def outgoing_references(articles: DataFrame, strict: bool = False, citing: DataFrame | None = None) -> DataFrame:
@@ -126,9 +127,10 @@ def outgoing_references(articles: DataFrame, strict: bool = False, citing: DataF
     match = named.filter("_nth = 1").join(holds, "name", "left")
     longest = F.max_by("known", F.struct(F.length("known"), "known"))
     match = match.groupBy("item_index", "place", "name", "no", "sub").agg(longest.alias("known"))
-    targets = first_articles(articles).select(
+    shown = articles.select("source", "article_no", "article_sub", "item_index", "article", "article_title", excerpt(F.col("body"), 200, 120).alias("t_excerpt"))
+    targets = first_articles(shown).select(
         F.col("source").alias("t_source"), F.col("article_no").alias("t_no"), F.col("article_sub").alias("t_sub"), F.col("article").alias("t_article"),
-        F.col("article_title").alias("t_title"), F.col("body").alias("t_body"),
+        F.col("article_title").alias("t_title"), "t_excerpt",
     )
     at = (F.col("known") == F.col("t_source")) & (F.col("no") == F.col("t_no")) & (F.col("sub") == F.col("t_sub"))
     cross = match.join(targets, at, "left")
@@ -137,7 +139,7 @@ def outgoing_references(articles: DataFrame, strict: bool = False, citing: DataF
     cross = cross.select(
         "item_index", "place", F.lit(0).alias("pass"), F.when(cited, "cross_regulation").otherwise("external").alias("scope"),
         F.when(cited, F.concat_ws(" ", "t_source", "t_article")).otherwise(external).alias("citation"), F.col("t_title").alias("article_title"),
-        F.when(cited, excerpt(F.col("t_body"), 200, 120)).alias("snippet"),
+        F.when(cited, F.col("t_excerpt")).alias("snippet"),
     )
     bare = found.filter(F.col("name").isNull())
     if not strict:
@@ -148,7 +150,7 @@ def outgoing_references(articles: DataFrame, strict: bool = False, citing: DataF
     bare = bare.groupBy("item_index", "source", "no", "sub").agg(F.min("place").alias("place"))
     same = bare.join(targets, (F.col("source") == F.col("t_source")) & (F.col("no") == F.col("t_no")) & (F.col("sub") == F.col("t_sub"))).select(
         "item_index", "place", F.lit(1).alias("pass"), F.lit("same_regulation").alias("scope"), F.concat_ws(" ", "t_source", "t_article").alias("citation"),
-        F.col("t_title").alias("article_title"), excerpt(F.col("t_body"), 200, 120).alias("snippet"),
+        F.col("t_title").alias("article_title"), F.col("t_excerpt").alias("snippet"),
     )
     return cross.unionByName(same)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import count_of, excerpt, name_key, strip, tokenize
@@ -56,11 +56,14 @@ def ground(questions: DataFrame, articles: DataFrame) -> DataFrame:
     asked = questions.withColumns({"_name": name, "_label": label}).withColumns({"article_no": number(1), "article_sub": number(2)})
     exact = articles.select(F.col("source").alias("_name"), F.lit(True).alias("_exact")).distinct()
     wanted = asked.filter("_label IS NOT NULL").select("id", "_name", "_label", "article_no", "article_sub").join(exact, "_name", "left")
-    rows = articles.select("source", "article_no", "article_sub", "article_title", F.col("body").alias("_body"), "item_index", "is_supplementary")
+    rows = articles.select(
+        "source", "article_no", "article_sub", "article_title", excerpt(F.col("body"), 350, 200).alias("body_excerpt"), "item_index", "is_supplementary"
+    )
     meant = F.when(F.col("_exact"), F.col("source") == F.col("_name")).otherwise(means(F.col("_name"), F.col("source")))
-    order = Window.partitionBy("id").orderBy("is_supplementary", "item_index")
-    near = wanted.join(rows, ["article_no", "article_sub"]).filter(meant).withColumn("_r", F.row_number().over(order)).filter("_r = 1")
-    near = near.select("id", F.concat_ws(" ", "source", "_label").alias("_cite"), "article_title", excerpt(F.col("_body"), 350, 200).alias("body_excerpt"))
+    near = wanted.join(rows, ["article_no", "article_sub"]).filter(meant)
+    found = F.struct(F.concat_ws(" ", "source", "_label").alias("_cite"), "article_title", "body_excerpt")
+    # an aggregate, so the many articles that a name may mean are brought down before the exchange
+    near = near.groupBy("id").agg(F.min_by(found, F.struct("is_supplementary", "item_index")).alias("_near")).select("id", "_near.*")
     out = asked.drop("article_no", "article_sub").join(near, "id", "left")
     citation = F.coalesce("_cite", F.when(F.col("_label").isNotNull(), F.concat_ws(" ", "_name", "_label")))
     return out.withColumn("citation", citation).drop("_name", "_label", "_cite")

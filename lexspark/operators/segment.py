@@ -36,18 +36,15 @@ def attachment_headers(df: DataFrame, line: str = "line") -> DataFrame:
     """
     marks = F.regexp_extract_all(line, F.lit(ATTACHMENT), F.lit(0))
     pieces = F.split(F.col(line), ATTACHMENT)
-    out = df.select("*", F.posexplode(marks).alias("mark_no", "_mark"), pieces.alias("_pieces"))
-    kind, number = F.regexp_extract("_mark", ATTACHMENT, 1), F.regexp_extract("_mark", ATTACHMENT, 2)
+    # a mark with the text after it, so a line with very many marks isn't copied for each of them
+    titled = F.arrays_zip(marks.alias("mark"), F.slice(pieces, F.lit(2), F.greatest(F.size(marks), F.lit(0))).alias("title"))
+    # the text ahead is cut below the explode, so once a line
+    out = df.withColumn("before", strip(F.get(pieces, F.lit(0)))).select("*", F.posexplode(titled).alias("mark_no", "_m"))
+    kind, number = F.regexp_extract("_m.mark", ATTACHMENT, 1), F.regexp_extract("_m.mark", ATTACHMENT, 2)
     label = F.concat(F.lit("["), F.regexp_replace(strip(F.concat_ws(" ", kind, number)), r"(?U)\s+", " "), F.lit("]"))
     return out.withColumns(
-        {
-            "kind": kind,
-            "number": F.regexp_replace(number, r"(?U)\s+", ""),
-            "label": label,
-            "title": strip(F.get("_pieces", F.col("mark_no") + 1)),
-            "before": strip(F.get("_pieces", F.lit(0))),
-        }
-    ).drop("_mark", "_pieces")
+        {"kind": kind, "number": F.regexp_replace(number, r"(?U)\s+", ""), "label": label, "title": strip(F.col("_m.title"))}
+    ).drop("_m")
 
 
 def _part(pattern: str, i: int) -> Column:

@@ -39,8 +39,12 @@ def expand_query(query: str) -> str:
 
 
 def expand_queries(queries: DataFrame, query: str = "query") -> DataFrame:
-    """Adds ``expanded`` for a column of queries: one CASE per rule, no join."""
-    terms = [F.when(F.regexp_like(query, F.lit(f"(?U){p}")), F.lit(t)) for p, t in ALIAS_RULES]
+    """Adds ``expanded`` for a column of queries: one CASE per rule, no join. Null and empty ones stay as they are.
+
+    A rule of conditions ahead is tried at the start of each line only: it fits there if it fits anywhere in the line.
+    """
+    at_line = lambda p: f"(?Um)^{p}" if p.startswith("(?=") else f"(?U){p}"
+    terms = [F.when(F.regexp_like(query, F.lit(at_line(p))), F.lit(t)) for p, t in ALIAS_RULES]
     found = F.array_distinct(F.array_compact(F.array(*terms)))
     text = F.concat(F.col(query), F.lit(LEAD), F.array_join(found, " "))
     return queries.withColumn("expanded", F.when(F.size(found) > 0, text).otherwise(F.col(query)))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..functions.text import PARTICLES, STOP_WORDS, tokenize
-from . import fixture
+from ..operators import segment
 from .expansion import ALIAS_RULES, LEAD
-from .queries import FUZZY_TOKENS, MANY_QUERIES, MANY_TOKENS, RARE_TOKENS, TOKENS
+from .queries import FUZZY_TOKENS, MANY_QUERIES, MANY_TOKENS, RARE_TOKENS, SAID, TOKENS
 
 ARTICLES = """a AS (
   SELECT doc_id AS item_index, lang AS category, source, '' AS revision, '' AS chapter, split_part(text, chr(10), 1) AS article_title, text AS body FROM documents
@@ -103,27 +103,7 @@ new AS (
   FROM orders WHERE o_orderkey % 7 <> 0
 )"""
 
-FA, FB = f"fa AS {fixture.sql_articles()}", f"fb AS {fixture.sql_attachments()}"
-FT = "ft AS " + fixture.sql_rows(fixture.TEXTS, "text_id, text")
-CITE = r"제(\d+)조(?:의(\d+))?(?:\s*제\d+항)?(?:\s*제\d+호)?(?:\s*\(([^)]{2,40})\))?"
-#: the fixture's texts hold one citation at most
-CITED = rf"""ct AS (
-  SELECT text_id, regexp_extract(text, '{CITE}') AS raw, CAST(regexp_extract(text, '{CITE}', 1) AS INT) AS no,
-    CAST(coalesce(nullif(regexp_extract(text, '{CITE}', 2), ''), '0') AS INT) AS sub, regexp_extract(text, '{CITE}', 3) AS title,
-    substr(text, 1, strpos(text, regexp_extract(text, '{CITE}')) - 1) AS prefix
-  FROM ft WHERE regexp_matches(text, '{CITE}')
-),
-ns AS (
-  SELECT text_id, source FROM ct, (SELECT DISTINCT source FROM fa) WHERE contains(prefix, source)
-  QUALIFY row_number() OVER (PARTITION BY text_id ORDER BY length(prefix) - strpos(reverse(prefix), reverse(source)) - length(source) + 1 DESC, length(source) DESC) = 1
-)"""
 NAME = "'제' || {no} || '조' || CASE WHEN {sub} <> 0 THEN '의' || {sub} ELSE '' END"
-RANGES = f"""rg AS (
-  SELECT s.source, min((article_no, article_sub)) AS lo, max((article_no, article_sub)) AS hi, count(DISTINCT (article_no, article_sub)) AS n
-  FROM (SELECT DISTINCT source FROM fa) s JOIN fa ON contains(fa.source, s.source) GROUP BY s.source
-),
-rt AS (SELECT source, {NAME.format(no="lo[1]", sub="lo[2]")} AS first, {NAME.format(no="hi[1]", sub="hi[2]")} AS last, n FROM rg)"""
-
 def grams(token: str) -> list[str]:
     n = min(3, len(token))
     return [token[i : i + n] for i in range(len(token) - n + 1)]
@@ -195,57 +175,8 @@ ORACLE: dict[str, str] = {
     "source_match_filter": "SELECT doc_id, source FROM documents WHERE contains(source, 'src1')",
     "exact_first_filter": "SELECT doc_id, source FROM documents WHERE CASE WHEN (SELECT bool_or(source = 'src1') FROM documents) THEN source = 'src1' ELSE contains(source, 'src1') END",
     "list_sources": f"WITH {ARTICLES} SELECT arg_min(category, item_index) AS category, source, arg_min(revision, item_index) AS revision, count(*) AS articles FROM a GROUP BY source",
-    "get_item": f"""WITH {FA}, m AS (SELECT * FROM fa WHERE source = '시험규정' AND article_no = 1 AND article_sub = 0)
-      SELECT CAST(item_index AS BIGINT) AS item_index, source, article, source || ' ' || article AS citation, body, is_supplementary FROM m WHERE is_supplementary = (SELECT min(is_supplementary) FROM m)""",
     "prefer_main": """WITH m AS (SELECT doc_id, source, doc_id % 3 = 0 AS is_supplementary FROM documents)
       SELECT * FROM m WHERE is_supplementary = (SELECT min(is_supplementary) FROM m)""",
-    "article_range": f"WITH {FA}, {RANGES} SELECT source, first, last, n FROM rt",
-    "attachment_list": f"""WITH {FB} SELECT category, source, kind, label, title, deleted, source || ' ' || label AS citation, substr({flat("substr(body, 1, 200)")}, 1, 150) AS body_excerpt
-      FROM fb WHERE NOT deleted AND contains(source, '시험규정')""",
-    "attachment_get": f"WITH {FB} SELECT CAST(item_index AS BIGINT) AS item_index, source || ' ' || label AS citation, title, body FROM fb WHERE source = '시험규정' AND kind = '별표' AND number = '1'",
-    "verify_equi_lookup": f"""WITH {FA}, q AS (SELECT * FROM (VALUES ('시험규정', 1, 0), ('시험규정', 2, 2), ('시험규정', 9, 0), ('계약지침', 1, 0)) v(source, article_no, article_sub)),
-      f AS (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY source, article_no, article_sub ORDER BY is_supplementary, item_index) = 1)
-      SELECT q.source, q.article_no, q.article_sub, CAST(coalesce(f.item_index, -1) AS BIGINT) AS item_index, f.article_title FROM q LEFT JOIN f USING (source, article_no, article_sub)""",
-    "nearest_entity": f"WITH {FA}, {FT}, {CITED} SELECT CAST(ct.text_id AS BIGINT) AS text_id, raw, source FROM ct LEFT JOIN ns USING (text_id)",
-    "verify_refs": f"""WITH {FA}, {FT}, {CITED}, {RANGES}, h AS (
-        SELECT ct.*, ns.source, (SELECT arg_min(article_title, CAST(is_supplementary <> contains(right(prefix, 15), '부칙') AS INT) * 1000 + item_index) FROM fa WHERE fa.source = ns.source AND article_no = no AND article_sub = sub) AS actual
-        FROM ct LEFT JOIN ns USING (text_id)
-      ), j AS (SELECT *, title <> '' AND NOT regexp_matches(title, '이하|약칭|[''"‘’“”]') AS checks, source || ' ' || {NAME.format(no="no", sub="sub")} AS cite FROM h)
-      SELECT CAST(text_id AS BIGINT) AS text_id, coalesce(cite, raw) AS citation,
-        CASE WHEN source IS NULL THEN 'unknown_source' WHEN actual IS NULL THEN 'not_found' WHEN checks AND NOT contains(actual, title) THEN 'content_mismatch' ELSE 'ok' END AS status,
-        actual AS article_title, CASE WHEN status = 'ok' THEN checks END AS title_verified,
-        CASE WHEN status = 'not_found' THEN cite || ' 없음 (실재: ' || first || ' ~ ' || last || ', 총 ' || n || '개)' END AS message
-      FROM j LEFT JOIN rt USING (source)""",
-    # written out by hand from the fixture; the longest source that holds the cited name is the one looked in
-    "outgoing_refs": """SELECT CAST(item_index AS BIGINT) AS item_index, scope, citation, article_title FROM (VALUES
-      (1, 'same_regulation', '시험규정 제1조', '목적'), (2, 'external', '다른규정 제3조', NULL), (4, 'external', '시험규정 제2조', NULL),
-      (5, 'external', '시험규정 제2조의2', NULL), (6, 'external', '없는법 제5조', NULL)) v(item_index, scope, citation, article_title)""",
-    "incoming_refs": f"""WITH {FA} SELECT CAST(item_index AS BIGINT) AS item_index, CASE WHEN source = '시험규정' THEN 'same_regulation' ELSE 'cross_regulation' END AS scope, source || ' ' || article AS citation
-      FROM fa WHERE item_index <> 2 AND CASE WHEN source = '시험규정' THEN regexp_matches(body, '(^|[^가-힣A-Za-z0-9_])제2조의2([^0-9]|$)') ELSE regexp_matches(body, '시험규정\\s*제2조의2([^0-9]|$)') END""",
-    "attachment_headers": r"""WITH l AS (SELECT * FROM (VALUES (0, '앞말 [별표 1] 처분 기준 [별지 제2호 서식] 신청서'), (1, '[ 별표  1-1 ] 표'), (2, '없음')) v(line_id, line)),
-      k AS (SELECT line_id, regexp_extract_all(line, '\[\s*(별표|별지)\s+((?:제\s*)?[\d\-]+(?:호)?\s*(?:서식)?)\s*\]', 1) AS kinds,
-        regexp_extract_all(line, '\[\s*(별표|별지)\s+((?:제\s*)?[\d\-]+(?:호)?\s*(?:서식)?)\s*\]', 2) AS numbers,
-        regexp_split_to_array(line, '\[\s*(?:별표|별지)\s+(?:제\s*)?[\d\-]+(?:호)?\s*(?:서식)?\s*\]\s*') AS pieces FROM l),
-      u AS (SELECT line_id, unnest(range(0, len(kinds))) AS i, kinds, numbers, pieces FROM k)
-      SELECT CAST(line_id AS BIGINT) AS line_id, CAST(i AS INT) AS mark_no, kinds[i + 1] AS kind, regexp_replace(numbers[i + 1], '\s+', '', 'g') AS number,
-        '[' || regexp_replace(trim(kinds[i + 1] || ' ' || numbers[i + 1]), '\s+', ' ', 'g') || ']' AS label, trim(pieces[i + 2]) AS title, trim(pieces[1]) AS before FROM u""",
-    # written out by hand from the fixture
-    "parse_regulations": "SELECT * FROM "
-    + fixture.sql_rows(
-        tuple(("규정_시험규정.md", r[2], r[3], r[4], r[5], r[8], r[9], r[10]) for r in fixture.ARTICLES[:4])
-        + (("시행세칙_시험규정 시행세칙.md", "시험규정 시행세칙", "2024.01.15 개정", "", "제1조", "목적", "이 세칙은 「시험규정」에서 위임한 사항을 정한다.", False),)
-        + tuple(("규정_시험규정.md", r[2], r[3], "", r[5], r[7], r[8], r[9]) for r in fixture.ATTACHMENTS[:2]),
-        "file, source, revision, chapter, label, title, body, flag",
-    ),
-    "normalized_headings": "SELECT CAST(id AS BIGINT) AS id, markdown FROM (VALUES (0, '# 시험규정 (2025.01.01 개정)' || chr(10) || '## 제1장 총칙' || chr(10) || '### 제1조 (목적) 본문' || chr(10) || '**머리**' || chr(10) || '[별표 1] 표' || chr(10) || '본문'), (1, '# 다른' || chr(10) || '본문')) v(id, markdown)",
-    "question_score": f"""WITH q AS {fixture.sql_rows(fixture.QUESTIONS, "id, category, source, question, options, answer, explanation")}, {FA},
-      s AS (SELECT id, explanation, question || ' ' || array_to_string(options, ' ') || ' ' || explanation AS blob FROM q),
-      t AS (SELECT id, CAST({count("blob", "위원회")} + {count("blob", "업무")} AS BIGINT) AS score, regexp_extract(explanation, '근거:\\s*([^제\\n]+?)\\s*(제\\d+조(?:의\\d+)?)', 1) AS name,
-        regexp_extract(explanation, '근거:\\s*([^제\\n]+?)\\s*(제\\d+조(?:의\\d+)?)', 2) AS label FROM s)
-      SELECT id, score, name || ' ' || label AS citation, (SELECT arg_min(article_title, CAST(is_supplementary AS INT) * 1000 + item_index) FROM fa WHERE fa.source = name AND fa.article = label) AS article_title
-      FROM t WHERE score > 0 ORDER BY score DESC, id LIMIT 5""",
-    "expanded_queries": f"""SELECT CAST(id AS BIGINT) AS id, query, expanded FROM (VALUES (0, '주말에 일하면', '주말에 일하면' || {quoted(LEAD)} || {quoted(ALIAS_RULES[1][1])}),
-      (1, '피를 뽑으면 주말에', '피를 뽑으면 주말에' || {quoted(LEAD)} || {quoted(ALIAS_RULES[1][1])} || ' ' || {quoted(ALIAS_RULES[2][1])}), (2, '아무것도', '아무것도')) v(id, query, expanded)""",
     "dense_topk": f"WITH {SCORED} SELECT kind, item_index, score, chunk_no FROM near",
     "dense_maxpool": f"WITH {SCORED} SELECT kind, item_index, score, chunk_no, CAST(chunk_no * 320 AS INT) AS start, CAST(chunk_no * 320 + 400 AS INT) AS \"end\" FROM best",
     "allowed_chunks_semi": f"WITH {SCORED} SELECT kind, item_index, chunk_no, CAST(label AS BIGINT) AS label FROM c WHERE item_index IN (SELECT item_index FROM c WHERE label < 3 AND chunk_no = 0)",
@@ -257,8 +188,6 @@ ORACLE: dict[str, str] = {
       FROM top JOIN a ON top.item_index = a.item_index""",
     "recall_gate": f"""WITH {SCORED}, m AS (SELECT 'keyword' AS mode, item_index, rank FROM r UNION ALL SELECT 'hybrid', item_index, place FROM placed)
       SELECT mode, CAST(max(CASE WHEN rank <= 50 AND item_index IN (SELECT doc_id FROM labels WHERE quality = 1) THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(1 AS BIGINT) AS queries FROM m GROUP BY mode""",
-    "parent_radar": """SELECT source, parent, status, CAST(months AS BIGINT) AS months FROM (VALUES ('시험규정 시행세칙', '시험규정', 'review_needed', 14), ('계약지침', '시험규정', 'ok', 0),
-      ('외딴지침', NULL, 'no_parent', 0)) v(source, parent, status, months)""",
     "late_parents": """WITH x AS (SELECT l_orderkey AS k, CAST(o_orderdate AS DATE) AS p, CAST(min(l_shipdate) AS DATE) AS c FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
       SELECT k || ' 시행세칙' AS source, CASE WHEN p IS NOT NULL THEN CAST(k AS VARCHAR) END AS parent, CASE WHEN p IS NULL THEN 'no_parent' WHEN p > c THEN 'review_needed' ELSE 'ok' END AS status,
         CAST(CASE WHEN p > c THEN greatest((year(p) - year(c)) * 12 + month(p) - month(c), 1) ELSE 0 END AS BIGINT) AS months FROM x""",
@@ -291,7 +220,6 @@ ORACLE: dict[str, str] = {
       SELECT CAST(day AS VARCHAR) AS day, total, 'tool' AS kind, tool AS key, count(*) AS count FROM e JOIN t USING (day) GROUP BY ALL
       UNION ALL SELECT CAST(day AS VARCHAR) AS day, total, 'lang' AS kind, lang AS key, count(*) AS count FROM e JOIN t USING (day) WHERE lang IS NOT NULL GROUP BY ALL""",
     "usage_stream_daily": f"WITH {DAILY} SELECT CAST(day AS VARCHAR) AS day, tool, count FROM daily",
-    "json_index": f"""WITH {FA} SELECT version, CAST(item_index AS BIGINT) AS item_index, source, article, article_no, article_sub, article_title, body, is_supplementary FROM fa, (SELECT unnest([1, 2]) AS version)""",
     "staged_documents": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) - 1 AS n FROM customer WHERE c_custkey % 3 <> 0)
       SELECT c_mktsegment AS name, '규정' AS type, '규정_' || c_mktsegment || CASE WHEN n = 0 THEN '' ELSE ' (' || n || ')' END || '.md' AS file, '2026.01.01' AS revision, CAST(c_custkey AS VARCHAR) AS file_no, 'alio' AS origin,
         '# ' || c_mktsegment || ' (2026.01.01 개정)' || chr(10) || '### 제1조(가) ' || c_name AS text FROM r""",
@@ -340,3 +268,228 @@ ORACLE["reference_edges"] = f'WITH {EDGES} SELECT t_source, t_no, t_sub, item_in
 ORACLE["reference_edges_of_one"] = f"""WITH {EDGES}
   SELECT item_index, scope, source || ' 제' || no || '조' AS citation, {around('edge.body', 'place', 60)} AS snippet FROM edge JOIN c USING (item_index) WHERE t_source = 'src1' AND t_no = 7 AND t_sub = 0"""
 ORACLE["usage_stream_totals"] = ORACLE["usage_totals"]
+
+
+# numbered articles, their citations, attachments and files
+
+NTH = "'제' || ((doc_id + {shift}) % 9 + 1) || CASE WHEN doc_id % 2 = 0 THEN '조의2' ELSE '조' END"
+
+
+def rules(name: str = "fa", left: str = "", right: str = "") -> str:
+    """The documents as numbered articles that cite, under ``name``."""
+    title = "CASE doc_id % 3 WHEN 0 THEN '(rule ' || ((doc_id + 3) % 9 + 1) || ') ' WHEN 1 THEN '(이하 x) ' ELSE '(zzzz) ' END"
+    named = f"' {left}src' || (doc_id % 25) || '{right}' || CASE WHEN doc_id % 5 = 0 THEN ' 부칙 ' ELSE ' ' END || {NTH.format(shift=3)} || {title}"
+    return f"""{name} AS (
+  SELECT doc_id AS item_index, lang AS category, source, CAST(doc_id % 9 + 1 AS INT) AS article_no, CAST(doc_id % 3 AS INT) AS article_sub, doc_id % 4 = 1 AS is_supplementary,
+    {NAME.format(no="(doc_id % 9 + 1)", sub="(doc_id % 3)")} AS article, 'rule ' || (doc_id % 9 + 1) || ' of ' || source AS article_title,
+    replace(replace(text, ' the ', {named}), ' que ', ' ' || {NTH.format(shift=5)} || ' ') AS body FROM documents
+)"""
+
+
+FORMS = """fb AS (
+  SELECT doc_id AS item_index, lang AS category, source, CASE WHEN doc_id % 2 = 1 THEN '별지' ELSE '별표' END AS kind, doc_id % 6 AS number, 'form ' || (doc_id % 6) AS title, text AS body, doc_id % 7 = 0 AS deleted,
+    CASE WHEN doc_id % 2 = 1 THEN '[별지 제' || (doc_id % 6) || '호 서식]' ELSE '[별표 ' || (doc_id % 6) || ']' END AS label FROM documents
+)"""
+RANGES = f"""rg AS (
+  SELECT s.source, min((article_no, article_sub)) AS lo, max((article_no, article_sub)) AS hi, count(DISTINCT (article_no, article_sub)) AS n
+  FROM (SELECT DISTINCT source FROM fa) s JOIN fa ON contains(fa.source, s.source) GROUP BY s.source
+),
+rt AS (SELECT source, {NAME.format(no="lo[1]", sub="lo[2]")} AS first, {NAME.format(no="hi[1]", sub="hi[2]")} AS last, n FROM rg)"""
+
+CITE = r"제(\d+)조(?:의(\d+))?(?:\s*제\d+항)?(?:\s*제\d+호)?(?:\s*\(([^)]{2,40})\))?"
+CITE_CUT = CITE.replace(r"(\d+)", r"\d+").replace("([^)]{2,40})", "[^)]{2,40}")
+
+
+def cited(body: str) -> str:
+    """Every citation in ``body`` of fa with its source, the known one in the 80 characters ahead of it that starts last."""
+    ends = "(coalesce(list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(raws[1:i], lambda x: length(x))), 0))"
+    return f"""m AS (
+  SELECT item_index, {body} AS t, regexp_extract_all({body}, '{CITE}') AS raws, regexp_extract_all({body}, '{CITE}', 1) AS nos, regexp_extract_all({body}, '{CITE}', 2) AS subs,
+    regexp_extract_all({body}, '{CITE}', 3) AS titles, regexp_split_to_array({body}, '{CITE_CUT}') AS gaps FROM fa
+),
+p AS (SELECT *, CAST({ends} AS BIGINT) AS start FROM (SELECT *, unnest(range(len(raws))) AS i FROM m)),
+ct AS (
+  SELECT item_index, CAST(i AS INT) AS cite_no, raws[i + 1] AS raw, CAST(nos[i + 1] AS INT) AS no, CAST(coalesce(nullif(subs[i + 1], ''), '0') AS INT) AS sub, trim(coalesce(titles[i + 1], '')) AS title,
+    substr(t, greatest(start - 80, 0) + 1, start - greatest(start - 80, 0)) AS prefix FROM p
+),
+ns AS (
+  SELECT item_index, cite_no, source FROM ct, (SELECT DISTINCT source FROM fa) WHERE contains(prefix, source)
+  QUALIFY row_number() OVER (PARTITION BY item_index, cite_no ORDER BY length(prefix) - strpos(reverse(prefix), reverse(source)) - length(source) DESC, length(source) DESC) = 1
+)"""
+
+
+def fixed(pattern: str) -> str:
+    return quoted(pattern.removeprefix("(?U)"))
+
+
+def stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^{WHITE}+|{WHITE}+$', '', 'g')"
+
+
+def pairs(text: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({text})), lambda i: substr({text}, i, 2)))"
+
+
+FIRST = "SELECT source, article_no, article_sub, arg_min(struct_pack(item_index, article, article_title, body), item_index) AS f FROM fa GROUP BY ALL"
+TITLE_KEY = r"regexp_replace({}, '[\s·․.,''\"()\[\]「」]', '', 'g')"
+ORACLE["get_item"] = f"""WITH {rules()}, m AS (SELECT * FROM fa WHERE source = 'src1' AND article_no = 7 AND article_sub = 0)
+  SELECT item_index, source, article, source || ' ' || article AS citation, body, is_supplementary FROM m WHERE is_supplementary = (SELECT min(is_supplementary) FROM m)"""
+ORACLE["article_range"] = f"WITH {rules()}, {RANGES} SELECT source, first, last, n FROM rt"
+ORACLE["attachment_list"] = f"""WITH {FORMS} SELECT category, source, kind, label, title, deleted, source || ' ' || label AS citation, substr({flat("substr(body, 1, 200)")}, 1, 150) AS body_excerpt
+  FROM fb WHERE NOT deleted AND kind = '별표' AND contains(source, 'src1')"""
+ORACLE["attachment_get"] = f"WITH {FORMS} SELECT item_index, source || ' ' || label AS citation, title, body, deleted FROM fb WHERE source = 'src1' AND kind = '별지' AND number = 3"
+ORACLE["verify_equi_lookup"] = f"""WITH {rules()}, q AS (
+    SELECT doc_id AS asked_by, 'src' || (doc_id % 25) AS source, CAST((doc_id + 3) % 9 + 1 AS INT) AS article_no, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS article_sub FROM documents
+  ), f AS (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY source, article_no, article_sub ORDER BY is_supplementary, item_index) = 1)
+  SELECT asked_by, q.source, q.article_no, q.article_sub, coalesce(f.item_index, -1) AS item_index, f.article_title FROM q LEFT JOIN f USING (source, article_no, article_sub)"""
+ORACLE["nearest_entity"] = f"WITH {rules()}, {cited('body')} SELECT item_index, cite_no, raw, title AS cited_title, source FROM ct LEFT JOIN ns USING (item_index, cite_no)"
+ORACLE["verify_refs"] = rf"""WITH {rules()}, {cited("substr(body, 1, 20000)")}, {RANGES},
+  f AS (SELECT source, article_no AS no, article_sub AS sub, is_supplementary AS s, arg_min(struct_pack(title := article_title, body := substr({flat("substr(body, 1, 250)")}, 1, 150)), item_index) AS r FROM fa GROUP BY ALL),
+  h AS (
+    SELECT ct.*, ns.source, CASE WHEN contains(right(prefix, 15), '부칙') THEN coalesce(b.r, a.r) ELSE coalesce(a.r, b.r) END AS hit, title <> '' AND NOT regexp_matches(title, '이하|약칭|[''"‘’“”]|이?라\s*(한다|칭한다)') AS checks,
+      ns.source || ' ' || {NAME.format(no="ct.no", sub="ct.sub")} AS cite
+    FROM ct LEFT JOIN ns USING (item_index, cite_no) LEFT JOIN f a ON a.source = ns.source AND a.no = ct.no AND a.sub = ct.sub AND NOT a.s LEFT JOIN f b ON b.source = ns.source AND b.no = ct.no AND b.sub = ct.sub AND b.s
+    WHERE cite_no < 200
+  ),
+  k AS (SELECT *, {TITLE_KEY.format("title")} AS ck, {TITLE_KEY.format("hit.title")} AS ak FROM h),
+  j AS (
+    SELECT *, CASE WHEN source IS NULL THEN 'unknown_source' WHEN hit IS NULL THEN 'not_found'
+      WHEN checks AND NOT (length(ck) < 2 OR length(ak) < 2 OR contains(ak, ck) OR len(list_intersect({pairs('ck')}, {pairs('ak')})) / len(list_distinct(list_concat({pairs('ck')}, {pairs('ak')}))) >= 0.4) THEN 'content_mismatch'
+      ELSE 'ok' END AS status FROM k
+  ),
+  c AS (SELECT fa.item_index, length(body) AS n_chars, len(raws) AS n FROM fa JOIN m USING (item_index))
+  SELECT item_index, cite_no, coalesce(cite, raw) AS citation, status, hit.title AS article_title, CASE WHEN status = 'ok' THEN checks END AS title_verified, CASE WHEN status = 'ok' THEN hit.body END AS body_excerpt,
+    CASE WHEN status = 'not_found' THEN cite || ' 없음 (실재: ' || first || ' ~ ' || last || ', 총 ' || n || '개)' END AS message
+  FROM j LEFT JOIN rt USING (source)
+  UNION ALL SELECT item_index, CAST(least(n, 200) AS INT), NULL, 'truncated', NULL, NULL, NULL, 'verified ' || least(n, 200) || ', skipped ' || greatest(n - 200, 0) FROM c WHERE n_chars > 20000 OR n > 200"""
+
+NAMED = r"(?:「([^」\n]{2,40}?)」\s*)?제(\d+)조(?:의(\d+))?"
+ORACLE["outgoing_refs"] = f"""WITH {rules(left="「", right="」")}, f AS ({FIRST}),
+  m AS (SELECT item_index, source, article_no, article_sub, regexp_extract_all(body, '{NAMED}', 1) AS names, regexp_extract_all(body, '{NAMED}', 2) AS nos, regexp_extract_all(body, '{NAMED}', 3) AS subs FROM fa),
+  u AS (SELECT *, unnest(range(len(nos))) AS i FROM m),
+  x AS (SELECT item_index, source, article_no, article_sub, i, nullif(names[i + 1], '') AS name, CAST(nos[i + 1] AS INT) AS no, CAST(coalesce(nullif(subs[i + 1], ''), '0') AS INT) AS sub FROM u),
+  y AS (SELECT *, row_number() OVER (PARTITION BY item_index, name, no, sub ORDER BY i) AS nth FROM x),
+  s AS (SELECT DISTINCT source AS known FROM fa),
+  z AS (SELECT item_index, i, name, no, sub, arg_max(known, (length(known), known)) AS known FROM y LEFT JOIN s ON contains(known, name) OR contains(name, known) WHERE name IS NOT NULL AND nth = 1 GROUP BY ALL),
+  b AS (SELECT DISTINCT item_index, source, no, sub FROM y WHERE (name IS NULL OR nth > 1) AND (no <> article_no OR sub <> article_sub))
+  SELECT item_index, CASE WHEN f IS NULL THEN 'external' ELSE 'cross_regulation' END AS scope, CASE WHEN f IS NULL THEN name || ' ' || {NAME.format(no="no", sub="sub")} ELSE known || ' ' || f.article END AS citation,
+    f.article_title AS article_title, substr({flat("substr(f.body, 1, 200)")}, 1, 120) AS snippet FROM z LEFT JOIN f ON known = f.source AND no = f.article_no AND sub = f.article_sub
+  UNION ALL SELECT b.item_index, 'same_regulation', b.source || ' ' || f.article, f.article_title, substr({flat("substr(f.body, 1, 200)")}, 1, 120)
+  FROM b JOIN f ON b.source = f.source AND no = f.article_no AND sub = f.article_sub"""
+ORACLE["incoming_refs"] = rf"""WITH {rules()}, t AS (SELECT item_index AS target FROM fa WHERE source = 'src1' AND article_no = 7 AND article_sub = 0 ORDER BY is_supplementary, item_index LIMIT 1)
+  SELECT item_index, CASE WHEN source = 'src1' THEN 'same_regulation' ELSE 'cross_regulation' END AS scope, source || ' ' || article AS citation FROM fa, t
+  WHERE item_index <> target AND CASE WHEN source = 'src1' THEN regexp_matches(body, '(^|[^가-힣\pL\pN_])제0*7조([^의]|의[^0-9]|의?$)') ELSE regexp_matches(body, 'src1\s*제0*7조([^의]|의[^0-9]|의?$)') END"""
+
+MARK = r"\[\s*(별표|별지)\s+((?:제\s*)?[\d\-]+(?:호)?\s*(?:서식)?)\s*\]\s*"
+MARK_CUT = MARK.replace("(별표|별지)", "(?:별표|별지)").replace("((?:제", "(?:(?:제")
+ORACLE["attachment_headers"] = rf"""WITH d AS (SELECT doc_id, replace(replace(text, ' the ', ' [별표 ' || (doc_id % 7 + 1) || '-1] '), ' que ', ' [ 별지  제' || (doc_id % 7 + 1) || '호  서식 ]') AS text FROM documents),
+  l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM d),
+  k AS (SELECT doc_id, line_no, regexp_extract_all(line, '{MARK}', 1) AS kinds, regexp_extract_all(line, '{MARK}', 2) AS numbers, regexp_split_to_array(line, '{MARK_CUT}') AS pieces FROM l),
+  u AS (SELECT *, unnest(range(len(kinds))) AS i FROM k)
+  SELECT doc_id, line_no, CAST(i AS INT) AS mark_no, kinds[i + 1] AS kind, regexp_replace(numbers[i + 1], '\s+', '', 'g') AS number,
+    '[' || regexp_replace(trim(kinds[i + 1] || ' ' || numbers[i + 1]), '\s+', ' ', 'g') || ']' AS label, {stripped("pieces[i + 2]")} AS title, CASE WHEN i = 0 THEN {stripped("pieces[1]")} END AS before FROM u"""
+
+
+def line_cases(cases: list[tuple[str, str]]) -> str:
+    """What is put in the place of line x, the i-th from 0, of a document."""
+    return "CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in cases) + " ELSE x END"
+
+
+K8 = "((doc_id + i) % 8)"
+WRITTEN = line_cases(
+    [
+        ("NOT regexp_matches(x, '^[A-Z]')", "x"), (f"{K8} = 0", "'### 제' || (i % 9 + 1) || '조(가나) ' || x"), (f"{K8} = 2", "'제' || (i % 9 + 1) || '조의2(다) ' || x"),
+        (f"{K8} = 3 AND i % 3 = 0", "'앞말 [별표 ' || (i % 4 + 1) || '] 삭제'"), (f"{K8} = 3", "'[별지 제' || (i % 4 + 1) || '호 서식] ' || x"), (f"{K8} = 4", "'## 제' || (i % 5 + 1) || '장 ' || x"),
+        (f"{K8} = 5", "'제' || (i % 5 + 1) || '절 총칙' || chr(10) || x"), (f"{K8} = 6 AND i % 2 = 0", "'부칙 <2024.01.01.>' || chr(10) || x"),
+    ]
+)
+SENTENCE = " OR ".join(f"ends_with(bare, '{end}')" for end in segment.SENTENCE_ENDS)
+ENDED = "ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
+ORACLE["parse_regulations"] = rf"""WITH w AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+  d AS (
+    SELECT doc_id, '# ' || any_value(source) || ' 규정' || CASE WHEN doc_id % 2 = 0 THEN ' (2025.03.01 개정)' ELSE '' END || chr(10) || string_agg({WRITTEN}, chr(10) ORDER BY i) AS text FROM w GROUP BY doc_id
+  ),
+  c AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS ls FROM d),
+  l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM c),
+  a AS (SELECT *, {stripped("line")} AS bare FROM l),
+  b AS (
+    SELECT *, CASE WHEN starts_with(line, '# ') THEN 'title' WHEN regexp_matches(bare, {fixed(segment.SUPPLEMENT)}) THEN 'supplement' WHEN regexp_matches(line, '{MARK}') THEN 'attachment'
+      WHEN regexp_matches(line, {fixed(segment.ARTICLE_HEADING)}) THEN 'heading' WHEN starts_with(line, '## ') THEN 'chapter' WHEN starts_with(line, '### ') THEN 'close'
+      WHEN regexp_matches(line, {fixed(segment.CHAPTER_LINE)}) AND length(bare) <= 30 AND NOT ({SENTENCE}) THEN 'chapter line'
+      WHEN regexp_matches(line, {fixed(segment.ARTICLE_LINE)}) AND length(line) - length(regexp_replace(line, '^{WHITE}+', '')) <= 2 THEN 'article line' ELSE 'body' END AS what FROM a
+  ),
+  e AS (
+    SELECT doc_id, line_no, 0 AS mark_no, line, what, NULL AS label, NULL AS title FROM b WHERE what <> 'attachment'
+    UNION ALL SELECT doc_id, line_no, -1, {stripped("regexp_split_to_array(line, '" + MARK_CUT + "')[1]")}, 'ahead', NULL, NULL FROM b WHERE what = 'attachment' AND NOT starts_with(bare, '[')
+    UNION ALL SELECT doc_id, line_no, 0, line, 'attachment', '[' || trim(regexp_extract(line, '{MARK}', 1) || ' ' || regexp_extract(line, '{MARK}', 2)) || ']',
+      {stripped("regexp_split_to_array(line, '" + MARK_CUT + "')[2]")} FROM b WHERE what = 'attachment'
+  ),
+  f AS (
+    SELECT *, what IN ('heading', 'article line') AS is_article, what IN ('heading', 'article line', 'attachment', 'chapter', 'close') AS opens, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, mark_no) AS pos,
+      CASE WHEN what = 'chapter' AND regexp_matches(line, {fixed(segment.CHAPTER_HEADING)}) THEN {stripped(f"regexp_extract(line, {fixed(segment.CHAPTER_HEADING)}, 1)")} WHEN what = 'chapter' THEN {stripped("substr(line, 4)")}
+        WHEN what = 'chapter line' THEN regexp_extract(line, {fixed(segment.CHAPTER_LINE)}, 1) || ' ' || {stripped(f"regexp_extract(line, {fixed(segment.CHAPTER_LINE)}, 2)")} END AS chapter,
+      what = 'title' AND regexp_matches(line, {fixed(segment.TITLE)}) AS named FROM e
+  ),
+  g AS (
+    SELECT *, sum(CAST(opens AS INT)) OVER so_far AS segment, max(CAST(what = 'supplement' AS INT)) OVER so_far = 1 AS supplementary, coalesce(last_value(chapter IGNORE NULLS) OVER so_far, '') AS chapter_now,
+      coalesce(last_value(CASE WHEN named THEN {stripped(f"regexp_extract(line, {fixed(segment.TITLE)}, 1)")} END IGNORE NULLS) OVER so_far, CAST(doc_id AS VARCHAR)) AS source_now,
+      coalesce(last_value(CASE WHEN named THEN {stripped(f"regexp_extract(line, {fixed(segment.TITLE)}, 2)")} END IGNORE NULLS) OVER so_far, '') AS revision_now,
+      min(CASE WHEN opens THEN pos END) OVER (PARTITION BY doc_id {ENDED}) AS next_open, min(CASE WHEN opens AND what <> 'attachment' THEN pos END) OVER (PARTITION BY doc_id {ENDED}) AS next_close,
+      max(pos) OVER (PARTITION BY doc_id) AS last_pos
+    FROM f WINDOW so_far AS (PARTITION BY doc_id ORDER BY pos)
+  ),
+  o AS (SELECT *, coalesce(CASE WHEN is_article THEN next_close ELSE next_open END - 1, last_pos) AS closed FROM g WHERE is_article OR what = 'attachment'),
+  t AS (
+    SELECT doc_id, segment, pos, CASE WHEN what = 'body' THEN bare_of WHEN what = 'ahead' THEN line WHEN what = 'heading' THEN regexp_extract(line, {fixed(segment.ARTICLE_HEADING)}, 5)
+      WHEN what = 'article line' THEN regexp_extract(line, {fixed(segment.ARTICLE_LINE)}, 4) END AS s, what = 'ahead' AS is_ahead FROM (SELECT *, {stripped("line")} AS bare_of FROM g)
+  ),
+  h AS (SELECT doc_id, segment, coalesce(string_agg(s, ' ' ORDER BY pos) FILTER (WHERE NOT is_ahead), '') AS own, coalesce(string_agg(s, ' ' ORDER BY pos), '') AS every FROM t GROUP BY doc_id, segment)
+  SELECT CAST(o.doc_id AS VARCHAR) AS file, o.line_no, g.source_now AS source, g.revision_now AS revision, CASE WHEN o.is_article THEN g.chapter_now ELSE '' END AS chapter,
+    CASE WHEN NOT o.is_article THEN o.label WHEN o.what = 'heading' THEN regexp_extract(o.line, {fixed(segment.ARTICLE_HEADING)}, 1) ELSE regexp_extract(o.line, '제\d+조(의\d+)?') END AS label,
+    CASE WHEN NOT o.is_article THEN o.title WHEN o.what = 'heading' THEN {stripped(f"regexp_extract(o.line, {fixed(segment.ARTICLE_HEADING)}, 4)")} ELSE {stripped(f"regexp_extract(o.line, {fixed(segment.ARTICLE_LINE)}, 3)")} END AS title,
+    md5(regexp_replace(CASE WHEN o.is_article THEN own ELSE every END, '{WHITE}+', '', 'g')) AS letters, CASE WHEN o.is_article THEN o.supplementary ELSE contains(o.title, '삭제') END AS flag
+  FROM o JOIN g ON g.doc_id = o.doc_id AND g.pos = o.closed JOIN h ON h.doc_id = o.doc_id AND h.segment = o.segment"""
+
+K6 = "((doc_id + i) % 6)"
+MARKED = line_cases(
+    [
+        (f"{K6} = 0", "'# 제' || (i % 9 + 1) || '조 (가) ' || x"), (f"{K6} = 1", "'# 제' || (i % 9 + 1) || '장 ' || x"), (f"{K6} = 2", "'##### ' || x"), (f"{K6} = 3", "'## [별표 1] ' || x"),
+        (f"{K6} = 4", "'### ' || source || chr(10) || x"),
+    ]
+)
+ORACLE["normalized_headings"] = rf"""WITH w AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+  d AS (SELECT doc_id, source, string_agg({MARKED}, chr(10) ORDER BY i) AS text FROM w GROUP BY doc_id, source),
+  l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d),
+  s AS (SELECT *, regexp_replace(line, '{WHITE}+$', '') AS r FROM l),
+  o AS (
+    SELECT doc_id, source, n, CASE WHEN contains(r, '[별표') OR contains(r, '[별지') THEN line WHEN regexp_matches(r, '^#{{1,4}}\s+제\d+조(의\d+)?\s*\(.+$') THEN '### ' || regexp_replace(r, '^#+\s+', '')
+      WHEN regexp_matches(r, '^#{{1,4}}\s+제\d+[편장절]( .*)?$') THEN '## ' || regexp_replace(r, '^#+\s+', '') WHEN NOT regexp_matches(r, '^#{{1,6}}\s+') THEN line
+      WHEN regexp_replace(r, '^#+\s+', '') = source THEN NULL WHEN regexp_matches(r, '^#+\s+$') THEN '' ELSE '**' || regexp_replace(r, '^#+\s+', '') || '**' END AS out FROM s
+  )
+  SELECT doc_id, '# ' || source || CASE WHEN doc_id % 2 = 0 THEN ' (2025.01.01 개정)' ELSE '' END || chr(10) || string_agg(out, chr(10) ORDER BY n) AS markdown FROM o GROUP BY doc_id, source"""
+ORACLE["question_score"] = f"""WITH {rules()}, q AS (
+    SELECT conv_id || ':' || turn AS id, 'src' || (conv_id % 25) AS name, CAST((conv_id + turn) % 9 + 1 AS INT) AS no, CAST((conv_id + turn) % 3 AS INT) AS sub, text FROM conversations
+  ),
+  s AS (SELECT id, name, no, sub, text || ' ' || ' ' || '근거: ' || name || ' ' || {NAME.format(no="no", sub="sub")} AS blob FROM q),
+  t AS (SELECT *, CAST({" + ".join(count("blob", t) for t in tokenize(" ".join(TOKENS)))} AS BIGINT) AS score FROM s),
+  f AS (SELECT source, article_no, article_sub, arg_min(struct_pack(article_title, body), (is_supplementary, item_index)) AS r FROM fa GROUP BY ALL)
+  SELECT id, score, name || ' ' || {NAME.format(no="no", sub="sub")} AS citation, r.article_title AS article_title, substr({flat("substr(r.body, 1, 350)")}, 1, 200) AS body_excerpt
+  FROM (SELECT * FROM t WHERE score > 0 ORDER BY score DESC, id LIMIT 20) LEFT JOIN f ON name = source AND no = article_no AND sub = article_sub"""
+
+
+def called(pattern: str) -> str:
+    """Whether a rule's pattern fits; one with several conditions ahead is all of them."""
+    parts = pattern[len("(?=.*") : -1].split(")(?=.*") if pattern.startswith("(?=") else [pattern]
+    return " AND ".join(f"regexp_matches(query, {quoted(p)})" for p in parts)
+
+
+TERMS = ", ".join(f"CASE WHEN {called(p)} THEN {quoted(t)} END" for p, t in ALIAS_RULES)
+ORACLE["expanded_queries"] = f"""WITH q AS (SELECT conv_id, turn, concat_ws(' ', text, [{", ".join(map(quoted, SAID))}][CAST((conv_id + turn) % {len(SAID)} AS INT) + 1]) AS query FROM conversations),
+  t AS (SELECT *, list_filter([{TERMS}], lambda x: x IS NOT NULL) AS terms FROM q)
+  SELECT conv_id, turn, query, CASE WHEN len(terms) > 0 THEN query || {quoted(LEAD)} || array_to_string(terms, ' ') ELSE query END AS expanded FROM t"""
+ORACLE["parent_radar"] = """WITH x AS (
+    SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 <> 0 THEN c_custkey END AS parent, DATE '1995-01-01' + CAST(c_custkey % 1500 AS INT) AS p, CAST(o_orderdate AS DATE) AS c FROM orders LEFT JOIN customer ON o_custkey = c_custkey
+  )
+  SELECT '주문 ' || k AS source, '규정 C' || lpad(CAST(parent AS VARCHAR), 9, '0') AS parent, CASE WHEN parent IS NULL THEN 'no_parent' WHEN p > c THEN 'review_needed' ELSE 'ok' END AS status,
+    CAST(CASE WHEN parent IS NOT NULL AND p > c THEN greatest((year(p) - year(c)) * 12 + month(p) - month(c), 1) ELSE 0 END AS BIGINT) AS months FROM x"""
+ORACLE["json_index"] = f"""WITH {rules()} SELECT CAST(item_index AS VARCHAR) AS file, unnest(range(item_index % 3 + 1)) AS item_index, source, article, article_no, article_sub, article_title, body, is_supplementary FROM fa"""

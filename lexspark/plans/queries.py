@@ -1,11 +1,10 @@
-"""The registered queries: every operator on one of the driver's tables or on the fixture."""
+"""The registered queries: every operator on the driver's tables, with citations, headings and marks written into them where a format needs them."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,7 +15,6 @@ from ..schemas import USAGE_EVENT
 from ..sources import corpus, listing, sync, tables
 from ..streaming import usage_stream
 from ..streaming import usage_totals as stored_totals
-from . import fixture
 from .expansion import expand_queries
 from .search import all_rows, recall_at_k, search
 
@@ -63,6 +61,60 @@ def chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rules_of(spark: SparkSession, sf_dir: str, quoted: bool = False) -> DataFrame:
+    """documents as numbered articles that cite: another source's, with or without a title, for each "the", one of their own for each "que"."""
+    i = F.col("doc_id")
+    nth = lambda shift: F.concat(F.lit("제"), ((i + shift) % 9 + 1).cast("string"), F.when(i % 2 == 0, "조의2").otherwise("조"))
+    mark = (" 「src", "」") if quoted else (" src", "")
+    named = F.concat(
+        F.lit(mark[0]), (i % 25).cast("string"), F.lit(mark[1]), F.when(i % 5 == 0, " 부칙 ").otherwise(" "), nth(3),
+        F.when(i % 3 == 0, F.concat(F.lit("(rule "), ((i + 3) % 9 + 1).cast("string"), F.lit(") "))).when(i % 3 == 1, "(이하 x) ").otherwise("(zzzz) "),
+    )
+    body = F.replace(F.replace("text", F.lit(" the "), named), F.lit(" que "), F.concat(F.lit(" "), nth(5), F.lit(" ")))
+    no, sub = (i % 9 + 1).cast("int"), (i % 3).cast("int")
+    return table(spark, sf_dir, "documents").select(
+        i.alias("item_index"), F.col("lang").alias("category"), "source", F.lit("").alias("revision"), F.lit("").alias("chapter"), T.article_name(no, sub).alias("article"),
+        no.alias("article_no"), sub.alias("article_sub"), F.concat(F.lit("rule "), no.cast("string"), F.lit(" of "), "source").alias("article_title"), body.alias("body"),
+        (i % 4 == 1).alias("is_supplementary"),
+    )
+
+
+def forms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as attachments of two kinds."""
+    i = F.col("doc_id")
+    n, form = (i % 6).cast("string"), i % 2 == 1
+    return table(spark, sf_dir, "documents").select(
+        i.alias("item_index"), F.col("lang").alias("category"), "source", F.lit("").alias("revision"), F.when(form, "별지").otherwise("별표").alias("kind"),
+        F.when(form, F.concat(F.lit("[별지 제"), n, F.lit("호 서식]"))).otherwise(F.concat(F.lit("[별표 "), n, F.lit("]"))).alias("label"),
+        F.when(form, F.concat(F.lit("제"), n, F.lit("호서식"))).otherwise(n).alias("number"), F.concat(F.lit("form "), n).alias("title"), F.col("text").alias("body"),
+        (i % 7 == 0).alias("deleted"),
+    )
+
+
+def regulation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as Markdown files: a title, and an opening of some kind ahead of most lines that start with a capital."""
+    nth = lambda i, n: (i % n + 1).cast("string")
+
+    def line(x: Column, i: Column) -> Column:
+        k = (F.col("doc_id") + i) % 8
+        opened = (
+            F.when(k == 0, F.concat(F.lit("### 제"), nth(i, 9), F.lit("조(가나) "), x))
+            .when(k == 2, F.concat(F.lit("제"), nth(i, 9), F.lit("조의2(다) "), x))
+            .when((k == 3) & (i % 3 == 0), F.concat(F.lit("앞말 [별표 "), nth(i, 4), F.lit("] 삭제")))
+            .when(k == 3, F.concat(F.lit("[별지 제"), nth(i, 4), F.lit("호 서식] "), x))
+            .when(k == 4, F.concat(F.lit("## 제"), nth(i, 5), F.lit("장 "), x))
+            .when(k == 5, F.concat(F.lit("제"), nth(i, 5), F.lit("절 총칙\n"), x))
+            .when((k == 6) & (i % 2 == 0), F.concat(F.lit("부칙 <2024.01.01.>\n"), x))
+            .otherwise(x)
+        )
+        return F.when(F.regexp_like(x, F.lit("^[A-Z]")), opened).otherwise(x)
+
+    title = F.concat(F.lit("# "), "source", F.lit(" 규정"), F.when(F.col("doc_id") % 2 == 0, " (2025.03.01 개정)\n").otherwise("\n"))
+    name = F.col("doc_id").cast("string")
+    text = F.concat(title, F.array_join(F.transform(F.split("text", "\n"), line), "\n"))
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), name.alias("file"), name.alias("stem"), text.alias("text"))
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"]
 
@@ -240,7 +292,7 @@ def list_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def get_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lookup.get_article(fixture.articles(spark), "시험규정", "1")
+    rows = lookup.get_article(rules_of(spark, sf_dir), "src1", "7")
     return lookup.with_citation(rows).select("item_index", "source", "article", "citation", "body", "is_supplementary")
 
 
@@ -252,47 +304,57 @@ def prefer_main(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def article_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.article_ranges(fixture.articles(spark))
+    return lookup.article_ranges(rules_of(spark, sf_dir))
 
 
 @query
 def attachment_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.list_attachments(fixture.attachments(spark), source="시험규정")
+    return lookup.list_attachments(forms_of(spark, sf_dir), source="src1", kind="별표")
 
 
 @query
 def attachment_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.get_attachment(fixture.attachments(spark), "시험규정", "별표 1").select("item_index", "citation", "title", "body")
+    return lookup.get_attachment(forms_of(spark, sf_dir), "src1", "별지 제3호 서식").select("item_index", "citation", "title", "body", "deleted")
 
 
 @query
 def verify_equi_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame([("시험규정", 1, 0), ("시험규정", 2, 2), ("시험규정", 9, 0), ("계약지침", 1, 0)], "source string, article_no int, article_sub int")
-    found = citations.lookup_by_key(asked, fixture.articles(spark))
+    """Each document asks for one article, of a source that there may not be."""
+    i = F.col("doc_id")
+    asked = table(spark, sf_dir, "documents").select(
+        i.alias("asked_by"), F.concat(F.lit("src"), (i % 25).cast("string")).alias("source"), ((i + 3) % 9 + 1).cast("int").alias("article_no"),
+        F.when(i % 2 == 0, 2).otherwise(0).alias("article_sub"),
+    )
+    found = citations.lookup_by_key(asked, rules_of(spark, sf_dir))
     return found.withColumn("item_index", F.coalesce("item_index", F.lit(-1)))
 
 
 @query
 def nearest_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cites = citations.extract_citations(fixture.texts(spark))
-    found = citations.nearest_source(cites, fixture.articles(spark).select("source").distinct(), ["text_id", "cite_no"])
-    return found.select("text_id", "raw", "source")
+    """All citations of the documents, and the source that each names."""
+    rules = rules_of(spark, sf_dir)
+    cites = citations.extract_citations(rules, "item_index", "body")
+    found = citations.nearest_source(cites, rules.select("source").distinct(), ["item_index", "cite_no"])
+    return found.select("item_index", "cite_no", "raw", "cited_title", "source")
 
 
 @query
 def verify_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.verify_citations(fixture.texts(spark), fixture.articles(spark)).select("text_id", "citation", "status", "article_title", "title_verified", "message")
+    """Each document's text as a request: its citations against all articles, within the limits of a request."""
+    rules = rules_of(spark, sf_dir)
+    found = citations.verify_citations(rules, rules, "item_index", "body")
+    return found.select("item_index", "cite_no", "citation", "status", "article_title", "title_verified", "body_excerpt", "message")
 
 
 @query
 def outgoing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.outgoing_references(fixture.articles(spark)).select("item_index", "scope", "citation", "article_title")
+    return graph.outgoing_references(rules_of(spark, sf_dir, quoted=True)).select("item_index", "scope", "citation", "article_title", "snippet")
 
 
 @query
 def incoming_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = fixture.articles(spark)
-    return graph.incoming_references(a, graph.reference_target(a, "시험규정", 2, 2)).select("item_index", "scope", "citation")
+    a = rules_of(spark, sf_dir)
+    return graph.incoming_references(a, graph.reference_target(a, "src1", 7, 0)).select("item_index", "scope", "citation")
 
 
 def citing_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,34 +386,69 @@ def reference_edges_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def attachment_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.createDataFrame([(0, "앞말 [별표 1] 처분 기준 [별지 제2호 서식] 신청서"), (1, "[ 별표  1-1 ] 표"), (2, "없음")], "line_id long, line string")
-    return segment.attachment_headers(lines).select("line_id", "mark_no", "kind", "number", "label", "title", "before")
+    """The lines of the documents with marks written in, one for each "the" and each "que"."""
+    number = (F.col("doc_id") % 7 + 1).cast("string")
+    marked = F.replace("text", F.lit(" the "), F.concat(F.lit(" [별표 "), number, F.lit("-1] ")))
+    marked = F.replace(marked, F.lit(" que "), F.concat(F.lit(" [ 별지  제"), number, F.lit("호  서식 ]")))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(marked, "\n")).alias("line_no", "line"))
+    found = segment.attachment_headers(lines)
+    return found.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "mark_no", "kind", "number", "label", "title", F.when(F.col("mark_no") == 0, F.col("before")).alias("before"))
 
 
 @query
 def parse_regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = segment.parse_regulations(fixture.files(spark))
-    first = a.select("file", "source", "revision", "chapter", F.col("article").alias("label"), F.col("article_title").alias("title"), "body", F.col("is_supplementary").alias("flag"))
-    second = b.select("file", "source", "revision", F.lit("").alias("chapter"), "label", "title", "body", F.col("deleted").alias("flag"))
+    """The parser on whole documents with a title, chapters, articles of both forms, marks and supplements written in."""
+    a, b = segment.parse_regulations(regulation_files(spark, sf_dir))
+    letters = F.md5(F.regexp_replace("body", r"(?U)\s+", "").cast("binary")).alias("letters")
+    line_no = F.col("order.line_no").cast("long").alias("line_no")
+    first = a.select("file", line_no, "source", "revision", "chapter", F.col("article").alias("label"), F.col("article_title").alias("title"), letters, F.col("is_supplementary").alias("flag"))
+    second = b.select("file", line_no, "source", "revision", F.lit("").alias("chapter"), "label", "title", letters, F.col("deleted").alias("flag"))
     return first.unionByName(second)
 
 
 @query
 def normalized_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "# 시험 규정\n# 제1장 총칙\n## 제1조 (목적) 본문\n##### 머리\n[별표 1] 표\n본문", "시험규정", "2025.01.01"), (1, "본문", "다른", "")], "id long, markdown string, title string, revision string")
-    return rows.select("id", normalize_headings(F.col("markdown"), F.col("title"), F.col("revision")).alias("markdown"))
+    """The documents with headings of all levels written in, brought to the parser's form."""
+    nth = lambda i: (i % 9 + 1).cast("string")
+
+    def line(x: Column, i: Column) -> Column:
+        k = (F.col("doc_id") + i) % 6
+        return (
+            F.when(k == 0, F.concat(F.lit("# 제"), nth(i), F.lit("조 (가) "), x))
+            .when(k == 1, F.concat(F.lit("# 제"), nth(i), F.lit("장 "), x))
+            .when(k == 2, F.concat(F.lit("##### "), x))
+            .when(k == 3, F.concat(F.lit("## [별표 1] "), x))
+            .when(k == 4, F.concat(F.lit("### "), "source", F.lit("\n"), x))
+            .otherwise(x)
+        )
+
+    revision = F.when(F.col("doc_id") % 2 == 0, "2025.01.01").otherwise("")
+    rows = table(spark, sf_dir, "documents").withColumn("markdown", F.array_join(F.transform(F.split("text", "\n"), line), "\n"))
+    return rows.select("doc_id", normalize_headings(F.col("markdown"), F.col("source"), revision).alias("markdown"))
 
 
 @query
 def question_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = questions.find_questions(fixture.questions(spark), fixture.articles(spark), "위원회 업무")
-    return found.select("id", "score", "citation", "article_title")
+    """The turns of conversations as a bank of questions, each resting on an article; the best twenty for a query."""
+    i, turn = F.col("conv_id"), F.col("turn")
+    number = F.concat(F.lit(" 제"), ((i + turn) % 9 + 1).cast("string"), F.lit("조"), F.when((i + turn) % 3 == 0, "").otherwise(F.concat(F.lit("의"), ((i + turn) % 3).cast("string"))))
+    bank = table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", i.cast("string"), turn.cast("string")).alias("id"), F.col("text").alias("question"), F.lit(None).cast("array<string>").alias("options"),
+        F.concat(F.lit("근거: src"), (i % 25).cast("string"), number).alias("explanation"),
+    )
+    found = questions.find_questions(bank, rules_of(spark, sf_dir), " ".join(TOKENS), limit=20)
+    return found.select("id", "score", "citation", "article_title", "body_excerpt")
+
+
+#: What people say, one of which ends each turn.
+SAID = ["주말에 일하면", "피를 뽑으면 주말에", "아무것도", "퇴사하면 돈은 언제", "납품이 늦으면 위약금", "집에서 재택 근무", "공익신고를 하면 보복", "정보 공개를 거절", "견적 없이 계약", ""]
 
 
 @query
 def expanded_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0, "주말에 일하면"), (1, "피를 뽑으면 주말에"), (2, "아무것도")], "id long, query string")
-    return expand_queries(rows)
+    """The turns of conversations, each with something said at its end, as queries."""
+    said = F.get(F.array(*map(F.lit, SAID)), ((F.col("conv_id") + F.col("turn")) % len(SAID)).cast("int"))
+    return expand_queries(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", said).alias("query")))
 
 
 # dense channel and fusion
@@ -443,7 +540,21 @@ def recall_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parent_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return radar.compliance_radar(fixture.articles(spark)).select("source", "parent", "status", F.coalesce("months", F.lit(0)).cast("long").alias("months"))
+    """The radar on customers as rules and their orders as guidelines, whose first article quotes the rule, alone, with more words or after an unknown one, or only an unknown one."""
+    name = lambda c: F.concat(F.lit("규정 C"), F.lpad(F.col(c).cast("string"), 9, "0"))
+    day = lambda c: F.date_format(c, "yyyy.MM.dd")
+    k = F.col("o_orderkey") % 5
+    quote = F.when(k == 0, "「없는 법」").when(k == 1, F.concat(F.lit("「없는 법」과 「"), name("o_custkey"), F.lit(" 본칙」"))).otherwise(F.concat(F.lit("「"), name("o_custkey"), F.lit("」")))
+    parent = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("item_index"), F.lit("규정").alias("category"), name("c_custkey").alias("source"),
+        day(F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 1500).cast("int"))).alias("revision"), F.lit("목적").alias("body"),
+    )
+    child = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("item_index"), F.lit("지침").alias("category"), F.concat(F.lit("주문 "), F.col("o_orderkey").cast("string")).alias("source"),
+        day(F.to_date("o_orderdate")).alias("revision"), F.concat(quote, F.lit("에 따른다.")).alias("body"),
+    )
+    rows = parent.unionByName(child).select("*", F.lit(1).alias("article_no"), F.lit(0).alias("article_sub"), F.lit(False).alias("is_supplementary"))
+    return radar.compliance_radar(rows).select("source", "parent", "status", F.coalesce("months", F.lit(0)).cast("long").alias("months"))
 
 
 @query
@@ -597,12 +708,14 @@ def usage_stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def json_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture's articles as JSON of either form, read back."""
-    rows = [dict(zip([c.split()[0] for c in fixture.ARTICLE_FIELDS.split(", ")], r, strict=True)) for r in fixture.ARTICLES]
-    both = [(json.dumps(rows, ensure_ascii=False),), (json.dumps({"version": 2, "articles": rows, "attachments": []}, ensure_ascii=False),)]
-    a, b = (corpus.json_tables(spark.createDataFrame([x], "value string"))[0] for x in both)
-    fields = ["item_index", "source", "article", "article_no", "article_sub", "article_title", "body", "is_supplementary"]
-    return a.select(F.lit(1).alias("version"), *fields).unionByName(b.select(F.lit(2).alias("version"), *fields))
+    """Each document as a JSON index of one to three articles, in either form, read back."""
+    rules = rules_of(spark, sf_dir)
+    article = F.struct("category", "source", "revision", F.col("item_index").cast("string").alias("file"), "article", "article_no", "article_sub", "article_title", "body", "is_supplementary")
+    rows = F.array_repeat(article, (F.col("item_index") % 3 + 1).cast("int"))
+    whole = F.to_json(F.struct(F.lit(2).alias("version"), rows.alias("articles"), F.array().cast("array<string>").alias("attachments")))
+    files = rules.select(F.when(F.col("item_index") % 2 == 0, F.to_json(rows)).otherwise(whole).alias("value"))
+    found, _ = corpus.json_tables(files)
+    return found.select("file", "item_index", "source", "article", "article_no", "article_sub", "article_title", "body", "is_supplementary")
 
 
 @query

@@ -321,3 +321,78 @@ def test_words_of_a_restaurant_see_each_others_tables(n):
     got = np.bincount(group, last)
     assert abs(got.mean() - mean) < 0.25
     assert abs(got.var() / var - 1) < 0.06
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """run() on a folder of tables: which documents are left, what their texts became, and every packed id."""
+    import random
+
+    import corpus_pipeline
+    import tokenizers
+
+    from lexspark.llm import tokens
+
+    vocabulary = ["the", "of", "and", *("".join(random.Random(k).choices("abcdefgh", k=2 + k % 6)) for k in range(300))]
+    prose = lambda seed, n: " ".join(random.Random(seed).choices(vocabulary, k=n))
+    rng = random.Random(8)
+    clean = [prose(1000 + i, rng.randint(90, 260)) for i in range(40)]
+    item = " ".join(f"item{k}" for k in range(30))
+    texts = list(enumerate(clean))
+    add = lambda t: texts.append((len(texts), t))
+    for i in range(0, 20, 2):
+        add(clean[i])  # an exact copy
+        w = clean[i].split()
+        w[len(w) // 2] = "changed"
+        add(" ".join(w))  # a near copy
+        add(" ".join([*clean[i].split()[: len(w) // 3], *prose(5000 + i, 200).split()]))  # shares a third only
+    add(prose(7000, 60) + " " + item + " " + prose(7001, 60))
+    add("too short")
+    add(None)
+    add("")
+    add(" ".join(["again and over"] * 60))
+    add(prose(7002, 100) + " write to jo.doe@mail.example or 10.1.2.3 " + prose(7003, 40))
+    add(" ".join(prose(8000 + k, 900) for k in range(4)))  # longer than a sequence
+    rng.shuffle(texts)
+    rows = [(i, t, "en", f"src{i % 3}", len(t) if t else None) for i, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def sound(t):
+        words = WORD.findall(t or "")
+        windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+        repeated = {k + j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+        return len(words) >= 50 and 100 * len(repeated) <= 50 * len(words)
+
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    left = sorted((i, t) for i, t in texts if sound(t))
+    root = {i: i for i, _ in left}
+    sets = {i: shingles(t) for i, t in left}
+    for a, _ in left:
+        for b, _ in left:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    kept = {i: t for i, t in left if root[i] == i and item not in t}
+    assert len(left) == len(texts) - 4 and len(kept) == len(left) - 21  # ten exact copies, ten near ones, one with the item
+    kept = {i: t.replace("jo.doe@mail.example", "[EMAIL]").replace("10.1.2.3", "[IP]") for i, t in kept.items()}
+    assert sum("[EMAIL]" in t and "[IP]" in t for t in kept.values()) == 1
+
+    library = tokenizers.Tokenizer.from_file(tokens.tokenizer_path())
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in kept.items()}
+    pieces, places = {}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.length == len(part) <= 2048 and r.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == ids.keys() and any(len(p) > 1 for p in pieces.values())
+    for i, found in pieces.items():
+        found.sort()
+        assert [p for p, _, _ in found] == list(range(len(found))) and [s for _, s, _ in found] == [sum(n for *_, n in found[:k]) for k in range(len(found))]
+        assert sum(n for *_, n in found) == len(ids[i])
+    for found in places.values():
+        found.sort()
+        assert [o for o, _ in found] == [sum(n for _, n in found[:k]) for k in range(len(found))] and sum(n for _, n in found) <= 2048

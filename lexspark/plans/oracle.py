@@ -277,7 +277,7 @@ NTH = "'제' || ((doc_id + {shift}) % 9 + 1) || CASE WHEN doc_id % 2 = 0 THEN '
 
 def rules(name: str = "fa", left: str = "", right: str = "") -> str:
     """The documents as numbered articles that cite, under ``name``."""
-    title = "CASE doc_id % 3 WHEN 0 THEN '(rule ' || ((doc_id + 3) % 9 + 1) || ') ' WHEN 1 THEN '(이하 x) ' ELSE '(zzzz) ' END"
+    title = "CASE doc_id % 4 WHEN 0 THEN '(rule ' || ((doc_id + 3) % 9 + 1) || ') ' WHEN 1 THEN '(이하 x) ' ELSE '(zzzz) ' END"
     named = f"' {left}src' || (doc_id % 25) || '{right}' || CASE WHEN doc_id % 5 = 0 THEN ' 부칙 ' ELSE ' ' END || {NTH.format(shift=3)} || {title}"
     return f"""{name} AS (
   SELECT doc_id AS item_index, lang AS category, source, CAST(doc_id % 9 + 1 AS INT) AS article_no, CAST(doc_id % 3 AS INT) AS article_sub, doc_id % 4 = 1 AS is_supplementary,

@@ -68,7 +68,7 @@ def rules_of(spark: SparkSession, sf_dir: str, quoted: bool = False) -> DataFram
     mark = (" 「src", "」") if quoted else (" src", "")
     named = F.concat(
         F.lit(mark[0]), (i % 25).cast("string"), F.lit(mark[1]), F.when(i % 5 == 0, " 부칙 ").otherwise(" "), nth(3),
-        F.when(i % 3 == 0, F.concat(F.lit("(rule "), ((i + 3) % 9 + 1).cast("string"), F.lit(") "))).when(i % 3 == 1, "(이하 x) ").otherwise("(zzzz) "),
+        F.when(i % 4 == 0, F.concat(F.lit("(rule "), ((i + 3) % 9 + 1).cast("string"), F.lit(") "))).when(i % 4 == 1, "(이하 x) ").otherwise("(zzzz) "),
     )
     body = F.replace(F.replace("text", F.lit(" the "), named), F.lit(" que "), F.concat(F.lit(" "), nth(5), F.lit(" ")))
     no, sub = (i % 9 + 1).cast("int"), (i % 3).cast("int")

@@ -1,26 +1,31 @@
-"""Which of many names stand in which of many texts: automata over parts of the names.
+"""Which of many names stand in which of many texts: an automaton, or windows of the names' lengths.
 
-A part of the names becomes a trie with failure links, which finds all of them, however they overlap, in
-one run over a text, whatever beginnings they share. Names of up to PART_CHARACTERS are one
-part, which goes to every task; texts are not shuffled then. More names are dealt into parts by their
-rarest piece of PIECE letters (the one that fewest names have), a text goes to the parts some piece of
-which it has, and texts and names of a part meet in slices, so no task holds more than one part and one slice.
+Names of up to PART_CHARACTERS become a trie with failure links, which goes to every task and finds all
+of them, however they overlap, in one run over a text, whatever beginnings they share; texts are not
+shuffled then. More names are joined with the texts' windows of as many letters. Every task has a
+bitmap of at most MOST_BITS with two bits set for each name, so of a text's windows, which are hashed in
+place, hardly any but names are sent, and neither texts nor names are sent more than once however many there are.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of the names of one part, and of the texts that meet a part in one task.
-PART_CHARACTERS, SLICE_CHARACTERS = 1 << 20, 32 << 20
+from ..sources.tables import written
 
-#: Letters of the pieces that names are dealt by; a shorter name is dealt by all of it.
-PIECE = 4
+#: Most characters of names in an automaton, and characters of texts whose windows are hashed at a time.
+PART_CHARACTERS, SLICE_CHARACTERS = 1 << 20, 1 << 20
+
+#: Bits of the bitmap for each name, and in all: with more names, more windows are sent that are no names.
+NAME_BITS, MOST_BITS = 32, 1 << 27
+
+#: Bits of the bitmap that one task puts together, and the odd factor of the hash.
+SHARE_BITS, FACTOR = 1 << 20, 0x9E3779B97F4A7C15
 
 
 def automaton(names: list[str]):
@@ -55,7 +60,7 @@ def name_places(texts: DataFrame, key: str, text: str, names: DataFrame, name: s
     some = texts.select(F.col(key), F.col(text).alias("_text")).filter(F.col("_text") != "")
     kind = some.schema[key].dataType
     schema = f"`{key}` {kind.simpleString()}, `{name}` string, `{at}` int"
-    size = known.agg(F.coalesce(F.sum(F.length(name)), F.lit(0))).first()[0]
+    size, count = known.agg(F.coalesce(F.sum(F.length(name)), F.lit(0)), F.count("*")).first()
     if size <= PART_CHARACTERS:
         every = [r[0] for r in known.collect()]  # at most PART_CHARACTERS, just counted
         handed = texts.sparkSession.sparkContext.broadcast(every)
@@ -66,39 +71,95 @@ def name_places(texts: DataFrame, key: str, text: str, names: DataFrame, name: s
                 yield _scan(machine, batch.column(0).to_pylist(), batch.column(1).to_pylist(), pa.schema([batch.schema.field(0).with_name(key), (name, pa.string()), (at, pa.int32())]))
 
         return some.mapInArrow(run, schema)
-    return _in_parts(some, key, known, name, math.ceil(size / PART_CHARACTERS), at, schema)
-
-
-def _in_parts(some: DataFrame, key: str, known: DataFrame, name: str, parts: int, at: str, schema: str) -> DataFrame:
-    own = F.when(F.length(name) < PIECE, F.array(name)).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - PIECE + 1), lambda i: F.substring(name, i, PIECE)))
-    )
-    pieces = known.select(name, F.explode(own).alias("_piece"))
-    shared = pieces.groupBy("_piece").agg(F.count("*").alias("_n"))
-    rarest = pieces.join(shared, "_piece").groupBy(name).agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
-    # by the name, not the piece: a piece may be all that very many names have
-    dealt = rarest.select(name, "_piece", F.pmod(F.xxhash64(name), F.lit(parts)).cast("int").alias("_part"))
-    total = some.agg(F.coalesce(F.sum(F.length("_text").cast("long")), F.lit(0))).first()[0]
-    slices = max(1, math.ceil(total / SLICE_CHARACTERS))
-    numbered = some.withColumns({"_slice": F.pmod(F.xxhash64(key, "_text"), F.lit(slices)).cast("int"), "_row": F.md5(F.col("_text").cast("binary"))})
-
-    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = list({body[i : i + n] for n in range(1, PIECE + 1) for i in range(len(body) - n + 1)})
-                yield pa.RecordBatch.from_arrays([pa.array([row] * len(found), pa.string()), pa.array(found, pa.string())], ["_row", "_piece"])
+    return _by_windows(some, key, written(known, "names"), name, count, at, schema)
+
+
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+
+
+def window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each window of so many code points."""
+    n = len(codes) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    # a window of 2^k + r letters is two of 2^k, r apart
+    out, width = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(FACTOR), 1
+    mixed = lambda x, y: ((x ^ (x >> np.uint64(29))) * np.uint64(FACTOR)) + (y ^ (y >> np.uint64(31)))
+    while 2 * width <= length:
+        out, width = mixed(out[:-width], out[width:]), 2 * width
+    if width < length:
+        out = mixed(out[:n], out[length - width : length - width + n])
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(FACTOR)
+    return out ^ (out >> np.uint64(29))
 
-    # only digests of texts meet pieces; a text itself is sent once to each part that it may have names of
-    offered = numbered.select("_row", "_text").mapInArrow(offer, "_row string, _piece string")
-    routes = offered.join(dealt.select("_piece", "_part").distinct(), "_piece").select("_row", "_part").distinct()
-    sent = numbered.join(routes, "_row").select(key, "_text", "_slice", "_part")
-    held = dealt.select(name, F.col("_part").alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"))
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = pa.schema([a.schema.field(key), (name, pa.string()), (at, pa.int32())])
-        return pa.Table.from_batches([_scan(automaton(b.column(name).to_pylist()), a.column(key).to_pylist(), a.column("_text").to_pylist(), out)])
+def two_places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in a bitmap of ``bits``, a power of two of at most 2^32."""
+    return (hashes & np.uint64(bits - 1)).astype(np.int64), (hashes >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
 
-    return sent.groupBy("_part", "_slice").cogroup(held.groupBy("_p", "_s")).applyInArrow(meet, schema)
+
+def _name_bitmap(known: DataFrame, name: str, bits: int) -> np.ndarray:
+    """Bytes of a bitmap with both bits of every name set; only finished shares of it come to the driver."""
+    share = min(bits, SHARE_BITS)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by_length: dict[int, list[str]] = {}
+            for x in batch.column(0).to_pylist():
+                by_length.setdefault(len(x), []).append(x)
+            hashes = [window_hashes(code_points(group), n)[::n] for n, group in by_length.items()]
+            at = np.unique(np.concatenate([np.zeros(0, np.int64), *(p for h in hashes for p in two_places(h, bits))]))
+            edges = np.searchsorted(at, np.arange(0, bits + 1, share)).tolist()
+            found = [(i, (at[a:b] - i * share).astype(np.uint32).tobytes()) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary())], ["share", "places"])
+
+    def together(table: pa.Table) -> pa.Table:
+        own = np.zeros(share, bool)
+        for some in table.column("places").to_pylist():
+            own[np.frombuffer(some, np.uint32)] = True
+        return pa.table({"share": table.column("share")[:1], "bitmap": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(bits // 8, np.uint8)
+    shares = known.select(name).mapInArrow(places, "share int, places binary").groupBy("share").applyInArrow(together, "share int, bitmap binary")
+    for i, own in shares.collect():  # MOST_BITS in all at most
+        out[i * share // 8 : (i + 1) * share // 8] = np.frombuffer(own, np.uint8)
+    return out
+
+
+def _by_windows(some: DataFrame, key: str, known: DataFrame, name: str, count: int, at: str, schema: str) -> DataFrame:
+    lengths = sorted(r[0] for r in known.select(F.length(name)).distinct().collect())
+    bits = min(MOST_BITS, max(1 << 10, 1 << (NAME_BITS * count).bit_length()))
+    handed = some.sparkSession.sparkContext.broadcast(_name_bitmap(known, name, bits))
+    slice_characters = SLICE_CHARACTERS
+
+    def likely(texts: list[str], bitmap: np.ndarray) -> Iterator[tuple[int, str, int]]:
+        """(text, window, where it starts) of the windows whose bits are set, a slice of the joined texts at a time."""
+        codes = code_points(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        for lo in range(0, len(codes), slice_characters):
+            for n in lengths:
+                hashes = window_hashes(codes[lo : lo + slice_characters + n - 1], n)
+                first, second = two_places(hashes, bits)
+                starts = np.flatnonzero(bitmap[first >> 3] >> (first & 7) & bitmap[second >> 3] >> (second & 7) & 1) + lo
+                text = np.searchsorted(ends, starts, "right")
+                whole = starts + n <= ends[text]
+                for i, start in zip(text[whole].tolist(), starts[whole].tolist(), strict=True):
+                    start -= int(ends[i]) - len(texts[i])
+                    yield i, texts[i][start : start + n], start
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = handed.value
+        for batch in batches:
+            out = pa.schema([batch.schema.field(0).with_name(key), (name, pa.string()), (at, pa.int32())])
+            texts = batch.column(1).to_pylist()
+            last: dict[tuple[int, str], int] = {}
+            for i, window, start in likely(texts, bitmap):
+                last[i, window] = max(start, last.get((i, window), 0))
+            rows = batch.column(0).take(pa.array([i for i, _ in last], pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, pa.array([w for _, w in last], pa.string()), pa.array(list(last.values()), pa.int32())], schema=out)
+
+    return some.mapInArrow(cut, schema).join(known, name, "left_semi").select(key, name, at)
 
 
 def contained(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:

@@ -221,3 +221,30 @@ def test_no_vector_in_an_exchange(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" in plan and plan.index("MapInArrow") > plan.index("Exchange")  # the product is below every exchange
     assert all("embedding" not in line.split("plan_id")[0] for line in plan.split("\n") if "Exchange" in line)
+
+
+def test_many_names_are_sent_once(spark, monkeypatch):
+    """Rows sent grow with the names and texts, not with their product, however alike the names are."""
+    monkeypatch.setattr(names, "PART_CHARACTERS", 500)
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def rows_sent() -> int:
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = rows_sent()
+    known = spark.range(2_000).selectExpr("concat('규정C', lpad(id, 9, '0')) AS n")
+    texts = spark.range(2_000).selectExpr("id", "concat('「', '규정C', lpad(id, 9, '0'), ' 본칙」') AS t")
+    found = names.name_places(texts, "id", "t", known, "n")
+    assert sorted(found.collect()) == [(i, f"규정C{i:09d}", 1) for i in range(2_000)]
+    assert rows_sent() - before < 6 * 4_000
+
+
+def test_windows_across_slices(spark, monkeypatch):
+    """Texts longer than a slice, names at its edges, and windows that would span two texts."""
+    monkeypatch.setattr(names, "PART_CHARACTERS", 1)
+    monkeypatch.setattr(names, "SLICE_CHARACTERS", 7)
+    texts = [(0, "가나다라마바사아자차카타파하" * 3), (1, "하가"), (2, "나🙂다"), (3, "🙂"), (4, "라" * 20)]
+    known = ["사아", "파하가나", "하가나", "나다라마바사아자차", "하", "🙂다", "라라라", "하" * 50]
+    found = names.name_places(spark.createDataFrame(texts, "id long, t string"), "id", "t", spark.createDataFrame([(n,) for n in known], "n string"), "n")
+    assert sorted(found.collect()) == sorted((i, n, t.rfind(n)) for i, t in texts for n in known if n in t)

@@ -459,3 +459,20 @@ def test_streamed_totals_count_each_event_once(spark, tmp_path, monkeypatch):
         assert usage_totals.totals(spark, path, kind).collect() == usage.usage_totals(events, kind).collect()
         assert sorted(usage_totals.daily(spark, path, kind).collect()) == sorted(usage.usage_daily(events, kind).collect())
     assert usage_totals.totals(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_radar_of_many_names(spark, monkeypatch):
+    """Names taken from parts of names, by their ending, from a later quote and not at all, with names beyond an automaton's."""
+    from lexspark.operators import names
+
+    monkeypatch.setattr(names, "PART_CHARACTERS", 1)
+    row = lambda i, kind, source, body: (i, kind, source, "2024.01.01", "", "제1조", 1, 0, "t", body, False)
+    rows = [row(0, "규정", "인사 규정", ""), row(1, "규정", "인사규정 본칙", ""), row(2, "정관", "정관", ""), row(3, "규정", "복무규정", "")]
+    rows += [
+        row(4, "지침", "가지침", "「없는 법」과 「인사 규정」"), row(5, "지침", "나지침", "「신 인사규정 본칙 해설」"), row(6, "지침", "다지침", "「복무」 「정관」"), row(7, "지침", "라지침", "「없는 법」"),
+        row(8, "시행세칙", "복무규정 시행세칙", "「정관」"), row(9, "세칙", "다른규정 세칙", "「정관」"), row(10, "지침", "마지침", None), row(11, "세칙", "정관외 세칙", "정관"),
+    ]
+    found = radar.compliance_radar(spark.createDataFrame(rows, fixture.ARTICLE_FIELDS))
+    assert {r.source: r.parent for r in found.collect()} == {
+        "가지침": "인사 규정", "나지침": "인사규정 본칙", "다지침": "복무규정", "라지침": None, "복무규정 시행세칙": "복무규정", "다른규정 세칙": "정관", "마지침": None, "정관외 세칙": None,
+    }

@@ -13,6 +13,7 @@ computed once and reused, and a lost executor's part is recomputed from the inpu
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -26,6 +27,9 @@ CHUNK_BYTES = 12 << 20
 
 MESSAGE = "bucket int, chunk int, body binary"
 
+#: The C library's call that gives freed memory back, where it has one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
 #: Bits of a filter hash; a chance match only adds work, since a later step compares in full.
 FILTER_BITS = 48
 
@@ -38,26 +42,32 @@ def chunked(docs: DataFrame, n_chunks: int, doc_id: str = "doc_id", text: str =
 
 def read_chunk(table: pa.Table) -> tuple[int, list[int | None], list[bytes]]:
     """(chunk, ids, texts as bytes) in the order of (id, text), so every step sees the same order."""
-    from .words import as_bytes
-
-    ids, texts = table.column("doc_id").to_pylist(), as_bytes(table.column("text").to_pylist())
+    ids, texts = table.column("doc_id").to_pylist(), [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
     return table.column("chunk")[0].as_py(), [ids[i] for i in order], [texts[i] for i in order]
 
 
+def trimmed(result: pa.Table) -> pa.Table:
+    """The result of a step; what the step has freed goes back to the system, since a worker stays for the next chunk."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+    return result
+
+
 def send(chunks: DataFrame, step: Callable, schema: str = MESSAGE) -> DataFrame:
     """First messages: ``step(table)`` for each chunk."""
-    return chunks.groupBy("chunk").applyInArrow(step, schema)
+    return chunks.groupBy("chunk").applyInArrow(lambda table: trimmed(step(table)), schema)
 
 
 def answer(messages: DataFrame, step: Callable, schema: str = MESSAGE) -> DataFrame:
     """``step(table)`` for each bucket's messages."""
-    return messages.groupBy("bucket").applyInArrow(step, schema)
+    return messages.groupBy("bucket").applyInArrow(lambda table: trimmed(step(table)), schema)
 
 
 def resume(chunks: DataFrame, answers: DataFrame, step: Callable, schema: str = MESSAGE) -> DataFrame:
     """``step(documents, answers)`` for each chunk."""
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(step, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda table, own: trimmed(step(table, own)), schema)
 
 
 def messages(chunk: int, bodies: dict[int, bytes]) -> pa.Table:

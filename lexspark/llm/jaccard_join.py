@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import chunk_count, free_name, materialize, mix64, scratch
 from .components import connected_components
-from .exchange import CHUNK_BYTES, FILTER_BITS, answer, bodies_by, bucket_edges, chunked, messages, pack, read_chunk, replies, resume, send, unpack
+from .exchange import FILTER_BITS, answer, bodies_by, bucket_edges, chunked, messages, pack, read_chunk, replies, resume, send, trimmed, unpack
 from .substring import SLICE_BYTES, among, distinct, more_than_once
 from .words import blocks, windows, word_hashes
 
@@ -59,6 +59,12 @@ HOT_SHARE = 1 / 1000
 #: Most keys of buckets that are broadcast (8 bytes each).
 BROADCAST_KEYS = 100_000
 
+#: UTF-8 bytes of a chunk: its text, sets, keys and their answers are held together, about ten bytes for each of the text.
+SET_CHUNK_BYTES = 6 << 20
+
+#: Rows that a chunk hands back at a time, and words of two sketches that are compared at a time.
+KEPT_ROWS, COMPARED = 512, 1 << 20
+
 #: Stands for a missing id among longs.
 NO_ID = -(2**63)
 
@@ -140,7 +146,7 @@ def sketched_sets(docs: DataFrame, shingle: int, percent: int, doc_id: str, text
     a bit for each, whether another document has it. A document with fewer such keys than
     any partner would share keeps none.
     """
-    n_chunks = n_chunks or chunk_count(docs, CHUNK_BYTES, text)
+    n_chunks = n_chunks or chunk_count(docs, SET_CHUNK_BYTES, text)
     chunks = chunked(docs, n_chunks, doc_id, text)
 
     def keys_of(table: pa.Table) -> tuple[int, list, list[np.ndarray], list[list[tuple]]]:
@@ -166,24 +172,28 @@ def sketched_sets(docs: DataFrame, shingle: int, percent: int, doc_id: str, text
         return replies(bucket, {c: pack(among(s[0], met)) for c, s in sent.items()})
 
     def keep(table: pa.Table, answers: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
+        group_type = pa.struct([("grp", pa.int32()), ("need", pa.int32()), ("keys", pa.list_(pa.int64())), ("words", pa.binary())])
+        kinds_of = [pa.int64(), pa.int64(), pa.binary(), pa.list_(group_type), pa.binary()]
+        schema = pa.schema(list(zip(["doc_id", "n", "fingerprint", "groups", "body"], kinds_of, strict=True)))
+        batches: list[pa.RecordBatch] = []
         if table.num_rows:
             _, ids, sets, keys = keys_of(table)
             kinds = distinct(all_of(keys))
             bits = [unpack(body)[0] for body in bodies_by(answers, "bucket").values()]
             met = kinds[np.concatenate(bits)] if bits else kinds[:0]
-            for key, own, mine in zip(ids, sets, keys, strict=True):
-                groups = []
-                for group, need, every, sketch in mine:
-                    shared = every[among(every, met)]
-                    if len(shared) >= need:
-                        groups.append({"grp": group, "need": need, "keys": shared.astype(np.int64), "words": sketch.tobytes()})
-                rows.append((key, len(own), hashlib.md5(own.tobytes()).digest(), groups or None, pack(own) if groups else None))
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        group_type = pa.struct([("grp", pa.int32()), ("need", pa.int32()), ("keys", pa.list_(pa.int64())), ("words", pa.binary())])
-        kinds_of = [pa.int64(), pa.int64(), pa.binary(), pa.list_(group_type), pa.binary()]
-        names = ["doc_id", "n", "fingerprint", "groups", "body"]
-        return pa.table({name: pa.array(c, t) for name, c, t in zip(names, columns, kinds_of, strict=True)})
+            for lo in range(0, len(ids), KEPT_ROWS):
+                rows: list[tuple] = []
+                for i in range(lo, min(lo + KEPT_ROWS, len(ids))):
+                    own, mine = sets[i], keys[i]
+                    sets[i] = keys[i] = None  # a set is held once: in the sets, then packed
+                    groups = []
+                    for group, need, every, sketch in mine:
+                        shared = every[among(every, met)]
+                        if len(shared) >= need:
+                            groups.append({"grp": group, "need": need, "keys": shared.astype(np.int64), "words": sketch.tobytes()})
+                    rows.append((ids[i], len(own), hashlib.md5(own.tobytes()).digest(), groups or None, pack(own) if groups else None))
+                batches.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds_of, strict=True)], schema=schema))
+        return pa.Table.from_batches(batches, schema)
 
     return resume(chunks, answer(send(chunks, offer), meet), keep, SETS)
 
@@ -197,8 +207,8 @@ def verify(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     def check(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                both = np.concatenate([unpack(x)[0], unpack(y)[0]])
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):  # one pair's sets at a time
+                both = np.concatenate([unpack(x.as_py())[0], unpack(y.as_py())[0]])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(both) - shared))
@@ -244,7 +254,7 @@ def bucket_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
         order = np.argsort(comp == counts.argmax(), kind="stable")
         rep, comp, n, words = rep[order], comp[order], n[order], words[order]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        step = max(1, (1 << 22) // max(1, words.size))
+        step = max(1, COMPARED // max(1, words.size))
         for at in range(0, len(rep) - int(counts.max()), step):
             own = slice(at, min(at + step, len(rep) - int(counts.max())))
             distance = np.bitwise_count(words[own, None] ^ words[None, at:]).sum(2, dtype=np.int64)
@@ -270,7 +280,7 @@ def bucket_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
                     keep.append(k)
             i, j = i[keep], j[keep]
         of = lambda c: pa.array(np.full(len(i), table.column(c)[0].as_py(), np.int64))
-        return pa.table({"grp": of("grp").cast(pa.int32()), "key": of("key"), "a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])})
+        return trimmed(pa.table({"grp": of("grp").cast(pa.int32()), "key": of("key"), "a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j])}))
 
     return rows.groupBy("grp", "key", "block").applyInArrow(compare, "grp int, key long, a long, b long")
 

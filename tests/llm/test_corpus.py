@@ -396,3 +396,14 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     for found in places.values():
         found.sort()
         assert [o for o, _ in found] == [sum(n for _, n in found[:k]) for k in range(len(found))] and sum(n for _, n in found) <= 2048
+
+
+def test_sketched_sets_in_slices(spark, monkeypatch):
+    """A chunk hands its rows back in slices, and they are the same."""
+    from lexspark.llm import jaccard_join
+
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(40)] + [(40, None), (None, "x")], "doc_id long, text string")
+    rows = lambda: sorted(map(str, jaccard_join.sketched_sets(docs, 3, 90, "doc_id", "text", 1).collect()))
+    whole = rows()
+    monkeypatch.setattr(jaccard_join, "KEPT_ROWS", 5)
+    assert len(whole) == 42 and rows() == whole

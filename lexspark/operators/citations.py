@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import article_name, excerpt, title_matches
+from ..sources.tables import written
 from .lookup import article_ranges, range_text
 from .names import contained
 
@@ -68,7 +69,8 @@ def verify_citations(texts: DataFrame, articles: DataFrame, key: str = "text_id"
     limited to MOST_CHARACTERS and MOST_CITATIONS, as a request is.
     """
     limited = texts.select(key, F.substring(text, 1, MOST_CHARACTERS).alias("_limited"), (F.length(text) > MOST_CHARACTERS).alias("_long"))
-    every = extract_citations(limited.select(key, "_limited"), key, "_limited")
+    # read for their names, for their articles and for the counts, but texts are searched once
+    every = written(extract_citations(limited.select(key, "_limited"), key, "_limited"), "citations")
     cites = every.filter(F.col("cite_no") < MOST_CITATIONS)
     named = nearest_source(cites, articles.select("source").distinct(), [key, "cite_no"])
     prefers = F.contains(F.substring("prefix", -SUPPLEMENT_WINDOW, SUPPLEMENT_WINDOW), F.lit("부칙"))

@@ -476,3 +476,13 @@ def test_radar_of_many_names(spark, monkeypatch):
     assert {r.source: r.parent for r in found.collect()} == {
         "가지침": "인사 규정", "나지침": "인사규정 본칙", "다지침": "복무규정", "라지침": None, "복무규정 시행세칙": "복무규정", "다른규정 세칙": "정관", "마지침": None, "정관외 세칙": None,
     }
+
+
+def test_citations_are_searched_once(spark, articles):
+    """Names, articles and counts read one table of citations, not the texts again."""
+    from lexspark.operators import citations
+
+    texts = spark.createDataFrame([(1, "시험규정 제1조 " * 3)], "text_id long, text string")
+    found = citations.verify_citations(texts, articles)
+    assert "find(text_id" not in found._jdf.queryExecution().analyzed().toString()
+    assert [r.status for r in found.collect()] == ["ok"] * 3

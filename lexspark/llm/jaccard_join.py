@@ -19,8 +19,8 @@ has members. They are verified, components grow, and this is done again, at last
 different components that the distance allows. So no link that would join two components is
 lost, and a group of n near copies sends out about n pairs a round, not n squared. Buckets of
 over BLOCK members are compared in blocks: first each block by itself, and of a document's buckets only the
-largest, then with the bucket's first block, at last all blocks of the buckets that still hold
-several components. So no task holds a whole bucket, and a group that is one component after the first
+largest, then with the bucket's first block, at last, in the buckets that still hold several
+components, the blocks outside the largest component with all. So no task holds a whole bucket, and a group that is one component after the first
 rounds is never compared block by block.
 """
 
@@ -31,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunk_count, free_name, materialize, mix64, scratch
@@ -239,20 +239,20 @@ def spread_join(rows: DataFrame, sizes: DataFrame, total: int, on: list[str], si
 
 
 def bucket_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
-    """(grp, key, a, b) from gatherings: rows (grp, key, block, rep, comp, n, words), pairs of different components within the distance.
+    """(grp, key, a, b) from gatherings: rows (grp, key, block, side, rep, comp, n, words), pairs of different components within the distance.
 
-    With ``forest``, the nearest pairs that join a block's components, one less than there
+    Members of side 1 are only compared with side 2, those of side 0 with all. With ``forest``, the nearest pairs that join a block's components, one less than there
     are at most.
     """
 
     def compare(table: pa.Table) -> pa.Table:
-        rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "comp", "n"))
+        rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
         words = np.stack([np.frombuffer(w, np.uint64) for w in table.column("words").to_pylist()])
         names, comp = np.unique(comp, return_inverse=True)
         # the largest component's members are only compared with the others
         counts = np.bincount(comp)
         order = np.argsort(comp == counts.argmax(), kind="stable")
-        rep, comp, n, words = rep[order], comp[order], n[order], words[order]
+        rep, comp, n, side, words = rep[order], comp[order], n[order], side[order], words[order]
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         step = max(1, COMPARED // max(1, words.size))
         for at in range(0, len(rep) - int(counts.max()), step):
@@ -260,6 +260,7 @@ def bucket_pairs(rows: DataFrame, percent: int, forest: bool) -> DataFrame:
             distance = np.bitwise_count(words[own, None] ^ words[None, at:]).sum(2, dtype=np.int64)
             near = distance * (100 + percent) <= (n[own, None] + n[None, at:]) * (100 - percent)
             near &= comp[own, None] != comp[None, at:]
+            near &= (side[own, None] != side[None, at:]) | (side[own, None] == 0)
             i, j = np.nonzero(near)
             later = i < j
             found.append((i[later] + at, j[later] + at, distance[i[later], j[later]]))
@@ -296,6 +297,46 @@ def gatherings(large: DataFrame) -> DataFrame:
     return spread_join(gathered, sizes, sizes.agg(F.sum("size")).first()[0] or 0, ["grp", "key"])
 
 
+def blocks_of(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def split_gatherings(named: DataFrame) -> DataFrame:
+    """(grp, key, main, mains, rests) of the gatherings in ``named`` (grp, key, rep, size, comp) with several components: the largest, its blocks and those of all others."""
+    counts = named.groupBy("grp", "key", "comp").agg(F.count("*").alias("n"))
+    shares = counts.groupBy("grp", "key").agg(F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("top"))
+    rest = F.col("members") - F.col("top.n")
+    return shares.filter(rest > 0).select("grp", "key", F.col("top.comp").alias("main"), blocks_of(F.col("top.n")).alias("mains"), blocks_of(rest).alias("rests"))
+
+
+def dealt_to_first(members: DataFrame, own_only: bool) -> DataFrame:
+    """``members`` (grp, key, rep, size, comp), once for each ``block`` they are compared in: their own, or also each with the first."""
+    dealt = members.withColumn("_n", blocks_of(F.col("size"))).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
+    others = F.array("_own")
+    if not own_only:
+        others = F.when(F.col("_own") == 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array(F.lit(0)))
+    dealt = dealt.withColumn("_other", F.explode(others))
+    return dealt.withColumn("block", F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other")).withColumn("side", F.lit(0))
+
+
+def dealt_to_all(members: DataFrame) -> DataFrame:
+    """``members`` (grp, key, rep, comp, main, mains, rests), once for each ``block`` they are compared in, and the ``side`` they have there.
+
+    The largest component is cut into blocks by itself, the rest into others, and only blocks of
+    the rest meet all: beside n near copies of one component, m others are n rows for each block
+    of the m, and m rows for each block of the n, not all of them for each block.
+    """
+    is_main = F.col("comp") == F.col("main")
+    own = F.pmod(F.xxhash64("rep"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    # blocks of the rest are numbered before those of the largest component; with the first of these a block of the rest is also compared in itself
+    dealt = members.withColumn("_width", F.col("mains") + F.col("rests")).withColumn("_own", F.when(is_main, own + F.col("rests")).otherwise(own))
+    others = F.when(is_main, F.sequence(F.lit(0), F.col("rests") - 1)).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("_width") - 1), F.col("_own")))
+    dealt = dealt.withColumn("_other", F.explode(others))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    side = F.when(high == F.col("rests"), 0).when(F.col("_own") < F.col("_other"), 1).otherwise(2)
+    return dealt.withColumn("block", low * F.col("_width") + high).withColumn("side", side)
+
+
 def link_components(sets: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     """(node, comp) over sets (rep, n, groups), a written table, that meet in buckets."""
     groups = sets.select("rep", "n", F.inline("groups"))
@@ -320,24 +361,22 @@ def link_components(sets: DataFrame, bodies: DataFrame, percent: int) -> DataFra
         if fruitful is not None:  # a gathering of one block that had no pair is done: components only grow
             some = some.filter(F.col("size") > BLOCK).unionByName(some.filter(F.col("size") <= BLOCK).join(fruitful, place, "left_semi"))
         named = some.join(labels, some.rep == labels.node, "left").select(*place, "rep", "size", F.coalesce("comp", "rep").alias("comp"))
-        split = named.groupBy(*place).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter(F.col("lo") < F.col("hi"))
-        split = materialize(split.select(*place), "split-gatherings")
+        named = materialize(named, "named-members")
+        split = materialize(split_gatherings(named), "split-gatherings")
         n_split = split.count()
         if not n_split:
             if step == "own block":
                 continue
             break
-        open_ = named.join(F.broadcast(split) if n_split <= BROADCAST_KEYS else split, place, "left_semi")
-        n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = open_.withColumn("_n", n_blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_n")).cast("int"))
-        if step == "own block":
-            others = F.array("_own")
-        elif step == "first block":
-            others = F.when(F.col("_own") == 0, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.array(F.lit(0)))
+        split = F.broadcast(split) if n_split <= BROADCAST_KEYS else split
+        if step == "all blocks":
+            dealt = dealt_to_all(named.join(split, place))
         else:
-            others = F.sequence(F.lit(0), F.col("_n") - 1)
-        dealt = dealt.withColumn("_other", F.explode(others)).withColumn("block", F.least("_own", "_other") * F.col("_n") + F.greatest("_own", "_other"))
-        rows = dealt.join(groups.select("rep", "grp", "n", "words"), ["rep", "grp"]).select(*place, "block", "rep", "comp", "n", "words")
+            open_ = materialize(named.join(split, place, "left_semi"), "open-members")
+            dealt = dealt_to_first(open_, step == "own block")
+            if step == "first block":  # for the same reason a gathering of one component is done
+                large = open_.select(*place, "rep", "size")
+        rows = dealt.join(groups.select("rep", "grp", "n", "words"), ["rep", "grp"]).select(*place, "block", "side", "rep", "comp", "n", "words")
         near = materialize(bucket_pairs(rows, percent, forest=step != "all blocks"), "near-pairs")
         if step == "first block":
             fruitful = near.select(*place).distinct()

@@ -407,3 +407,51 @@ def test_sketched_sets_in_slices(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(jaccard_join, "KEPT_ROWS", 5)
     assert len(whole) == 42 and rows() == whole
+
+
+@pytest.mark.parametrize("others", [5, 60])
+def test_largest_component_is_not_dealt_to_all_blocks(spark, monkeypatch, others):
+    """In the last round each pair of different components meets, once but for those of one block, and few others make few rows."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 20)
+    comp = {i: 0 if i < 400 else i for i in range(400 + others)}
+    members = spark.createDataFrame([(1, 7, i, len(comp), c) for i, c in comp.items()] + [(1, 8, i, 5, 0) for i in range(5)], "grp int, key long, rep long, size long, comp long")
+    split = jaccard_join.split_gatherings(members)
+    assert [(r.grp, r.key, r.main, r.mains, r.rests) for r in split.collect()] == [(1, 7, 0, 20, -(-others // 20))]
+    dealt = collections.defaultdict(list)
+    for r in jaccard_join.dealt_to_all(members.join(split, ["grp", "key"])).collect():
+        dealt[r.block].append((r.rep, r.side))
+    met = collections.Counter(tuple(sorted((a, b))) for rows in dealt.values() for a, x in rows for b, y in rows if a < b and comp[a] != comp[b] and (x != y or x == 0))
+    assert set(met) == {(a, b) for a in comp for b in comp if a < b and comp[a] != comp[b]} and set(met.values()) == {1}
+    rests = -(-others // 20)
+    assert sum(map(len, dealt.values())) == 400 * rests + others * (19 + rests)
+
+
+def test_rounds_name_the_members_once(spark, monkeypatch):
+    """Members of large buckets meet the components once a round, and in the last round only those of gatherings still open."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(1 + i % 3):
+            w[rng.randrange(60)] = f"x{i}"
+        texts.append((i, " ".join(w)))
+    written = []
+
+    def kept(df, name, *rest, **more):
+        out = jaccard_materialize(df, name, *rest, **more)
+        if name in ("gathered-members", "named-members", "open-members"):
+            written.append((name, out.count(), df._jdf.queryExecution().optimizedPlan().toString()))
+        return out
+
+    jaccard_materialize = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", kept)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    rows = jaccard_join.similar_documents(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in rows) == similar(texts, 3, 90)
+    named = [n for name, n, _ in written if name == "named-members"]
+    gathered, still_open = ([n for name, n, _ in written if name == x] for x in ("gathered-members", "open-members"))
+    assert len(named) == 3 and named[1] == gathered[0] and named[2] <= still_open[-1] <= named[1]
+    assert all("LeftOuter" not in plan for name, _, plan in written if name == "open-members")

@@ -25,7 +25,7 @@ restaurant by chance), words by 64. All counts are over all training documents:
 1. chunks send word counts; buckets answer with corpus counts, N and V;
 2. chunks send the distinct pairs of words with training counts and P(w); buckets hold whole
    restaurants, sample them, and answer with the counts and tables of each chunk's pairs;
-3. chunks send each word's tables (each pair's from one chunk); buckets sample the parent;
+3. chunks send each word's tables (each pair's from one chunk) and training count; buckets sample the parent;
 4. chunks score their documents.
 """
 
@@ -304,9 +304,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         held_out = [folds[i] for i in ids]
         return chunk, ids, held_out, ChunkTokens(ids, texts, held_out)
 
-    def dealt(chunk: int, code: np.ndarray, *columns: np.ndarray) -> pa.Table:
+    def dealt(chunk: int, code: np.ndarray, *columns: np.ndarray, every: list[np.ndarray] = []) -> pa.Table:  # noqa: B006
+        """Messages of each bucket's part of the columns, and of ``every`` whole."""
         edges = bucket_edges(code, n_chunks, 64).tolist()
-        return messages(chunk, {b: pack(code[i:j], *(c[i:j] for c in columns)) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i})
+        return messages(chunk, {b: pack(code[i:j], *(c[i:j] for c in columns), *every) for b, (i, j) in enumerate(zip(edges, edges[1:], strict=False)) if j > i})
 
     def kind_of(answers: pa.Table, kind: int) -> pa.Table:
         return answers.filter(pa.array([k == kind for k in answers.column("kind").to_pylist()], pa.bool_()))
@@ -343,7 +344,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         seen = np.bincount(place[own.train], minlength=len(kinds)).astype(np.uint32)
         # the parent's probability in eighths of a binary order: seating needs no more
         p = (counts[own.kind[example]] + 0.5) / (n + 0.5 * (v + 1))
-        return dealt(chunk, kinds, seen, np.clip(np.round(-8 * np.log2(p)), 0, 255).astype(np.uint8))
+        totals = np.array([n, v], np.int64)
+        return dealt(chunk, kinds, seen, np.clip(np.round(-8 * np.log2(p)), 0, 255).astype(np.uint8), every=[totals])
 
     def sample_contexts(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -351,7 +353,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         kinds, counts = sums(sent, 1)
         p = np.zeros(len(kinds))
         owner = np.full(len(kinds), -1, np.int64)
-        for c, (code, seen, rank) in reversed(sent.items()):
+        for c, (code, seen, rank, _) in reversed(sent.items()):
             at = np.searchsorted(kinds, code)
             p[at] = 2.0 ** (rank / -8)
             owner[at[seen > 0]] = c
@@ -360,27 +362,31 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         kept, last = sample_restaurants(counts, group, p, seed=bucket)
         customers, tables = np.bincount(group, counts).astype(np.int64), np.bincount(group, kept).astype(np.int64)
         out = {}
-        for c, (code, _, _) in sent.items():
+        for c, (code, *_, totals) in sent.items():
             at = np.searchsorted(kinds, code)
             mine = group[at][np.append(True, group[at][1:] != group[at][:-1])]
-            out[c] = pack(counts[at].astype(np.uint32), kept[at].astype(np.uint32), np.where(owner[at] == c, last[at], 0).astype(np.uint32), customers[mine], tables[mine])
+            out[c] = pack(counts[at].astype(np.uint32), kept[at].astype(np.uint32), np.where(owner[at] == c, last[at], 0).astype(np.uint32), customers[mine], tables[mine], totals)
         return replies(bucket, out)
 
     def send_tables(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return messages(0, {})
         chunk, _, _, own = tokens_of(table)
-        _, _, v = word_counts(kind_of(answers, 0))
         _, kinds, _, example = own.pairs()
-        tables = gathered(by_bucket(kind_of(answers, 1), n_chunks), 2)
-        per_word = np.bincount(own.kind[example], tables, len(own.kinds)).astype(np.uint32)
-        return dealt(chunk, own.kinds, per_word, np.full(len(own.kinds), v, np.int64))
+        contexts = by_bucket(answers, n_chunks)
+        totals = next(p[5] for p in contexts if p is not None)
+        per_word = np.bincount(own.kind[example], gathered(contexts, 2), len(own.kinds)).astype(np.uint32)
+        # the training counts go along again: their buckets' first answers aren't computed once more for the score
+        seen = np.bincount(own.kind[own.train], minlength=len(own.kinds)).astype(np.uint32)
+        return dealt(chunk, own.kinds, per_word, seen, every=[totals])
 
     def sample_parent(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         sent = {c: unpack(body) for c, body in bodies_by(table, "chunk").items()}
         kinds, customers = sums(sent, 1)
-        v = max(int(next(iter(sent.values()))[2][0]), 1)
+        _, counts = sums(sent, 2)
+        n_words = next(iter(sent.values()))[3]
+        v = max(int(n_words[1]), 1)
         here = max(int((customers > 0).sum()), 1)
         # words are dealt by hash, so this bucket's share of the restaurant is like the rest
         kept, _ = sample_restaurants(customers, np.zeros(len(kinds), np.int64), np.full(len(kinds), 1 / (v + 1)), bucket, PARENT_DISCOUNT, PARENT_STRENGTH, max(v / here, 1.0))
@@ -388,7 +394,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         out = {}
         for c in range(n_chunks):
             at = np.searchsorted(kinds, sent[c][0]) if c in sent else np.zeros(0, np.int64)
-            out[c] = pack(customers[at], kept[at], totals)
+            out[c] = pack(customers[at], kept[at], totals, counts[at], n_words)
         return replies(bucket, out)
 
     def score(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -397,8 +403,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not table.num_rows:
             return pa.table({n: pa.array([], t) for n, t in zip(names, kinds_of, strict=True)})
         _, ids, held_out, own = tokens_of(table)
-        counts, n, v = word_counts(kind_of(answers, 0))
-        pairs, parent = by_bucket(kind_of(answers, 1), n_chunks), by_bucket(kind_of(answers, 2), n_chunks)
+        pairs, parent = by_bucket(kind_of(answers, 0), n_chunks), by_bucket(kind_of(answers, 1), n_chunks)
+        counts, (n, v) = gathered(parent, 3), next(p[4] for p in parent if p is not None).tolist()
         base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
         customers, kept = gathered(parent, 0), gathered(parent, 1) / SAMPLES
         everyone = np.sum([p[2] for p in parent if p is not None], 0)
@@ -418,7 +424,6 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tagged = lambda df, kind: df.withColumn("kind", F.lit(kind))
     words = answer(send(chunks, send_words), count_words)
     contexts = answer(resume(chunks, words, send_pairs), sample_contexts)
-    known = tagged(words, 0).unionByName(tagged(contexts, 1))
-    parent = answer(resume(chunks, known, send_tables), sample_parent)
+    parent = answer(resume(chunks, contexts, send_tables), sample_parent)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return resume(chunks, known.unionByName(tagged(parent, 2)), score, schema)
+    return resume(chunks, tagged(contexts, 0).unionByName(tagged(parent, 1)), score, schema)

@@ -455,3 +455,23 @@ def test_rounds_name_the_members_once(spark, monkeypatch):
     gathered, still_open = ([n for name, n, _ in written if name == x] for x in ("gathered-members", "open-members"))
     assert len(named) == 3 and named[1] == gathered[0] and named[2] <= still_open[-1] <= named[1]
     assert all("LeftOuter" not in plan for name, _, plan in written if name == "open-members")
+
+
+def test_messages_grow_no_faster_than_the_text(spark, nothing, monkeypatch):
+    """Many shuffle partitions don't make many small messages, and op3 doesn't ask for its first answers again."""
+    from lexspark.llm import common
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (4, 12, 211, 2000):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            for size in (0, 10**6, 54_592_527, 172_961_921, 863_738_755, 6 * 10**9):
+                monkeypatch.setattr(common, "text_bytes", lambda *_, size=size: size)
+                n = common.chunk_count(nothing, exchange.CHUNK_BYTES)
+                assert n * exchange.CHUNK_BYTES >= size and n >= min(partitions, common.FEW)
+                assert n * n <= max(common.FEW**2, size / common.MESSAGE_BYTES, 1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    plan = pitman_yor.score_documents(nothing, n_chunks=2)._jdf.queryExecution().optimizedPlan().toString()
+    # first and second answers for the parent's sampling, the same for the score (of equal parts one is run), and the parent's
+    assert len(re.findall(r"FlatMapGroupsInArrow \[bucket", plan)) == 5
